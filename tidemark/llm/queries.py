@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
+from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tidemark.llm.quality import op6_quality
+from tidemark.llm.sharding import op4_hilbert_shards
+from tidemark.llm.token_files import op2_token_files
+from tidemark.llm.warc import op3_warc
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_warc": op3_warc,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
 }
 
