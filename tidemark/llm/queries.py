@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidemark.llm.html_text import op8_html_text
+from tidemark.llm.licenses import OP1_SQL, op1_licences
 from tidemark.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.sharding import op4_hilbert_shards
@@ -11,6 +12,7 @@ from tidemark.llm.token_files import op2_token_files
 from tidemark.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op4_hilbert_shards": op4_hilbert_shards,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_licences": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
 }
