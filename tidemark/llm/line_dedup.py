@@ -161,7 +161,8 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
     text = F.col(text_col).cast("string")
     left = docs.select(F.col(id_col).cast("long").alias("row_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"))
-    right = maps.select(F.col(id_col).alias("map_id"), F.col("body").alias("map_body"), "bitmap")
+    # the bitmaps grow with the documents: one plan at every size, never a broadcast of them
+    right = maps.select(F.col(id_col).alias("map_id"), F.col("body").alias("map_body"), "bitmap").hint("merge")
     joined = left.join(right, F.col("row_id").eqNullSafe(F.col("map_id")) & (F.col("body") == F.col("map_body")), "left")
     return joined.select("row_id", "text", "bitmap").mapInArrow(_applied, "row_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("row_id", id_col)
 
