@@ -6,6 +6,7 @@ from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.licenses import OP1_SQL, op1_licences
 from tidemark.llm.line_dedup import OP9_SQL, op9_line_dedup
+from tidemark.llm.near_duplicates import OP10_SQL, op10_near_duplicates
 from tidemark.llm.quality import op6_quality
 from tidemark.llm.sharding import op4_hilbert_shards
 from tidemark.llm.token_files import op2_token_files
@@ -20,10 +21,12 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLES = {
     "op1_licences": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }
