@@ -8,6 +8,7 @@ from tidemark.llm.licenses import OP1_SQL, op1_licences
 from tidemark.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tidemark.llm.near_duplicates import OP10_SQL, op10_near_duplicates
 from tidemark.llm.quality import op6_quality
+from tidemark.llm.segmentations import op7_segmentations
 from tidemark.llm.sharding import op4_hilbert_shards
 from tidemark.llm.token_files import op2_token_files
 from tidemark.llm.warc import op3_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_segmentations": op7_segmentations,
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_duplicates": op10_near_duplicates,
