@@ -113,31 +113,36 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 
 def _searcher(items: list[tuple[str, str | None]], window: int, shard_words: int, first: bool):
+    """``rest``: a column of its own that stays beside its row, when there is one."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, window)
         get = phrases.vocabulary.get
         rows: list[tuple] = []
         ids: list[np.ndarray] = []
-        held = 0
+        held, kind = 0, None
 
         def flush() -> pa.RecordBatch:
             spans, found = search_shard(ids, phrases)
-            columns: tuple = ([], [], [], [], [])
-            for (key, text, n, old_spans, old_items), s, f in zip(rows, spans, found):
+            columns: tuple = ([], [], [], [], [], [])
+            for (key, text, n, rest, old_spans, old_items), s, f in zip(rows, spans, found):
                 s, f = (merged(old_spans, s), f.union(old_items)) if old_spans else (s, f)
-                for column, value in zip(columns, (key, text, n, [{"start": a, "end": b} for a, b in s], sorted(f))):
+                for column, value in zip(columns, (key, text, n, [{"start": a, "end": b} for a, b in s], sorted(f), rest)):
                     column.append(value)
             rows.clear()
             ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OUT.types)], schema=OUT)
+            schema = OUT if kind is None else OUT.append(pa.field("rest", kind))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
         for batch in batches:
             data = batch.to_pydict()
+            kind = batch.schema.field("rest").type if "rest" in data else None
+            rest = data.get("rest", [None] * batch.num_rows)
             for k, (key, text) in enumerate(zip(data["row_id"], data["text"])):
                 w = words(text)
                 ids.append(np.fromiter([get(x, 0) for x in w], dtype=np.int64, count=len(w)))
                 old = ([], []) if first else ([(x["start"], x["end"]) for x in data["spans"][k]], data["items"][k])
-                rows.append((key, text, len(w), *old))
+                rows.append((key, text, len(w), rest[k], *old))
                 held += len(w)
                 if held >= shard_words:
                     yield flush()
@@ -159,6 +164,7 @@ def removal_spans(
     window: int = 10,
     shard_words: int = 1 << 20,
     phrase_bytes: int = PHRASE_BYTES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per document: its id, text, ``n_words``, ``spans`` (word offsets [start, end), merged, ascending) and
     ``items`` (ids as strings, sorted) of the benchmark items of which a window occurs.
@@ -166,7 +172,8 @@ def removal_spans(
     A window is ``window`` consecutive item words; an item of fewer words, but not none, is one window.
     Null and empty texts have no words and no hits. A null item id counts as no item but its text still hits under
     the id ``''``. Repeated document rows are treated alike, each for itself. Empty tables give no rows or no hits.
-    Other columns of either table are ignored, whatever their names.
+    Other columns of either table are ignored, whatever their names, but for those of ``carry``: they come back as
+    fields of the column ``rest``.
 
     Benchmark text beyond ``phrase_bytes`` is searched for in blocks of items, one pass over the rows after another.
     """
@@ -174,11 +181,13 @@ def removal_spans(
     wanted = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.col(item_text).alias("t")).where("t is not null")
     size = wanted.agg(F.sum(F.octet_length("t") + F.lit(64))).first()[0] or 0
     blocks = max(1, -(-size // phrase_bytes))
-    out = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    out = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), *rest)
+    shape = OUT_SQL + (f", rest {out.schema['rest'].dataType.simpleString()}" if carry else "")
     for b in range(blocks):
         block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
         items = [tuple(r) for r in block.collect()]
-        out = out.mapInArrow(_searcher(items, window, shard_words, b == 0), OUT_SQL)
+        out = out.mapInArrow(_searcher(items, window, shard_words, b == 0), shape)
     return out.withColumnRenamed("row_id", id_col)
 
 
@@ -195,8 +204,9 @@ def cut(text: str, spans: list) -> str:
 
 def without_spans(found: DataFrame) -> DataFrame:
     """``clean``: the text of each row of ``removal_spans`` with its spans cut out."""
-    cutter = F.udf(lambda t, s: cut(t, s) if s else t, "string", useArrow=True)
-    return found.withColumn("clean", F.when(F.size("spans") > 0, cutter("text", "spans")).otherwise(F.col("text")))
+    cutter = F.udf(lambda t, s: cut(t, s) if s else None, "string", useArrow=True)
+    hit = F.size("spans") > 0
+    return found.withColumn("clean", F.when(hit, cutter(F.when(hit, F.col("text")), F.when(hit, F.col("spans")))).otherwise(F.col("text")))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -167,6 +167,17 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return joined.select("row_id", "text", "bitmap").mapInArrow(_applied, "row_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("row_id", id_col)
 
 
+def without_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """The rows of ``docs`` with all their columns, dropped lines taken out of the text."""
+    maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs).toDF("__id", "__body", "__bitmap").hint("merge")
+    body = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    joined = docs.withColumn("__own", body).join(maps, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left")
+    cut = F.udf(lambda text, bitmap: None if bitmap is None else kept_text(text, bitmap), T.StringType(), useArrow=True)
+    lost = F.col("__bitmap").isNotNull()
+    new = F.when(lost, cut(F.when(lost, F.col(text_col)), F.col("__bitmap"))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, new).select(*docs.columns)
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     kept = deduplicated(common.table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -122,19 +122,19 @@ def reaches(both: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) ->
     return (both > 0) & (both * 1_000_000 >= t * (a + b - both))
 
 
-SIGNED = pa.schema([("row_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+SIGNED = pa.schema([("row_id", pa.int64()), ("body", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def _signer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingle_set(text, width)
                 m = min_hashes(s)
                 for c, v in zip(columns, (xxhash.xxh128_digest(s.tobytes()), len(s), band_keys(m) if len(s) else np.zeros(0, dtype=np.int64), m[:COMPARED].astype("<u2").tobytes())):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, SIGNED.types[1:]))], schema=SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, SIGNED.types[2:]))], schema=SIGNED)
 
     return run
 
@@ -263,7 +263,7 @@ def _blocks(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per document row: id, ``class_id``, ``copy_id``, ``n_links``.
+    """One row per document row: id, ``body`` (hash of its text), ``class_id``, ``copy_id``, ``n_links``.
 
     copy_id: the smallest id of the texts with the same n-gram set. n_links: how many other such sets are linked to
     it, at a Jaccard similarity of ``threshold`` or more. class_id: the smallest id that links lead to.
@@ -273,12 +273,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Repeated rows are copies. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
     spark = common.tuned(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    signed, signed_at = common.staged(texts.mapInArrow(_signer(width), "row_id long, digest binary, n long, bands array<long>, sig binary"), "near-signatures")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("row_id"), F.xxhash64(text).alias("body"), text.alias("text"))
+    signed, signed_at = common.staged(texts.mapInArrow(_signer(width), "row_id long, body long, digest binary, n long, bands array<long>, sig binary"), "near-signatures")
     grouped = signed.groupBy("digest").agg(F.min("row_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     # a number for each class, as ids may repeat with other texts
     classes, classes_at = common.staged(grouped.withColumn("key", F.monotonically_increasing_id()), "near-classes")
-    members, members_at = common.staged(signed.select("row_id", "digest"), "near-members")
+    members, members_at = common.staged(signed.select("row_id", "body", "digest"), "near-members")
     common.remove(spark, signed_at)
 
     rows = classes.select("key", F.explode("bands").alias("h"))
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # whole sets of the texts that stand for a class in a candidate or a group
     wanted = left.select(F.col("a").alias("w")).unionByName(left.select(F.col("b").alias("w"))).unionByName(groups.select(F.col("node").alias("w"))).distinct()
     chosen = classes.join(wanted.hint("merge"), F.col("key") == F.col("w"), "left_semi").select("key", "rep", "digest")
-    once = texts.withColumn("body", F.xxhash64("text")).join(chosen.hint("merge"), F.col("row_id") == F.col("rep")).dropDuplicates(["row_id", "body", "key"])
+    once = texts.join(chosen.hint("merge"), F.col("row_id") == F.col("rep")).dropDuplicates(["row_id", "body", "key"])
     sets, sets_at = common.staged(once.select("key", "digest", "text").mapInArrow(_sets(width), "key long, shingles binary"), "near-sets")
     sets_a = sets.select(F.col("key").alias("key_a"), "shingles")
     sets_b = sets.select(F.col("key").alias("key_b"), F.col("shingles").alias("shingles_b"))
@@ -334,14 +335,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest = named.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root")
     named = named.join(smallest.hint("merge"), F.col("root") == F.col("least_root"))
     shown = lambda c: F.when(F.col(c) != LOW, F.col(c))
-    out = members.join(named.hint("merge"), F.col("digest") == F.col("class_digest")).select(shown("row_id").alias(id_col), shown("least").alias("class_id"), shown("rep").alias("copy_id"), "n_links")
+    out = members.join(named.hint("merge"), F.col("digest") == F.col("class_digest")).select(shown("row_id").alias(id_col), "body", shown("least").alias("class_id"), shown("rep").alias("copy_id"), "n_links")
     result, _ = common.staged(out, "near-result")
     common.remove(spark, classes_at, members_at, groups_at, links_at, inside_at, roots_at, named_at)
     return result
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is their group's ``class_id``, with all their columns; repeated rows once."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, threshold=threshold)
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id"), F.col("body").alias("__body")).hint("merge")
+    own = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
+    kept = own.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left_semi")
+    return kept.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+
+
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("body")
 
 
 OP10_SQL = r"""

@@ -121,6 +121,16 @@ def fit(patterns: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) ->
     return dict(zip(keys, posterior.tolist()))
 
 
+def posteriors(rows: DataFrame) -> DataFrame:
+    """(votes, quality) from the counts of all vote patterns in ``rows``; at most 3**9 patterns reach the driver."""
+    fitted = fit({r[0]: r[1] for r in rows.groupBy("votes").count().collect()})
+    return F.broadcast(rows.sparkSession.createDataFrame(list(fitted.items()), "votes string, quality double"))
+
+
+def base_failed(n_words, n_repeat_words):
+    return (n_words < 10) | (F.lit(100) * n_repeat_words > F.lit(20) * n_words)
+
+
 def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per document row: base counts, ``votes``, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
@@ -130,18 +140,27 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     The features are staged once; what reaches the driver is one count per vote pattern, at most 3**9 whatever the
     input, and each pattern's posterior goes back as a broadcast of the same size.
     """
-    spark = docs.sparkSession
     rows, _ = common.staged(features(docs, id_col, text_col), "quality")
-    posterior = fit({r[0]: r[1] for r in rows.groupBy("votes").count().collect()})
-    table = spark.createDataFrame(list(posterior.items()), "votes string, quality double")
-    failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     return (
-        rows.join(F.broadcast(table), "votes")
-        .withColumn("base_failed", failed)
+        rows.join(posteriors(rows), "votes")
+        .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
         .withColumnRenamed("doc_id", id_col)
     )
 
 
+def passing(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``scored`` keeps, with all their columns.
+
+    The votes are taken twice, once for the estimate and once beside the rows, which so need no join by id.
+    """
+    taken = F.udf(lambda x: (lambda m: {"n": m[0], "repeats": m[4], "votes": m[5]})(measure(x)), "n long, repeats long, votes string", useArrow=True)
+    rows, at = common.staged(features(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))).select("votes"), "quality-votes")
+    table = posteriors(rows)
+    common.remove(docs.sparkSession, at)
+    marked = docs.withColumn("__taken", taken(F.col(text_col).cast("string"))).join(table.toDF("__votes", "__quality"), F.col("__taken.votes") == F.col("__votes"))
+    return marked.where(~base_failed(F.col("__taken.n"), F.col("__taken.repeats")) & (F.col("__quality") >= threshold)).select(*[docs[c] for c in docs.columns])
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     return scored(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")

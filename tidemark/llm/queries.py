@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm.decontaminate import OP5_SQL, op5_decontaminate
 from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.licenses import OP1_SQL, op1_licences
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
