@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,9 +183,18 @@ def _nearest(path: str, before: tuple | None, after: tuple | None) -> tuple | No
     return max(known, key=lambda x: nearness(path, x[0])) if known else None
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages go through the exchange compressed by more than Spark's own block compression gives."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        html_packed = pa.array([pack.compress((x or "").encode()) for x in batch.column("html").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), html_packed], names=["page_id", "url", "host", "path", "packed"])
+
+
 def _extract(copy_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by host and path. The first and the last of a partition wait for their other neighbour."""
+        unpack = zstandard.ZstdDecompressor()
         previous: tuple | None = None  # of the page before: host, (path, lines)
         waiting: tuple | None = None  # a page whose next one is not known yet
         first = True
@@ -199,8 +209,8 @@ def _extract(copy_share: float):
 
         for batch in batches:
             out = []
-            for key, url, host, path, source in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "path", "html"))):
-                page = (key, url, host, path, *page_lines(source))
+            for key, url, host, path, packed in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "path", "packed"))):
+                page = (key, url, host, path, *page_lines(unpack.decompress(packed).decode()))
                 if waiting:
                     before = previous[1] if previous and previous[0] == waiting[2] else None
                     after = (path, page[4]) if host == waiting[2] else None
@@ -249,7 +259,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         F.col(html_col).cast("string").alias("html"),
     )
     keys = ["host", "path", "page_id"]
-    ordered = rows.repartitionByRange(common.partitions(spark), *keys).sortWithinPartitions(*keys)
+    packed = rows.mapInArrow(_packed, "page_id long, url string, host string, path string, packed binary")
+    ordered = packed.repartitionByRange(common.partitions(spark), *keys).sortWithinPartitions(*keys)
     found, _ = common.staged(ordered.mapInArrow(_extract(copy_share), LINES_SQL), "page-lines")
     late = found.where("edge").drop("text").coalesce(1).sortWithinPartitions(*keys).mapInArrow(_edges(copy_share), "page_id long, url string, text string")
     return found.where(~F.col("edge")).select("page_id", "url", "text").unionByName(late).withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
