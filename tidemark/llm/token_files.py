@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +21,45 @@ from tidemark.llm import common, dac
 #: Where a text may be cut without changing its byte-level BPE: before one space between two characters that no
 #: definition takes for white space. The pre-tokenizer starts a new piece there whatever surrounds it.
 CUT = re.compile(r"(?<=[^\s\x85\xa0])(?= [^\s\x85\xa0])")
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
 SPECIAL = "<|endoftext|>"
-#: Pieces kept per Python worker, about 70 MB; when full, the older half is forgotten.
-PIECES = 400_000
+#: The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
+#: Words whose ids are kept per Python worker, about 100 MB; when half are new, the rest is forgotten.
+KEPT = 600_000
 
 PART = "file string, doc_at long, row_id long, n_tokens long, at_token long"
 PART_ARROW = pa.schema([("file", pa.string()), ("doc_at", pa.int64()), ("row_id", pa.int64()), ("n_tokens", pa.int64()), ("at_token", pa.int64())])
 
 
+class Uneven(Exception):
+    """A word begins or ends with white space: the text has to be cut with more care."""
+
+
+class Words(dict):
+    """Ids, as bytes, of words that follow one space; each is encoded when first seen."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise Uneven
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encoder.piece(" " + word)
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > KEPT // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each distinct piece between cuts encoded once."""
+    """Whole texts to ids with the tokenizers library, each distinct word encoded once."""
 
     kept: dict[str, "Encoder"] = {}
 
@@ -41,8 +70,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        settings = json.loads(self.tokenizer.to_str())
+        # letters behind at most one space are one piece of a byte-level pre-tokenizer: no need to look for others
+        self.direct = settings["normalizer"] is None and (settings["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        self.words = Words(self)
+        self.line_break = self.library("\n")
+        self.marks = {x: self.library(x) for x in (",", ".")}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -51,36 +84,34 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def pieces(self, text: str) -> list[str]:
-        if UNEVEN.search(text):
-            return CUT.split(text)
-        head, *tail = text.split(" ")
-        return [head, *[" " + x for x in tail]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A piece without white space at its end, and at its beginning none or one space. A line break between
+        other characters stands alone; so does a comma or a full stop behind letters alone."""
+        if "\n" in piece:
+            head, *tail = piece.split("\n")
+            if head.strip(" ") and all(x and not x[0].isspace() and not x[-1].isspace() for x in tail) and not head[-1].isspace():
+                return self.line_break.join([self.piece(head), *map(self.piece, tail)])
+        word = piece.removeprefix(" ")
+        if word[-1:] in self.marks and word[:-1].isalpha():
+            return (self.words[word[:-1]] if piece[0] == " " else self.piece(word[:-1])) + self.marks[word[-1]]
+        if self.direct and word.isalpha():
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+        return self.library(piece)
+
+    def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        cut = [None if SPECIAL in t else self.pieces(t) if t else [] for t in texts]
-        if len(self.young) > PIECES // 2:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for p in set(itertools.chain.from_iterable(x for x in cut if x)):
-            if p not in young:
-                ids = old.get(p)
-                if ids is None:
-                    new.append(p)
-                else:
-                    young[p] = ids
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for p, e in zip(part, encoded):
-                young[p] = np.array(e.ids, dtype="<u4").tobytes()
-        get = young.__getitem__
-        return [self.whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut)]
+        if not text or SPECIAL in text:
+            return self.library(text)
+        head, *tail = text.split(" ")
+        try:
+            if head[-1:].isspace():
+                raise Uneven
+            return b"".join([self.piece(head) if head else b"", *map(self.words.__getitem__, tail)])
+        except Uneven:
+            return b"".join(map(self.library, CUT.split(text)))
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: int):
@@ -103,8 +134,9 @@ def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: in
 
         fs.create_dir(root, recursive=True)
         for batch in batches:
-            encoded = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
-            for key, x in zip(batch.column(0).to_pylist(), encoded):
+            encoder.words.age()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = encoder.encode(text or "")
                 docs.append(key)
                 ids.append(x + end)
                 held += len(x) // 4 + 1
