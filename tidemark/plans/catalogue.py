@@ -1,4 +1,503 @@
-"""The named queries over the test tables, and DuckDB SQL for each."""
+"""The named queries over the test tables, and DuckDB SQL for each.
+
+The tables have no video, so embeddings stand for frame vectors (even ids ask, odd ids are the bank), and events for
+series (one a user), frames (type: clip voted for) and intervals (even ids detections, odd ids ground truth).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars, vectors
+from tidemark.operators import evaluate, knn, matching, series, topology, tracks
+from tidemark.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- vectors -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) AS first, round(list_sum(CAST(embedding[1:5] AS DOUBLE[])), 4) AS h0_sum, CAST(len(embedding[13:]) AS INTEGER) AS image_size FROM embeddings")
+def q_scan_project(spark, d):
+    e = table(spark, d, "embeddings")
+    p = vectors.parts(F.col("embedding"))
+    return rounded(e.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), vectors.moments(p["h0"])["sum"].alias("h0_sum"), F.size(p["image"]).alias("image_size")), "first", "h0_sum")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE isfinite(value) AND value > 100 AND event_type <> '' AND NOT starts_with(event_type, '#')")
+def q_filter_finite(spark, d):
+    return table(spark, d, "events").where(vectors.finite(F.col("value")) & (F.col("value") > 100) & (F.col("event_type") != "") & ~F.startswith("event_type", F.lit("#"))).select("event_id", "event_type", "value")
+
+
+@query("SELECT vec_id, CAST(count(x) AS DOUBLE) AS n, round(sum(x), 4) AS total, round(max(x), 4) AS top, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY vec_id")
+def q_vector_stats(spark, d):
+    m = vectors.moments(F.col("embedding"))
+    out = table(spark, d, "embeddings").select("vec_id", m.alias("m")).select("vec_id", F.col("m.count").alias("n"), F.col("m.sum").alias("total"), F.col("m.max").alias("top"), F.col("m.mean").alias("mean"), F.col("m.std").alias("std"))
+    return rounded(out, "total", "top", "mean", "std")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS norm FROM embeddings")
+def q_l2_norm(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, list_avg(v) AS m FROM v)
+SELECT vec_id, round(v[1] / n, 4) + 0.0 AS first, round((v[1] - m) / sqrt(list_sum(list_transform(v, lambda x: (x - m) * (x - m)))), 4) + 0.0 AS centred_first FROM n
+""")
+def q_l2_normalize(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    return v.select("vec_id", (F.round(vectors.normalised(F.col("v"))[0], 4) + 0.0).alias("first"), (F.round(vectors.centred_unit(F.col("v"))[0], 4) + 0.0).alias("centred_first"))
+
+
+@query("""
+SELECT vec_id, round((v[1] - list_min(v)) / (list_max(v) - list_min(v) + 1e-6), 4) AS first,
+       round((list_avg(v) - list_min(v)) / (list_max(v) - list_min(v) + 1e-6), 4) AS brightness
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+""")
+def q_minmax_scale(spark, d):
+    s = table(spark, d, "embeddings").select("vec_id", vectors.min_max_scaled(F.col("embedding")).alias("s"))
+    return s.select("vec_id", F.round(F.col("s")[0], 4).alias("first"), F.round(vectors.moments(F.col("s"))["mean"], 4).alias("brightness"))
+
+
+CURVES_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+e AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v[13:], lambda x: x * x))) AS energy FROM v)
+SELECT vec_id, round(v[1], 4) AS h0_count, round(v[2], 4) AS h0_sum, round(v[3], 4) AS h0_max, round(v[5], 4) AS h0_std,
+       round(v[6], 4) AS h1_count, round(v[7], 4) AS h1_sum, round(v[8], 4) AS h1_max, round(v[10], 4) AS h1_std,
+       round(v[11], 4) AS brightness_mean, round(v[12], 4) AS brightness_std, round(energy, 4) AS pi_energy, round(v[7] + energy, 4) AS combined_activity
+FROM e
+"""
+
+
+@query(CURVES_SQL)
+def q_curves(spark, d):
+    c = vectors.curves(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", *[F.round(v, 4).alias(k) for k, v in c.items()])
+
+
+# ---- neighbours ----------------------------------------------------------------------------------------------------
+
+
+def _sides(spark, d):
+    e = table(spark, d, "embeddings")
+    return (e.where(F.col("vec_id") % 2 == r).select(F.col("vec_id").alias(n), F.col("embedding").alias("vector")) for r, n in ((0, "query_id"), (1, "bank_id")))
+
+
+def _knn_sql(k: int, unit: bool, tail: str) -> str:
+    v = "CAST(embedding AS DOUBLE[])"
+    if unit:
+        v = f"list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+    return f"""
+WITH q AS (SELECT vec_id AS query_id, {v} AS q FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS bank_id, {v} AS b FROM embeddings WHERE vec_id % 2 = 1),
+s AS (SELECT query_id, bank_id, list_inner_product(q, b) AS score FROM q, b),
+near AS (SELECT query_id, bank_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bank_id) AS rank FROM s QUALIFY rank <= {k})
+{tail}"""
+
+
+NEAR = "SELECT query_id, bank_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM near"
+
+
+@query(_knn_sql(5, False, NEAR))
+def q_knn_dot(spark, d):
+    return rounded(knn.nearest(*_sides(spark, d), 5), "score").select("query_id", "bank_id", "rank", "score")
+
+
+@query(_knn_sql(3, True, NEAR))
+def q_knn_cosine(spark, d):
+    return rounded(knn.nearest(*_sides(spark, d), 3, normalise=True), "score").select("query_id", "bank_id", "rank", "score")
+
+
+@query(
+    _knn_sql(1, False, ", bank AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id % 2 = 1) SELECT n.query_id, b.label AS clip, b.pos AS clip_pos, round(n.score, 4) AS score FROM near n JOIN bank b ON n.bank_id = b.vec_id")
+)
+def q_bank_gather(spark, d):
+    bank = series.positions(table(spark, d, "embeddings").where("vec_id % 2 = 1"), ["label"], ["vec_id"]).select("vec_id", F.col("label").alias("clip"), F.col("pos").alias("clip_pos"))
+    near = knn.nearest(*_sides(spark, d), 1)
+    return near.join(bank, F.col("bank_id") == F.col("vec_id")).select("query_id", "clip", "clip_pos", F.round("score", 4).alias("score"))
+
+
+# ---- series --------------------------------------------------------------------------------------------------------
+
+SERIES = "series AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS x, event_type AS clip, event_id FROM events)"
+
+
+def _series(spark, d) -> DataFrame:
+    return series.positions(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select(F.col("user_id").alias("video"), "pos", F.col("value").alias("x"), F.col("event_type").alias("clip"), "event_id")
+
+
+@query(f"WITH {SERIES} SELECT video, pos // 4 AS win, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, max(x) AS top FROM series GROUP BY ALL")
+def q_tumbling_count_window(spark, d):
+    s = _series(spark, d).withColumn("win", series.tumbling(F.col("pos"), 4))
+    return s.groupBy("video", "win").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.max("x").alias("top"))
+
+
+def _edge_sql(w: int) -> str:
+    left = w // 2
+    right = w - left - 1
+    return f"""
+WITH {SERIES}, m AS (SELECT video, pos, sum(x) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN {left} PRECEDING AND {right} FOLLOWING) AS s,
+  first_value(x) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a,
+  last_value(x) OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b, count(*) OVER (PARTITION BY video) AS n FROM series)
+SELECT video, pos, round((s + greatest(0, {left} - pos) * a + greatest(0, pos + {right} - (n - 1)) * b) / {w}, 4) AS smooth FROM m"""
+
+
+@query(_edge_sql(5))
+def q_edge_moving_avg(spark, d):
+    return rounded(series.edge_moving_average(_series(spark, d), ["video"], "x", 5, "smooth"), "smooth").select("video", "pos", "smooth")
+
+
+def _moments_sql(w: int) -> str:
+    left = w // 2
+    frame = f"OVER (PARTITION BY video ORDER BY pos ROWS BETWEEN {left} PRECEDING AND {w - left - 1} FOLLOWING)"
+    return f"""{SERIES}, sums AS (SELECT video, pos, x, clip, sum(x) {frame} / {w} AS m, sum(x * x) {frame} / {w} AS q, count(*) OVER (PARTITION BY video) AS n,
+  avg(x) OVER (PARTITION BY video) AS am, stddev_pop(x) OVER (PARTITION BY video) AS sd FROM series),
+moments AS (SELECT video, pos, x, clip, CASE WHEN n < {w} THEN am ELSE m END AS mean,
+  CASE WHEN n < {w} THEN CASE WHEN sd <= 1e-6 THEN 1.0 ELSE sd END ELSE sqrt(greatest(q - m * m, 1e-6)) END AS std FROM sums),
+scores AS (SELECT video, pos, x, clip, (x - mean) / std AS z FROM moments)"""
+
+
+@query(f"WITH {_moments_sql(30)} SELECT video, pos, round(mean, 4) AS mean, round(std, 4) AS std FROM moments")
+def q_zero_pad_moments(spark, d):
+    return rounded(series.moving_moments(_series(spark, d), ["video"], "x", 30), "mean", "std").select("video", "pos", "mean", "std")
+
+
+@query(f"WITH {_moments_sql(10)} SELECT video, pos, round(z, 4) AS z FROM scores")
+def q_zscore(spark, d):
+    return rounded(series.standard_scores(_series(spark, d), ["video"], "x", 10), "z").select("video", "pos", "z")
+
+
+SEGMENTS = """segments AS (
+  SELECT video, min(pos) AS seg_start, max(pos) + 1 AS seg_end, arg_max(pos, {{'z': z, 'p': -pos}}) AS peak_pos, max(z) AS peak
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY video ORDER BY pos) AS island FROM scores WHERE z > {t} AND NOT isnan(z))
+  GROUP BY video, island HAVING count(*) >= {n})"""
+
+
+@query(f"WITH {_moments_sql(10)}, {SEGMENTS.format(t=0.3, n=2)} SELECT video, seg_start, seg_end, peak_pos, round(peak, 4) AS peak FROM segments")
+def q_segments(spark, d):
+    z = series.standard_scores(_series(spark, d), ["video"], "x", 10)
+    return rounded(series.active_segments(z, ["video"], "z", 0.3, 2), "peak").select("video", "seg_start", "seg_end", "peak_pos", "peak")
+
+
+@query(f"""
+WITH {_moments_sql(10)}, {SEGMENTS.format(t=1.0, n=1)},
+clips AS (SELECT video AS clip, pos, z AS y FROM scores WHERE video % 50 = 0 AND pos < 10),
+sizes AS (SELECT clip, count(*) AS m FROM clips GROUP BY clip), totals AS (SELECT video, count(*) AS n FROM scores GROUP BY video),
+starts AS (SELECT s.video, s.seg_start, s.peak_pos, c.clip, greatest(0, least(s.peak_pos - c.m // 2, t.n - c.m)) AS first FROM segments s JOIN totals t USING (video) JOIN sizes c ON c.m <= t.n WHERE s.video % 7 = 1),
+points AS (SELECT a.video, a.seg_start, a.peak_pos, a.clip, z.z AS x, c.y FROM starts a JOIN clips c USING (clip) JOIN scores z ON z.video = a.video AND z.pos = a.first + c.pos),
+matched AS (SELECT video, seg_start, peak_pos, clip, CASE WHEN stddev_pop(x) * sqrt(count(*)) < 1e-6 OR stddev_pop(y) * sqrt(count(*)) < 1e-6 THEN 0.0
+  ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS score FROM points GROUP BY ALL)
+SELECT video, seg_start, peak_pos, clip, round(score, 4) AS score FROM matched QUALIFY row_number() OVER (PARTITION BY video, seg_start ORDER BY score DESC, clip) = 1
+""")
+def q_peak_match(spark, d):
+    z = series.standard_scores(_series(spark, d), ["video"], "x", 10)
+    segments = series.active_segments(z.where("video % 7 = 1"), ["video"], "z", 1.0, 1)
+    clips = z.where("video % 50 = 0 and pos < 10").select(F.col("video").alias("clip"), F.col("video").alias("clip_order"), "pos", F.col("z").alias("x"))
+    return rounded(matching.match_peaks(segments, z.select("video", "pos", F.col("z").alias("x")), clips), "score")
+
+
+# ---- votes and tracks ----------------------------------------------------------------------------------------------
+
+WIDTH, GATE, SCORE, TOLERANCE = 2, 20.0, 0.02, 12.0
+FRAMES = "frames AS (SELECT video, pos, CAST(pos AS DOUBLE) / 3 AS ts, clip, CAST(event_id % 30 AS DOUBLE) AS clip_ts, x / 500 AS score, x AS gate FROM series)"
+VOTES = f"""spans AS (SELECT video, pos // {WIDTH} AS win, min(pos) AS first_pos, max(pos) AS last_pos, min(ts) AS t0, max(ts) AS t1, max(gate) AS gate FROM frames GROUP BY ALL),
+votes AS (SELECT video, pos // {WIDTH} AS win, clip, count(*) AS votes, avg(score) AS avg_score, avg(ts - clip_ts) AS avg_offset FROM frames GROUP BY video, pos // {WIDTH}, clip
+  QUALIFY row_number() OVER (PARTITION BY video, pos // {WIDTH} ORDER BY count(*) DESC, clip) = 1),
+windows AS (SELECT * FROM spans JOIN votes USING (video, win))"""
+PASSING = f"passing AS (SELECT * FROM windows WHERE NOT (avg_score < {SCORE}) AND NOT (gate < {GATE}))"
+TRACKS = f"""steps AS (SELECT video, win, clip, avg_score, t0, first_pos, last_pos, t0 - avg_offset AS o, row_number() OVER (PARTITION BY video ORDER BY win) AS rn FROM passing),
+walk(video, rn, clip, win, off, best, start_win, t0, first_pos, last_pos) AS (
+  SELECT video, rn, clip, win, o, avg_score, win, t0, first_pos, last_pos FROM steps WHERE rn = 1
+  UNION ALL
+  SELECT s.video, s.rn, s.clip, s.win, CASE WHEN j THEN 0.5 * (w.off + s.o) ELSE s.o END, CASE WHEN j THEN greatest(w.best, s.avg_score) ELSE s.avg_score END,
+    CASE WHEN j THEN w.start_win ELSE s.win END, CASE WHEN j THEN w.t0 ELSE s.t0 END, CASE WHEN j THEN w.first_pos ELSE s.first_pos END, s.last_pos
+  FROM (SELECT w.*, s.clip = w.clip AND s.win = w.win + 1 AND abs(s.o - w.off) <= {TOLERANCE} AS j FROM walk w JOIN steps s ON s.video = w.video AND s.rn = w.rn + 1) w
+  JOIN steps s ON s.video = w.video AND s.rn = w.rn + 1),
+tracks AS (SELECT video, clip, start_win, t0, first_pos, arg_max(win, rn) AS last_win, arg_max(off, rn) AS off, arg_max(best, rn) AS best, arg_max(last_pos, rn) AS last_pos FROM walk GROUP BY ALL)"""
+WITH_TRACKS = f"WITH RECURSIVE {SERIES}, {FRAMES}, {VOTES}, {PASSING}, {TRACKS}"
+
+
+def _windows(spark, d) -> DataFrame:
+    s = _series(spark, d)
+    frames = s.select("video", "pos", (F.col("pos") / 3).alias("ts"), "clip", (F.col("event_id") % 30).cast("double").alias("clip_ts"), (F.col("x") / 500).alias("score"), F.col("x").alias("gate"))
+    return tracks.vote_windows(frames, WIDTH)
+
+
+def _tracks(spark, d) -> DataFrame:
+    return tracks.build_tracks(tracks.passing_windows(_windows(spark, d), gate_threshold=GATE, score_threshold=SCORE), TOLERANCE)
+
+
+@query(f"WITH {SERIES}, {FRAMES}, {VOTES} SELECT video, win, clip, votes, round(avg_score, 6) AS avg_score, round(avg_offset, 4) AS avg_offset FROM windows")
+def q_vote(spark, d):
+    return rounded(rounded(_windows(spark, d).select("video", "win", "clip", "votes", "avg_score", "avg_offset"), "avg_score", digits=6), "avg_offset")
+
+
+@query(f"WITH {SERIES}, {FRAMES}, {VOTES}, {PASSING} SELECT (SELECT count(*) FROM windows) AS windows, (SELECT count(*) FROM passing) AS passed, (SELECT count(*) FROM windows WHERE gate < {GATE}) AS gated")
+def q_gate(spark, d):
+    w = _windows(spark, d)
+    stopped, weak = F.col("gate") < GATE, F.col("avg_score") < SCORE
+    return w.agg(F.count("*").alias("windows"), F.count_if(~stopped & ~weak).alias("passed"), F.count_if(stopped).alias("gated"))
+
+
+@query(f"{WITH_TRACKS} SELECT video, clip, start_win, last_win, round(off, 4) AS off, round(best, 6) AS best FROM tracks")
+def q_tracks(spark, d):
+    return rounded(_tracks(spark, d).select("video", "clip", "start_win", "last_win", "off", "best"), "off").withColumn("best", F.round("best", 6))
+
+
+LIMITS = {"coverage": 0.5, "coverage_long": 0.4, "min_frames": 2, "min_frames_short": 1, "duration_threshold": 1.2}
+DETECTED = """clips AS (SELECT clip, CASE WHEN clip = min(clip) OVER () THEN NULL ELSE 0.6 + 0.4 * row_number() OVER (ORDER BY clip) END AS duration FROM (SELECT DISTINCT event_type AS clip FROM events)),
+sized AS (SELECT t.*, last_pos - first_pos + 1 AS frames, CASE WHEN coalesce(c.duration, 0) > 0 THEN CAST(c.duration AS DOUBLE) ELSE (last_pos - first_pos + 1) / 3.0 END AS expected FROM tracks t LEFT JOIN clips c USING (clip)),
+found AS (SELECT video, clip, t0 AS start, expected AS length, best AS score FROM sized
+  WHERE frames >= CASE WHEN expected <= 1.2 THEN 1 ELSE 2 END AND frames / 3.0 >= expected * CASE WHEN expected <= 1.2 THEN 0.5 ELSE 0.4 END)"""
+
+
+def _found(spark, d) -> DataFrame:
+    names = table(spark, d, "events").select(F.col("event_type").alias("clip")).distinct()
+    ranked = names.withColumn("r", F.expr("row_number() over (order by clip)")).select("clip", F.when(F.col("r") > 1, 0.6 + 0.4 * F.col("r")).alias("duration"))
+    return tracks.finalise(_tracks(spark, d), ranked, **LIMITS)
+
+
+@query(f"{WITH_TRACKS}, {DETECTED} SELECT video, clip, round(start, 3) AS start, round(length, 3) AS length, round(score, 6) AS score FROM found")
+def q_finalize(spark, d):
+    return rounded(rounded(_found(spark, d), "start", "length", digits=3), "score", digits=6).select("video", "clip", "start", "length", "score")
+
+
+def _gap_sql(source: str, gap: float) -> str:
+    """Recursive fold over the hits of each key in order."""
+    return f"""hits AS (SELECT *, row_number() OVER (PARTITION BY video, clip ORDER BY start, length, score) AS hn FROM {source}),
+fold(video, clip, hn, start, length, score, kept) AS (
+  SELECT video, clip, hn, start, length, score, 1 FROM hits WHERE hn = 1
+  UNION ALL
+  SELECT h.video, h.clip, h.hn, CASE WHEN h.start - f.start < {gap} AND NOT h.score > f.score THEN f.start ELSE h.start END,
+    CASE WHEN h.start - f.start < {gap} AND NOT h.score > f.score THEN f.length ELSE h.length END,
+    CASE WHEN h.start - f.start < {gap} AND NOT h.score > f.score THEN f.score ELSE h.score END, f.kept + CASE WHEN h.start - f.start < {gap} THEN 0 ELSE 1 END
+  FROM fold f JOIN hits h ON h.video = f.video AND h.clip = f.clip AND h.hn = f.hn + 1),
+kept AS (SELECT video, clip, kept, arg_max(start, hn) AS start, arg_max(length, hn) AS length, arg_max(score, hn) AS score FROM fold GROUP BY ALL)"""
+
+
+SECONDS = "date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 1e6"
+
+
+@query(f"WITH RECURSIVE raw AS (SELECT user_id AS video, event_type AS clip, {SECONDS} AS start, 10.0 AS length, value AS score FROM events), {_gap_sql('raw', 200_000.0)} SELECT video, clip, round(start, 3) AS start, round(score, 4) AS score FROM kept")
+def q_min_gap_dedup(spark, d):
+    hits = _intervals(spark, d).select(F.col("tv").alias("video"), "clip", "start", F.lit(10.0).alias("length"), "score")
+    return rounded(rounded(tracks.min_gap(hits, 200_000.0, ["video", "clip"]), "start", digits=3), "score").select("video", "clip", "start", "score")
+
+
+@query(f"{WITH_TRACKS}, {DETECTED}, {_gap_sql('found', 4.0)} SELECT video, clip, round(start, 3) AS start, round(length, 3) AS length, round(score, 6) AS score FROM kept")
+def q_detector(spark, d):
+    out = tracks.min_gap(_found(spark, d), 4.0, ["video", "clip"])
+    return rounded(rounded(out, "start", "length", digits=3), "score", digits=6).select("video", "clip", "start", "length", "score")
+
+
+# ---- evaluation ----------------------------------------------------------------------------------------------------
+
+INTERVALS = f"""intervals AS (SELECT event_id AS id, user_id AS tv, event_type AS clip, {SECONDS} AS start, 3600 * (1 + value / 10) AS length, value AS score FROM events),
+det AS (SELECT * FROM intervals WHERE id % 2 = 0), gt AS (SELECT * FROM intervals WHERE id % 2 = 1 AND tv % 3 > 0 ), relevant AS (SELECT * FROM gt WHERE tv IN (SELECT tv FROM det)),
+pairs AS (SELECT d.id AS det_id, g.id AS gt_id, (least(d.start + d.length, g.start + g.length) - greatest(d.start, g.start)) / (greatest(d.start + d.length, g.start + g.length) - least(d.start, g.start)) AS iou
+  FROM det d JOIN relevant g ON d.tv = g.tv AND d.clip = g.clip AND least(d.start + d.length, g.start + g.length) > greatest(d.start, g.start)),
+best AS (SELECT det_id, gt_id, iou FROM pairs QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, gt_id) = 1),
+labels AS (SELECT d.id AS det_id, d.score, b.gt_id, b.iou, CASE WHEN b.gt_id IS NULL THEN 'bad' WHEN row_number() OVER (PARTITION BY b.gt_id ORDER BY d.score DESC, d.id) = 1 THEN 'ok' ELSE 'dup' END AS label
+  FROM det d LEFT JOIN best b ON b.det_id = d.id)"""
+METRICS = """per AS (SELECT score, sum(CASE WHEN label = 'ok' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN label = 'bad' THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN label = 'dup' THEN 1 ELSE 0 END) AS dup,
+  sum(CASE WHEN label = 'ok' THEN iou ELSE 0 END) AS iou FROM labels GROUP BY score UNION ALL SELECT 0.0, 0, 0, 0, 0.0),
+run AS (SELECT score, ok > 0 AS own, sum(ok) OVER w AS ok, sum(bad) OVER w AS bad, sum(dup) OVER w AS dup, sum(iou) OVER w AS iou FROM per WINDOW w AS (ORDER BY score DESC)),
+metrics AS (SELECT score AS threshold, CAST(ok AS BIGINT) AS ok, CAST(bad AS BIGINT) AS bad, CAST(dup AS BIGINT) AS dup, t.total,
+  CASE WHEN ok > 0 THEN CAST(ok AS DOUBLE) / total ELSE 0 END AS recall, CASE WHEN ok > 0 THEN CAST(ok AS DOUBLE) / (ok + bad) ELSE 0 END AS precision,
+  CASE WHEN ok > 0 THEN iou / ok ELSE 0 END AS mean_iou, CASE WHEN ok > 0 THEN greatest(0, CAST(ok - bad AS DOUBLE) / total) ELSE 0 END AS task
+  FROM run, (SELECT count(*) AS total FROM relevant) t WHERE own OR score = 0)
+SELECT round(threshold, 4) AS threshold, ok, bad, dup, total, round(recall, 4) AS recall, round(precision, 4) AS precision,
+  round(CASE WHEN ok > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 4) AS f1, round(mean_iou, 4) AS mean_iou, round(task, 4) AS task FROM metrics"""
+
+
+def _intervals(spark, d) -> DataFrame:
+    start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("tv"), F.col("event_type").alias("clip"), start.alias("start"), (3600 * (1 + F.col("value") / 10)).alias("length"), F.col("value").alias("score"))
+
+
+def _both(spark, d) -> tuple[DataFrame, DataFrame]:
+    i = _intervals(spark, d)
+    return i.where("id % 2 = 0").withColumnRenamed("id", "det_id"), i.where("id % 2 = 1 and tv % 3 > 0").withColumnRenamed("id", "gt_id").drop("score")
+
+
+@query(f"WITH {INTERVALS} SELECT det_id, gt_id, round(iou, 4) AS iou FROM pairs")
+def q_interval_join_iou(spark, d):
+    detections, truth = _both(spark, d)
+    return rounded(evaluate.overlaps(detections, evaluate.relevant(truth, detections), bucket=86_400.0), "iou")
+
+
+@query(f"WITH {INTERVALS} SELECT det_id, gt_id, round(iou, 4) AS iou FROM best")
+def q_best_gt(spark, d):
+    return rounded(evaluate.best_truth(*_both(spark, d)), "iou")
+
+
+@query(f"WITH {INTERVALS} SELECT det_id, gt_id, label, round(iou, 4) AS iou FROM labels")
+def q_label(spark, d):
+    return rounded(evaluate.label(*_both(spark, d)), "iou").select("det_id", "gt_id", "label", "iou")
+
+
+@query(f"WITH {INTERVALS} SELECT id AS gt_id, tv FROM relevant")
+def q_semi_relevant(spark, d):
+    detections, truth = _both(spark, d)
+    return evaluate.relevant(truth, detections).select("gt_id", "tv")
+
+
+def _metrics(spark, d) -> DataFrame:
+    detections, truth = _both(spark, d)
+    return evaluate.sweep(evaluate.label(detections, truth), evaluate.total_truth(truth, detections))
+
+
+FIGURES = ("threshold", "recall", "precision", "f1", "mean_iou", "task")
+
+
+@query(f"WITH {INTERVALS}, {METRICS}")
+def q_threshold_sweep(spark, d):
+    return rounded(_metrics(spark, d), *FIGURES)
+
+
+@query(f"WITH {INTERVALS}, {METRICS} ORDER BY metrics.task DESC, metrics.threshold DESC LIMIT 1")
+def q_best_threshold(spark, d):
+    return rounded(evaluate.best_point(_metrics(spark, d)), *FIGURES)
+
+
+@query(f"""WITH {INTERVALS} SELECT det_id, CASE label WHEN 'ok' THEN 'OK ' WHEN 'dup' THEN 'dp ' ELSE '-- ' END || tv || chr(9) || clip
+  || CASE WHEN label = 'ok' THEN ' //IoU=' || CAST(round_even(100 * iou, 0) AS BIGINT) || '% (gt=' || gt_id || ')' ELSE '' END AS line FROM labels JOIN det ON det.id = labels.det_id""")
+def q_report(spark, d):
+    lines = evaluate.report_lines(evaluate.label(*_both(spark, d)))
+    # times and scores are printed by each engine in its own way: keep the rest
+    return lines.select("det_id", F.regexp_replace("line", r"^(\S+ \d+)\t[^\t]*\t[^\t]*(\t[a-z_]+)\t[0-9.E+-]+", "$1$2").alias("line"))
+
+
+# ---- scalars, lookups, parsing, sets -------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS fps, p_partkey % 400 AS total, CAST(p_size AS DOUBLE) / 3 AS stride FROM part)
+SELECT p_partkey, CAST(idx AS BIGINT) AS frame_idx, round(idx / fps, 4) AS ts
+FROM (SELECT p_partkey, fps, total, round_even(i * stride, 0) AS idx FROM (SELECT *, unnest(range(0, CAST(floor(total / stride) AS BIGINT))) AS i FROM p)) WHERE idx < total
+""")
+def q_sampling_plan(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("fps"), (F.col("p_partkey") % 400).alias("total"))
+    plan = p.select("p_partkey", F.explode(scalars.sampling_plan(F.col("fps"), F.lit(3.0), F.col("total"))).alias("s"))
+    return plan.select("p_partkey", F.col("s.frame_idx").alias("frame_idx"), F.round("s.ts", 4).alias("ts"))
+
+
+@query("SELECT c.c_custkey, coalesce(max(o.o_totalprice), 0.0) AS top, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+def q_default_lookup(spark, d):
+    totals = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.count("*").alias("n"))
+    joined = table(spark, d, "customer").join(totals, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.select("c_custkey", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def q_unmatched(spark, d):
+    large = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.missing(table(spark, d, "customer"), large, ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query(r"""
+SELECT page_id, regexp_replace(regexp_replace(lower(trim(' C:\clips/' || url || '.MPG ')), '^.*[/\\]', ''), '\.(mp4|mpg)$', '') AS base,
+       regexp_replace(regexp_replace(url, '^.*/', ''), '(.)\.[^.]*$', '\1') AS stem, 'tv::' || page_id AS key FROM pages
+""")
+def q_basename(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", scalars.base_name(F.concat(F.lit(" C:\\clips/"), url, F.lit(".MPG "))).alias("base"), scalars.stem(url).alias("stem"), scalars.manifest_key(F.lit("tv"), F.col("page_id").cast("string")).alias("key"))
+
+
+TSV = """raw AS (SELECT event_id AS line_no, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN '# note' WHEN 2 THEN 'a' || chr(9) || '1' || chr(9) || '2'
+  WHEN 3 THEN 'a' || chr(9) || 'x' || chr(9) || '2' || chr(9) || 'b' WHEN 4 THEN 'a' || chr(9) || '-1' || chr(9) || '2' || chr(9) || 'b'
+  WHEN 5 THEN 'a' || chr(9) || '1' || chr(9) || '0' || chr(9) || 'b' || chr(9) || '0.5' WHEN 6 THEN '/v/' || event_type || '.MP4' || chr(9) || event_id || chr(9) || '12' || chr(9) || 'Clip ' || user_id
+  WHEN 7 THEN ' ' || chr(9) || '1' || chr(9) || '2' || chr(9) || 'b' ELSE event_type || chr(9) || event_id || chr(9) || '30' || chr(9) || 'c' || chr(9) || CASE WHEN user_id % 2 = 0 THEN '0' ELSE '0.25' END END AS value FROM events)"""
+
+
+@query(f"""
+WITH {TSV}, f AS (SELECT line_no, value, string_split(value, chr(9)) AS p FROM raw WHERE value <> '' AND NOT starts_with(value, '#')),
+c AS (SELECT line_no, len(p) AS n, regexp_replace(regexp_replace(lower(trim(p[1])), '^.*[/\\\\]', ''), '\\.(mp4|mpg)$', '') AS tv, TRY_CAST(trim(p[2]) AS DOUBLE) AS start, TRY_CAST(trim(p[3]) AS DOUBLE) AS length,
+  regexp_replace(regexp_replace(lower(trim(p[4])), '^.*[/\\\\]', ''), '\\.(mp4|mpg)$', '') AS clip, TRY_CAST(trim(p[5]) AS DOUBLE) AS score FROM f),
+r AS (SELECT *, CASE WHEN n NOT IN (4, 5) THEN 'wrong number of columns' WHEN tv = '' OR clip = '' THEN 'empty name' WHEN start IS NULL OR length IS NULL THEN 'not a number' WHEN start < 0 THEN 'start before zero'
+  WHEN NOT length > 0 THEN 'length not positive' WHEN n = 5 AND (score IS NULL OR NOT score > 0) THEN 'score not positive' END AS reason FROM c)
+SELECT line_no, coalesce(reason, 'good') AS verdict, CASE WHEN reason IS NULL THEN tv END AS tv, CASE WHEN reason IS NULL THEN start END AS start, CASE WHEN reason IS NULL THEN clip END AS clip FROM r
+""")
+def q_tsv_parse_rejects(spark, d):
+    e = F.col("event_id").cast("string")
+    row = lambda *x: F.concat_ws("\t", *[F.lit(y) if isinstance(y, str) else y for y in x])
+    kinds = [
+        F.lit(""), F.lit("# note"), row("a", "1", "2"), row("a", "x", "2", "b"), row("a", "-1", "2", "b"), row("a", "1", "0", "b", "0.5"),
+        row(F.concat(F.lit("/v/"), F.col("event_type"), F.lit(".MP4")), e, "12", F.concat(F.lit("Clip "), F.col("user_id").cast("string"))), row(" ", "1", "2", "b"),
+        row(F.col("event_type"), e, "30", "c", F.when(F.col("user_id") % 2 == 0, "0").otherwise("0.25")),
+    ]
+    lines = table(spark, d, "events").select(F.col("event_id").alias("line_no"), F.element_at(F.array(*kinds), (F.col("event_id") % 9 + 1).cast("int")).alias("value"))
+    good, bad = tables.parse_intervals(lines)
+    return good.select("line_no", F.lit("good").alias("verdict"), "tv", "start", "clip").unionByName(bad.select("line_no", F.col("reason").alias("verdict"), *[F.lit(None).cast(t).alias(c) for c, t in (("tv", "string"), ("start", "double"), ("clip", "string"))]))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT DISTINCT value AS score FROM events WHERE event_type = 'click' UNION SELECT 0.0")
+def q_distinct_scores(spark, d):
+    return table(spark, d, "events").where("event_type = 'click'").select(F.col("value").alias("score")).union(spark.range(1).select(F.lit(0.0))).distinct()
+
+
+@query("SELECT 'tv' AS category, user_id AS video, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL UNION ALL SELECT 'commercials', user_id, count(*) FROM events WHERE event_id % 2 = 1 GROUP BY ALL")
+def q_union_categories(spark, d):
+    e = table(spark, d, "events")
+    both = e.where("event_id % 2 = 0").withColumn("category", F.lit("tv")).unionByName(e.where("event_id % 2 = 1").withColumn("category", F.lit("commercials")))
+    return both.groupBy("category", F.col("user_id").alias("video")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_incremental_skip(spark, d):
+    return tables.missing(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"]).select("doc_id", "source")
+
+
+# ---- topology ------------------------------------------------------------------------------------------------------
+
+PAIRS = "list_transform(range(1, 33), lambda i: {'b': least(abs(v[2 * i - 1]), abs(v[2 * i])), 'd': greatest(abs(v[2 * i - 1]), abs(v[2 * i]))})"
+
+
+@query(f"""
+WITH g AS (SELECT vec_id, {PAIRS} AS ps FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0)),
+p AS (SELECT vec_id, unnest(list_filter(ps, lambda p: p.d - p.b > 0.005)) AS p FROM g), cells AS (SELECT unnest(range(0, 256)) AS cell),
+image AS (SELECT vec_id, cell, sum((p.d - p.b) * exp(-((p.b - (cell % 16) / 15.0) ** 2 + (p.d - p.b - (cell // 16) / 15.0) ** 2) / (2 * 0.05 * 0.05))) AS x FROM p, cells GROUP BY ALL)
+SELECT vec_id, round(sum(x), 4) AS total, round(max(x), 4) AS top, round(sum(CASE WHEN cell = 18 THEN x END), 4) AS one FROM image GROUP BY vec_id
+""")
+def q_persistence_image(spark, d):
+    v = lambda i: F.abs(F.get("embedding", i).cast("double"))
+    pair = lambda i: F.struct(F.least(v(2 * i), v(2 * i + 1)).alias("birth"), F.greatest(v(2 * i), v(2 * i + 1)).alias("death"))
+    e = table(spark, d, "embeddings").where("vec_id % 10 = 0").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), pair).alias("dgm"))
+    image = e.select("vec_id", vectors.persistence_image(vectors.persistent(F.col("dgm"), 0.005)).alias("image"))
+    return rounded(image.select("vec_id", vectors.moments(F.col("image"))["sum"].alias("total"), F.array_max("image").alias("top"), F.col("image")[18].alias("one")), "total", "top", "one")
+
+
+@query()
+def q_cubical_h0(spark, d):
+    """Both diagrams of 8 x 8 images made of the embeddings: no SQL form."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    done = topology.with_diagrams(e, grid=None)
+    stats = {h: vectors.moments(vectors.lifetimes(vectors.persistent(F.col(h), 0.005))) for h in ("h0", "h1")}
+    return done.select("vec_id", *[F.round(s[k], 4).alias(f"{h}_{k}") for h, s in stats.items() for k in ("count", "sum", "max")])
