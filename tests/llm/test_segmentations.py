@@ -81,11 +81,15 @@ def test_sampling_follows_the_distribution(pieces):
 
 def test_lattices_together_equal_one_by_one(pieces):
     words = ["▁the", "cat", "▁▁▁", "\n", "x漢\ty", "▁Straße" * 30, "é", "▁international"]
-    for w, (edges, counts) in zip(words, pieces.many(words)):
-        one_edges, one_counts = pieces.lattice(w)
-        a, b = np.frombuffer(edges, seg.EDGE), np.frombuffer(one_edges, seg.EDGE)
-        assert counts == one_counts and (a["to"] == b["to"]).all() and (a["id"] == b["id"]).all()
-        assert np.allclose(a["p"], b["p"], rtol=1e-9) and np.allclose(a["cum"], b["cum"], rtol=1e-9)
+    pieces.forget()
+    pieces.add(words)
+    for w in words:
+        edges, counts = (np.frombuffer(x, t) for x, t in zip(pieces.lattice(w), (seg.EDGE, "<u4")))
+        a, b = pieces.begin[pieces.index[w]], pieces.end[pieces.index[w]]
+        first = pieces.first_edge[a : b + 1]
+        own = slice(first[0], first[-1])
+        assert np.diff(first).tolist() == counts[:-1].tolist() and (pieces.next[own] - a == edges["to"]).all() and (pieces.id[own] == edges["id"]).all()
+        assert np.allclose(pieces.cum[own], edges["cum"], rtol=1e-9) and np.allclose(np.exp(pieces.log_p[own]), edges["p"], rtol=1e-9)
 
 
 def test_words_are_the_librarys(pieces):

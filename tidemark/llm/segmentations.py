@@ -17,9 +17,11 @@ once, and the walks of all texts of a batch go step by step together.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import struct
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ from tidemark.llm import common
 SPACE = "▁"
 EDGE = np.dtype([("to", "<u4"), ("id", "<u4"), ("p", "<f8"), ("cum", "<f8")])
 PACK = struct.Struct("<IIdd")
-#: Word lattices kept per Python worker, of about 600 bytes each.
-KEPT = 120_000
+#: Word lattices kept per Python worker, of about a kilobyte each; a batch adds at most as many as it has characters.
+KEPT = 160_000
+#: Characters in the transition table of the trie, the most frequent in the vocabulary.
+FREQUENT = 254
 SAMPLES = "array<struct<ids:binary,log_prob:double,value:double,inclusion:double>>"
 OUT = pa.schema([("row_id", pa.int64()), ("samples", pa.list_(pa.struct([("ids", pa.binary()), ("log_prob", pa.float64()), ("value", pa.float64()), ("inclusion", pa.float64())]))), ("round_trip", pa.bool_())])
 
@@ -46,7 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -82,25 +85,28 @@ class Pieces:
         self.weights = weights.tolist()
         self.longest = max(map(len, self.ids))
         self.log_weights = np.log(np.maximum(weights, 1e-300))
-        self.is_known = np.zeros(0x110000, dtype=bool)
-        self.is_known[[ord(p) for p in self.ids if len(p) == 1]] = True
-        # a trie by length: hashes of all beginnings of pieces, and the piece that each is, if any
-        self.trie: list[tuple[np.ndarray, np.ndarray]] = []
-        for length in range(1, self.longest + 1):
-            level = {p[:length]: self.ids.get(p[:length], -1) for p in self.ids if len(p) >= length}
-            hashes = np.zeros(len(level), dtype=np.uint64)
-            for k in range(length):
-                hashes = hashes * STEP + np.array([ord(p[k]) for p in level], dtype=np.uint64)
-            order = np.argsort(hashes)
-            self.trie.append((hashes[order], np.array(list(level.values()), dtype=np.int64)[order]))
+        # a trie over the most frequent characters: state and character give the next state, 0 if no piece goes on so
+        common_chars = [c for c, _ in Counter(itertools.chain.from_iterable(self.ids)).most_common(FREQUENT)]
+        self.letter = np.zeros(0x110000, dtype=np.uint8)
+        self.letter[[ord(c) for c in common_chars]] = np.arange(1, len(common_chars) + 1)
+        states: dict[str, int] = {"": 0}
+        for p in self.ids:
+            if all(self.letter[ord(c)] for c in p):
+                for length in range(1, len(p) + 1):
+                    states.setdefault(p[:length], len(states))
+        self.moves = np.zeros((len(states), FREQUENT + 1), dtype=np.uint16 if len(states) < 1 << 16 else np.int32)
+        self.piece_at = np.full(len(states), -1, dtype=np.int64)
+        for text, state in states.items():
+            if text:
+                self.moves[states[text[:-1]], self.letter[ord(text[-1])]] = state
+                self.piece_at[state] = self.ids.get(text, -1)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             self.words = re.compile(r".+", re.S)
         elif any("\n" in p for p in self.ids):
             self.words = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.forget()
 
     @classmethod
     def of(cls, path: str, theta: float) -> "Pieces":
@@ -111,6 +117,41 @@ class Pieces:
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def forget(self) -> None:
+        """Begin the store of word lattices anew: one array over the edges of all words, one over their nodes."""
+        self.index: dict[str, int] = {}
+        self.nodes = self.edges = 0
+        self.first_edge = np.zeros(1, dtype=np.int64)
+        self.next, self.id = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
+        self.cum, self.log_p, self.log_rest = (np.zeros(0) for _ in range(3))
+        self.begin, self.end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _room(self, name: str, size: int) -> np.ndarray:
+        own = getattr(self, name)
+        if len(own) < size:
+            own = np.concatenate((own, np.zeros(max(size - len(own), len(own) // 2, 1 << 16), dtype=own.dtype)))
+            setattr(self, name, own)
+        return own
+
+    def _store(self, words: list[str], edges: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> None:
+        """``edges`` in order of nodes, ``counts`` of each node with the zero of each word's end, ``sizes`` in nodes."""
+        starts = np.concatenate(([0], np.cumsum(counts)))
+        ends = np.cumsum(sizes)
+        base, a, k = self.nodes + ends - sizes, self.edges, len(self.index)
+        b = a + len(edges)
+        self._room("first_edge", self.nodes + len(counts) + 1)[self.nodes : self.nodes + len(counts) + 1] = a + starts
+        self._room("next", b)[a:b] = np.repeat(base, starts[ends] - starts[ends - sizes]) + edges["to"]
+        self._room("id", b)[a:b] = edges["id"]
+        self._room("cum", b)[a:b] = edges["cum"]
+        self._room("log_p", b)[a:b] = np.log(edges["p"])
+        rest = np.log1p(-np.minimum(edges["p"], 1 - 1e-16))
+        rest[edges["p"] == 1] = -np.inf
+        self._room("log_rest", b)[a:b] = rest
+        self._room("begin", k + len(words))[k : k + len(words)] = base
+        self._room("end", k + len(words))[k : k + len(words)] = base + sizes - 1
+        self.index.update(zip(words, range(k, k + len(words))))
+        self.nodes, self.edges = self.nodes + len(counts), b
+
     def lattice(self, word: str) -> tuple[bytes, bytes]:
         """Packed edges ordered by node, and the number of edges of each node (the last has none)."""
         ids, weights = self.ids, self.weights
@@ -131,7 +172,7 @@ class Pieces:
                 k = ids.get(piece)
                 if k is not None:
                     own.append((j + 1, k, weights[k]))
-            edges.append(own)
+            edges.append(own[::-1])
         # weight of all paths from each node; scaled as logs, for words of any length
         beyond = [0.0] * (n + 1)
         parts, counts = [], []
@@ -157,36 +198,49 @@ class Pieces:
         counts.reverse()
         return b"".join(parts), np.array([*counts, 0], dtype="<u4").tobytes()
 
-    def many(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """``lattice`` for many words at once: all go down the trie, and their weights add up from the end, together."""
+    def add(self, words: list[str]) -> None:
+        """Store the lattices of new words: all go down the trie, and their weights add up from the end, together.
+        Words with a rare character are built one by one."""
         text = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        plain = np.logical_and.reduceat(self.is_known[text], np.cumsum(size) - size) if words else np.zeros(0, dtype=bool)
-        out = [None if ok else self.lattice(w) for ok, w in zip(plain.tolist(), words)]
-        text, size = text[np.repeat(plain, size)].astype(np.uint64), size[plain]
-        n = len(text)
+        letter = self.letter[text]
+        plain = np.logical_and.reduceat(letter > 0, np.cumsum(size) - size) if words else np.zeros(0, dtype=bool)
+        for w, ok in zip(words, plain.tolist()):
+            if not ok:
+                edges, counts = self.lattice(w)
+                counts = np.frombuffer(counts, dtype="<u4").astype(np.int64)
+                self._store([w], np.frombuffer(edges, dtype=EDGE), counts, np.array([len(counts)]))
+        words = list(itertools.compress(words, plain.tolist()))
+        letter, size = letter[np.repeat(plain, size)], size[plain]
+        n = len(letter)
         if not n:
-            return out
+            return
         end = np.repeat(np.cumsum(size), size)
-        live, h, parts = np.arange(n), np.zeros(n, dtype=np.uint64), []
-        for length, (hashes, pieces) in enumerate(self.trie, 1):
+        live, state, parts = np.arange(n), np.zeros(n, dtype=self.moves.dtype), []
+        for length in range(1, self.longest + 1):
             keep = live + length <= end[live]
-            live, h = live[keep], h[keep]
+            live = live[keep]
+            state = self.moves[state[keep], letter[live + length - 1]]
+            keep = state > 0
+            live, state = live[keep], state[keep]
             if not len(live):
                 break
-            h = h * STEP + text[live + length - 1]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            keep = hashes[at] == h
-            live, h, at = live[keep], h[keep], pieces[at[keep]]
-            parts.append((live[at >= 0], np.full(np.count_nonzero(at >= 0), length), at[at >= 0]))
-        node, length, piece = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(node * 64 + length)
-        node, length, piece = node[order], length[order], piece[order]
-        counts = np.bincount(node, minlength=n)
+            found = self.piece_at[state]
+            hit = found >= 0
+            parts.append((live[hit], found[hit]))
+        # edges in order of their nodes, longest first: those are the likely ones, which a draw finds soonest
+        counts = np.bincount(np.concatenate([x for x, _ in parts]), minlength=n)
+        first = np.cumsum(counts) - counts
+        free, total_edges = first + counts - 1, int(counts.sum())
+        node, length, piece = (np.empty(total_edges, dtype=np.int64) for _ in range(3))
+        for k, (at, found) in enumerate(parts, 1):
+            place = free[at]
+            node[place], length[place], piece[place] = at, k, found
+            free[at] = place - 1
         # nodes from the end of their words on, all of one distance together
         value, total = self.log_weights[piece], np.zeros(n + 1)
         left = end[node] - node
-        by_left = np.argsort(left, kind="stable")
+        by_left = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(left[by_left])) + 1, [len(node)]))
         to, inside = node + length, left > length
         for a, b in zip(cuts, cuts[1:]):
@@ -196,7 +250,6 @@ class Pieces:
             starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             total[own[starts]] = np.logaddexp.reduceat(value[e], starts)
         edges = np.empty(len(node), dtype=EDGE)
-        first = np.cumsum(counts) - counts
         begin = end - np.repeat(size, size)
         edges["to"], edges["id"], edges["p"] = to - begin[node], piece, np.exp(value - total[node])
         run = np.cumsum(edges["p"])
@@ -204,24 +257,7 @@ class Pieces:
         last = first + counts - 1
         edges["cum"][last] = 1.0
         edges["p"][last[counts == 1]] = 1.0
-        raw, ends = edges.tobytes(), np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(size)))].tolist()
-        numbers, wide = counts.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(size))).tolist()
-        done = iter([(raw[a * EDGE.itemsize : b * EDGE.itemsize], numbers[4 * c : 4 * d] + bytes(4)) for a, b, c, d in zip(ends, ends[1:], wide, wide[1:])])
-        return [next(done) if x is None else x for x in out]
-
-    def lattices(self, words) -> list[tuple[bytes, bytes]]:
-        if len(self.young) > KEPT // 2:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        young.update(zip(new, self.many(new)))
-        return [young[w] for w in words]
+        self._store(words, edges, np.insert(counts, np.cumsum(size), 0), size + 1)
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: bytes of the pieces, without the space put before the first word."""
@@ -229,43 +265,41 @@ class Pieces:
 
 
 class Batch:
-    """The lattices of several texts."""
+    """The words of several texts, as places in the store of lattices."""
 
     def __init__(self, pieces: Pieces, words: list[list[str]], seeds: np.ndarray):
-        known: dict[str, int] = {}
-        which = [np.fromiter((known.setdefault(w, len(known)) for w in doc), dtype=np.int64, count=len(doc)) for doc in words]
-        packed = pieces.lattices(known)
-        counts = [len(c) // 4 for _, c in packed]
-        per_node = np.frombuffer(b"".join(c for _, c in packed), dtype="<u4").astype(np.int64)
-        edges = np.frombuffer(b"".join(e for e, _ in packed), dtype=EDGE)
-        base = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-        self.first_edge = np.concatenate(([0], np.cumsum(per_node)))
-        node = np.repeat(np.arange(len(per_node)), per_node)
-        word_of = np.repeat(np.arange(len(counts)), counts)
-        self.next = base[word_of[node]] + edges["to"] if len(edges) else np.zeros(0, dtype=np.int64)
-        self.id, self.p, self.key = edges["id"], edges["p"], node + edges["cum"]
-        self.log_p = np.log(self.p)
-        self.log_rest = np.log1p(-np.minimum(self.p, 1 - 1e-16))
-        self.log_rest[self.p == 1] = -np.inf
-        self.doc_start = np.concatenate(([0], np.cumsum([len(x) for x in which], dtype=np.int64)))
-        occurrences = np.concatenate(which) if which else np.zeros(0, dtype=np.int64)
-        self.begin, self.end = base[occurrences], base[occurrences + 1] - 1
-        doc_of = np.repeat(np.arange(len(which)), np.diff(self.doc_start))
+        wanted = set(itertools.chain.from_iterable(words))
+        new = [w for w in wanted if w not in pieces.index]
+        if len(pieces.index) + len(new) > KEPT:
+            pieces.forget()
+            new = list(wanted)
+        pieces.add(new)
+        self.pieces = pieces
+        sizes = np.array([len(x) for x in words], dtype=np.int64)
+        self.doc_start = np.concatenate(([0], np.cumsum(sizes)))
+        occurrences = np.fromiter(map(pieces.index.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+        self.begin, self.end = pieces.begin[occurrences], pieces.end[occurrences]
+        doc_of = np.repeat(np.arange(len(words)), sizes)
         self.stream = mix(seeds[doc_of] + GOLD * (np.arange(len(occurrences), dtype=np.uint64) - self.doc_start[doc_of].astype(np.uint64) + np.uint64(1)))
 
     def walk(self, occurrences: np.ndarray, nodes: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draw edges from ``nodes`` to the end of each occurrence: edges in order, edges of each occurrence, noise."""
         seed = mix(self.stream[occurrences] + GOLD * np.array([turn], dtype=np.uint64))
+        first_edge, cum, following = self.pieces.first_edge, self.pieces.cum, self.pieces.next
         live, at, step = np.flatnonzero(nodes != self.end[occurrences]), nodes, 0
         at = at[live]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         length = np.zeros(len(occurrences), dtype=np.int64)
         while len(live):
             u = uniform(seed[live] + np.uint64(step))
-            edge = np.searchsorted(self.key, at + np.minimum(u, 1 - 1e-9), side="right")
+            edge = first_edge[at]
+            on = np.flatnonzero(u >= cum[edge])  # the last edge of a node has a share of 1
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] >= cum[edge[on]]]
             found.append((live, edge))
             length[live] += 1
-            at = self.next[edge]
+            at = following[edge]
             on = at != self.end[occurrences[live]]
             live, at, step = live[on], at[on], step + 1
         offset = np.cumsum(length) - length
@@ -327,19 +361,20 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
                 node_parts.append(batch.begin[a:b])
                 continue
             place, taken = at
-            node = int(np.searchsorted(batch.first_edge, path.edges[place], side="right")) - 1
-            options = [e for e in range(int(batch.first_edge[node]), int(batch.first_edge[node + 1])) if e not in taken and batch.p[e] > 0]
-            p = batch.p[options]
+            first = pieces.first_edge[: pieces.nodes + 1]
+            node = int(np.searchsorted(first, path.edges[place], side="right")) - 1
+            options = [e for e in range(int(first[node]), int(first[node + 1])) if e not in taken]
+            p = np.exp(pieces.log_p[options])
             u = uniform(seeds[d] + GOLD * np.array([turn * 1_000_003 + 5, turn * 1_000_003 + 6], dtype=np.uint64))
             pick = min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right")), len(options) - 1)
             edge = options[pick]
-            rest = sum(float(batch.p[e]) for e in options if e != edge)
+            rest = float(sum(x for e, x in zip(options, p.tolist()) if e != edge))
             left = (float(below(path.before[place] + math.log(rest), value, u[1])), place, (*taken, edge)) if rest > 0 else None
             leftovers.append(left)
             heads.append((path, place, edge))
             o = int(path.occurrence[place])
             occ_parts.append(everything[o:b])
-            node_parts.append(np.concatenate(([batch.next[edge]], batch.begin[o + 1 : b])))
+            node_parts.append(np.concatenate(([pieces.next[edge]], batch.begin[o + 1 : b])))
         if not todo:
             break
         occurrences, nodes = np.concatenate(occ_parts), np.concatenate(node_parts)
@@ -347,13 +382,13 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
         owner = np.repeat(occurrences, length)
         sizes = np.cumsum([0, *map(len, occ_parts)])
         ends = np.concatenate(([0], np.cumsum(length)))[sizes]
-        steps, rests = batch.log_p[edges], batch.log_rest[edges]
+        steps, rests = pieces.log_p[edges], pieces.log_rest[edges]
         hidden = np.log(-np.log(noise)) - rests
         for (d, _, _, value), head, left, a, b in zip(todo, heads, leftovers, ends, ends[1:]):
             own, own_steps = edges[a:b], steps[a:b]
             if head:
                 old, place, edge = head
-                begin = float(old.before[place]) + float(batch.log_p[edge])
+                begin = float(old.before[place]) + float(pieces.log_p[edge])
             else:
                 begin = 0.0
             before = begin + np.cumsum(own_steps) - own_steps
@@ -374,7 +409,7 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
     out = []
     for d in range(n):
         kappa = max((x[0] for x in frontier[d]), default=-np.inf)
-        out.append([(batch.id[p.edges].astype("<u4"), p.log_prob, float(p.value), inclusion(p.log_prob, kappa)) for p in paths[d]])
+        out.append([(pieces.id[p.edges].astype("<u4"), p.log_prob, float(p.value), inclusion(p.log_prob, kappa)) for p in paths[d]])
     return out
 
 
