@@ -67,7 +67,7 @@ def _measures(docs: DataFrame, dimensions: list[str]) -> dict[str, Column]:
     }
 
 
-def with_curve_index(docs: DataFrame, dimensions: list[str], bits: int = 4, accuracy: int = 10_000) -> DataFrame:
+def with_curve_index(docs: DataFrame, dimensions: list[str], bits: int = 4, accuracy: int = 400) -> DataFrame:
     """``curve``: the Hilbert index of each row's cell. Cuts are quantiles of all rows; nulls are in the first cell."""
     measures = _measures(docs, dimensions)
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
