@@ -35,7 +35,7 @@ SPACE = "▁"
 EDGE = np.dtype([("to", "<u4"), ("id", "<u4"), ("p", "<f8"), ("cum", "<f8")])
 PACK = struct.Struct("<IIdd")
 #: Word lattices kept per Python worker, of about a kilobyte each; a batch adds at most as many as it has characters.
-KEPT = 160_000
+KEPT = 80_000
 #: Characters in the transition table of the trie, the most frequent in the vocabulary.
 FREQUENT = 254
 SAMPLES = "array<struct<ids:binary,log_prob:double,value:double,inclusion:double>>"
@@ -106,6 +106,10 @@ class Pieces:
             self.words = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.first_edge = np.zeros(1, dtype=np.int64)
+        self.next, self.id = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
+        self.cum, self.log_p, self.log_rest = (np.zeros(0) for _ in range(3))
+        self.begin, self.end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.forget()
 
     @classmethod
@@ -118,18 +122,14 @@ class Pieces:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def forget(self) -> None:
-        """Begin the store of word lattices anew: one array over the edges of all words, one over their nodes."""
+        """Begin the store of word lattices anew, in the same memory: arrays over the edges and nodes of all words."""
         self.index: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.first_edge = np.zeros(1, dtype=np.int64)
-        self.next, self.id = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
-        self.cum, self.log_p, self.log_rest = (np.zeros(0) for _ in range(3))
-        self.begin, self.end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _room(self, name: str, size: int) -> np.ndarray:
         own = getattr(self, name)
         if len(own) < size:
-            own = np.concatenate((own, np.zeros(max(size - len(own), len(own) // 2, 1 << 16), dtype=own.dtype)))
+            own = np.concatenate((own, np.zeros(max(size - len(own), len(own) // 4, 1 << 16), dtype=own.dtype)))
             setattr(self, name, own)
         return own
 
@@ -436,7 +436,7 @@ def encode_samples(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_
             at = 0
             while at < len(texts):
                 to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= 600_000):
+                while to < len(texts) and (to == at or held + len(texts[to]) <= 250_000):
                     held += len(texts[to])
                     to += 1
                 rows, fits = [], []
