@@ -489,7 +489,7 @@ SELECT vec_id, round(sum(x), 4) AS total, round(max(x), 4) AS top, round(sum(CAS
 def q_persistence_image(spark, d):
     v = lambda i: F.abs(F.get("embedding", i).cast("double"))
     pair = lambda i: F.struct(F.least(v(2 * i), v(2 * i + 1)).alias("birth"), F.greatest(v(2 * i), v(2 * i + 1)).alias("death"))
-    e = table(spark, d, "embeddings").where("vec_id % 10 = 0").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), pair).alias("dgm"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), pair).alias("dgm"))
     image = e.select("vec_id", vectors.persistence_image(vectors.persistent(F.col("dgm"), 0.005)).alias("image"))
     return rounded(image.select("vec_id", vectors.moments(F.col("image"))["sum"].alias("total"), F.array_max("image").alias("top"), F.col("image")[18].alias("one")), "total", "top", "one")
 
