@@ -213,8 +213,8 @@ SELECT video, seg_start, peak_pos, clip, round(score, 4) AS score FROM matched Q
 """)
 def q_peak_match(spark, d):
     z = series.standard_scores(_series(spark, d), ["video"], "x", 10)
-    segments = series.active_segments(z.where("video % 7 = 1"), ["video"], "z", 1.0, 1)
-    clips = z.where("video % 50 = 0 and pos < 10").select(F.col("video").alias("clip"), F.col("video").alias("clip_order"), "pos", F.col("z").alias("x"))
+    segments = series.active_segments(z, ["video"], "z", 1.0, 1)
+    clips = z.select(F.col("video").alias("clip"), F.col("video").alias("clip_order"), "pos", F.col("z").alias("x"))
     return rounded(matching.match_peaks(segments, z.select("video", "pos", F.col("z").alias("x")), clips), "score")
 
 
