@@ -1,7 +1,7 @@
 """Main text of web pages: markup first, then nearest-URL page differencing for what markup leaves open.
 
 Elements and class names that say what they are (nav, footer, adverts, forms, comments and so on) go, and lines
-inside a declared article stay. Every other line is open. For those, the page is paired with the page nearest by URL
+inside a declared article stay. Every other line is open, on pages with a declared article too. For those, the page is paired with the page nearest by URL
 path on its host, both are aligned by the longest common subsequence of lines, and shared open lines are deleted:
 a template repeats from page to page, an article does not.
 """
@@ -53,10 +53,7 @@ def is_chrome(attributes: str) -> bool:
 
 
 def page_lines(source: str | None) -> tuple[list[str], list[bool]]:
-    """The lines that markup leaves, and for each whether it is open (outside a declared article).
-
-    A page with a declared article that has text keeps only that; its other lines are gone, not open.
-    """
+    """The lines that markup leaves, and for each whether it is open (outside a declared article)."""
     source = source or ""
     lines: list[str] = []
     inside: list[bool] = []
@@ -121,9 +118,7 @@ def page_lines(source: str | None) -> tuple[list[str], list[bool]]:
             main += bool(is_main)
     if not dropped:
         flush()
-    if any(inside):
-        return [x for x, m in zip(lines, inside) if m], [False] * sum(inside)
-    return lines, [True] * len(lines)
+    return lines, [not m for m in inside]
 
 
 def common_subsequence(a: list[str], b: list[str]) -> list[int]:
@@ -168,12 +163,13 @@ def nearness(a: str, b: str) -> int:
 
 
 def without_shared(lines: list[str], is_open: list[bool], near: list[str] | None, copy_share: float) -> str:
-    """The page's text. Nothing is deleted when more than ``copy_share`` of the open lines are shared: such pages are
-    copies, and their common lines tell nothing about a template."""
+    """The page's text. Nothing is deleted when more than ``copy_share`` of the lines are shared, those of a declared
+    article included: such pages are copies, and their common lines tell nothing about a template."""
     if near and any(is_open):
-        shared = {k for k in common_subsequence(lines, near) if is_open[k]}
-        if len(shared) <= copy_share * sum(is_open):
-            return " ".join(x for k, x in enumerate(lines) if k not in shared)
+        shared = common_subsequence(lines, near)
+        if len(shared) <= copy_share * len(lines):
+            gone = {k for k in shared if is_open[k]}
+            return " ".join(x for k, x in enumerate(lines) if k not in gone)
     return " ".join(lines)
 
 
