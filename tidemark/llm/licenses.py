@@ -1,7 +1,8 @@
 """Licence scan by sentence rules: sentences become identifiers, ordered rules match identifier sequences.
 
 A text is cut into sentences, each is normalised (lower case, punctuation to spaces, version numbers to ``<v>``) and
-looked up among known licence sentences. The identifiers found, in text order, are then read from left to right; at
+looked up among known licence sentences. A sentence may be wrapped over lines: a line that begins one takes the next
+lines as long as they go on with a known sentence, and the longest one counts. The identifiers found, in text order, are then read from left to right; at
 each place the first rule in the list whose sequence matches wins and consumes it.
 """
 
@@ -63,7 +64,53 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("AllRights",)),
 )
 
-SPLIT = re.compile(r"[.!?;][ \t\n\x0b\x0c\r]+|\n")
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_TERMS = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_HEADS = ("", "this program is free software ", "this library is free software ", "this file is free software ", "this is free software ")
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+
+
+def _gnu(kind: str, tail: str = "") -> tuple[str, ...]:
+    return tuple(head + _TERMS.format(kind) + tail for head in _HEADS)
+
+
+def _gnu_only(kind: str) -> tuple[str, ...]:
+    return (*_gnu(f"{kind} version <v>"), *_gnu(kind, " version <v>"), *_gnu(kind, " version <v> of the license"), *_gnu(kind, " either version <v> of the license"))
+
+
+_LATER = "either version <v> of the license or at your option any later version"
+#: Sentences of the licences as published, which the SQL form does not have. A semicolon ends a sentence.
+STANDARD: dict[str, tuple[str, ...]] = {
+    "ApacheRef": ("licensed under the apache license version <v> the license", "the asf licenses this file to you under the apache license version <v> the license"),
+    "ApacheCopy": ("you may obtain a copy of the license at https www apache org licenses license <v>",),
+    "MitGrant": (_MIT,),
+    "MitNotice": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
+    "AsIs": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "BsdEndorse": (
+        f"neither the name of the author nor the names of its contributors {_ENDORSE}", f"neither the name of the university nor the names of its contributors {_ENDORSE}", f"neither the name of the organization nor the names of its contributors {_ENDORSE}",
+        f"neither the name of the copyright holders nor the names of its contributors {_ENDORSE}", f"neither the names of the copyright holders nor the names of the contributors {_ENDORSE}", f"the name of the author may not {_ENDORSE[4:]}",
+    ),
+    "GplTerms": _gnu("general public license"),
+    "LgplTerms": (*_gnu("lesser general public license"), *_gnu("library general public license")),
+    "LaterVersion": (_LATER,),
+    "GplRef": _gnu_only("general public license"),
+    "GplLater": _gnu("general public license", f" {_LATER}"),
+    "LgplRef": _gnu_only("lesser general public license"),
+    "LgplLater": _gnu("lesser general public license", f" {_LATER}"),
+    "GplTitle": ("gnu general public license version <v> <v> june <v>", "gnu general public license version <v> june <v>"),
+    "LgplTitle": ("gnu lesser general public license version <v> <v> june <v>", "gnu lesser general public license version <v> february <v>"),
+}
+KNOWN: dict[str, tuple[str, ...]] = {name: SENTENCES.get(name, ()) + STANDARD.get(name, ()) for name in SENTENCES | STANDARD}
+ALL_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    *RULES,
+    ("GPL-<v>-or-later", ("GplTerms", "LaterVersion")),
+    ("LGPL-<v>-or-later", ("LgplTerms", "LaterVersion")),
+    ("LGPL-<v>-or-later", ("LgplLater",)),
+    ("GPL-<v>", ("GplTitle",)),
+    ("LGPL-<v>", ("LgplTitle",)),
+)
+
+SPLIT = re.compile(r"((?:(?<!\bv)(?<!\bV)\.|[!?;])[ \t\n\x0b\x0c\r]+|\n)")
 VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 PUNCTUATION = re.compile(r"[\x00-\x2f\x3a-\x3b\x3d\x3f-\x60\x7b-\x7f]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -80,18 +127,32 @@ def normalised(sentence: str) -> tuple[str, str]:
 class Scanner:
     def __init__(self, sentences: dict[str, tuple[str, ...]], rules: tuple[tuple[str, tuple[str, ...]], ...]):
         self.known = {text: name for name, texts in sentences.items() for text in texts}
+        words = [x.split() for x in self.known]
+        self.begun = {" ".join(w[:n]) for w in words for n in range(1, len(w) + 1)}
         starts = sorted({x.split()[0] for x in self.known})
-        self.start = re.compile(rf"[^0-9a-z\x80-\U0010ffff]*(?:{'|'.join(map(re.escape, starts))})[\x00-\x60\x7b-\x7f]", re.I | re.A)
+        self.start = re.compile(rf"[^0-9a-z\x80-\U0010ffff]*(?:{'|'.join(map(re.escape, starts))})(?:[\x00-\x60\x7b-\x7f]|\Z)", re.I | re.A)
         self.rules = rules
 
     def identify(self, text: str | None) -> list[tuple[str, str]]:
         """(identifier, version) of the known sentences, in text order."""
         out = []
-        for sentence in SPLIT.split(text or ""):
-            if self.start.match(sentence):
-                key, version = normalised(sentence)
-                if key in self.known:
-                    out.append((self.known[key], version))
+        parts = SPLIT.split(text or "")  # sentences or lines, and between them what ended them
+        at = 0
+        while at < len(parts):
+            end = at
+            if self.start.match(parts[at]):
+                sentence, last, found = parts[at], at, None
+                while True:
+                    key, version = normalised(sentence)
+                    if key in self.known:
+                        found, end = (self.known[key], version), last
+                    if key not in self.begun or last + 2 >= len(parts) or parts[last + 1] != "\n":
+                        break
+                    last += 2
+                    sentence += "\n" + parts[last]
+                if found:
+                    out.append(found)
+            at = end + 2
         return out
 
     def licences(self, found: list[tuple[str, str]]) -> list[str]:
@@ -109,7 +170,7 @@ class Scanner:
         return out
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict = KNOWN, rules: tuple = ALL_RULES) -> DataFrame:
     """(id, ``sentence_ids``, ``licences``) of every row, both in text order, repeats included.
 
     Null and empty texts and texts without licence sentences give two empty lists; a known sentence that starts no
