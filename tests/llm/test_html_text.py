@@ -13,3 +13,19 @@ def test_lines_outside_a_declared_article_are_open(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         assert texts(spark, body) == {k: f"story {k} ends {k} Teaser of today" for k in range(4)}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_copies_and_large_templates_do_not_stop_differencing(spark):
+    menu = "".join(f"<p>menu {i}</p>" for i in range(20))
+    page = lambda k: f"{menu}<p>story {k}</p><p>middle {k}</p><p>ends {k}</p>"
+    short = [(k, f"http://short.example/{k}", page(k)) for k in range(6)]
+    copies = [(100 + k, f"http://copies.example/a/{k}", page(7)) for k in range(5)] + [(110, "http://copies.example/b/1", page(8)), (111, "http://copies.example/a/2x", None)]
+    split = [(200 + k, f"http://split.example/{k}", page(9 if 0 < k < 6 else k)) for k in range(8)]
+    alone = [(300 + k, f"http://alone.example/{k}", page(0)) for k in range(3)]
+    want = {k: f"story {n} middle {n} ends {n}" for k, n in [*((k, k) for k in range(6)), *((100 + k, 7) for k in range(5)), (110, 8), *((200 + k, 9 if 0 < k < 6 else k) for k in range(8))]}
+    for n in ("1", "2", "5", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = texts(spark, short + copies + split + alone)
+        assert {k: got[k] for k in want} == want and got[111] == ""
+        assert all(got[300 + k].startswith("menu 0 ") and got[300 + k].endswith("ends 0") for k in range(3))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -38,8 +38,8 @@ CHROME = re.compile(
 )
 MAIN = {"article", "main"}
 
-LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("edge", pa.bool_()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())), ("near_path", pa.string()), ("near_lines", pa.list_(pa.string()))])
-LINES_SQL = "page_id long, url string, host string, path string, text string, edge boolean, lines array<string>, open array<boolean>, near_path string, near_lines array<string>"
+LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("edge", pa.bool_()), ("marker", pa.bool_()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())), ("near_path", pa.string()), ("near_lines", pa.list_(pa.string())), ("near_after", pa.bool_())])
+LINES_SQL = "page_id long, url string, host string, path string, text string, edge boolean, marker boolean, lines array<string>, open array<boolean>, near_path string, near_lines array<string>, near_after boolean"
 
 
 def is_chrome(attributes: str) -> bool:
@@ -162,21 +162,24 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
-def without_shared(lines: list[str], is_open: list[bool], near: list[str] | None, copy_share: float) -> str:
-    """The page's text. Nothing is deleted when more than ``copy_share`` of the lines are shared, those of a declared
-    article included: such pages are copies, and their common lines tell nothing about a template."""
+def without_shared(lines: list[str], is_open: list[bool], near: list[list[str]], copy_share: float) -> str:
+    """The page's text. ``near``: lines of other pages that are no exact copies, the nearest first.
+
+    The first of them with at most ``copy_share`` of the page's lines in common decides, or else the one with the
+    fewest; its shared open lines are deleted. A page of nothing but shared open lines keeps them.
+    """
     if near and any(is_open):
-        shared = common_subsequence(lines, near)
-        if len(shared) <= copy_share * len(lines):
-            gone = {k for k in shared if is_open[k]}
+        shares = [common_subsequence(lines, x) for x in near]
+        shared = next((x for x in shares if len(x) <= copy_share * len(lines)), min(shares, key=len))
+        gone = {k for k in shared if is_open[k]}
+        if len(gone) < len(lines):
             return " ".join(x for k, x in enumerate(lines) if k not in gone)
     return " ".join(lines)
 
 
-def _nearest(path: str, before: tuple | None, after: tuple | None) -> tuple | None:
-    """Of (path, lines) on either side the nearer one; the one before on a tie."""
-    known = [x for x in (before, after) if x is not None]
-    return max(known, key=lambda x: nearness(path, x[0])) if known else None
+def _near(path: str, *pages: tuple | None) -> list[list[str]]:
+    """Lines of those (path, lines) that are known, the nearest first; in the order given on a tie."""
+    return [x[1] for x in sorted((x for x in pages if x is not None), key=lambda x: -nearness(path, x[0]))]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,49 +192,72 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extract(copy_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by host and path. The first and the last of a partition wait for their other neighbour."""
+        """Rows come sorted by host and path. Exact copies in a row form a group, compared with the pages around it.
+        The first and the last group of a partition wait for their other neighbour; empty pages stand in no way."""
         unpack = zstandard.ZstdDecompressor()
-        previous: tuple | None = None  # of the page before: host, (path, lines)
-        waiting: tuple | None = None  # a page whose next one is not known yet
-        first = True
-
-        def settle(page: tuple, before: tuple | None, after: tuple | None, edge: bool) -> dict:
-            key, url, host, path, lines, is_open = page
-            row = {"page_id": key, "url": url, "host": host, "path": path, "edge": edge, "text": None, "lines": None, "open": None, "near_path": None, "near_lines": None}
-            near = _nearest(path, before, after)
-            if edge:
-                return row | {"lines": lines, "open": is_open, "near_path": near and near[0], "near_lines": near and near[1]}
-            return row | {"text": without_shared(lines, is_open, near and near[1], copy_share)}
+        group: list[tuple] = []  # id, url, path, open
+        host, lines, before, first = "", [], None, True
+
+        def settle(after: tuple | None, last: bool) -> list[dict]:
+            rows = []
+            for k, (key, url, path, is_open) in enumerate(group):
+                row = {"page_id": key, "url": url, "host": host, "path": path, "edge": False, "marker": False, "text": None, "lines": None, "open": None, "near_path": None, "near_lines": None, "near_after": not last}
+                if not (first or last) or not any(is_open):
+                    rows.append(row | {"text": without_shared(lines, is_open, _near(path, before, after), copy_share)})
+                if first or last:
+                    # a page without open lines is done, but those at the ends of its group are neighbours of others
+                    marker = not any(is_open)
+                    if not marker or k in (0, len(group) - 1):
+                        inside = before if last else after
+                        rows.append(row | {"edge": True, "marker": marker, "lines": lines, "open": is_open, "near_path": inside and inside[0], "near_lines": inside and inside[1]})
+            return rows
 
         for batch in batches:
             out = []
-            for key, url, host, path, packed in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "path", "packed"))):
-                page = (key, url, host, path, *page_lines(unpack.decompress(packed).decode()))
-                if waiting:
-                    before = previous[1] if previous and previous[0] == waiting[2] else None
-                    after = (path, page[4]) if host == waiting[2] else None
-                    out.append(settle(waiting, before, after, first))
-                    previous, first = (waiting[2], (waiting[3], waiting[4])), False
-                waiting = page
+            for key, url, page_host, path, packed in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "path", "packed"))):
+                page, is_open = page_lines(unpack.decompress(packed).decode())
+                if not page:
+                    out.append({"page_id": key, "url": url, "host": page_host, "path": path, "edge": False, "marker": False, "text": ""})
+                    continue
+                if group and (page_host != host or page != lines):
+                    out += settle((path, page) if page_host == host else None, False)
+                    before = (group[-1][2], lines) if page_host == host else None
+                    group, first = [], False
+                host, lines = page_host, page
+                group.append((key, url, path, is_open))
             yield pa.RecordBatch.from_pylist(out, schema=LINES)
-        if waiting:
-            before = previous[1] if previous and previous[0] == waiting[2] else None
-            yield pa.RecordBatch.from_pylist([settle(waiting, before, None, True)], schema=LINES)
+        if group:
+            yield pa.RecordBatch.from_pylist(settle(None, True), schema=LINES)
 
     return run
 
 
+def _beside(rows: list[dict], back: bool) -> list[tuple | None]:
+    """For each row the next page (path, lines) on one side that has the same host and other lines."""
+    out, at, last = [], None, None
+    for r in rows if back else reversed(rows):
+        if last is None or last["host"] != r["host"]:
+            at = None
+        elif last["lines"] != r["lines"]:
+            at = (last["path"], last["lines"])
+        elif last["near_path"] is not None and last["near_after"] != back:
+            at = (last["near_path"], last["near_lines"])
+        out.append(at)
+        last = r
+    return out if back else out[::-1]
+
+
 def _edges(copy_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """At most two rows a partition, in order: each takes the nearest of its neighbour inside and those here."""
+        """The first and last groups of the partitions, in order: each page meets its neighbours across the cut."""
         rows = [r for b in batches for r in b.to_pylist()]
         out = []
-        for k, r in enumerate(rows):
-            inside = (r["near_path"], r["near_lines"]) if r["near_path"] is not None else None
-            before, after = (rows[k + d] if 0 <= k + d < len(rows) and rows[k + d]["host"] == r["host"] else None for d in (-1, 1))
-            sides = [(x["path"], x["lines"]) if x else None for x in (before, after)]
-            near = _nearest(r["path"], _nearest(r["path"], *sides), inside)
-            out.append({"page_id": r["page_id"], "url": r["url"], "text": without_shared(r["lines"], r["open"], near and near[1], copy_share)})
+        for r, before, after in zip(rows, _beside(rows, True), _beside(rows, False)):
+            if r["near_path"] is not None:
+                inside = (r["near_path"], r["near_lines"])
+                before, after = (before, inside) if r["near_after"] else (inside, after)
+            if not r["marker"]:
+                out.append({"page_id": r["page_id"], "url": r["url"], "text": without_shared(r["lines"], r["open"], _near(r["path"], before, after), copy_share)})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]))
 
     return run
@@ -242,8 +268,8 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     with an empty path. Rows that share an id or a URL are each extracted; copies of a page do not delete each
     other's lines. Empty tables give no rows. Other columns are ignored, whatever their names.
 
-    A host that has a third of all pages spreads over partitions by path. Only the first and last page of each
-    partition meet in one task afterwards, to find their neighbours across the cut.
+    A host that has a third of all pages spreads over partitions by path. Only the first and last group of copies of
+    each partition meet in one task afterwards, to find their neighbours across the cut.
     """
     spark = common.tuned(pages.sparkSession)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
