@@ -203,9 +203,9 @@ def q_segments(spark, d):
 
 @query(f"""
 WITH {_moments_sql(10)}, {SEGMENTS.format(t=1.0, n=1)},
-clips AS (SELECT video AS clip, pos, z AS y FROM scores WHERE video % 50 = 0 AND pos < 10),
+clips AS (SELECT video AS clip, pos, z AS y FROM scores),
 sizes AS (SELECT clip, count(*) AS m FROM clips GROUP BY clip), totals AS (SELECT video, count(*) AS n FROM scores GROUP BY video),
-starts AS (SELECT s.video, s.seg_start, s.peak_pos, c.clip, greatest(0, least(s.peak_pos - c.m // 2, t.n - c.m)) AS first FROM segments s JOIN totals t USING (video) JOIN sizes c ON c.m <= t.n WHERE s.video % 7 = 1),
+starts AS (SELECT s.video, s.seg_start, s.peak_pos, c.clip, greatest(0, least(s.peak_pos - c.m // 2, t.n - c.m)) AS first FROM segments s JOIN totals t USING (video) JOIN sizes c ON c.m <= t.n),
 points AS (SELECT a.video, a.seg_start, a.peak_pos, a.clip, z.z AS x, c.y FROM starts a JOIN clips c USING (clip) JOIN scores z ON z.video = a.video AND z.pos = a.first + c.pos),
 matched AS (SELECT video, seg_start, peak_pos, clip, CASE WHEN stddev_pop(x) * sqrt(count(*)) < 1e-6 OR stddev_pop(y) * sqrt(count(*)) < 1e-6 THEN 0.0
   ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS score FROM points GROUP BY ALL)
@@ -315,7 +315,7 @@ def q_detector(spark, d):
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 INTERVALS = f"""intervals AS (SELECT event_id AS id, user_id AS tv, event_type AS clip, {SECONDS} AS start, 3600 * (1 + value / 10) AS length, value AS score FROM events),
-det AS (SELECT * FROM intervals WHERE id % 2 = 0), gt AS (SELECT * FROM intervals WHERE id % 2 = 1 AND tv % 3 > 0 ), relevant AS (SELECT * FROM gt WHERE tv IN (SELECT tv FROM det)),
+det AS (SELECT * FROM intervals WHERE id % 2 = 0), gt AS (SELECT * FROM intervals WHERE id % 2 = 1), relevant AS (SELECT * FROM gt WHERE tv IN (SELECT tv FROM det)),
 pairs AS (SELECT d.id AS det_id, g.id AS gt_id, (least(d.start + d.length, g.start + g.length) - greatest(d.start, g.start)) / (greatest(d.start + d.length, g.start + g.length) - least(d.start, g.start)) AS iou
   FROM det d JOIN relevant g ON d.tv = g.tv AND d.clip = g.clip AND least(d.start + d.length, g.start + g.length) > greatest(d.start, g.start)),
 best AS (SELECT det_id, gt_id, iou FROM pairs QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, gt_id) = 1),
@@ -481,7 +481,7 @@ PAIRS = "list_transform(range(1, 33), lambda i: {'b': least(abs(v[2 * i - 1]), a
 
 
 @query(f"""
-WITH g AS (SELECT vec_id, {PAIRS} AS ps FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0)),
+WITH g AS (SELECT vec_id, {PAIRS} AS ps FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
 p AS (SELECT vec_id, unnest(list_filter(ps, lambda p: p.d - p.b > 0.005)) AS p FROM g), cells AS (SELECT unnest(range(0, 256)) AS cell),
 image AS (SELECT vec_id, cell, sum((p.d - p.b) * exp(-((p.b - (cell % 16) / 15.0) ** 2 + (p.d - p.b - (cell // 16) / 15.0) ** 2) / (2 * 0.05 * 0.05))) AS x FROM p, cells GROUP BY ALL)
 SELECT vec_id, round(sum(x), 4) AS total, round(max(x), 4) AS top, round(sum(CASE WHEN cell = 18 THEN x END), 4) AS one FROM image GROUP BY vec_id
