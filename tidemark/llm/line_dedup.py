@@ -92,7 +92,7 @@ def _stream(min_docs: int):
                 yield rows(WAIT, x)
             yield count()
 
-    return run
+    return common.lean(run)
 
 
 def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -110,9 +110,9 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     hashed, keys_at = common.staged(keys, "line-keys")
     ordered = hashed.repartitionByRange(common.partitions(spark), F.col("line").asc(), F.col("doc").desc()).sortWithinPartitions(F.col("line").asc(), F.col("doc").desc(), F.col("pos").asc())
     streamed, stream_at = common.staged(ordered.mapInArrow(_stream(min_docs), STREAM_SQL), "line-stream")
-    # at most two rows a partition, whatever the input
+    # at most two rows a partition, so they are joined by sort and merge: their number grows with the partitions
     edges = streamed.where(F.col("kind") == COUNT).groupBy("line").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top")).where(F.col("all_docs") >= min_docs)
-    late = streamed.where(F.col("kind") == WAIT).join(F.broadcast(edges), "line").where(F.col("doc") != F.col("top"))
+    late = streamed.where(F.col("kind") == WAIT).join(edges.hint("merge"), "line").where(F.col("doc") != F.col("top"))
     gone = streamed.where(F.col("kind") == DROP).select("doc", "body", "pos").unionByName(late.select("doc", "body", "pos"))
     maps = gone.groupBy("doc", "body").agg(F.collect_set("pos").alias("gone")).select(F.when(F.col("doc") != low, F.col("doc")).alias(id_col), "body", pack("gone").alias("bitmap"))
     out, _ = common.staged(maps, "line-bitmaps")
@@ -164,18 +164,23 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # the bitmaps grow with the documents: one plan at every size, never a broadcast of them
     right = maps.select(F.col(id_col).alias("map_id"), F.col("body").alias("map_body"), "bitmap").hint("merge")
     joined = left.join(right, F.col("row_id").eqNullSafe(F.col("map_id")) & (F.col("body") == F.col("map_body")), "left")
-    return joined.select("row_id", "text", "bitmap").mapInArrow(_applied, "row_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("row_id", id_col)
+    return joined.select("row_id", "text", "bitmap").mapInArrow(common.lean(_applied), "row_id long, n_lines long, n_dropped long, kept string").withColumnRenamed("row_id", id_col)
 
 
 def without_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """The rows of ``docs`` with all their columns, dropped lines taken out of the text."""
-    maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs).toDF("__id", "__body", "__bitmap").hint("merge")
+    """The rows of ``docs`` with all their columns, whatever their names, dropped lines taken out of the text.
+
+    Null ids, repeated ids and repeated rows count as in ``keep_bitmaps``. Null and empty texts stay as they are; a
+    text that loses all its lines becomes empty. An empty table gives no rows.
+    """
+    own, map_id, map_body, bitmap = common.fresh_names(docs, "own_body", "map_id", "map_body", "bitmap")
+    maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs).toDF(map_id, map_body, bitmap).hint("merge")
     body = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = docs.withColumn("__own", body).join(maps, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left")
-    cut = F.udf(lambda text, bitmap: None if bitmap is None else kept_text(text, bitmap), T.StringType(), useArrow=True)
-    lost = F.col("__bitmap").isNotNull()
-    new = F.when(lost, cut(F.when(lost, F.col(text_col)), F.col("__bitmap"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, new).select(*docs.columns)
+    joined = docs.withColumn(own, body).join(maps, F.col(id_col).cast("long").eqNullSafe(F.col(map_id)) & (F.col(own) == F.col(map_body)), "left")
+    cut = F.udf(lambda text, dropped: None if dropped is None else kept_text(text, dropped), T.StringType(), useArrow=True)
+    lost = F.col(bitmap).isNotNull()
+    new = F.when(lost, cut(F.when(lost, F.col(text_col)), F.col(bitmap))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,10 @@ COMPARED = 128
 TOLERANCE = 1e-7
 #: Buckets of more representatives than this make groups; smaller ones emit at most 15.5 pairs a row.
 SMALL = 32
-BLOCK = 512
+#: Texts, and bytes of their n-gram sets, in one block of a group; a task holds two blocks.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
+#: Members of a large bucket that meet in one task.
+PART = 256
 LOW = -(1 << 63)
 
 _rng = np.random.default_rng(20_240_229)
@@ -46,25 +49,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """64-bit hashes of words, kept while a worker lives, up to a bound."""
+    """64-bit hashes of words, kept for one task: about 15 MB of them, and no long words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 40:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = h
         return h
 
 
-WORDS = Words()
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int, known: Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of words (runs without ASCII blanks). A text of fewer words, but
-    not none, has all its words as its only n-gram."""
+    not none, has all its words as its only n-gram. ``known``: hashes of words met before."""
     words = (text or "").encode().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.fromiter(map((Words() if known is None else known).__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(width, len(w))
     h = np.full(len(w) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -127,16 +129,17 @@ SIGNED = pa.schema([("row_id", pa.int64()), ("body", pa.int64()), ("digest", pa.
 
 def _signer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             for text in batch.column(2).to_pylist():
-                s = shingle_set(text, width)
+                s = shingle_set(text, width, known)
                 m = min_hashes(s)
                 for c, v in zip(columns, (xxhash.xxh128_digest(s.tobytes()), len(s), band_keys(m) if len(s) else np.zeros(0, dtype=np.int64), m[:COMPARED].astype("<u2").tobytes())):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, SIGNED.types[2:]))], schema=SIGNED)
 
-    return run
+    return common.lean(run)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +163,23 @@ def _pruned(threshold: float):
                 left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, COMPARED) for k in ("sig", "sig_b"))
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(survivors(left, right, threshold))) for k in ("a", "b")], names=["a", "b"])
 
-    return run
+    return common.lean(run)
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows that share an id, only those with the set of the class."""
+        known = Words()
         for batch in batches:
             keys, sets = [], []
             for key, digest, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                s = shingle_set(text, width).tobytes()
+                s = shingle_set(text, width, known).tobytes()
                 if xxhash.xxh128_digest(s) == digest:
                     keys.append(key)
                     sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return run
+    return common.lean(run)
 
 
 def _verified(threshold: float):
@@ -189,7 +193,7 @@ def _verified(threshold: float):
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in ("a", "b")], names=["a", "b"])
 
-    return run
+    return common.lean(run)
 
 
 def linked(sigs: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, threshold: float) -> np.ndarray:
@@ -227,7 +231,7 @@ def linked(sigs: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.
 
 
 def _blocks(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
+    def links_of(table: pa.Table) -> pa.Table:
         """Links of one pair of blocks: each text's count, and an edge for each text of a spanning forest."""
         keys, order = np.unique(table.column("key").to_numpy(), return_index=True)
         block = table.column("block").to_numpy()[order]
@@ -259,9 +263,33 @@ def _blocks(threshold: float):
         keep = np.flatnonzero(count)
         return pa.table({"key": pa.array(keys[keep]), "links": pa.array(count[keep]), "root": pa.array(keys[root[keep]])})
 
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return links_of(table)
+        finally:
+            if table.nbytes > 8 << 20:
+                common.release()
+
     return run
 
 
+def _stars(large: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the members of each bucket (``h``, ``key``, ``m`` members).
+
+    A bucket may hold a third of all texts, so no task and no join sees a whole one: members are dealt into parts of
+    about ``PART``, each joined to its smallest, those smallest dealt and joined again, and the last ones to the
+    bucket's smallest, one row for PART**2 members.
+    """
+    edges, level = None, large
+    for size in (PART, PART * PART, None):
+        part = F.lit(0).cast("long") if size is None else F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / size))
+        lists = level.groupBy("h", part.alias("part")).agg(F.collect_list("key").alias("keys"), F.min("key").alias("b"), F.any_value("m").alias("m"))
+        star = lists.select(F.explode("keys").alias("a"), "b").where("a <> b")
+        edges = star if edges is None else edges.unionByName(star)
+        level = lists.select("h", F.col("b").alias("key"), "m")
+    return edges
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document row: id, ``body`` (hash of its text), ``class_id``, ``copy_id``, ``n_links``.
 
@@ -276,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col).cast("string")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("row_id"), F.xxhash64(text).alias("body"), text.alias("text"))
     signed, signed_at = common.staged(texts.mapInArrow(_signer(width), "row_id long, body long, digest binary, n long, bands array<long>, sig binary"), "near-signatures")
-    grouped = signed.groupBy("digest").agg(F.min("row_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    grouped = signed.groupBy("digest").agg(F.min("row_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n").alias("n"))
     # a number for each class, as ids may repeat with other texts
     classes, classes_at = common.staged(grouped.withColumn("key", F.monotonically_increasing_id()), "near-classes")
     members, members_at = common.staged(signed.select("row_id", "body", "digest"), "near-members")
@@ -286,9 +314,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("h", "size_h")
     buckets, buckets_at = common.staged(rows.join(sizes.hint("merge"), F.col("h") == F.col("size_h")).select("h", "key", "m"), "near-buckets")
 
-    large = buckets.where(F.col("m") > SMALL)
-    first = large.groupBy("h").agg(F.min("key").alias("b")).withColumnRenamed("h", "first_h")
-    groups, groups_at = common.staged(components(large.join(first, F.col("h") == F.col("first_h")).select(F.col("key").alias("a"), "b")).withColumnRenamed("root", "grp"), "near-groups")
+    groups, groups_at = common.staged(components(_stars(buckets.where(F.col("m") > SMALL))).withColumnRenamed("root", "grp"), "near-groups")
 
     small = buckets.where(F.col("m") <= SMALL).join(groups.hint("merge"), F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("grp", F.lit(-1)).alias("grp"))
     lists = small.groupBy("h").agg(F.collect_list(F.struct("key", "grp")).alias("members")).select("members")
@@ -310,7 +336,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links, links_at = common.staged(whole.mapInArrow(_verified(threshold), "a long, b long").distinct(), "near-links")
 
     # groups in blocks: a row goes to as many tasks as its group has blocks
-    counts = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("grp", "count_grp")
+    held = groups.join(classes.select(F.col("key").alias("key_n"), "n").hint("merge"), F.col("node") == F.col("key_n"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    counts = held.groupBy("grp").agg(blocks.cast("int").alias("blocks")).withColumnRenamed("grp", "count_grp")
     dense = (
         groups.join(counts.hint("merge"), F.col("grp") == F.col("count_grp"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -342,12 +370,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is their group's ``class_id``, with all their columns; repeated rows once."""
+    """The rows of ``docs`` whose id is their group's ``class_id``, with all their columns, whatever their names.
+
+    Rows of the same id and text count once: one of them stays. Null ids are one document, smaller than all others,
+    so a group with a null id keeps that row. Null and empty texts are one group. An empty table gives no rows.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, threshold=threshold)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__id"), F.col("body").alias("__body")).hint("merge")
-    own = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
-    kept = own.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left_semi")
-    return kept.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    own, stay_id, stay_body = common.fresh_names(docs, "own_body", "stay_id", "stay_body")
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias(stay_id), F.col("body").alias(stay_body)).hint("merge")
+    kept = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string"))).join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_body)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common
 
@@ -89,7 +90,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     common.tuned(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measured, FEATURES_SQL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.lean(_measured), FEATURES_SQL)
 
 
 def fit(patterns: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> dict[str, float]:
@@ -150,17 +151,36 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     )
 
 
+def _beside(position: int):
+    """Rows as they are, with word count, repeated words and votes behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(x) for x in batch.column(position).cast(pa.string()).to_pylist()]
+            extra = [pa.array([m[0] for m in found], pa.int64()), pa.array([m[4] for m in found], pa.int64()), pa.array([m[5] for m in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "n", "repeats", "votes"])
+
+    return common.lean(run)
+
+
 def passing(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``scored`` keeps, with all their columns.
+    """The rows of ``docs`` that ``scored`` keeps, with all their columns, whatever their names.
+
+    Null and empty texts fail the base test and go. Ids play no part: rows with null or repeated ids are each kept or
+    not by their own text. An empty table gives no rows.
 
-    The votes are taken twice, once for the estimate and once beside the rows, which so need no join by id.
+    Every text is measured once: rows are staged with their votes beside them, the vote patterns counted, and the
+    table of posteriors, at most 3**9 rows, joined to the staged rows.
     """
-    taken = F.udf(lambda x: (lambda m: {"n": m[0], "repeats": m[4], "votes": m[5]})(measure(x)), "n long, repeats long, votes string", useArrow=True)
-    rows, at = common.staged(features(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))).select("votes"), "quality-votes")
-    table = posteriors(rows)
-    common.remove(docs.sparkSession, at)
-    marked = docs.withColumn("__taken", taken(F.col(text_col).cast("string"))).join(table.toDF("__votes", "__quality"), F.col("__taken.votes") == F.col("__votes"))
-    return marked.where(~base_failed(F.col("__taken.n"), F.col("__taken.repeats")) & (F.col("__quality") >= threshold)).select(*[docs[c] for c in docs.columns])
+    common.tuned(docs.sparkSession)
+    n, repeats, votes, quality = common.fresh_names(docs, "n", "repeats", "votes", "quality")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    shape = T.StructType([*numbered.schema.fields, T.StructField("n", T.LongType()), T.StructField("repeats", T.LongType()), T.StructField("votes", T.StringType())])
+    measured = numbered.mapInArrow(_beside(docs.columns.index(text_col)), shape).toDF(*docs.columns, n, repeats, votes)
+    marked, _ = common.staged(measured, "quality-measured")
+    table = posteriors(marked.select(F.col(votes).alias("votes"))).toDF("fitted_votes", quality)
+    kept = marked.join(table, F.col(votes) == F.col("fitted_votes")).where(~base_failed(F.col(n), F.col(repeats)) & (F.col(quality) >= threshold))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
