@@ -39,7 +39,7 @@ def test_encoder_equals_library():
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(["a", " ", "  ", "\n", "'s", "9", "!", "é", "\xa0", " ", "\x1f", "the", " of"], k=rng.randrange(40))) for _ in range(400)]
     texts += ["the, cat. sat,", "a,b.\nc d.", "ab.\n\ncd", "x\n y", "\nx y", "y z\n", "Straße, ½. ²,", " lead", " , .", "a.\n b"]
     for text in texts:
-        got = token_files.Encoder.of(path).encode(text)
+        got = token_files.Encoder(path).encode(text)
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 

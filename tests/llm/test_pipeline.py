@@ -66,7 +66,7 @@ def test_equals_brute_force(spark, tmp_path):
     got = docs.collect()
     assert {r["doc_id"]: r["text"] for r in got} == want and len(got) == len(want)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
-    pieces = segmentations.Pieces.of(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    pieces = segmentations.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(rows) == set(want) and all(r["round_trip"] for r in rows.values())
     for k, t in list(want.items())[:5]:

@@ -13,7 +13,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def pieces():
-    return seg.Pieces.of(MODEL, 1.0)
+    return seg.Pieces(MODEL, 1.0)
 
 
 def every(pieces, text):
@@ -81,15 +81,26 @@ def test_sampling_follows_the_distribution(pieces):
 
 def test_lattices_together_equal_one_by_one(pieces):
     words = ["▁the", "cat", "▁▁▁", "\n", "x漢\ty", "▁Straße" * 30, "é", "▁international"]
-    pieces.forget()
+    pieces = seg.Pieces(MODEL, 1.0)
     pieces.add(words)
+    check_lattices(pieces, words)
+    for w, n in zip(words, [3, 0, 2, 9, 1, 2, 1, 4]):
+        pieces.uses[pieces.index[w]] = n
+    pieces.forget()  # words used but once go
+    assert {w: int(pieces.uses[k]) for w, k in pieces.index.items()} == {words[i]: n for i, n in ((0, 1), (2, 1), (3, 4), (5, 1), (7, 2))}
+    check_lattices(pieces, list(pieces.index))
+    pieces.add(["cat", "é"])
+    check_lattices(pieces, list(pieces.index))
+
+
+def check_lattices(pieces, words):
     for w in words:
         edges, counts = (np.frombuffer(x, t) for x, t in zip(pieces.lattice(w), (seg.EDGE, "<u4")))
         a, b = pieces.begin[pieces.index[w]], pieces.end[pieces.index[w]]
         first = pieces.first_edge[a : b + 1]
         own = slice(first[0], first[-1])
         assert np.diff(first).tolist() == counts[:-1].tolist() and (pieces.next[own] - a == edges["to"]).all() and (pieces.id[own] == edges["id"]).all()
-        assert np.allclose(pieces.cum[own], edges["cum"], rtol=1e-9) and np.allclose(np.exp(pieces.log_p[own]), edges["p"], rtol=1e-9)
+        assert np.allclose(pieces.cum[own], edges["cum"], rtol=1e-9) and np.allclose(pieces.p[own], edges["p"], rtol=1e-9)
 
 
 def test_words_are_the_librarys(pieces):

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common
 from tidemark.llm.fm_index import FMIndex
@@ -24,8 +25,8 @@ from tidemark.llm.fm_index import FMIndex
 #: ASCII letters and digits and all beyond ASCII make words; A-Z become a-z, the rest a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
-#: UTF-8 bytes of benchmark text held by each task at once; more is searched for block after block.
-PHRASE_BYTES = 16 << 20
+#: UTF-8 bytes of benchmark text that the driver and each task hold at once, about ten times that as windows.
+PHRASE_BYTES = 8 << 20
 
 OUT = pa.schema(
     [
@@ -44,27 +45,39 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of items as symbols, and the items each comes from."""
+    """The distinct windows of a block of items as rows of symbols, and the items each comes from, all in arrays."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({k for k, _ in items})
+        number = {k: n for n, k in enumerate(self.names)}
+        tables, owners = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) for x in found], dtype=np.int64)
-        self.table = np.zeros((len(found), int(self.lengths.max(initial=1))), dtype=np.int64)
-        for k, x in enumerate(found):
-            self.table[k, -len(x) :] = x
-        self.shortest = int(self.lengths.min(initial=1))
-
-
-def search_shard(ids: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int32)
+            if len(ids):
+                # a shorter item is one row, right-aligned behind zeros
+                own = np.lib.stride_tricks.sliding_window_view(np.concatenate((np.zeros(max(0, window - len(ids)), dtype=np.int32), ids)), window)
+                tables.append(own)
+                owners.append(np.full(len(own), number[item]))
+        self.table, row = np.unique(np.concatenate(tables), axis=0, return_inverse=True)
+        self.lengths = np.count_nonzero(self.table, axis=1)
+        # items of row r: item[first[r] : first[r + 1]], ascending
+        pairs = np.unique(row.ravel() * len(self.names) + np.concatenate(owners))
+        self.item = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.first = np.searchsorted(pairs, np.arange(len(self.table) + 1) * len(self.names))
+        self.shortest = int(self.lengths.min(initial=window))
+
+    def of(self, rows: np.ndarray) -> list[str]:
+        """Names of the items of any of the rows, sorted."""
+        count = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        return [self.names[i] for i in np.unique(self.item[at])]
+
+
+def search_shard(ids: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
     """For each document's symbols (0: not a benchmark word) the merged hit spans in words, and the items found."""
     spans: list[list[tuple[int, int]]] = [[] for _ in ids]
-    items: list[set[str]] = [set() for _ in ids]
+    items: list[list[str]] = [[] for _ in ids]
     if not len(phrases.lengths) or not ids:
         return spans, items
     starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in ids])))
@@ -97,8 +110,11 @@ def search_shard(ids: list[np.ndarray], phrases: Phrases) -> tuple[list[list[tup
     for d, a, b in zip(owner.tolist(), (edge[::2] - starts[owner]).tolist(), (edge[1::2] - starts[owner]).tolist()):
         spans[d].append((a, b))
     owner = np.searchsorted(starts, at, side="right") - 1
-    for pair in np.unique(owner * len(phrases.lengths) + which).tolist():
-        items[pair // len(phrases.lengths)].update(phrases.items[pair % len(phrases.lengths)])
+    pairs = np.unique(owner * len(phrases.lengths) + which)
+    doc, row = pairs // len(phrases.lengths), pairs % len(phrases.lengths)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
+    for x, y in zip(cuts, cuts[1:]):
+        items[doc[x]] = phrases.of(row[x:y])
     return spans, items
 
 
@@ -126,7 +142,7 @@ def _searcher(items: list[tuple[str, str | None]], window: int, shard_words: int
             spans, found = search_shard(ids, phrases)
             columns: tuple = ([], [], [], [], [], [])
             for (key, text, n, rest, old_spans, old_items), s, f in zip(rows, spans, found):
-                s, f = (merged(old_spans, s), f.union(old_items)) if old_spans else (s, f)
+                s, f = (merged(old_spans, s), {*f, *old_items}) if old_spans else (s, f)
                 for column, value in zip(columns, (key, text, n, [{"start": a, "end": b} for a, b in s], sorted(f), rest)):
                     column.append(value)
             rows.clear()
@@ -150,7 +166,7 @@ def _searcher(items: list[tuple[str, str | None]], window: int, shard_words: int
         if rows:
             yield flush()
 
-    return search
+    return common.lean(search)
 
 
 def removal_spans(
@@ -175,19 +191,25 @@ def removal_spans(
     Other columns of either table are ignored, whatever their names, but for those of ``carry``: they come back as
     fields of the column ``rest``.
 
-    Benchmark text beyond ``phrase_bytes`` is searched for in blocks of items, one pass over the rows after another.
+    Benchmark text beyond ``phrase_bytes`` is searched for block after block of items: each pass reads what the one
+    before it wrote, so neither the driver nor a task ever holds more than one block.
     """
     spark = common.tuned(docs.sparkSession)
-    wanted = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.col(item_text).alias("t")).where("t is not null")
+    wanted = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     size = wanted.agg(F.sum(F.octet_length("t") + F.lit(64))).first()[0] or 0
     blocks = max(1, -(-size // phrase_bytes))
-    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
     out = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"), *rest)
-    shape = OUT_SQL + (f", rest {out.schema['rest'].dataType.simpleString()}" if carry else "")
+    shape = T.StructType([*T._parse_datatype_string(OUT_SQL).fields, *out.schema.fields[2:]])
+    done = None
     for b in range(blocks):
-        block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b)
-        items = [tuple(r) for r in block.collect()]
-        out = out.mapInArrow(_searcher(items, window, shard_words, b == 0), shape)
+        block = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
+        out = out.mapInArrow(_searcher([tuple(r) for r in block.collect()], window, shard_words, b == 0), shape)
+        if b < blocks - 1:
+            out, at = common.staged(out, "spans")
+            if done:
+                common.remove(spark, done)
+            done = at
     return out.withColumnRenamed("row_id", id_col)
 
 
@@ -203,7 +225,8 @@ def cut(text: str, spans: list) -> str:
 
 
 def without_spans(found: DataFrame) -> DataFrame:
-    """``clean``: the text of each row of ``removal_spans`` with its spans cut out."""
+    """``clean``: the text of each row of ``removal_spans`` with its spans cut out; texts without spans, null and
+    empty ones among them, stay as they are. Rows are treated each for itself, whatever their ids; none give none."""
     cutter = F.udf(lambda t, s: cut(t, s) if s else None, "string", useArrow=True)
     hit = F.size("spans") > 0
     return found.withColumn("clean", F.when(hit, cutter(F.when(hit, F.col("text")), F.when(hit, F.col("spans")))).otherwise(F.col("text")))

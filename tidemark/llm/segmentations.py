@@ -34,8 +34,10 @@ from tidemark.llm import common
 SPACE = "▁"
 EDGE = np.dtype([("to", "<u4"), ("id", "<u4"), ("p", "<f8"), ("cum", "<f8")])
 PACK = struct.Struct("<IIdd")
-#: Word lattices kept per Python worker, of about a kilobyte each; a batch adds at most as many as it has characters.
-KEPT = 80_000
+#: Word lattices kept during a task, of about a kilobyte each; a batch adds at most as many as it has characters.
+KEPT = 60_000
+#: Characters of texts sampled together.
+TOGETHER = 200_000
 #: Characters in the transition table of the trie, the most frequent in the vocabulary.
 FREQUENT = 254
 SAMPLES = "array<struct<ids:binary,log_prob:double,value:double,inclusion:double>>"
@@ -57,12 +59,15 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each stretch, one stretch after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Pieces:
     """The vocabulary: weights by Zipf's law over the order of the pieces, as a BPE model stores ranks and no
     probabilities; ``theta`` above 1 sharpens the distribution."""
 
-    kept: dict[tuple[str, float], "Pieces"] = {}
-
     def __init__(self, path: str, theta: float):
         import sentencepiece
 
@@ -106,25 +111,38 @@ class Pieces:
             self.words = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.first_edge = np.zeros(1, dtype=np.int64)
-        self.next, self.id = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
-        self.cum, self.log_p, self.log_rest = (np.zeros(0) for _ in range(3))
-        self.begin, self.end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.forget()
-
-    @classmethod
-    def of(cls, path: str, theta: float) -> "Pieces":
-        if (path, theta) not in cls.kept:
-            cls.kept[path, theta] = cls(path, theta)
-        return cls.kept[path, theta]
+        # the store of word lattices: arrays over the edges and nodes of all words
+        self.first_edge, self.next, self.id = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
+        self.cum, self.p = np.zeros(0), np.zeros(0)
+        self.begin, self.end, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        self.index: dict[str, int] = {}
+        self.nodes = self.edges = 0
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def forget(self) -> None:
-        """Begin the store of word lattices anew, in the same memory: arrays over the edges and nodes of all words."""
-        self.index: dict[str, int] = {}
-        self.nodes = self.edges = 0
+        """Keep the words used most since they came, half the bound at most, and none used but once."""
+        k = len(self.index)
+        uses, begin, end = self.uses[:k], self.begin[:k], self.end[:k]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > KEPT // 2:
+            keep = np.sort(keep[np.argpartition(uses[keep], len(keep) - KEPT // 2)[len(keep) - KEPT // 2 :]])
+        n = len(keep)
+        old, sizes, first = begin[keep], end[keep] - begin[keep] + 1, self.first_edge[begin[keep]]
+        counts = self.first_edge[end[keep]] - first
+        new, new_first = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+        node, edge = stretches(old, sizes), stretches(first, counts)
+        self.first_edge[: len(node)] = self.first_edge[node] + np.repeat(new_first - first, sizes)
+        self.first_edge[len(node)] = len(edge)
+        self.next[: len(edge)] = self.next[edge] + np.repeat(new - old, counts)
+        for name in ("id", "cum", "p"):
+            own = getattr(self, name)
+            own[: len(edge)] = own[edge]
+        self.begin[:n], self.end[:n], self.uses[:n] = new, new + sizes - 1, uses[keep] // 2
+        words = list(self.index)
+        self.index = {words[i]: at for at, i in enumerate(keep.tolist())}
+        self.nodes, self.edges = len(node), len(edge)
 
     def _room(self, name: str, size: int) -> np.ndarray:
         own = getattr(self, name)
@@ -133,22 +151,22 @@ class Pieces:
             setattr(self, name, own)
         return own
 
-    def _store(self, words: list[str], edges: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> None:
-        """``edges`` in order of nodes, ``counts`` of each node with the zero of each word's end, ``sizes`` in nodes."""
+    def _store(self, words: list[str], edges: tuple, counts: np.ndarray, sizes: np.ndarray) -> None:
+        """``edges`` (to, id, p, cum) in order of nodes, ``counts`` of each node with the zero of each word's end,
+        ``sizes`` in nodes."""
+        to, ids, p, cum = edges
         starts = np.concatenate(([0], np.cumsum(counts)))
         ends = np.cumsum(sizes)
         base, a, k = self.nodes + ends - sizes, self.edges, len(self.index)
-        b = a + len(edges)
+        b = a + len(to)
         self._room("first_edge", self.nodes + len(counts) + 1)[self.nodes : self.nodes + len(counts) + 1] = a + starts
-        self._room("next", b)[a:b] = np.repeat(base, starts[ends] - starts[ends - sizes]) + edges["to"]
-        self._room("id", b)[a:b] = edges["id"]
-        self._room("cum", b)[a:b] = edges["cum"]
-        self._room("log_p", b)[a:b] = np.log(edges["p"])
-        rest = np.log1p(-np.minimum(edges["p"], 1 - 1e-16))
-        rest[edges["p"] == 1] = -np.inf
-        self._room("log_rest", b)[a:b] = rest
+        self._room("next", b)[a:b] = np.repeat(base, starts[ends] - starts[ends - sizes]) + to
+        self._room("id", b)[a:b] = ids
+        self._room("cum", b)[a:b] = cum
+        self._room("p", b)[a:b] = p
         self._room("begin", k + len(words))[k : k + len(words)] = base
         self._room("end", k + len(words))[k : k + len(words)] = base + sizes - 1
+        self._room("uses", k + len(words))[k : k + len(words)] = 0
         self.index.update(zip(words, range(k, k + len(words))))
         self.nodes, self.edges = self.nodes + len(counts), b
 
@@ -209,7 +227,8 @@ class Pieces:
             if not ok:
                 edges, counts = self.lattice(w)
                 counts = np.frombuffer(counts, dtype="<u4").astype(np.int64)
-                self._store([w], np.frombuffer(edges, dtype=EDGE), counts, np.array([len(counts)]))
+                packed = np.frombuffer(edges, dtype=EDGE)
+                self._store([w], tuple(packed[c] for c in ("to", "id", "p", "cum")), counts, np.array([len(counts)]))
         words = list(itertools.compress(words, plain.tolist()))
         letter, size = letter[np.repeat(plain, size)], size[plain]
         n = len(letter)
@@ -249,15 +268,13 @@ class Pieces:
             own = node[e]
             starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             total[own[starts]] = np.logaddexp.reduceat(value[e], starts)
-        edges = np.empty(len(node), dtype=EDGE)
-        begin = end - np.repeat(size, size)
-        edges["to"], edges["id"], edges["p"] = to - begin[node], piece, np.exp(value - total[node])
-        run = np.cumsum(edges["p"])
-        edges["cum"] = np.minimum(run - np.repeat(run[first] - edges["p"][first], counts), 1.0)
+        p = np.exp(value - total[node])
+        run = np.cumsum(p)
+        cum = np.minimum(run - np.repeat(run[first] - p[first], counts), 1.0)
         last = first + counts - 1
-        edges["cum"][last] = 1.0
-        edges["p"][last[counts == 1]] = 1.0
-        self._store(words, edges, np.insert(counts, np.cumsum(size), 0), size + 1)
+        cum[last] = 1.0
+        p[last[counts == 1]] = 1.0
+        self._store(words, (to - (end - np.repeat(size, size))[node], piece, p, cum), np.insert(counts, np.cumsum(size), 0), size + 1)
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: bytes of the pieces, without the space put before the first word."""
@@ -272,12 +289,13 @@ class Batch:
         new = [w for w in wanted if w not in pieces.index]
         if len(pieces.index) + len(new) > KEPT:
             pieces.forget()
-            new = list(wanted)
+            new = [w for w in wanted if w not in pieces.index]
         pieces.add(new)
         self.pieces = pieces
         sizes = np.array([len(x) for x in words], dtype=np.int64)
         self.doc_start = np.concatenate(([0], np.cumsum(sizes)))
         occurrences = np.fromiter(map(pieces.index.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+        pieces.uses[: len(pieces.index)] += np.bincount(occurrences, minlength=len(pieces.index))
         self.begin, self.end = pieces.begin[occurrences], pieces.end[occurrences]
         doc_of = np.repeat(np.arange(len(words)), sizes)
         self.stream = mix(seeds[doc_of] + GOLD * (np.arange(len(occurrences), dtype=np.uint64) - self.doc_start[doc_of].astype(np.uint64) + np.uint64(1)))
@@ -364,7 +382,7 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
             first = pieces.first_edge[: pieces.nodes + 1]
             node = int(np.searchsorted(first, path.edges[place], side="right")) - 1
             options = [e for e in range(int(first[node]), int(first[node + 1])) if e not in taken]
-            p = np.exp(pieces.log_p[options])
+            p = pieces.p[options]
             u = uniform(seeds[d] + GOLD * np.array([turn * 1_000_003 + 5, turn * 1_000_003 + 6], dtype=np.uint64))
             pick = min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right")), len(options) - 1)
             edge = options[pick]
@@ -382,13 +400,15 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
         owner = np.repeat(occurrences, length)
         sizes = np.cumsum([0, *map(len, occ_parts)])
         ends = np.concatenate(([0], np.cumsum(length)))[sizes]
-        steps, rests = pieces.log_p[edges], pieces.log_rest[edges]
+        taken_p = pieces.p[edges]
+        with np.errstate(divide="ignore"):  # the only edge of a node leaves nothing
+            steps, rests = np.log(taken_p), np.log1p(-taken_p)
         hidden = np.log(-np.log(noise)) - rests
         for (d, _, _, value), head, left, a, b in zip(todo, heads, leftovers, ends, ends[1:]):
             own, own_steps = edges[a:b], steps[a:b]
             if head:
                 old, place, edge = head
-                begin = float(old.before[place]) + float(pieces.log_p[edge])
+                begin = float(old.before[place]) + math.log(pieces.p[edge])
             else:
                 begin = 0.0
             before = begin + np.cumsum(own_steps) - own_steps
@@ -418,25 +438,15 @@ def inclusion(log_prob: float, kappa: float) -> float:
     return 1.0 if kappa == -np.inf else -math.expm1(-math.exp(min(700.0, log_prob - kappa)))
 
 
-def encode_samples(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", k: int = 2, theta: float = 1.0, seed: int = 7) -> DataFrame:
-    """One row per document row: id, ``samples`` (ids as little-endian u32, log_prob, value, inclusion; by descending
-    value) and ``round_trip``: whether every sample decodes to the text.
-
-    The noise depends on ``seed``, the row's id and the place in the text alone, so any partitioning gives the same
-    samples, and rows that share id and text get the same. A text with fewer than ``k`` segmentations gives all of
-    them. Null and empty texts have one segmentation, of no pieces. U+2581 counts as a space, as the library has it.
-    Characters without a piece become their bytes. Empty tables give no rows. Other columns are ignored.
-    """
-    common.tuned(docs.sparkSession)
-
+def _sampler(model: str, theta: float, k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(model, theta)
+        pieces = Pieces(model, theta)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):
                 to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= 250_000):
+                while to < len(texts) and (to == at or held + len(texts[to]) <= TOGETHER):
                     held += len(texts[to])
                     to += 1
                 rows, fits = [], []
@@ -447,11 +457,26 @@ def encode_samples(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at:to], pa.int64()), pa.array(rows, OUT.types[1]), pa.array(fits, pa.bool_())], schema=OUT)
                 at = to
 
+    return common.lean(run)
+
+
+def encode_samples(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", k: int = 2, theta: float = 1.0, seed: int = 7) -> DataFrame:
+    """One row per document row: id, ``samples`` (ids as little-endian u32, log_prob, value, inclusion; by descending
+    value) and ``round_trip``: whether every sample decodes to the text.
+
+    The noise depends on ``seed``, the row's id and the place in the text alone, so any partitioning gives the same
+    samples, and rows that share id and text get the same. A text with fewer than ``k`` segmentations gives all of
+    them. Null and empty texts have one segmentation, of no pieces. U+2581 counts as a space, as the library has it.
+    Characters without a piece become their bytes. Empty tables give no rows. Other columns are ignored.
+    """
+    common.tuned(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row_id long, samples {SAMPLES}, round_trip boolean").withColumnRenamed("row_id", id_col)
+    return rows.mapInArrow(_sampler(model, theta, k, seed), f"row_id long, samples {SAMPLES}, round_trip boolean").withColumnRenamed("row_id", id_col)
 
 
 def digests(samples: DataFrame) -> DataFrame:
+    """Counts, checksums, log-probabilities and inclusion probabilities in place of the ids of ``encode_samples``, in
+    its order of samples; a null id stays null, a text without pieces has one sample of no ids, no rows give none."""
     each = lambda f: F.transform("samples", f)
     return samples.select(
         "doc_id",

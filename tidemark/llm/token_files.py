@@ -25,8 +25,8 @@ SPECIAL = "<|endoftext|>"
 #: The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
-#: Words whose ids are kept per Python worker, about 100 MB; when half are new, the rest is forgotten.
-KEPT = 600_000
+#: Words of at most ``LONGEST`` characters whose ids are kept during a task; when half are new, the rest is forgotten.
+KEPT, LONGEST = 400_000, 40
 
 PART = "file string, doc_at long, row_id long, n_tokens long, at_token long"
 PART_ARROW = pa.schema([("file", pa.string()), ("doc_at", pa.int64()), ("row_id", pa.int64()), ("n_tokens", pa.int64()), ("at_token", pa.int64())])
@@ -49,7 +49,8 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             ids = self.encoder.piece(" " + word)
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def age(self) -> None:
@@ -59,9 +60,7 @@ class Words(dict):
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each distinct word encoded once."""
-
-    kept: dict[str, "Encoder"] = {}
+    """Whole texts to ids with the tokenizers library, each distinct word of a task encoded once."""
 
     def __init__(self, path: str):
         import os
@@ -77,13 +76,6 @@ class Encoder:
         self.line_break = self.library("\n")
         self.marks = {x: self.library(x) for x in (",", ".")}
 
-    @classmethod
-    def of(cls, path: str) -> "Encoder":
-        """One per Python worker and vocabulary; workers are used again by later tasks."""
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
-
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -116,7 +108,7 @@ class Encoder:
 
 def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
@@ -146,7 +138,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: in
         if ids:
             yield flush()
 
-    return write
+    return common.lean(write)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: int = 8, file_tokens: int = 4 << 20) -> DataFrame:
