@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -30,6 +31,19 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "tidemark-scratch")
 
 
+_made: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The list of the paths that ``fresh_path`` gives out meanwhile."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new folder below the shared one; it goes when the session's JVM ends, if nothing removes it before."""
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -37,6 +51,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where.getParent())
     fs.deleteOnExit(where)
+    for paths in _made:
+        paths.append(path)
     return path
 
 
