@@ -38,8 +38,9 @@ def test_encoder_equals_library():
     plain = Tokenizer.from_file(path)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(["a", " ", "  ", "\n", "'s", "9", "!", "é", "\xa0", " ", "\x1f", "the", " of"], k=rng.randrange(40))) for _ in range(400)]
     texts += ["the, cat. sat,", "a,b.\nc d.", "ab.\n\ncd", "x\n y", "\nx y", "y z\n", "Straße, ½. ²,", " lead", " , .", "a.\n b"]
+    encoder = token_files.Encoder(path)
     for text in texts:
-        got = token_files.Encoder(path).encode(text)
+        got = encoder.encode(text)
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
@@ -50,8 +51,12 @@ def test_token_files(spark):
     docs = spark.createDataFrame(rows, DOCS)
     for file_tokens in (500, 1 << 20):
         folder = common.fresh_path(spark, "test-tokens")
-        index = token_files.write_tokens(docs, folder, path, file_tokens=file_tokens)
-        got = sorted((tuple(r) for r in token_files.read_tokens(index, folder).collect()), key=lambda r: r[1])
+        files = token_files.write_tokens(docs, folder, path, file_tokens=file_tokens)
+        got = sorted((tuple(r) for r in token_files.read_files(files, folder).collect()), key=lambda r: r[1])
+        index = token_files.documents(files, folder)
+        some = token_files.read_tokens(index.where("start % 3 = 0"), folder).collect()
+        assert sorted(map(tuple, some), key=lambda r: r[1]) == [r for r in got if r[1] % 3 == 0]
+        assert sum(r["n_docs"] for r in files.collect()) == len(got) == index.count()
         want = sorted(((k, t) for k, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
         start = 0
         for (key, at, n, ids), (k, t) in zip(got, want, strict=True):
@@ -59,7 +64,7 @@ def test_token_files(spark):
             assert (key, at, n) == (k, start, len(expected)) and np.frombuffer(ids, "<u4").tolist() == expected
             start += n
     empty = token_files.write_tokens(docs.limit(0), common.fresh_path(spark, "test-tokens"), path)
-    assert empty.count() == 0
+    assert empty.count() == 0 and token_files.read_files(empty, common.fresh_path(spark, "test-tokens")).count() == 0
 
 
 def test_warc(spark, tmp_path):
@@ -123,6 +128,24 @@ def test_shards(spark):
         sharding.write_shards(docs.withColumnRenamed("lang", "slot"), common.fresh_path(spark, "test-shards"), ["slot"])
 
 
+def test_shards_equal_a_naive_sort(spark):
+    """Cells, curve, order and cuts in plain Python: the shard and slot of every row."""
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["de", "en", "fr", None]), f"src{rng.randrange(9)}", None if k % 17 == 0 else rng.randrange(300)) for k in rng.sample(range(1000), 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long")
+    out = sharding.write_shards(docs, common.fresh_path(spark, "test-shards"), ["lang", "source", "n_chars", "doc_id"], shards=7)
+    columns = []
+    for c in (1, 2, 3, 0):
+        known = sorted(r[c] for r in rows if r[c] is not None)
+        cuts = sorted({known[max(0, -(-len(known) * q // 16) - 1)] for q in range(1, 16)})
+        columns.append([0 if r[c] is None else sum(r[c] > x for x in cuts) for r in rows])
+    curve = sharding.hilbert_index(np.array(columns).T, 4)
+    ranked = [r[0] for _, r in sorted(zip(curve.tolist(), rows), key=lambda x: (x[0], x[1][0]))]
+    shard = [rank * 7 // len(rows) for rank in range(len(rows))]
+    want = {k: (s, rank - shard.index(s)) for rank, (k, s) in enumerate(zip(ranked, shard))}
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out.collect()} == want
+
+
 def test_shards_prune_every_dimension(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "concat('s', id % 16) as source", "cast(hash(id) % 1000 as long) as n_chars")
     out = sharding.write_shards(docs, common.fresh_path(spark, "test-shards"), ["source", "n_chars", "doc_id"], shards=64)

@@ -12,20 +12,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges``: (a, b) with b < a. Minima are pre-aggregated, so a node with very many edges is no hot group; the
-    join back is one that Spark splits."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, str]:
+    """``edges``: (a, b) with b < a. Minima are pre-aggregated and staged: joined back as a table of their own, so that
+    Spark can split the key of a node with very many edges, which it cannot beside an aggregate."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+    least, least_at = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "minima")
     joined = both.join(least.hint("merge"), F.col("u") == F.col("k"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), least_at
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,9 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
     now, at = common.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _mark(now)
     while seen[0]:
-        new, new_at = common.staged(_star(_star(now, True), False), "edges")
-        common.remove(spark, at)
-        now, at, mark = new, new_at, _mark(new)
+        for large in (True, False):
+            star, least_at = _star(now, large)
+            new, new_at = common.staged(star, "edges")
+            common.remove(spark, at, least_at)
+            now, at = new, new_at
+        mark = _mark(now)
         if mark == seen:
             break
         seen = mark

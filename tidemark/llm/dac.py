@@ -6,6 +6,9 @@ the next level; a rank directory over it gives their place there.
 File, little-endian: magic 'TDAC', version u32, count of ids u64, chunk bits u32, levels u32; then for each level
 its number of entries u64, the entries (u8 or u16), and, but for the last level, the bitmap padded to 64-bit words
 and the u32 count of ones before each word (so a file holds fewer than 2**32 ids).
+
+Behind them may stand a directory of documents: for each its id i64, where its ids end u64, and whether its id is null
+u8, one array after the other; then the number of documents u64, the place of the directory u64 and the magic 'TDIR'.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import numpy as np
 
 MAGIC = b"TDAC"
 HEAD = struct.Struct("<4sIQII")
+TAIL = struct.Struct("<QQ4s")
+TAIL_MAGIC = b"TDIR"
 
 
 def encode(ids: np.ndarray, bits: int = 8) -> bytes:
@@ -40,6 +45,22 @@ def encode(ids: np.ndarray, bits: int = 8) -> bytes:
     return b"".join(out)
 
 
+def directory(keys: list[int | None], sizes: np.ndarray, at: int) -> bytes:
+    """The directory of documents of ``sizes`` ids each, to be written at byte ``at``."""
+    null = np.array([k is None for k in keys], dtype=np.uint8)
+    ids = np.array([k or 0 for k in keys], dtype="<i8")
+    return b"".join([ids.tobytes(), np.cumsum(sizes).astype("<u8").tobytes(), null.tobytes(), TAIL.pack(len(keys), at, TAIL_MAGIC)])
+
+
+def documents(raw) -> tuple[list[int | None], np.ndarray]:
+    """Document ids, and where the ids of each end."""
+    n, at, magic = TAIL.unpack_from(raw, len(raw) - TAIL.size)
+    if magic != TAIL_MAGIC:
+        raise ValueError("no directory of documents")
+    ids, ends, null = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<u8", n, at + 8 * n), np.frombuffer(raw, np.uint8, n, at + 16 * n)
+    return [None if x else k for k, x in zip(ids.tolist(), null.tolist())], ends.astype(np.int64)
+
+
 class Reader:
     """Random access to the ids of one file."""
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ from tidemark.llm import common
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-STREAM = pa.schema([("kind", pa.int8()), ("line", pa.binary()), ("doc", pa.int64()), ("body", pa.int64()), ("pos", pa.int32()), ("docs", pa.int64())])
-STREAM_SQL = "kind byte, line binary, doc long, body long, pos int, docs long"
+STREAM = pa.schema([("kind", pa.int8()), ("line", pa.binary()), ("doc", pa.int64()), ("body", pa.int64()), ("pos", pa.int32()), ("docs", pa.int64()), ("part", pa.int32())])
+STREAM_SQL = "kind byte, line binary, doc long, body long, pos int, docs long, part int"
 DROP, WAIT, COUNT = 0, 1, 2
 
 
@@ -48,16 +49,18 @@ def _stream(min_docs: int):
     the last line, which may go on in a neighbouring partition, WAIT rows and one COUNT row (documents, largest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = context.partitionId() if context else 0
         first = True  # the open group is the partition's first
         line = None  # of the open group
         top = docs = last_doc = None
         held: list[pa.RecordBatch] = []  # rows of the open group that no verdict covers yet
 
         def rows(kind: int, b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, kind, dtype=np.int8)), b.column(0), b.column(1), b.column(2), b.column(3), pa.nulls(b.num_rows, pa.int64())], schema=STREAM)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, kind, dtype=np.int8)), b.column(0), b.column(1), b.column(2), b.column(3), pa.nulls(b.num_rows, pa.int64()), pa.array(np.full(b.num_rows, number, dtype=np.int32))], schema=STREAM)
 
         def count() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([COUNT], [line], [top], [0], [0], [docs]), STREAM.types)], schema=STREAM)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([COUNT], [line], [top], [0], [0], [docs], [number]), STREAM.types)], schema=STREAM)
 
         def not_top(b: pa.RecordBatch) -> pa.RecordBatch:
             return b.filter(pa.array(b.column(1).to_numpy(zero_copy_only=False) != top))
@@ -110,9 +113,12 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     hashed, keys_at = common.staged(keys, "line-keys")
     ordered = hashed.repartitionByRange(common.partitions(spark), F.col("line").asc(), F.col("doc").desc()).sortWithinPartitions(F.col("line").asc(), F.col("doc").desc(), F.col("pos").asc())
     streamed, stream_at = common.staged(ordered.mapInArrow(_stream(min_docs), STREAM_SQL), "line-stream")
-    # at most two rows a partition, so they are joined by sort and merge: their number grows with the partitions
-    edges = streamed.where(F.col("kind") == COUNT).groupBy("line").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top")).where(F.col("all_docs") >= min_docs)
-    late = streamed.where(F.col("kind") == WAIT).join(edges.hint("merge"), "line").where(F.col("doc") != F.col("top"))
+    # at most two rows a partition; their verdicts go back by partition and line, so a line that fills very many
+    # partitions is no single key among the rows that wait
+    counts = streamed.where(F.col("kind") == COUNT).select("line", "part", "doc", "docs")
+    edges = counts.groupBy("line").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top")).where(F.col("all_docs") >= min_docs)
+    verdicts = counts.select("line", "part").join(edges.hint("merge"), "line").select(F.col("line").alias("edge_line"), F.col("part").alias("edge_part"), "top")
+    late = streamed.where(F.col("kind") == WAIT).join(verdicts.hint("merge"), (F.col("line") == F.col("edge_line")) & (F.col("part") == F.col("edge_part"))).where(F.col("doc") != F.col("top"))
     gone = streamed.where(F.col("kind") == DROP).select("doc", "body", "pos").unionByName(late.select("doc", "body", "pos"))
     maps = gone.groupBy("doc", "body").agg(F.collect_set("pos").alias("gone")).select(F.when(F.col("doc") != low, F.col("doc")).alias(id_col), "body", pack("gone").alias("bitmap"))
     out, _ = common.staged(maps, "line-bitmaps")

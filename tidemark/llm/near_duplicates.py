@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common.remove(spark, signed_at)
 
     rows = classes.select("key", F.explode("bands").alias("h"))
-    sizes = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("h", "size_h")
+    # tables joined by a key that may be hot are staged: Spark splits such a key between two tables, not beside an aggregate
+    sizes, sizes_at = common.staged(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("h", "size_h"), "near-sizes")
     buckets, buckets_at = common.staged(rows.join(sizes.hint("merge"), F.col("h") == F.col("size_h")).select("h", "key", "m"), "near-buckets")
 
     groups, groups_at = common.staged(components(_stars(buckets.where(F.col("m") > SMALL))).withColumnRenamed("root", "grp"), "near-groups")
@@ -323,7 +324,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sig_b = classes.select(F.col("key").alias("key_b"), F.col("sig").alias("sig_b"))
     candidates = pairs.join(sig_a.hint("merge"), F.col("a") == F.col("key_a")).join(sig_b.hint("merge"), F.col("b") == F.col("key_b")).select("a", "b", "sig", "sig_b")
     left, left_at = common.staged(candidates.mapInArrow(_pruned(threshold), "a long, b long"), "near-candidates")
-    common.remove(spark, buckets_at)
+    common.remove(spark, buckets_at, sizes_at)
 
     # whole sets of the texts that stand for a class in a candidate or a group
     wanted = left.select(F.col("a").alias("w")).unionByName(left.select(F.col("b").alias("w"))).unionByName(groups.select(F.col("node").alias("w"))).distinct()
@@ -338,7 +339,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # groups in blocks: a row goes to as many tasks as its group has blocks
     held = groups.join(classes.select(F.col("key").alias("key_n"), "n").hint("merge"), F.col("node") == F.col("key_n"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
-    counts = held.groupBy("grp").agg(blocks.cast("int").alias("blocks")).withColumnRenamed("grp", "count_grp")
+    counts, counts_at = common.staged(held.groupBy("grp").agg(blocks.cast("int").alias("blocks")).withColumnRenamed("grp", "count_grp"), "near-counts")
     dense = (
         groups.join(counts.hint("merge"), F.col("grp") == F.col("count_grp"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -348,7 +349,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "key", "sig", "shingles")
     )
     inside, inside_at = common.staged(dense.groupBy("grp", "one", "two").applyInArrow(_blocks(threshold), "key long, links long, root long"), "near-inside")
-    common.remove(spark, sets_at, left_at)
+    common.remove(spark, sets_at, left_at, counts_at)
 
     each = links.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("links")).unionByName(inside.select("key", "links"))
     degree = each.groupBy("key").agg(F.sum("links").alias("links")).withColumnRenamed("key", "degree_key")
@@ -360,12 +361,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("class_digest", "rep", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "key").alias("root"))
     )
     named, named_at = common.staged(known, "near-named")
-    smallest = named.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root")
+    smallest, smallest_at = common.staged(named.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root"), "near-smallest")
     named = named.join(smallest.hint("merge"), F.col("root") == F.col("least_root"))
     shown = lambda c: F.when(F.col(c) != LOW, F.col(c))
     out = members.join(named.hint("merge"), F.col("digest") == F.col("class_digest")).select(shown("row_id").alias(id_col), "body", shown("least").alias("class_id"), shown("rep").alias("copy_id"), "n_links")
     result, _ = common.staged(out, "near-result")
-    common.remove(spark, classes_at, members_at, groups_at, links_at, inside_at, roots_at, named_at)
+    common.remove(spark, classes_at, members_at, groups_at, links_at, inside_at, roots_at, named_at, smallest_at)
     return result
 
 

@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from tidemark.llm import common
 
 
+#: Runs of the curve a shuffle partition.
+FINER = 4
+
+
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Index on the Hilbert curve of each row of ``cells`` (columns: dimensions, values below 2**bits).
 
@@ -97,7 +101,8 @@ def write_shards(docs: DataFrame, folder: str, dimensions: list[str], *, id_col:
         raise ValueError(f"columns with names of the result: {sorted(clash)}")
     row = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")])
     keys = [F.col("curve").asc(), F.col(id_col).asc_nulls_first(), row.asc()]
-    runs = with_curve_index(docs, dimensions, bits).repartitionByRange(common.partitions(spark), *keys).sortWithinPartitions(*keys)
+    # rows of long texts lie together on the curve: runs are cut finer, so that theirs stay small in bytes too
+    runs = with_curve_index(docs, dimensions, bits).repartitionByRange(FINER * common.partitions(spark), *keys).sortWithinPartitions(*keys)
     sorted_rows, sorted_at = common.staged(runs.withColumn("place", F.monotonically_increasing_id()), "curve-runs")
     # place is (partition, row in it); one row a partition gives the rows before it
     counts = sorted_rows.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n"))

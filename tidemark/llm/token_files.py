@@ -28,8 +28,9 @@ BYTE_CHARS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in
 #: Words of at most ``LONGEST`` characters whose ids are kept during a task; when half are new, the rest is forgotten.
 KEPT, LONGEST = 400_000, 40
 
-PART = "file string, doc_at long, row_id long, n_tokens long, at_token long"
-PART_ARROW = pa.schema([("file", pa.string()), ("doc_at", pa.int64()), ("row_id", pa.int64()), ("n_tokens", pa.int64()), ("at_token", pa.int64())])
+FILES = "part int, file string, n_docs long, ids long"
+FILES_ARROW = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("ids", pa.int64())])
+DOCS = "file string, doc_at long, row_id long, n_tokens long, at_token long, start long"
 
 
 class Uneven(Exception):
@@ -119,10 +120,12 @@ def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: in
         def flush() -> pa.RecordBatch:
             # of several attempts at a partition each names its files; only the one that succeeds is in the index
             name = f"{part:06d}-{files:05d}-{attempt}.dac"
-            with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(dac.encode(np.frombuffer(b"".join(ids), dtype="<u4"), bits))
             size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(np.arange(len(ids), dtype=np.int64)), pa.array(docs, pa.int64()), pa.array(size), pa.array(np.cumsum(size) - size)], schema=PART_ARROW)
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                codes = dac.encode(np.frombuffer(b"".join(ids), dtype="<u4"), bits)
+                out.write(codes)
+                out.write(dac.directory(docs, size, len(codes)))
+            return pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": len(ids), "ids": int(size.sum())}], schema=FILES_ARROW)
 
         fs.create_dir(root, recursive=True)
         for batch in batches:
@@ -142,13 +145,13 @@ def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: in
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, bits: int = 8, file_tokens: int = 4 << 20) -> DataFrame:
-    """Write the ids of every document, each closed by ``end_id``, to files under ``folder`` in ascending id order.
+    """Write the ids of every document, each closed by ``end_id``, to files under ``folder`` in ascending id order;
+    a file has a directory of its documents behind the codes.
 
-    Returns the index, one row per document row: ``file``, ``doc_at`` (place in the file), ``row_id``, ``n_tokens``
-    (with the end id), ``at_token`` (place of its first id in the file), ``start`` (ids of all documents before it).
-    File names sort in document order. Null and empty texts give the end id alone. Null ids come first. Rows that
-    share an id keep their own entries, in the order of their texts. An empty table gives an empty index. Other
-    columns are ignored, whatever their names.
+    Returns the files, one row each: ``part``, ``file``, ``n_docs``, ``ids`` (how many it holds), ``before`` (ids of all
+    files before it). File names sort in document order. Null and empty texts give the end id alone. Null ids come
+    first. Rows that share an id keep their own entries, in the order of their texts. An empty table gives no files.
+    Other columns are ignored, whatever their names.
     """
     spark = common.tuned(docs.sparkSession)
     ordered = (
@@ -156,10 +159,33 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, *, id_col: str =
         .repartitionByRange(common.partitions(spark), F.col("row_id").asc_nulls_first())
         .sortWithinPartitions(F.col("row_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
-    parts, _ = common.staged(ordered.mapInArrow(_writer(folder, tokenizer, end_id, bits, file_tokens), PART), "token-index")
-    # one row a file; its window is over files, not documents
-    before = parts.groupBy("file").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.sum("ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)))
-    return parts.join(F.broadcast(before.select("file", F.coalesce("before", F.lit(0)).alias("before"))), "file").withColumn("start", F.col("before") + F.col("at_token")).drop("before")
+    files, _ = common.staged(ordered.mapInArrow(_writer(folder, tokenizer, end_id, bits, file_tokens), FILES), "token-files")
+    # running sums over one row a partition, and over the files of each partition
+    parts = files.groupBy("part").agg(F.sum("ids").alias("part_ids")).withColumn("part_before", F.sum("part_ids").over(W.orderBy("part")) - F.col("part_ids"))
+    inside = F.sum("ids").over(W.partitionBy("part").orderBy("file")) - F.col("ids")
+    return files.withColumn("inside", inside).join(parts.hint("merge"), "part").select(*files.columns, (F.col("part_before") + F.col("inside")).alias("before"))
+
+
+def _directories(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
+                with fs.open_input_file(f"{root}/{file}") as stream:
+                    keys, ends = dac.documents(stream.read())
+                size = np.diff(ends, prepend=0)
+                columns = ([file] * len(keys), np.arange(len(keys)), keys, size, ends - size, before + ends - size)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names=["file", "doc_at", "row_id", "n_tokens", "at_token", "start"])
+
+    return common.lean(read)
+
+
+def documents(files: DataFrame, folder: str) -> DataFrame:
+    """One row a document of the files, from their directories: ``file``, ``doc_at`` (place in the file), ``row_id``,
+    ``n_tokens`` (with the end id), ``at_token`` (place of its first id in the file), ``start`` (ids of all documents
+    before it). No files give no rows."""
+    spark = common.tuned(files.sparkSession)
+    return files.select("file", "before").repartition(common.partitions(spark), "file").mapInArrow(_directories(folder), DOCS)
 
 
 def _reader(folder: str):
@@ -175,22 +201,54 @@ def _reader(folder: str):
                 out.append(reader.read(at, at + n).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.binary())], names=["row_id", "start", "n_tokens", "ids"])
 
-    return read
+    return common.lean(read)
+
+
+IDS = "row_id long, start long, n_tokens long, ids binary"
 
 
 def read_tokens(index: DataFrame, folder: str) -> DataFrame:
-    """(row_id, start, n_tokens, ids) of the documents of an index, read from the files. ids: little-endian u32."""
+    """(row_id, start, n_tokens, ids) of chosen rows of ``documents``, each read alone from its file. ids:
+    little-endian u32. Repeated rows come back as often; no rows give none."""
     spark = common.tuned(index.sparkSession)
     by_file = index.select("row_id", "start", "n_tokens", "file", "at_token").repartition(common.partitions(spark), "file").sortWithinPartitions("file", "at_token")
-    return by_file.mapInArrow(_reader(folder), "row_id long, start long, n_tokens long, ids binary")
+    return by_file.mapInArrow(_reader(folder), IDS)
+
+
+def _whole_files(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
+                with fs.open_input_file(f"{root}/{file}") as stream:
+                    raw = stream.read()
+                keys, ends = dac.documents(raw)
+                reader = dac.Reader(raw)
+                size = np.diff(ends, prepend=0)
+                for a in range(0, len(keys), common.ARROW_ROWS):
+                    b = min(a + common.ARROW_ROWS, len(keys))
+                    first = int(ends[a] - size[a])
+                    ids = reader.read(first, int(ends[b - 1])).astype("<u4").tobytes()
+                    cuts = [0, *((ends[a:b] - first) * 4).tolist()]
+                    own = [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array((before + ends - size)[a:b]), pa.array(size[a:b]), pa.array(own, pa.binary())], names=["row_id", "start", "n_tokens", "ids"])
+
+    return common.lean(read)
+
+
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """(row_id, start, n_tokens, ids) of all documents of the files, from nothing but the files and the number of ids
+    before each. No files give no rows."""
+    spark = common.tuned(files.sparkSession)
+    return files.select("file", "before").repartition(common.partitions(spark), "file").mapInArrow(_whole_files(folder), IDS)
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = common.fresh_path(spark, "tokens")
-    index = write_tokens(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(index, folder).select(F.col("row_id").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    files = write_tokens(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_files(files, folder).select(F.col("row_id").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def plain_crc32(ids: list[int]) -> int:

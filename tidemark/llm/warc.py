@@ -105,7 +105,7 @@ def _writer(folder: str, date: str, file_bytes: int):
         if out:
             out.close()
 
-    return write
+    return common.lean(write)
 
 
 def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = 256 << 20) -> DataFrame:
@@ -119,11 +119,14 @@ def write_archive(pages: DataFrame, folder: str, *, id_col: str = "page_id", url
     spark = common.tuned(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sum", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    # one row a payload that occurs twice, counted before the exchange; the join's large keys are split by AQE
-    groups = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sum").alias("group_sum"), "first")
-    joined = rows.join(groups, F.col("sum") == F.col("group_sum"), "left")
+    # one row a payload that occurs twice, counted before the exchange, and staged: between two tables Spark splits the
+    # key of a payload with very many copies, beside an aggregate it cannot
+    twice = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sum").alias("group_sum"), "first")
+    groups, groups_at = common.staged(twice, "warc-groups")
+    joined = rows.join(groups.hint("merge"), F.col("sum") == F.col("group_sum"), "left")
     again = F.col("group_sum").isNotNull() & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     index, _ = common.staged(joined.select("page_id", "url", "html", "first", again.alias("again")).mapInArrow(_writer(folder, date, file_bytes), INDEX_SQL), "warc-index")
+    common.remove(spark, groups_at)
     return index
 
 
@@ -166,7 +169,7 @@ def _reader(folder: str, gap: int, most: int, payloads: bool):
         if stream:
             stream.close()
 
-    return read
+    return common.lean(read)
 
 
 def read_records(index: DataFrame, folder: str, *, gap: int = 64 << 10, most: int = 8 << 20, payloads: bool = True) -> DataFrame:
