@@ -37,7 +37,7 @@ def test_encoder_equals_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(["a", " ", "  ", "\n", "'s", "9", "!", "é", "\xa0", " ", "\x1f", "the", " of"], k=rng.randrange(40))) for _ in range(400)]
-    texts += ["the, cat. sat,", "a,b.\nc d.", "ab.\n\ncd", "x\n y", "\nx y", "y z\n", "Straße, ½. ²,", " lead", " , .", "a.\n b"]
+    texts += ["the, cat. sat,", "a,b.\nc d.", "ab.\n\ncd", "x\n y", "\nx y", "y z\n", "Straße, ½. ²,", " lead", " , .", "a.\n b", "HEAT!! it%%% *** x's, y', _a_ b_ c-- (d) é... ½% a1. '' 'tis!? don't!\nyes'.\n\n!!"]
     encoder = token_files.Encoder(path)
     for text in texts:
         got = encoder.encode(text)

@@ -25,8 +25,11 @@ SPECIAL = "<|endoftext|>"
 #: The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: b if b in PRINTABLE else 256 + sum(x not in PRINTABLE for x in range(b)) for b in range(256)}
+#: ASCII punctuation but for the apostrophe, which may begin a contraction.
+PUNCTUATION = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+SPACE_CHAR = chr(BYTE_CHARS[32])
 #: Words of at most ``LONGEST`` characters whose ids are kept during a task; when half are new, the rest is forgotten.
-KEPT, LONGEST = 400_000, 40
+KEPT, LONGEST = 800_000, 40
 
 FILES = "part int, file string, n_docs long, ids long"
 FILES_ARROW = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("ids", pa.int64())])
@@ -37,19 +40,40 @@ class Uneven(Exception):
     """A word begins or ends with white space: the text has to be cut with more care."""
 
 
-class Words(dict):
-    """Ids, as bytes, of words that follow one space; each is encoded when first seen."""
+class Marks(dict):
+    """Ids of runs of punctuation behind letters, where the pre-tokenizer begins a new piece."""
 
     def __init__(self, encoder: "Encoder"):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder = encoder
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.encoder.library(run)
+        if len(run) <= LONGEST and len(self) < KEPT // 100:
+            self[run] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids, as bytes, of words that follow ``lead``, one space or nothing; each is encoded when first seen."""
+
+    def __init__(self, encoder: "Encoder", lead: str):
+        super().__init__()
+        self.encoder, self.lead, self.old = encoder, lead, {}
+        self.marks, self.letters = encoder.marks, encoder.letters if encoder.direct else None
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Uneven
         ids = self.old.get(word)
         if ids is None:
-            ids = self.encoder.piece(" " + word)
+            # letters, and letters before punctuation, are most of the words: no other look at them
+            if self.letters and word.isalpha():
+                ids = self.letters(self.lead + word)
+            elif self.letters and (bare := word.rstrip(PUNCTUATION)) != word and bare.isalpha():
+                ids = self[bare] + self.marks[word[len(bare) :]]
+            elif not word or word[0].isspace() or word[-1].isspace():
+                raise Uneven
+            else:
+                ids = self.encoder.piece(self.lead + word)
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -73,31 +97,43 @@ class Encoder:
         settings = json.loads(self.tokenizer.to_str())
         # letters behind at most one space are one piece of a byte-level pre-tokenizer: no need to look for others
         self.direct = settings["normalizer"] is None and (settings["pre_tokenizer"] or {}).get("type") == "ByteLevel"
-        self.words = Words(self)
+        self.tokens = self.tokenizer.model.tokenize
         self.line_break = self.library("\n")
-        self.marks = {x: self.library(x) for x in (",", ".")}
+        self.marks = Marks(self)
+        self.words, self.heads = Words(self, " "), Words(self, "")
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, piece: str) -> bytes:
         """A piece without white space at its end, and at its beginning none or one space. A line break between
-        other characters stands alone; so does a comma or a full stop behind letters alone."""
+        other characters stands alone."""
         if "\n" in piece:
             head, *tail = piece.split("\n")
             if head.strip(" ") and all(x and not x[0].isspace() and not x[-1].isspace() for x in tail) and not head[-1].isspace():
                 return self.line_break.join([self.piece(head), *map(self.piece, tail)])
         word = piece.removeprefix(" ")
-        if word[-1:] in self.marks and word[:-1].isalpha():
-            return (self.words[word[:-1]] if piece[0] == " " else self.piece(word[:-1])) + self.marks[word[-1]]
         if self.direct and word.isalpha():
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            return self.letters(piece)
         return self.library(piece)
 
+    def letters(self, piece: str) -> bytes:
+        """Letters behind at most one space, by the model alone."""
+        spelt = piece.replace(" ", SPACE_CHAR) if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.tokens(spelt)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text or SPECIAL in text:
             return self.library(text)
+        try:  # lines without white space at their ends: a line break between them stands alone
+            lines = []
+            for line in text.split("\n"):
+                head, *tail = line.split(" ")
+                lines.append(self.heads[head] + b"".join(map(self.words.__getitem__, tail)))
+            return self.line_break.join(lines)
+        except Uneven:
+            pass
         head, *tail = text.split(" ")
         try:
             if head[-1:].isspace():
@@ -130,6 +166,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, bits: int, file_tokens: in
         fs.create_dir(root, recursive=True)
         for batch in batches:
             encoder.words.age()
+            encoder.heads.age()
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = encoder.encode(text or "")
                 docs.append(key)
