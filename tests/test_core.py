@@ -1,5 +1,9 @@
 import math
+import os
 import random
+import sys
+import types
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -55,15 +59,18 @@ def test_segments(spark):
 # ---- neighbours ----------------------------------------------------------------------------------------------------
 
 
-def test_nearest_both_ways(spark):
+def test_nearest_equals_a_plain_sort(spark):
     rng = np.random.default_rng(0)
-    make = lambda n, key: spark.createDataFrame([(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(n)], f"{key} long, vector array<double>")
-    q, b = make(40, "query_id"), make(23, "bank_id")
-    one = rows(knn.by_expressions(q, b, 5), "query_id", "rank", "bank_id", "score")
-    for block in (1 << 20, 400):
-        assert rows(knn.by_matrix(q, b, 5, block_bytes=block), "query_id", "rank", "bank_id", "score") == one
-    assert knn.nearest(q, b, 50, pairs_limit=0).count() == 40 * 23
-    assert knn.nearest(q, b.limit(0), 3, pairs_limit=-1).count() == 0
+    data = {name: [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(n)] for name, n in (("query_id", 40), ("bank_id", 23))}
+    q, b = (spark.createDataFrame(data[name] + [(99, None)], f"{name} long, vector array<double>") for name in ("query_id", "bank_id"))
+    want = []
+    for i, x in data["query_id"]:
+        scores = sorted((-float(np.dot(x, y)), j) for j, y in data["bank_id"])
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:5])]
+    for block in (1 << 20, 400, 8):
+        assert rows(knn.nearest(q, b, 5, block_bytes=block), "query_id", "rank", "bank_id", "score") == want
+    assert knn.nearest(q, b, 50).count() == 40 * 23
+    assert knn.nearest(q, b.limit(0), 3).count() == 0 and knn.nearest(q.limit(0), b, 3).count() == 0
 
 
 # ---- votes, tracks, folds ------------------------------------------------------------------------------------------
@@ -109,6 +116,7 @@ def test_votes_and_gate(spark):
     w = tracks.vote_windows(spark.createDataFrame(f, "video string, pos long, ts double, clip string, clip_ts double, score double, gate double"), 2)
     assert rows(w, "video", "win", "clip", "votes", "gate") == [("v", 0, "a", 1, 2.0), ("v", 1, "c", 1, 0.5), ("w", 0, "z", 1, None)]
     assert rows(tracks.passing_windows(w, gate_threshold=1.5, score_threshold=0.2), "video", "win") == [("v", 0), ("w", 0)]
+    assert tuple(tracks.gate_counts(w, gate_threshold=1.5, score_threshold=0.2).first()) == (3, 2, 1)
 
 
 def test_min_gap(spark):
@@ -117,8 +125,26 @@ def test_min_gap(spark):
     assert tracks.min_gap(hits, 0.0, ["tv", "clip"]).count() == 6
 
 
+def test_min_gap_equals_a_plain_fold(spark):
+    rng = random.Random(12)
+    data = [(rng.choice("tu"), rng.choice("cd"), float(rng.choice([rng.randrange(60), rng.randrange(400)])), 1.0, rng.randrange(9) / 8) for _ in range(300)]
+    want = []
+    for key in sorted({x[:2] for x in data}):
+        kept = []
+        for hit in sorted(x[2:] for x in data if x[:2] == key):
+            if kept and hit[0] - kept[-1][0] < 4.0:
+                kept[-1] = hit if hit[2] > kept[-1][2] else kept[-1]
+            else:
+                kept.append(hit)
+        want += [(*key, *x) for x in kept]
+    hits = spark.createDataFrame(data, "tv string, clip string, start double, length double, score double")
+    assert rows(tracks.min_gap(hits, 4.0, ["tv", "clip"]), "tv", "clip", "start", "length", "score") == sorted(want)
+
+
 def test_finalise(spark):
-    t = spark.createDataFrame([("v", "s", 0, 8, 0.0), ("v", "l", 0, 20, 5.0), ("v", "u", 0, 3, 9.0), ("v", "l", 0, 89, 1.0)], "video string, clip string, first_pos long, last_pos long, t0 double").withColumn("best", F.lit(0.9))
+    t = spark.createDataFrame([("v", "s", 0, 9, 0.0), ("v", "l", 0, 20, 5.0), ("v", "u", 0, 4, 9.0), ("v", "l", 0, 90, 1.0), ("v", "s", 0, 8, 2.0)], "video string, clip string, first_pos long, last_pos long, t0 double")
+    # observed is from the first sample's time to the last one's: nine samples at 3 a second are 8/3 seconds
+    t = t.withColumn("best", F.lit(0.9)).withColumn("t1", F.col("t0") + F.col("last_pos") / 3)
     clips = spark.createDataFrame([("s", 5.0), ("l", 30.0), ("u", 0.0)], "clip string, duration double")
     got = tracks.finalise(t, clips, coverage=0.6, coverage_long=0.9, min_frames=3, min_frames_long=40)
     assert [(c, s, round(n, 4)) for c, s, n in rows(got, "clip", "start", "length")] == [("l", 1.0, 30.0), ("s", 0.0, 5.0), ("u", 9.0, 1.3333)]
@@ -155,6 +181,10 @@ def test_detectors_end_to_end(spark):
     clips = spark.createDataFrame([("one", 10.0, 1), ("two", 10.0, 2)], "clip string, duration double, clip_order int")
     got = pipelines.neighbour_detections(near, clips, window_sec=2 / 3, score_threshold=0.8, offset_tolerance=2.0, min_gap=4.0).collect()
     assert [(r["tv"], r["clip"], r["length"]) for r in got] == [("t", "one", 10.0)] and abs(got[0]["start"] - 40 / 3) < 0.5
+    for rate, same in ((3.0, True), (30.0, False), (None, True)):  # at 30 a second a window has 20 samples
+        rates = spark.createDataFrame([("t", rate), ("other", 99.0)], "video string, sampled_fps double")
+        own = pipelines.neighbour_detections(near, clips, rates=rates, fps=3.0, window_sec=2 / 3, score_threshold=0.8, offset_tolerance=2.0, min_gap=4.0).collect()
+        assert (own == got) == same
     curve = spark.createDataFrame([("t", i, 5.0 if i < 20 else 0.0) for i in range(120)], "video string, pos long, combined_activity double")
     assert pipelines.neighbour_detections(near, clips, curve, window_sec=2 / 3, score_threshold=0.8, offset_tolerance=2.0).count() == 0
     frames = spark.createDataFrame(frame("tv", "t", tv), kind)
@@ -179,13 +209,47 @@ def test_evaluation(spark):
     assert set(m) == {0.9, 0.7, 0.0} and (m[0.9]["ok"], m[0.9]["bad"], m[0.9]["dup"], m[0.9]["total"]) == (1, 1, 1, 3)
     assert m[0.7]["recall"] == 2 / 3 and m[0.7]["precision"] == 0.5 and m[0.9]["task"] == 0.0
     assert best.first()["threshold"] == 0.9
-    lines = [r["line"] for r in evaluate.report_lines(labels).collect()]
-    assert lines[0].startswith("OK t\t0.0\t10.0\tc\t0.9 //IoU=100% (gt=1)") and lines[1].startswith("dp") and lines[2].startswith("--")
+    lines = [r["line"] for r in evaluate.report_lines(labels, gt).collect()]
+    assert lines[:3] == [" OK) t 0.0 10.0 c 0.9  //IoU=100% (gt=0.0 10.0)", " dp) t 1.0 10.0 c 0.9", " --) t 50.0 5.0 c 0.8"]
     assert evaluate.summary(best).first()["precision"] == 50.0
     nothing = pipelines.evaluation(det, gt.limit(0))[1].collect()
     assert [(r["threshold"], r["ok"], r["bad"], r["task"]) for r in nothing] == [(0.0, 0, 5, 0.0)]
 
 
+def test_sweep_is_the_same_over_any_ranges(spark):
+    rng = random.Random(3)
+    data = [(rng.choice([0.0, 0.5, round(rng.random(), 3)]), rng.choice(["ok", "bad", "dup"]), rng.random()) for _ in range(400)]
+    labels = spark.createDataFrame(data, "score double, label string, iou double")
+    total = spark.createDataFrame([(500,)], "total long")
+    want = {}
+    for t in {0.0, *(s for s, x, _ in data if x == "ok")}:
+        want[t] = tuple(sum(s >= t and x == kind for s, x, _ in data) for kind in ("ok", "bad", "dup"))
+    for n in ("1", "2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = evaluate.sweep(labels, total).collect()
+        assert {r["threshold"]: (r["ok"], r["bad"], r["dup"]) for r in got} == want
+        assert all(math.isclose(r["mean_iou"], sum(i for s, x, i in data if x == "ok" and s >= r["threshold"]) / r["ok"]) for r in got if r["ok"])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.skipif("EVALUATION_DATA" not in os.environ, reason="set EVALUATION_DATA to a folder with published detections and their ground truth")
+def test_published_evaluation(spark):
+    """The published operating point from the published files: the only ones below the folder whose lines all have
+    four columns (truth), or five with most rows (detections)."""
+    found = {}
+    for path in sorted(Path(os.environ["EVALUATION_DATA"]).rglob("*.txt")):
+        lines = [x for x in path.read_text(errors="replace").splitlines() if x and not x.startswith("#")]
+        kinds = {x.count("\t") for x in lines}
+        if kinds in ({3}, {4}) and len(lines) > found.get(min(kinds), (0, ""))[0]:
+            found[min(kinds)] = (len(lines), str(path))
+    truth = tables.read_intervals(spark, found[3][1], False)[0].withColumnRenamed("line_no", "gt_id").drop("score")
+    detections = tables.read_intervals(spark, found[4][1], True)[0].withColumnRenamed("line_no", "det_id")
+    labels, metrics, best = pipelines.evaluation(detections, truth)
+    got = evaluate.summary(best).first().asDict()
+    assert got == {"threshold": 0.9924, "precision": 89.0, "recall": 78.6, "f1": 0.835, "mean_iou": 0.397, "ok": 81, "bad": 10, "dup": 61, "total": 103, "task": 68.9}
+    assert {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()} == {"ok": 92, "bad": 298, "dup": 148}
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -211,6 +275,19 @@ def test_manifests_and_scans(spark, tmp_path):
     (tmp_path / "array.json").write_text('[{"category": "tv", "source_path": "/v/b.c.mp4", "num_frames": 4}]')
     assert rows(tables.read_manifest(spark, f"{tmp_path}/m"), "key", "num_frames") == [("tv::a", 3)]
     assert rows(tables.read_manifest(spark, f"{tmp_path}/array.json"), "key", "num_frames") == [("tv::b.c", 4)]
+    many = spark.createDataFrame([("tv" if i % 2 else "commercials", f"/v/clip{i % 4}.mp4", "o", i, 30.0, 1.0 + i, 1.0, 10.0, 268) for i in range(12)], schema.VIDEOS)
+    tables.write_manifest(many.coalesce(1), f"{tmp_path}/many")
+    back = tables.read_manifest(spark, f"{tmp_path}/many")
+    assert rows(back, "num_frames") == [(i,) for i in range(12)]
+    assert rows(tables.latest(back), "video", "num_frames") == [(f"clip{i}", 8 + i) for i in range(4)]
+    assert rows(tables.latest(back, "key"), "key") == [("commercials::clip0",), ("commercials::clip2",), ("tv::clip1",), ("tv::clip3",)]
+    assert rows(tables.sampling_rates(back), "video", "sampled_fps") == [(f"clip{i}", 9.0 + i) for i in range(4)]
+    (tmp_path / "curves.json").write_text('\n [\n {"category": "tv", "source_path": "x/a.npz",\n "output_path": "one"},\n {"category": "commercials", "source_path": "x/b.npz", "output_path": "two"},\n {"category": "tv", "source_path": "y/a.npz", "output_path": "three"}]')
+    assert rows(tables.curve_paths(tables.read_manifest(spark, f"{tmp_path}/curves.json", schema.CURVE_FILES)), "video", "output_path") == [("a", "three")]
+    (tmp_path / "empty.json").write_text("[]")
+    assert tables.read_manifest(spark, f"{tmp_path}/empty.json").count() == 0
+    assert not tables.write_manifest(many.limit(0), f"{tmp_path}/many", even_empty=False) and tables.read_manifest(spark, f"{tmp_path}/many").count() == 12
+    assert tables.write_manifest(many.limit(0), f"{tmp_path}/none") and tables.videos_in(spark, f"{tmp_path}/nowhere", "tv").count() == 0
     f = spark.createDataFrame([("tv", "a", 0, 1.0), ("tv", "b", 0, 2.0)], "category string, video string, pos int, ts double")
     tables.write_partitioned(f, f"{tmp_path}/frames")
     tables.write_partitioned(f.where("video = 'a'").withColumn("ts", F.lit(9.0)), f"{tmp_path}/frames")
@@ -221,10 +298,38 @@ def test_manifests_and_scans(spark, tmp_path):
 def test_video_source_to_vectors(spark, tmp_path):
     np.savez(tmp_path / "clip.npz", fps=6.0, frames=np.random.default_rng(0).integers(0, 255, (9, 10, 14)))
     spark.dataSource.register(video.FrameSource)
-    frames = spark.read.format("frames").option("paths", str(tmp_path / "clip.npz")).load()
+    # a file that cannot be opened is skipped
+    frames = spark.read.format("frames").option("paths", f"{tmp_path / 'clip.npz'},{tmp_path / 'absent.npz'}").load()
     assert rows(frames, "video", "pos", "frame_idx", "ts") == [("clip", i, 2 * i, i / 3) for i in range(4)]
     v = topology.frame_vectors(topology.with_diagrams(frames, grid=12)).select("features", "h0").collect()
     assert all(len(r["features"]) == 268 and r["features"][0] == len(r["h0"]) for r in v)
+    with pytest.raises(ValueError):
+        topology.with_diagrams(frames.withColumn("cells", F.lit(1)))
+
+
+def test_video_files_by_a_library(monkeypatch):
+    class Video:
+        def __init__(self, path):
+            self.path, self.at = path, 0
+
+        def isOpened(self):  # noqa: N802
+            return self.path == "good.mp4"
+
+        def get(self, what):
+            return {"fps": 6.0, "count": 9.0}[what]
+
+        def set(self, what, index):
+            self.at = index
+
+        def read(self):
+            return self.at < 7, [[self.at]]
+
+    fake = types.SimpleNamespace(VideoCapture=Video, CAP_PROP_POS_FRAMES="pos", CAP_PROP_FPS="fps", CAP_PROP_FRAME_COUNT="count", COLOR_BGR2GRAY=0, cvtColor=lambda frame, kind: frame)
+    monkeypatch.setitem(sys.modules, "cv2", fake)
+    reader = video.FrameReader({"paths": "good.mp4", "fps": "3", "decoder": "tidemark.sources.video:opencv_decoder"})
+    assert [(r[1], r[2], r[6]) for r in reader.read(reader.partitions()[0])] == [(0, 0, [0.0]), (1, 2, [2.0]), (2, 4, [4.0]), (3, 6, [6.0])]
+    with pytest.warns(UserWarning, match="skipped"):
+        assert list(reader.read(video.FramePartition("bad.mp4"))) == []
 
 
 def test_scalars(spark):
@@ -232,8 +337,8 @@ def test_scalars(spark):
     assert [x["frame_idx"] for x in plan] == [round(i * 9.99) for i in range(10)]
     with pytest.raises(Exception, match="positive"):
         spark.range(1).select(scalars.sampling_plan(F.lit(0.0), F.lit(3.0), F.lit(9))).collect()
-    got = spark.range(1).select(scalars.base_name(F.lit("/a/b\\C d.MPG")).alias("b"), scalars.stem(F.lit("x/y.tar.gz")).alias("s"), scalars.number(F.lit(" 1.5 ")).alias("n"), scalars.number(F.lit("1_0")).alias("m"), scalars.duration(F.lit(9), F.lit(0.0)).alias("d")).first()
-    assert tuple(got) == ("c d", "y.tar", 1.5, None, 0.0)
+    got = spark.range(1).select(scalars.base_name(F.lit("/a/b\\C d.MPG")).alias("b"), scalars.stem(F.lit("x/y.tar.gz")).alias("s"), scalars.number(F.lit(" 1.5 ")).alias("n"), scalars.number(F.lit("1_0")).alias("m"), scalars.duration(F.lit(9), F.lit(0.0)).alias("d"), scalars.stride(F.lit(30.0), F.lit(3.0)).alias("t"), scalars.stride(F.lit(30.0), F.lit(0.0)).alias("z")).first()
+    assert tuple(got) == ("c d", "y.tar", 1.5, None, 0.0, 10.0, 0.0)
 
 
 # ---- topology ------------------------------------------------------------------------------------------------------
@@ -256,12 +361,41 @@ def test_known_diagrams():
     assert np.isclose(topology.area_mean(np.ones((5, 7)), 3), 1).all()
 
 
+def parts(mask, eight):
+    """Components of the true cells by spreading labels until nothing changes: a label of each."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    steps = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y or x) and (eight or not (y and x))]
+    while True:
+        ring = np.pad(label, 1)
+        new = label.copy()
+        for y, x in steps:
+            new = np.where(mask, np.maximum(new, ring[1 + y : 1 + y + mask.shape[0], 1 + x : 1 + x + mask.shape[1]]), 0)
+        if (new == label).all():
+            return set(label[mask].tolist())
+        label = new
+
+
+def test_diagrams_equal_counts_of_parts_and_holes():
+    """At every threshold: dark parts, and bright parts shut in by dark ones, counted on the whole image."""
+    rng = np.random.default_rng(4)
+    for shape in ((1, 9), (6, 7), (8, 8), (12, 5)):
+        for levels in (3, 6, 1000):
+            image = rng.integers(0, levels, shape) / levels
+            h0, h1 = topology.diagrams(image)
+            for t in np.unique(image):
+                dark = image <= t
+                bright = np.pad(~dark, 1, constant_values=True)  # all that lies outside is one bright part
+                alive = lambda d: sum(b <= t < e for b, e in d)  # noqa: B023, E731
+                assert alive(h0) + 1 == len(parts(dark, True)) and alive(h1) + 1 == len(parts(bright, False))
+
+
 def test_persistence_image(spark):
     dgm = [(0.1, 0.4), (0.2, 0.9)]
-    df = spark.createDataFrame([([{"birth": b, "death": d} for b, d in dgm],), ([],)], "d array<struct<birth:double,death:double>>")
+    df = spark.createDataFrame([([{"birth": b, "death": d} for b, d in dgm],), ([],), (None,)], "d array<struct<birth:double,death:double>>")
     got = [r[0] for r in df.select(vectors.persistence_image(F.col("d"))).collect()]
+    assert got.pop() is None
     grid = np.linspace(0, 1, 16)
     want = sum((d - b) * np.exp(-((b - grid[None, :]) ** 2 + (d - b - grid[:, None]) ** 2) / (2 * 0.05**2)) for b, d in dgm).ravel()
     assert np.allclose(got[0], want) and got[1] == [0.0] * 256
-    stats = df.select(vectors.moments(vectors.lifetimes(F.col("d"))).alias("m")).select("m.*").collect()
+    stats = df.limit(2).select(vectors.moments(vectors.lifetimes(F.col("d"))).alias("m")).select("m.*").collect()
     assert np.allclose(tuple(stats[0]), (2, 1.0, 0.7, 0.5, 0.2)) and tuple(stats[1]) == (0.0,) * 5

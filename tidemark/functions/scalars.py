@@ -47,6 +47,11 @@ def duration(frames: Column, fps: Column) -> Column:
     return F.when(fps > 0, frames / fps).otherwise(F.lit(0.0))
 
 
+def stride(native_fps: Column, target_fps: Column) -> Column:
+    """Native frames from one sample to the next; 0 without a target."""
+    return F.when(target_fps > 0, native_fps / target_fps).otherwise(F.lit(0.0))
+
+
 def sampling_plan(native_fps: Column, target_fps: Column, frames: Column) -> Column:
     """Array of (frame_idx, ts): every native/target-th frame, half-even, while inside the video."""
     bad = ~((native_fps > 0) & (target_fps > 0))

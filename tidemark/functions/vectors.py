@@ -1,7 +1,10 @@
-"""Array-valued columns: linear algebra, scaling and statistics with higher-order functions, in double precision."""
+"""Array-valued columns: linear algebra, scaling and statistics with higher-order functions, in double precision;
+persistence images in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,20 +94,26 @@ def curves(v: Column) -> dict[str, Column]:
 def persistence_image(diagram: Column, *, bandwidth: float = 0.05, resolution: int = 16, low: float = 0.0, high: float = 1.0, weight: str = "persistence") -> Column:
     """Weighted Gaussians on a grid over (birth, persistence), birth running fastest.
 
-    weight: ``persistence``, or ``difference`` for persistence minus birth.
+    weight: ``persistence``, or ``difference`` for persistence minus birth. A null diagram gives null. A Gaussian is
+    the product of one along each axis, so an image is a product of two small matrices: in Arrow batches that takes
+    32 exponentials a pair, where an expression over all cells takes 256.
     """
-    step = (high - low) / (resolution - 1)
-    cells = F.sequence(F.lit(0), F.lit(resolution * resolution - 1))
+    axis = low + np.arange(resolution) * ((high - low) / (resolution - 1))
     share = 1.0 / (2.0 * bandwidth * bandwidth)
 
-    def cell(c: Column) -> Column:
-        x, y = F.lit(low) + (c % resolution) * step, F.lit(low) + F.floor(c / resolution) * step
-
-        def add(acc: Column, p: Column) -> Column:
-            birth, life = p["birth"], p["death"] - p["birth"]
-            w = life if weight == "persistence" else life - birth
-            return acc + w * F.exp(-((birth - x) * (birth - x) + (life - y) * (life - y)) * share)
-
-        return F.aggregate(diagram, F.lit(0.0), add)
-
-    return F.transform(cells, cell)
+    @F.arrow_udf("array<double>")
+    def image(births: pa.Array, deaths: pa.Array) -> pa.Array:
+        size = births.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        b, d = (x.flatten().to_numpy(zero_copy_only=False) for x in (births, deaths))
+        life = d - b
+        along_birth = np.exp(-((b[:, None] - axis) ** 2) * share)
+        along_life = np.exp(-((life[:, None] - axis) ** 2) * share) * (life if weight == "persistence" else life - b)[:, None]
+        ends = np.cumsum(size)
+        out = np.zeros((len(size), resolution * resolution))
+        for k, (x, y) in enumerate(zip((ends - size).tolist(), ends.tolist())):
+            if x < y:
+                out[k] = (along_life[x:y].T @ along_birth[x:y]).ravel()
+        offsets = pa.array(np.arange(len(size) + 1, dtype=np.int32) * resolution * resolution)
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=births.is_null())
+
+    return image(F.transform(diagram, lambda p: p["birth"].cast("double")), F.transform(diagram, lambda p: p["death"].cast("double")))

@@ -52,14 +52,22 @@ def label(detections: DataFrame, truth: DataFrame, bucket: float | None = None)
 def sweep(labels: DataFrame, total_truth: DataFrame) -> DataFrame:
     """Metrics at each threshold: the scores of ok detections, and 0. ``total_truth``: one row, column ``total``.
 
-    Duplicates do not lower the precision. Counts of each distinct score are made first; the running sums then go
-    over those.
+    Duplicates do not lower the precision. Counts of each distinct score are made first. The running sums go over
+    ranges of scores, each in a task of its own, behind the sums of the ranges above: the ranges are cut at quantiles,
+    as many as there are shuffle partitions, and only those cuts reach the driver.
     """
     at = labels.groupBy("score").agg(*[F.count_if(F.col("label") == x).alias(x) for x in ("ok", "bad", "dup")], F.sum(F.when(F.col("label") == "ok", F.col("iou")).otherwise(0.0)).alias("iou"))
     at = at.unionByName(at.sparkSession.range(1).select(F.lit(0.0).alias("score"), *[F.lit(0).cast("long").alias(x) for x in ("ok", "bad", "dup")], F.lit(0.0).alias("iou")))
     at = at.groupBy("score").agg(*[F.sum(x).alias(x) for x in ("ok", "bad", "dup", "iou")])
-    down = W.orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    run = at.select("score", (F.col("ok") > 0).alias("own"), *[F.sum(x).over(down).alias(x) for x in ("ok", "bad", "dup", "iou")]).where("own or score = 0")
+    parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = labels.agg(F.percentile_approx(F.col("score").cast("double"), [k / parts for k in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else None
+    cuts = sorted(set(cuts or []))
+    at = at.withColumn("part", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c >= F.col("score"))))
+    counts = ("ok", "bad", "dup", "iou")
+    above = at.groupBy("part").agg(*[F.sum(x).alias(f"part_{x}") for x in counts])  # a row a range
+    above = above.select("part", *[(F.sum(f"part_{x}").over(W.orderBy("part")) - F.col(f"part_{x}")).alias(f"above_{x}") for x in counts])
+    down = W.partitionBy("part").orderBy(F.col("score").desc())
+    run = at.join(F.broadcast(above), "part").select("score", (F.col("ok") > 0).alias("own"), *[(F.col(f"above_{x}") + F.sum(x).over(down)).alias(x) for x in counts]).where("own or score = 0")
     m = run.crossJoin(F.broadcast(total_truth))
     some = F.col("ok") > 0
     ratio = lambda a, b: F.when(some, F.try_divide(a, b)).otherwise(F.lit(0.0))
@@ -78,12 +86,16 @@ def total_truth(truth: DataFrame, detections: DataFrame) -> DataFrame:
     return relevant(truth, detections).agg(F.count("*").alias("total"))
 
 
-def report_lines(labels: DataFrame) -> DataFrame:
-    """(det_id, line) in order of the ids: a mark, the row, and for ok the overlap in percent and the truth's id."""
+def report_lines(labels: DataFrame, truth: DataFrame) -> DataFrame:
+    """(det_id, line) in order of the ids: a mark, the row, and for ok the overlap in percent, and start and length of
+    the truth claimed."""
+    text = lambda c: F.col(c).cast("string")
     mark = F.when(F.col("label") == "ok", "OK").when(F.col("label") == "dup", "dp").otherwise("--")
-    row = F.concat_ws("\t", "tv", F.col("start").cast("string"), F.col("length").cast("string"), "clip", F.col("score").cast("string"))
-    tail = F.when(F.col("label") == "ok", F.format_string(" //IoU=%d%% (gt=%d)", F.bround(100 * F.col("iou")).cast("long"), "gt_id")).otherwise("")
-    return labels.select("det_id", F.concat(mark, F.lit(" "), row, tail).alias("line")).orderBy("det_id")
+    row = F.concat_ws(" ", "tv", text("start"), text("length"), "clip", F.coalesce(text("score"), F.lit("None")))
+    claimed = truth.select(F.col("gt_id").alias("claimed_id"), F.col("start").alias("gt_start"), F.col("length").alias("gt_length"))
+    both = labels.join(claimed, (F.col("gt_id") == F.col("claimed_id")) & (F.col("label") == "ok"), "left")
+    tail = F.when(F.col("label") == "ok", F.concat(F.lit("  //IoU="), F.bround(100 * F.col("iou")).cast("long").cast("string"), F.lit("% (gt="), text("gt_start"), F.lit(" "), text("gt_length"), F.lit(")"))).otherwise("")
+    return both.select("det_id", F.concat(F.lit(" "), mark, F.lit(") "), row, tail).alias("line")).orderBy("det_id")
 
 
 def summary(best: DataFrame) -> DataFrame:

@@ -1,83 +1,78 @@
 """Exact k nearest neighbours by dot product.
 
-The query side is never moved. The bank goes to all tasks in blocks of a bounded size: one pass over the queries for
-each block, whose candidates meet in a top-k per query.
+Both sides are dealt into blocks by a hash of their keys, every block of queries meets every block of the bank in one
+task as two matrices, and the candidates of all blocks meet in a top-k per query. Nothing goes through the driver but
+the two sizes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
 
-#: Bytes of bank vectors that a task holds at once.
+#: Bytes of vectors of either side that a task holds, and of the scores it makes at once.
 BLOCK_BYTES = 64 << 20
-#: Query rows multiplied at once.
-ROWS = 2048
-
-
-def _best(df: DataFrame, query: str, bank: str, k: int) -> DataFrame:
-    order = W.partitionBy(query).orderBy(F.col("score").desc(), F.col(bank).asc())
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def by_expressions(queries: DataFrame, bank: DataFrame, k: int, query: str = "query_id", key: str = "bank_id", vector: str = "vector") -> DataFrame:
-    """For small inputs: all pairs with built-in functions; the bank is broadcast."""
-    q = queries.select(query, F.col(vector).alias("q"))
-    pairs = q.crossJoin(F.broadcast(bank.select(key, F.col(vector).alias("b"))))
-    return _best(pairs.select(query, key, vectors.dot(F.col("q"), F.col("b")).alias("score")), query, key, k)
-
-
-def _scorer(keys: np.ndarray, matrix: np.ndarray, k: int, query: str, key: str):
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), ROWS):
-                part = frame.iloc[at : at + ROWS]
-                scores = np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T
-                kept = min(k, scores.shape[1])
-                # all that reach the k-th score stay in, so that ties are settled by the key and not by the partition
-                bound = np.partition(scores, scores.shape[1] - kept, axis=1)[:, scores.shape[1] - kept]
-                row, col = np.nonzero(scores >= bound[:, None])
-                order = np.lexsort((keys[col], -scores[row, col], row))
-                row, col = row[order], col[order]
-                first = np.searchsorted(row, np.arange(len(part)))
-                best = np.arange(len(row)) - first[row] < kept
-                row, col = row[best], col[best]
-                yield pd.DataFrame({query: part[query].to_numpy()[row], key: keys[col], "score": scores[row, col]})
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(whole), -1)
+
+
+def _scorer(k: int, query: str, key: str):
+    names = [query, key, "score"]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        queries, keys = left.column(query).to_numpy(), right.column(key).to_numpy()
+        q, bank = _matrix(left.column("q")), _matrix(right.column("b"))
+        kept, step, parts = min(k, len(keys)), max(1, BLOCK_BYTES // 8 // len(keys)), []
+        for at in range(0, len(queries), step):
+            scores = q[at : at + step] @ bank.T
+            # all that reach the k-th score stay in, so that ties are settled by the key and not by the block
+            bound = np.partition(scores, scores.shape[1] - kept, axis=1)[:, scores.shape[1] - kept]
+            row, col = np.nonzero(scores >= bound[:, None])
+            order = np.lexsort((keys[col], -scores[row, col], row))
+            row, col = row[order], col[order]
+            best = np.arange(len(row)) - np.searchsorted(row, np.arange(len(scores)))[row] < kept
+            row, col = row[best], col[best]
+            parts.append((queries[at + row], keys[col], scores[row, col]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
 
     return score
 
 
-def by_matrix(queries: DataFrame, bank: DataFrame, k: int, query: str = "query_id", key: str = "bank_id", vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For large inputs: matrix products in Python tasks, one pass over the queries for each block of the bank."""
-    size, width = bank.agg(F.count("*"), F.max(F.size(vector))).first()
-    blocks = max(1, math.ceil(size * (width or 1) * 8 / block_bytes))
-    sides = []
-    q = queries.select(query, F.col(vector).alias("vector"))
-    for b in range(blocks):
-        block = (bank if blocks == 1 else bank.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)).select(key, vector).toPandas()
-        if len(block):
-            matrix = np.stack(block[vector].to_numpy()).astype(np.float64)
-            sides.append(q.mapInPandas(_scorer(block[key].to_numpy(), matrix, k, query, key), f"{query} long, {key} long, score double"))
-    if not sides:
-        return by_expressions(queries, bank, k, query, key, vector)
-    out = sides[0]
-    for s in sides[1:]:
-        out = out.unionByName(s)
-    return _best(out, query, key, k)
-
-
-def nearest(queries: DataFrame, bank: DataFrame, k: int = 5, *, normalise: bool = False, pairs_limit: int = 100_000, **names) -> DataFrame:
-    """(query, bank, score, rank): the k largest dot products, ties to the smaller bank key; fewer if the bank is."""
-    vector = names.get("vector", "vector")
+def nearest(queries: DataFrame, bank: DataFrame, k: int = 5, *, normalise: bool = False, query: str = "query_id", key: str = "bank_id", vector: str = "vector", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query, bank, score, rank): the k largest dot products, ties to the smaller bank key; fewer if the bank is.
+
+    Keys are whole numbers, vectors of one length. Rows without a vector are left out. Each block of queries is sent
+    once for every block of the bank and the other way round: with blocks as large as a task can hold that is as
+    little as comparing all pairs needs. ``normalise``: unit vectors, so cosines.
+    """
     if normalise:
         queries, bank = (df.withColumn(vector, vectors.normalised(F.col(vector))) for df in (queries, bank))
-    small = queries.count() * bank.count() <= pairs_limit
-    return (by_expressions if small else by_matrix)(queries, bank, k, **names)
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(query).cast("long").alias(query), F.col(vector).alias("q"))
+    b = bank.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).alias("b"))
+    spark = queries.sparkSession
+    sizes = q.agg(F.count("*").alias("nq"), F.max(F.size("q")).alias("width")).crossJoin(b.agg(F.count("*").alias("nb"))).first()
+    bytes_of = lambda rows: rows * (sizes["width"] or 1) * 8
+    bank_blocks = max(1, math.ceil(bytes_of(sizes["nb"]) / block_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    query_blocks = max(1, math.ceil(bytes_of(sizes["nq"]) / block_bytes), min(tasks // bank_blocks, math.ceil(bytes_of(sizes["nq"]) / 65536)))
+
+    def dealt(df: DataFrame, name: str, blocks: int, others: int, own: str, other: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(q, query, query_blocks, bank_blocks, "block_q", "block_b").groupBy("block_q", "block_b")
+    right = dealt(b, key, bank_blocks, query_blocks, "block_b", "block_q").groupBy("block_q", "block_b")
+    near = left.cogroup(right).applyInArrow(_scorer(k, query, key), f"{query} long, {key} long, score double")
+    order = W.partitionBy(query).orderBy(F.col("score").desc(), F.col(key).asc())
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

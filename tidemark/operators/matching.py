@@ -2,33 +2,87 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalars
+#: Bytes of series or clips that a task holds, and of the slices it cuts at once.
+BLOCK_BYTES = 64 << 20
+
+
+def _centred(rows: np.ndarray, least: float) -> np.ndarray:
+    """Mean-centred rows of unit length; zeros for constant ones."""
+    rows = rows - rows.mean(axis=1, keepdims=True)
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(norm < least, np.inf, norm)[:, None]
+
+
+def _matcher(least: float):
+    shape = pa.schema([("row", pa.int64()), ("clip_row", pa.int64()), ("clip_rank", pa.int64()), ("score", pa.float64())])
+
+    def ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = column.combine_chunks()
+        size = whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), np.cumsum(size) - size, size
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return shape.empty_table()
+        x, x_at, x_size = ragged(left.column("x"))
+        peaks = left.column("peaks").combine_chunks()
+        owner = np.repeat(np.arange(len(x_at)), peaks.value_lengths().to_numpy(zero_copy_only=False))
+        row, peak = (peaks.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        y, y_at, y_size = ragged(right.column("x"))
+        rank, clip_row = right.column("clip_order").to_numpy(), right.column("clip_row").to_numpy()
+        best, best_rank, best_row = np.full(len(row), -np.inf), np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64)
+        for m in np.unique(y_size[y_size > 0]).tolist():
+            own = np.flatnonzero(y_size == m)
+            own = own[np.argsort(rank[own], kind="stable")]
+            clips = _centred(y[y_at[own][:, None] + np.arange(m)], least)
+            able = np.flatnonzero(x_size[owner] >= m)
+            step = max(1, BLOCK_BYTES // 8 // max(m, len(own)))
+            for at in range(0, len(able), step):
+                p = able[at : at + step]
+                first = np.maximum(0, np.minimum(peak[p] - m // 2, x_size[owner[p]] - m))
+                scores = _centred(x[(x_at[owner[p]] + first)[:, None] + np.arange(m)], least) @ clips.T
+                top = scores.argmax(axis=1)  # the first maximum: clips are in order
+                score, order = scores[np.arange(len(p)), top], rank[own[top]]
+                better = (score > best[p]) | (score == best[p]) & (order < best_rank[p])
+                best[p[better]], best_rank[p[better]], best_row[p[better]] = score[better], order[better], clip_row[own[top[better]]]
+        found = best > -np.inf
+        return pa.table([pa.array(c[found]) for c in (row, best_row, best_rank, best)], schema=shape)
+
+    return match
 
 
 def match_peaks(segments: DataFrame, series: DataFrame, clips: DataFrame, *, least: float = 1e-6) -> DataFrame:
     """(video, seg_start, peak_pos, clip, score) of every peak's best clip, the first in ``clip_order`` on a tie.
 
-    segments: video, seg_start, peak_pos. series: video, pos, x. clips: clip, clip_order, pos, x. A slice as long as
-    the clip is centred on the peak and kept inside the series; the score is the correlation, 0 if either side is
-    constant. A clip longer than the series is no candidate; neither is an empty one.
+    segments: video, seg_start, peak_pos. series: video, pos, x. clips: clip, clip_order (whole numbers), pos, x. A
+    slice as long as the clip is centred on the peak and kept inside the series; the score is the correlation, 0 if
+    either side is constant. A clip longer than the series is no candidate; neither is an empty one.
+
+    Each series and each clip becomes one array; blocks of series meet blocks of clips as matrices.
     """
-    sizes = clips.groupBy("clip", "clip_order").agg(F.count("*").alias("clip_n"))
-    totals = series.groupBy("video").agg(F.count("*").alias("n"))
-    # every peak against every clip is what is asked for; the clips' sizes are a dimension table
-    starts = (
-        segments.select("video", "seg_start", "peak_pos").join(totals, "video").join(sizes, F.col("clip_n") <= F.col("n"))
-        .withColumn("first", scalars.clamped_start(F.col("peak_pos"), F.col("clip_n"), F.col("n")))
-    )
-    points = starts.join(clips.select("clip", F.col("pos").alias("clip_pos"), F.col("x").cast("double").alias("y")), "clip").withColumn("pos", F.col("first") + F.col("clip_pos"))
-    joined = points.join(series.select("video", "pos", F.col("x").cast("double").alias("x")), ["video", "pos"])
-    n = F.count("*")
-    sx, sy = F.stddev_pop("x"), F.stddev_pop("y")
-    # norms of the centred vectors are deviations times the root of the count
-    score = F.when((sx * F.sqrt(n) < least) | (sy * F.sqrt(n) < least), F.lit(0.0)).otherwise(F.covar_pop("x", "y") / F.nullif(sx * sy, F.lit(0.0)))
-    scores = joined.groupBy("video", "seg_start", "peak_pos", "clip", "clip_order").agg(score.alias("score"))
-    order = W.partitionBy("video", "seg_start").orderBy(F.col("score").desc(), F.col("clip_order").asc())
-    return scores.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "clip_order")
+    spark = segments.sparkSession
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x")))), lambda s: s["x"])
+    peaks = segments.select("video", "seg_start", "peak_pos", F.xxhash64("video", "seg_start").alias("row"))
+    wanted = peaks.groupBy("video").agg(F.collect_list(F.struct("row", F.col("peak_pos").cast("long").alias("at"))).alias("peaks"))
+    left = series.groupBy("video").agg(values.alias("x")).join(wanted, "video")
+    right = clips.groupBy("clip", F.col("clip_order").cast("long").alias("clip_order")).agg(values.alias("x")).withColumn("clip_row", F.xxhash64("clip"))
+    points = series.agg(F.count("*").alias("n")).crossJoin(clips.agg(F.count("*").alias("m"))).first()
+    clip_blocks = max(1, math.ceil(points["m"] * 8 / BLOCK_BYTES))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    series_blocks = max(1, math.ceil(points["n"] * 8 / BLOCK_BYTES), tasks // clip_blocks)
+
+    def dealt(df: DataFrame, name: str, blocks: int, others: int, own: str, other: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    a = dealt(left, "video", series_blocks, clip_blocks, "block_s", "block_c").select("block_s", "block_c", "x", "peaks").groupBy("block_s", "block_c")
+    b = dealt(right, "clip", clip_blocks, series_blocks, "block_c", "block_s").select("block_s", "block_c", "x", "clip_order", "clip_row").groupBy("block_s", "block_c")
+    scores = a.cogroup(b).applyInArrow(_matcher(least), "row long, clip_row long, clip_rank long, score double")
+    best = scores.groupBy("row").agg(F.max_by(F.struct("clip_row", "score"), F.struct(F.col("score"), -F.col("clip_rank"))).alias("b")).select("row", "b.clip_row", "b.score")
+    return peaks.join(best, "row").join(right.select("clip_row", "clip"), "clip_row").select("video", "seg_start", "peak_pos", "clip", "score")

@@ -71,10 +71,15 @@ def active_segments(df: DataFrame, keys: list[str], z: str, threshold: float, le
     )
 
 
-def tumbling(pos: Column, width: int) -> Column:
+def tumbling(pos: Column, width: int | Column) -> Column:
     return F.floor(pos / width).cast("long")
 
 
 def window_width(seconds: float, fps: float) -> int:
     """Samples in a window: half-even rounding, at least one."""
     return max(1, round(seconds * fps))
+
+
+def width_column(seconds: float, fps: Column) -> Column:
+    """``window_width`` by a column of sampling rates."""
+    return F.greatest(F.lit(1), F.bround(F.lit(float(seconds)) * fps).cast("int"))

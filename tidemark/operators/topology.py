@@ -79,8 +79,10 @@ def scaled(image: np.ndarray, guard: float = 1e-6) -> np.ndarray:
 
 
 def with_diagrams(frames: DataFrame, pixels: str = "pixels", height: str = "height", width: str = "width", *, grid: int | None = 48) -> DataFrame:
-    """Adds ``h0`` and ``h1``, and ``cells``, the scaled grid they come from. Without ``grid`` the pixels are taken
-    as they are."""
+    """Adds ``h0`` and ``h1``, and ``cells``, the scaled grid they come from; columns of these names are refused.
+    Without ``grid`` the pixels are taken as they are."""
+    if clash := {"h0", "h1", "cells"} & {c.lower() for c in frames.columns}:
+        raise ValueError(f"columns with names of the result: {sorted(clash)}")
     shape = T.StructType([*frames.schema.fields, T.StructField("h0", INTERVAL), T.StructField("h1", INTERVAL), T.StructField("cells", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,15 +6,15 @@ then runs inside one island.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import tumbling
 
 
-def vote_windows(frames: DataFrame, width: int, video: str = "video") -> DataFrame:
-    """One row a window of ``width`` samples: the clip most voted for (the smaller name on a tie), its mean score
+def vote_windows(frames: DataFrame, width: int | Column, video: str = "video") -> DataFrame:
+    """One row a window of ``width`` samples, a number or a column that is the same in all of a video: the clip most voted for (the smaller name on a tie), its mean score
     and offset, the window's first time, last position and largest gate value.
 
     ``frames``: video, pos, ts, clip, clip_ts, score, gate (null: no gate curve).
@@ -34,6 +34,12 @@ def passing_windows(windows: DataFrame, *, gate_threshold: float | None, score_t
     return out
 
 
+def gate_counts(windows: DataFrame, *, gate_threshold: float, score_threshold: float) -> DataFrame:
+    """One row: ``windows``, how many pass both thresholds (``passed``), how many the gate stops (``gated``)."""
+    stopped = F.coalesce(F.col("gate") < gate_threshold, F.lit(False))
+    return windows.agg(F.count("*").alias("windows"), F.count_if(~stopped & ~(F.col("avg_score") < score_threshold)).alias("passed"), F.count_if(stopped).alias("gated"))
+
+
 TRACK = "array<struct<start_win:bigint,last_win:bigint,off:double,best:double,t0:double,t1:double,first_pos:bigint,last_pos:bigint>>"
 
 
@@ -62,7 +68,6 @@ def finalise(
     tracks: DataFrame,
     clips: DataFrame,
     *,
-    fps: float = 3.0,
     coverage: float = 0.6,
     coverage_short: float | None = None,
     coverage_long: float | None = None,
@@ -75,12 +80,12 @@ def finalise(
     """Detections: tracks with enough samples and enough of their clip's duration.
 
     ``clips``: clip, duration. Clips up to ``duration_threshold`` are short and have limits of their own. A clip of
-    unknown or zero duration counts by the observed length. A detection starts where its track does and is as long
+    unknown or zero duration counts by the observed length, from the first sample's time to the last one's. A detection starts where its track does and is as long
     as the whole clip.
     """
     t = tracks.join(clips.select("clip", F.col("duration").cast("double").alias("duration")), "clip", "left")
     frames = F.col("last_pos") - F.col("first_pos") + 1
-    observed = frames / F.lit(fps)
+    observed = F.greatest(F.col("t1") - F.col("t0"), F.lit(0.0))
     expected = F.when(F.coalesce(F.col("duration"), F.lit(0.0)) > 0, F.col("duration")).otherwise(observed)
     short = expected <= duration_threshold
     least = F.when(short, min_frames if min_frames_short is None else min_frames_short).otherwise(min_frames if min_frames_long is None else min_frames_long)
@@ -94,10 +99,17 @@ def min_gap(hits: DataFrame, gap: float, keys: list[str]) -> DataFrame:
     length, score; ties in start go by length, then score."""
     if gap <= 0:
         return hits.select(*keys, "start", "length", "score")
-    row = "array<struct<start:double,length:double,score:double>>"
-    lists = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("start", "length", "score")]))).alias("hits"))
-    fold = f"""inline(aggregate(hits, cast(array() as {row}), (acc, x) ->
-        case when size(acc) > 0 and x.start - element_at(acc, -1).start < {float(gap)!r}D
-             then case when x.score > element_at(acc, -1).score then concat(slice(acc, 1, size(acc) - 1), array(x)) else acc end
-             else concat(acc, array(x)) end))"""
+    row = "struct<start:double,length:double,score:double>"
+    hit = hits.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("start", "length", "score")])
+    # a hit that begins ``gap`` or more behind the one before it is that far from any hit kept: the fold begins anew
+    # there, so it runs inside such islands
+    order = W.partitionBy(*keys).orderBy("start", "length", "score")
+    cut = hit.withColumn("far", F.coalesce(F.col("start") - F.lag("start").over(order) >= gap, F.lit(True)))
+    cut = cut.withColumn("island", F.sum(F.col("far").cast("long")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    lists = cut.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("start", "length", "score"))).alias("hits"))
+    fold = f"""inline(aggregate(slice(hits, 2, size(hits)), named_struct('done', cast(array() as array<{row}>), 'last', hits[0]), (acc, x) ->
+        case when x.start - acc.last.start < {float(gap)!r}D
+             then named_struct('done', acc.done, 'last', case when x.score > acc.last.score then x else acc.last end)
+             else named_struct('done', concat(acc.done, array(acc.last)), 'last', x) end,
+        acc -> concat(acc.done, array(acc.last))))"""
     return lists.selectExpr(*keys, fold)

@@ -239,10 +239,12 @@ tracks AS (SELECT video, clip, start_win, t0, first_pos, arg_max(win, rn) AS las
 WITH_TRACKS = f"WITH RECURSIVE {SERIES}, {FRAMES}, {VOTES}, {PASSING}, {TRACKS}"
 
 
+def _frames(spark, d) -> DataFrame:
+    return _series(spark, d).select("video", "pos", (F.col("pos") / 3).alias("ts"), "clip", (F.col("event_id") % 30).cast("double").alias("clip_ts"), (F.col("x") / 500).alias("score"), F.col("x").alias("gate"))
+
+
 def _windows(spark, d) -> DataFrame:
-    s = _series(spark, d)
-    frames = s.select("video", "pos", (F.col("pos") / 3).alias("ts"), "clip", (F.col("event_id") % 30).cast("double").alias("clip_ts"), (F.col("x") / 500).alias("score"), F.col("x").alias("gate"))
-    return tracks.vote_windows(frames, WIDTH)
+    return tracks.vote_windows(_frames(spark, d), WIDTH)
 
 
 def _tracks(spark, d) -> DataFrame:
@@ -256,9 +258,7 @@ def q_vote(spark, d):
 
 @query(f"WITH {SERIES}, {FRAMES}, {VOTES}, {PASSING} SELECT (SELECT count(*) FROM windows) AS windows, (SELECT count(*) FROM passing) AS passed, (SELECT count(*) FROM windows WHERE gate < {GATE}) AS gated")
 def q_gate(spark, d):
-    w = _windows(spark, d)
-    stopped, weak = F.col("gate") < GATE, F.col("avg_score") < SCORE
-    return w.agg(F.count("*").alias("windows"), F.count_if(~stopped & ~weak).alias("passed"), F.count_if(stopped).alias("gated"))
+    return tracks.gate_counts(_windows(spark, d), gate_threshold=GATE, score_threshold=SCORE)
 
 
 @query(f"{WITH_TRACKS} SELECT video, clip, start_win, last_win, round(off, 4) AS off, round(best, 6) AS best FROM tracks")
@@ -268,9 +268,9 @@ def q_tracks(spark, d):
 
 LIMITS = {"coverage": 0.5, "coverage_long": 0.4, "min_frames": 2, "min_frames_short": 1, "duration_threshold": 1.2}
 DETECTED = """clips AS (SELECT clip, CASE WHEN clip = min(clip) OVER () THEN NULL ELSE 0.6 + 0.4 * row_number() OVER (ORDER BY clip) END AS duration FROM (SELECT DISTINCT event_type AS clip FROM events)),
-sized AS (SELECT t.*, last_pos - first_pos + 1 AS frames, CASE WHEN coalesce(c.duration, 0) > 0 THEN CAST(c.duration AS DOUBLE) ELSE (last_pos - first_pos + 1) / 3.0 END AS expected FROM tracks t LEFT JOIN clips c USING (clip)),
+sized AS (SELECT t.*, last_pos - first_pos + 1 AS frames, CASE WHEN coalesce(c.duration, 0) > 0 THEN CAST(c.duration AS DOUBLE) ELSE CAST(last_pos AS DOUBLE) / 3 - t0 END AS expected, CAST(last_pos AS DOUBLE) / 3 - t0 AS observed FROM tracks t LEFT JOIN clips c USING (clip)),
 found AS (SELECT video, clip, t0 AS start, expected AS length, best AS score FROM sized
-  WHERE frames >= CASE WHEN expected <= 1.2 THEN 1 ELSE 2 END AND frames / 3.0 >= expected * CASE WHEN expected <= 1.2 THEN 0.5 ELSE 0.4 END)"""
+  WHERE frames >= CASE WHEN expected <= 1.2 THEN 1 ELSE 2 END AND observed >= expected * CASE WHEN expected <= 1.2 THEN 0.5 ELSE 0.4 END)"""
 
 
 def _found(spark, d) -> DataFrame:
@@ -382,12 +382,12 @@ def q_best_threshold(spark, d):
     return rounded(evaluate.best_point(_metrics(spark, d)), *FIGURES)
 
 
-@query(f"""WITH {INTERVALS} SELECT det_id, CASE label WHEN 'ok' THEN 'OK ' WHEN 'dup' THEN 'dp ' ELSE '-- ' END || tv || chr(9) || clip
-  || CASE WHEN label = 'ok' THEN ' //IoU=' || CAST(round_even(100 * iou, 0) AS BIGINT) || '% (gt=' || gt_id || ')' ELSE '' END AS line FROM labels JOIN det ON det.id = labels.det_id""")
+@query(f"""WITH {INTERVALS} SELECT det_id, ' ' || CASE label WHEN 'ok' THEN 'OK' WHEN 'dup' THEN 'dp' ELSE '--' END || ') ' || concat_ws(' ', det.tv, det.start, det.length, det.clip, det.score)
+  || CASE WHEN label = 'ok' THEN '  //IoU=' || CAST(round_even(100 * iou, 0) AS BIGINT) || '% (gt=' || gt.start || ' ' || gt.length || ')' ELSE '' END AS line
+  FROM labels JOIN det ON det.id = labels.det_id LEFT JOIN gt ON gt.id = labels.gt_id""")
 def q_report(spark, d):
-    lines = evaluate.report_lines(evaluate.label(*_both(spark, d)))
-    # times and scores are printed by each engine in its own way: keep the rest
-    return lines.select("det_id", F.regexp_replace("line", r"^(\S+ \d+)\t[^\t]*\t[^\t]*(\t[a-z_]+)\t[0-9.E+-]+", "$1$2").alias("line"))
+    detections, truth = _both(spark, d)
+    return evaluate.report_lines(evaluate.label(detections, truth), truth)
 
 
 # ---- scalars, lookups, parsing, sets -------------------------------------------------------------------------------
@@ -453,6 +453,38 @@ def q_tsv_parse_rejects(spark, d):
     return good.select("line_no", F.lit("good").alias("verdict"), "tv", "start", "clip").unionByName(bad.select("line_no", F.col("reason").alias("verdict"), *[F.lit(None).cast(t).alias(c) for c, t in (("tv", "string"), ("start", "double"), ("clip", "string"))]))
 
 
+MANIFEST = """entries AS (SELECT user_id // 3 AS file, event_id AS entry, '/v/' || event_type || '.' || user_id % 7 || '.mp4' AS source_path, CASE WHEN event_id % 2 = 0 THEN 'tv' ELSE 'commercials' END AS category,
+  CAST(1 + event_id % 5 AS DOUBLE) AS sampled_fps, event_id AS num_frames FROM events)"""
+
+
+@query(f"""
+WITH {MANIFEST}, named AS (SELECT *, regexp_replace(regexp_replace(source_path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS video, 'm' || lpad(CAST(file AS VARCHAR), 9, '0') AS path FROM entries)
+SELECT category || '::' || video AS key, num_frames, sampled_fps FROM named QUALIFY row_number() OVER (PARTITION BY category, video ORDER BY path DESC, entry DESC) = 1
+""")
+def q_manifest_latest(spark, d):
+    """Manifests of many objects, every second one an array and the others one object a line; later ones win."""
+    e = table(spark, d, "events")
+    source = F.concat(F.lit("/v/"), F.col("event_type"), F.lit("."), (F.col("user_id") % 7).cast("string"), F.lit(".mp4"))
+    one = F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, "tv").otherwise("commercials").alias("category"), source.alias("source_path"), F.col("event_id").alias("num_frames"), (1 + F.col("event_id") % 5).cast("double").alias("sampled_fps")))
+    each = e.select(F.floor(F.col("user_id") / 3).cast("long").alias("file"), F.struct("event_id", one.alias("text")).alias("o"))
+    texts = each.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["text"]).alias("objects"))
+    value = F.when(F.col("file") % 2 == 0, F.concat(F.lit("[\n"), F.array_join("objects", ",\n  "), F.lit("\n]\n"))).otherwise(F.concat(F.array_join("objects", "\r\n"), F.lit("\n\n")))
+    files = texts.select(F.concat(F.lit("m"), F.lpad(F.col("file").cast("string"), 9, "0")).alias("path"), value.alias("value"))
+    return tables.latest(tables.parse_manifest(files), "key").select("key", "num_frames", "sampled_fps")
+
+
+@query(f"""
+WITH {SERIES}, {FRAMES}, wide AS (SELECT *, pos // CAST(greatest(1, round_even(1.5 * CASE WHEN video % 4 = 0 THEN 3 ELSE video % 4 END, 0)) AS BIGINT) AS win FROM frames)
+SELECT video, win, count(*) AS votes, clip, round(avg(score), 6) AS avg_score FROM wide GROUP BY video, win, clip QUALIFY row_number() OVER (PARTITION BY video, win ORDER BY count(*) DESC, clip) = 1
+""")
+def q_sampled_fps(spark, d):
+    """Vote windows of 1.5 seconds by each video's own rate; every fourth video has none and takes 3."""
+    rates = table(spark, d, "events").select(F.col("user_id").alias("video")).distinct().where("video % 4 > 0").select("video", (F.col("video") % 4).cast("double").alias("sampled_fps"))
+    frames = _frames(spark, d).join(rates, "video", "left")
+    windows = tracks.vote_windows(frames, series.width_column(1.5, F.coalesce("sampled_fps", F.lit(3.0))))
+    return rounded(windows.select("video", "win", "votes", "clip", "avg_score"), "avg_score", digits=6)
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def q_json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -36,6 +36,7 @@ def neighbour_detections(
     curves: DataFrame | None = None,
     *,
     fps: float = 3.0,
+    rates: DataFrame | None = None,
     window_sec: float = 1.0,
     score_threshold: float = 0.5,
     offset_tolerance: float = 1.0,
@@ -48,6 +49,7 @@ def neighbour_detections(
     """The nearest-neighbour detector: gate, vote, threshold, tracks, coverage, min-gap deduplication.
 
     A video without curves passes the gate; a sample without a curve value in a video that has some does not.
+    ``rates``: video, sampled_fps, as a manifest has them; a video without a row there has ``fps``.
     """
     frames = near.where("rank = 1")
     if curves is None:
@@ -57,9 +59,14 @@ def neighbour_detections(
         known = gate.select(F.col("video").alias("known_video")).distinct()
         frames = frames.join(gate, ["video", "pos"], "left").join(known, F.col("video") == F.col("known_video"), "left")
         frames = frames.withColumn("gate", F.when(F.col("known_video").isNotNull(), F.coalesce("gate_value", F.lit(float("-inf"))))).drop("gate_value", "known_video")
-    windows = tracks.vote_windows(frames, series.window_width(window_sec, fps))
+    width = F.lit(series.window_width(window_sec, fps))
+    if rates is not None:
+        known = rates.select(F.col("video").alias("rate_video"), F.col("sampled_fps").cast("double").alias("rate_fps"))
+        frames = frames.join(known, F.col("video") == F.col("rate_video"), "left")
+        width = series.width_column(window_sec, F.coalesce("rate_fps", F.lit(float(fps))))
+    windows = tracks.vote_windows(frames, width)
     passing = tracks.passing_windows(windows, gate_threshold=curve_threshold if curves is not None else None, score_threshold=score_threshold)
-    found = tracks.finalise(tracks.build_tracks(passing, offset_tolerance, constant_shift=constant_shift), clips, fps=fps, **limits)
+    found = tracks.finalise(tracks.build_tracks(passing, offset_tolerance, constant_shift=constant_shift), clips, **limits)
     return tracks.min_gap(found, min_gap, ["video", "clip"]).select(F.col("video").alias("tv"), F.round("start", 3).alias("start"), F.round("length", 3).alias("length"), "clip", F.round("score", 4).alias("score"))
 
 

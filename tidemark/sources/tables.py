@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schema
 from tidemark.functions import scalars
@@ -16,8 +17,11 @@ SUFFIXES = ("mp4", "mpg", "mpeg", "avi", "mkv", "mov")
 def videos_in(spark: SparkSession, folder: str, category: str) -> DataFrame:
     """(category, path, video, file_order) of the video files right in ``folder``; content is not read.
 
-    The order of full paths decides ties later on, so it is kept as a column.
+    The order of full paths decides ties later on, so it is kept as a column. A folder that is not there has none.
     """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "category string, path string, video string, file_order int")
     files = spark.read.format("binaryFile").load(folder).select("path").where(F.col("path").rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$"))
     numbered = files.withColumn("file_order", F.row_number().over(W.orderBy("path")))  # one row a file
     return numbered.select(F.lit(category).alias("category"), "path", scalars.stem(F.col("path")).alias("video"), "file_order")
@@ -43,16 +47,53 @@ def curve_of(curves: DataFrame, name: str) -> DataFrame:
     return curves.select("category", "video", "pos", "ts", F.col(name).alias("gate"))
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
+def write_manifest(df: DataFrame, path: str, *, even_empty: bool = True) -> bool:
+    """One object a line. Without ``even_empty`` nothing is written, and an older manifest stays, when there are no rows."""
+    if not even_empty and df.isEmpty():
+        return False
     df.write.mode("overwrite").json(path)
+    return True
+
+
+def parse_manifest(files: DataFrame, kind: T.StructType = schema.VIDEOS) -> DataFrame:
+    """The objects of manifests, each file a row (``path``, ``value``, its whole text): an array of flat objects, or
+    one object a line.
+
+    Beside the fields: ``path`` and ``entry``, the place in the file, and where there is a source path ``video`` (its
+    stem) and ``key`` (category::video).
+    """
+    objects = T.ArrayType(kind)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != "")
+    is_array = F.startswith(F.regexp_replace(F.substring("value", 1, 4096), r"^[\s\x{feff}]+", ""), F.lit("["))
+    # lines become an array too, so one parser reads both
+    whole = F.when(is_array, F.col("value")).otherwise(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")))
+    rows = files.select("path", F.posexplode(F.from_json(whole, objects)).alias("entry", "o")).select("o.*", "path", F.col("entry").cast("long").alias("entry"))
+    if "source_path" in kind.names:
+        rows = rows.withColumn("video", scalars.stem(F.col("source_path")))
+        if "category" in kind.names:
+            rows = rows.withColumn("key", scalars.manifest_key(F.col("category"), F.col("video")))
+    return rows
+
+
+def read_manifest(spark: SparkSession, path: str, kind: T.StructType = schema.VIDEOS) -> DataFrame:
+    """``parse_manifest`` of a file or of all files of a folder."""
+    return parse_manifest(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"), kind)
+
+
+def latest(manifest: DataFrame, by: str = "video") -> DataFrame:
+    """One row for each value of ``by`` (``video`` or ``key``): the last of its entries, by file and place."""
+    last = F.max_by(F.struct(*manifest.columns), F.struct("path", "entry"))
+    return manifest.groupBy(F.col(by).alias("latest_by")).agg(last.alias("o")).select("o.*")
+
+
+def sampling_rates(videos: DataFrame) -> DataFrame:
+    """(video, sampled_fps) of a manifest of videos."""
+    return latest(videos).where("sampled_fps is not null").select("video", "sampled_fps")
 
 
-def read_manifest(spark: SparkSession, path: str, kind=schema.VIDEOS) -> DataFrame:
-    """A manifest, an array of flat objects or one object a line, with ``video`` and ``key`` (category::video)."""
-    df = spark.read.schema(kind).option("multiLine", True).json(path)
-    if "source_path" in df.columns:
-        df = df.withColumn("video", scalars.stem(F.col("source_path"))).withColumn("key", scalars.manifest_key(F.col("category"), F.col("video")))
-    return df
+def curve_paths(curves: DataFrame, category: str = "tv") -> DataFrame:
+    """(video, output_path) of a curve manifest's entries of one category."""
+    return latest(curves.where(F.col("category") == category)).select("video", "output_path")
 
 
 def missing(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

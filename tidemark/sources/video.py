@@ -8,6 +8,7 @@ grey pixels. A decoder is a function ``module:name`` of a path that returns (fps
 from __future__ import annotations
 
 import importlib
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +25,22 @@ def npz_decoder(path: str):
     return float(data["fps"]), len(frames), lambda i: frames[i] if i < len(frames) else None
 
 
+def opencv_decoder(path: str):
+    """Frames of a video file by OpenCV, where that library is installed."""
+    import cv2
+
+    video = cv2.VideoCapture(path)
+    if not video.isOpened():
+        raise OSError(f"cannot open {path}")
+
+    def read(index: int):
+        video.set(cv2.CAP_PROP_POS_FRAMES, index)
+        ok, frame = video.read()
+        return cv2.cvtColor(frame, cv2.COLOR_BGR2GRAY) if ok else None
+
+    return video.get(cv2.CAP_PROP_FPS), int(video.get(cv2.CAP_PROP_FRAME_COUNT)), read
+
+
 class FramePartition(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -40,7 +57,11 @@ class FrameReader(DataSourceReader):
 
     def read(self, partition: FramePartition) -> Iterator[tuple]:
         module, _, name = self.decoder.partition(":")
-        native, total, read = getattr(importlib.import_module(module), name)(partition.path)
+        try:
+            native, total, read = getattr(importlib.import_module(module), name)(partition.path)
+        except OSError as e:  # a file that cannot be opened has no frames; the others go on
+            warnings.warn(f"skipped {partition.path}: {e}", stacklevel=1)
+            return
         if native <= 0 or self.fps <= 0:
             raise ValueError("frame rates must be positive")
         video = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
