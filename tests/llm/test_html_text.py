@@ -1,3 +1,6 @@
+import random
+from urllib.parse import urlsplit
+
 from tidemark.llm import html_text
 
 
@@ -29,3 +32,51 @@ def test_copies_and_large_templates_do_not_stop_differencing(spark):
         assert {k: got[k] for k in want} == want and got[111] == ""
         assert all(got[300 + k].startswith("menu 0 ") and got[300 + k].endswith("ends 0") for k in range(3))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def naive_texts(rows, copy_share=0.8):
+    """All pages in plain Python: sort, group copies, look at the groups on either side on the same host."""
+    pages = []
+    for key, url, source in rows:
+        split = urlsplit(url or "")
+        lines, is_open = html_text.page_lines(source)
+        pages.append((split.netloc.lower(), split.path, key, lines, is_open))
+    out = {p[2]: "" for p in pages}
+    pages = sorted(p for p in pages if p[3])
+    groups = []
+    for p in pages:
+        if groups and (groups[-1][0][0], groups[-1][0][3]) == (p[0], p[3]):
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    for g, group in enumerate(groups):
+        host, lines = group[0][0], group[0][3]
+        sides = [groups[g - 1][-1] if g else None, groups[g + 1][0] if g + 1 < len(groups) else None]
+        for _, path, key, _, is_open in group:
+            near = [s for s in sides if s and s[0] == host]
+            near.sort(key=lambda s: -html_text.nearness(path, s[1]))  # noqa: B023
+            shares = [html_text.common_subsequence(lines, s[3]) for s in near]
+            shared = next((x for x in shares if len(x) <= copy_share * len(lines)), min(shares, key=len, default=[]))
+            kept = [x for k, x in enumerate(lines) if not (k in shared and is_open[k])]
+            out[key] = " ".join(kept or lines)
+    return out
+
+
+def test_equals_all_pages_in_plain_python(spark):
+    rng = random.Random(8)
+    menus = {h: [f"menu {h} {i}" for i in range(rng.randrange(1, 9))] for h in "abcd"}
+    rows = []
+    for key in range(160):
+        host = rng.choice("aaabcd")
+        own = [f"line {rng.randrange(60)}" for _ in range(rng.randrange(5))]
+        lines = rng.choice([[*menus[host], *own, "imprint"], own, menus[host], [*menus[host], "story 1", "story 2"]])
+        body = "".join(f"<div>{x}</div>" for x in lines)
+        if rng.random() < 0.3:
+            body += f"<article><p>{rng.choice(['shared passage', f'body {key}'])}</p></article>"
+        source = rng.choice([body, body, body, f"<nav>n</nav>{body}<div class='ad'>buy {key}</div>", None, ""])
+        rows.append((key, f"http://{host}.example/{rng.choice(['x', 'y', 'x/z'])}/{rng.randrange(40):02d}", source))
+    want = naive_texts(rows)
+    for n in ("1", "2", "5", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert texts(spark, rows) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -1,9 +1,9 @@
 """Main text of web pages: markup first, then nearest-URL page differencing for what markup leaves open.
 
 Elements and class names that say what they are (nav, footer, adverts, forms, comments and so on) go, and lines
-inside a declared article stay. Every other line is open, on pages with a declared article too. For those, the page is paired with the page nearest by URL
-path on its host, both are aligned by the longest common subsequence of lines, and shared open lines are deleted:
-a template repeats from page to page, an article does not.
+inside a declared article stay. Every other line is open, on pages with a declared article too. For those, the page is
+paired with the page nearest by URL path on its host, both are aligned by the longest common subsequence of lines, and
+shared open lines are deleted: a template repeats from page to page, an article does not.
 """
 
 from __future__ import annotations
@@ -229,38 +229,50 @@ def _extract(copy_share: float):
         if group:
             yield pa.RecordBatch.from_pylist(settle(None, True), schema=LINES)
 
-    return run
-
-
-def _beside(rows: list[dict], back: bool) -> list[tuple | None]:
-    """For each row the next page (path, lines) on one side that has the same host and other lines."""
-    out, at, last = [], None, None
-    for r in rows if back else reversed(rows):
-        if last is None or last["host"] != r["host"]:
-            at = None
-        elif last["lines"] != r["lines"]:
-            at = (last["path"], last["lines"])
-        elif last["near_path"] is not None and last["near_after"] != back:
-            at = (last["near_path"], last["near_lines"])
-        out.append(at)
-        last = r
-    return out if back else out[::-1]
+    return common.lean(run)
 
 
 def _edges(copy_share: float):
+    shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and last groups of the partitions, in order: each page meets its neighbours across the cut."""
-        rows = [r for b in batches for r in b.to_pylist()]
-        out = []
-        for r, before, after in zip(rows, _beside(rows, True), _beside(rows, False)):
-            if r["near_path"] is not None:
-                inside = (r["near_path"], r["near_lines"])
-                before, after = (before, inside) if r["near_after"] else (inside, after)
-            if not r["marker"]:
-                out.append({"page_id": r["page_id"], "url": r["url"], "text": without_shared(r["lines"], r["open"], _near(r["path"], before, after), copy_share)})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())]))
+        """The first and last groups of the partitions, in order: each page meets its neighbours across the cut. What
+        is held are pages with the same lines, kept once, until the next page with other lines is known."""
+        held: list[tuple[dict, tuple | None]] = []
+        before, last, out = None, None, []
+
+        def settle(after: tuple | None) -> None:
+            for r, own in held:
+                near = (own, after)
+                if r["near_path"] is not None:
+                    inside = (r["near_path"], r["near_lines"])
+                    near = (own, inside) if r["near_after"] else (inside, after)
+                if not r["marker"]:
+                    out.append({"page_id": r["page_id"], "url": r["url"], "text": without_shared(r["lines"], r["open"], _near(r["path"], *near), copy_share)})
+            held.clear()
 
-    return run
+        for batch in batches:
+            for r in batch.to_pylist():
+                if last is None or last["host"] != r["host"]:
+                    settle(None)
+                    before = None
+                elif last["lines"] != r["lines"]:
+                    settle((r["path"], r["lines"]))
+                    before = (last["path"], last["lines"])
+                else:
+                    r["lines"] = last["lines"]
+                    if last["near_path"] is not None and not last["near_after"]:
+                        before = (last["near_path"], last["near_lines"])
+                held.append((r, before))
+                if r["near_path"] is not None and r["near_after"]:
+                    settle((r["near_path"], r["near_lines"]))
+                last = r
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+            out.clear()
+        settle(None)
+        yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    return common.lean(run)
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.8) -> DataFrame:
@@ -269,7 +281,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     other's lines. Empty tables give no rows. Other columns are ignored, whatever their names.
 
     A host that has a third of all pages spreads over partitions by path. Only the first and last group of copies of
-    each partition meet in one task afterwards, to find their neighbours across the cut.
+    each partition go through one task afterwards, streamed in order, to find their neighbours across the cut.
     """
     spark = common.tuned(pages.sparkSession)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
