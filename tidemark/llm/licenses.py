@@ -2,12 +2,15 @@
 
 A text is cut into sentences, each is normalised (lower case, punctuation to spaces, version numbers to ``<v>``) and
 looked up among known licence sentences. A sentence may be wrapped over lines: a line that begins one takes the next
-lines as long as they go on with a known sentence, and the longest one counts. The identifiers found, in text order, are then read from left to right; at
-each place the first rule in the list whose sequence matches wins and consumes it.
+lines as long as they go on with a known sentence, and the longest one counts. Known sentences of at least ``LONG``
+words are also found where the text is not cut as they are, behind a title or a copyright line, after a colon, or with
+all on one line: word by word, whatever stands between the words. The identifiers found, in text order, are then read
+from left to right; at each place the first rule in the list whose sequence matches wins and consumes it.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -78,6 +81,20 @@ def _gnu_only(kind: str) -> tuple[str, ...]:
     return (*_gnu(f"{kind} version <v>"), *_gnu(kind, " version <v>"), *_gnu(kind, " version <v> of the license"), *_gnu(kind, " either version <v> of the license"))
 
 
+#: Names of the Creative Commons licences and of their deeds' terms.
+_CC = (("CcBy", "attribution"), ("CcBySa", "attribution sharealike"), ("CcByNc", "attribution noncommercial"), ("CcByNd", "attribution noderivatives"), ("CcByNcSa", "attribution noncommercial sharealike"), ("CcByNcNd", "attribution noncommercial noderivatives"))
+#: SPDX identifiers as normalised, and the licences as named here.
+_SPDX = (
+    ("mit", "MIT"), ("isc", "ISC"), ("apache <v>", "Apache-<v>"), ("bsd <v> clause", "BSD-<v>-Clause"), ("gpl <v> only", "GPL-<v>"), ("gpl <v>", "GPL-<v>"), ("gpl <v> or later", "GPL-<v>-or-later"), ("lgpl <v> only", "LGPL-<v>"), ("lgpl <v>", "LGPL-<v>"),
+    ("lgpl <v> or later", "LGPL-<v>-or-later"), ("agpl <v> only", "AGPL-<v>"), ("agpl <v>", "AGPL-<v>"), ("agpl <v> or later", "AGPL-<v>-or-later"), ("mpl <v>", "MPL-<v>"), ("epl <v>", "EPL-<v>"), ("bsl <v>", "BSL-<v>"), ("unlicense", "Unlicense"), ("zlib", "Zlib"), ("cc <v> <v>", "CC0"),
+    ("cc by <v>", "CC-BY-<v>"), ("cc by sa <v>", "CC-BY-SA-<v>"), ("cc by nc <v>", "CC-BY-NC-<v>"), ("cc by nd <v>", "CC-BY-ND-<v>"), ("cc by nc sa <v>", "CC-BY-NC-SA-<v>"), ("cc by nc nd <v>", "CC-BY-NC-ND-<v>"), ("mit or apache <v>", "MIT OR Apache-<v>"), ("apache <v> or mit", "MIT OR Apache-<v>"),
+)
+
+
+def _deeds(name: str) -> tuple[str, ...]:
+    return tuple(f"{what}licensed under {the} creative commons {name} <v> {where}license" for what in ("", "this work is ", "this content is ", "this document is ") for the in ("a", "the") for where in ("", "international ", "unported "))
+
+
 _LATER = "either version <v> of the license or at your option any later version"
 #: Sentences of the licences as published, which the SQL form does not have. A semicolon ends a sentence.
 STANDARD: dict[str, tuple[str, ...]] = {
@@ -98,22 +115,62 @@ STANDARD: dict[str, tuple[str, ...]] = {
     "LgplRef": _gnu_only("lesser general public license"),
     "LgplLater": _gnu("lesser general public license", f" {_LATER}"),
     "GplTitle": ("gnu general public license version <v> <v> june <v>", "gnu general public license version <v> june <v>"),
+    "AgplRef": _gnu_only("affero general public license"),
+    "AgplLater": _gnu("affero general public license", f" {_LATER}"),
+    "AgplTitle": ("gnu affero general public license version <v> <v> november <v>",),
+    "ApacheTitle": ("apache license version <v> january <v>",),
+    "MplTitle": ("mozilla public license version <v>",),
+    "EplRef": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license <v> which is available at https www eclipse org legal epl <v>",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v <v> which accompanies this distribution and is available at http www eclipse org legal epl v <v> html",
+    ),
+    "IscGrant": tuple(f"permission to use copy modify {both} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for both in ("and or", "and")),
+    "Unlicense": ("this is free and unencumbered software released into the public domain",),
+    "ZlibGrant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "BoostRef": ("distributed under the boost software license version <v>", "boost software license version <v> august <v> th <v>"),
+    "BoostGrant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
+    "BsdAdvert": ("all advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "CcZero": ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law",),
+    **{name: _deeds(terms) for name, terms in _CC},
+    **{f"Spdx{k}": (f"spdx license identifier {key}",) for k, (key, _) in enumerate(_SPDX)},
     "LgplTitle": ("gnu lesser general public license version <v> <v> june <v>", "gnu lesser general public license version <v> february <v>"),
 }
 KNOWN: dict[str, tuple[str, ...]] = {name: SENTENCES.get(name, ()) + STANDARD.get(name, ()) for name in SENTENCES | STANDARD}
+_BSD = ("BsdGrant", "BsdSource", "BsdBinary")
+#: A copyright line's "all rights reserved" before a licence is part of it; longer sequences come before shorter ones.
 ALL_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    *((name, (*head, *sequence)) for name, sequence in (("BSD-4-Clause", (*_BSD, "BsdAdvert", "BsdEndorse")), ("BSD-3-Clause", (*_BSD, "BsdEndorse")), ("BSD-2-Clause", _BSD)) for head in ((), ("AllRights",))),
+    ("ISC", ("AllRights", "IscGrant")),
+    ("EPL-<v>", ("AllRights", "EplRef")),
+    ("BSL-<v>", ("BoostRef", "BoostGrant")),
     *RULES,
+    ("ISC", ("IscGrant",)),
     ("GPL-<v>-or-later", ("GplTerms", "LaterVersion")),
     ("LGPL-<v>-or-later", ("LgplTerms", "LaterVersion")),
     ("LGPL-<v>-or-later", ("LgplLater",)),
+    ("AGPL-<v>-or-later", ("AgplLater",)),
+    ("AGPL-<v>", ("AgplRef",)),
     ("GPL-<v>", ("GplTitle",)),
     ("LGPL-<v>", ("LgplTitle",)),
+    ("AGPL-<v>", ("AgplTitle",)),
+    ("Apache-<v>", ("ApacheTitle",)),
+    ("MPL-<v>", ("MplTitle",)),
+    ("EPL-<v>", ("EplRef",)),
+    ("Unlicense", ("Unlicense",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("BSL-<v>", ("BoostRef",)),
+    ("BSL-1.0", ("BoostGrant",)),  # the only version with this grant
+    ("CC-BY-NC-ND-<v>", ("CcByNcNd",)),
+    *((name, (f"Spdx{k}",)) for k, (_, name) in enumerate(_SPDX)),
 )
 
 SPLIT = re.compile(r"((?:(?<!\bv)(?<!\bV)\.|[!?;])[ \t\n\x0b\x0c\r]+|\n)")
 VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 PUNCTUATION = re.compile(r"[\x00-\x2f\x3a-\x3b\x3d\x3f-\x60\x7b-\x7f]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
+#: Words of a normalised text; a sentence of at least ``LONG`` of them is looked for at any word.
+WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[a-z\x80-\U0010ffff]+")
+LONG = 10
 OUT = pa.schema([("row_id", pa.int64()), ("sentence_ids", pa.list_(pa.string())), ("licences", pa.list_(pa.string()))])
 
 
@@ -132,11 +189,19 @@ class Scanner:
         starts = sorted({x.split()[0] for x in self.known})
         self.start = re.compile(rf"[^0-9a-z\x80-\U0010ffff]*(?:{'|'.join(map(re.escape, starts))})(?:[\x00-\x60\x7b-\x7f]|\Z)", re.I | re.A)
         self.rules = rules
-
-    def identify(self, text: str | None) -> list[tuple[str, str]]:
-        """(identifier, version) of the known sentences, in text order."""
+        self.long: dict[tuple[str, ...], list[list[str]]] = {}
+        for w in sorted((w for w in words if len(w) >= LONG), key=len, reverse=True):
+            self.long.setdefault(tuple(w[:3]), []).append(w)
+        # every long sentence has one of these words, and few texts have any
+        self.marks = sorted({max(w, key=len) for w in words if len(w) >= LONG})
+        between = r"[^0-9a-z\x80-\U0010ffff]+"
+        self.heads = re.compile("|".join(between.join(map(re.escape, x)) for x in sorted(self.long)), re.I | re.A) if self.long else re.compile(r"(?!)")
+
+    def sentences(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(begin, end, identifier, version) of the known sentences that the text is cut into."""
         out = []
-        parts = SPLIT.split(text or "")  # sentences or lines, and between them what ended them
+        parts = SPLIT.split(text)  # sentences or lines, and between them what ended them
+        places = list(itertools.accumulate(map(len, parts), initial=0))
         at = 0
         while at < len(parts):
             end = at
@@ -145,7 +210,7 @@ class Scanner:
                 while True:
                     key, version = normalised(sentence)
                     if key in self.known:
-                        found, end = (self.known[key], version), last
+                        found, end = (places[at], places[last + 1], self.known[key], version), last
                     if key not in self.begun or last + 2 >= len(parts) or parts[last + 1] != "\n":
                         break
                     last += 2
@@ -155,6 +220,34 @@ class Scanner:
             at = end + 2
         return out
 
+    def long_ones(self, text: str) -> list[tuple[int, int, str, str]]:
+        """The same of the long sentences wherever they stand, the longest at each place."""
+        low = text.lower()
+        if not any(x in low for x in self.marks):
+            return []
+        starts = [m.start() for m in self.heads.finditer(text)]
+        tokens = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text.translate(LOWER))]
+        words = ["<v>" if w[0] in "0123456789" else w for _, _, w in tokens]
+        at_place = {begin: k for k, (begin, _, _) in enumerate(tokens)}
+        out, done = [], 0
+        for begin in starts:
+            k = at_place.get(begin)
+            if k is None or k < done:
+                continue
+            for sentence in self.long.get(tuple(words[k : k + 3]), ()):
+                if words[k : k + len(sentence)] == sentence:
+                    done = k + len(sentence)
+                    version = next((w for _, _, w in tokens[k:done] if w[0] in "0123456789"), "")
+                    out.append((begin, tokens[done - 1][1], self.known[" ".join(sentence)], version))
+                    break
+        return out
+
+    def identify(self, text: str | None) -> list[tuple[str, str]]:
+        """(identifier, version) of the known sentences, in text order."""
+        long = self.long_ones(text or "")
+        short = [x for x in self.sentences(text or "") if not any(x[0] < y[1] and y[0] < x[1] for y in long)] if long else self.sentences(text or "")
+        return [x[2:] for x in sorted(long + short)]
+
     def licences(self, found: list[tuple[str, str]]) -> list[str]:
         """Licence of each matched sequence, in text order."""
         out, at, ids = [], 0, tuple(x for x, _ in found)
@@ -186,7 +279,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[k for k, _ in x] for x in found], OUT.types[1]), pa.array([scanner.licences(x) for x in found], OUT.types[2])], schema=OUT)
 
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row_id long, sentence_ids array<string>, licences array<string>").withColumnRenamed("row_id", id_col)
+    return rows.mapInArrow(common.lean(run), "row_id long, sentence_ids array<string>, licences array<string>").withColumnRenamed("row_id", id_col)
 
 
 def op1_licences(spark, sf_dir: str) -> DataFrame:
