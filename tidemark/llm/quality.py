@@ -173,13 +173,13 @@ def passing(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5)
     table of posteriors, at most 3**9 rows, joined to the staged rows.
     """
     common.tuned(docs.sparkSession)
-    n, repeats, votes, quality = common.fresh_names(docs, "n", "repeats", "votes", "quality")
+    n, repeats, votes, fitted, quality = common.fresh_names(docs, "n", "repeats", "votes", "fitted_votes", "quality")
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     shape = T.StructType([*numbered.schema.fields, T.StructField("n", T.LongType()), T.StructField("repeats", T.LongType()), T.StructField("votes", T.StringType())])
     measured = numbered.mapInArrow(_beside(docs.columns.index(text_col)), shape).toDF(*docs.columns, n, repeats, votes)
     marked, _ = common.staged(measured, "quality-measured")
-    table = posteriors(marked.select(F.col(votes).alias("votes"))).toDF("fitted_votes", quality)
-    kept = marked.join(table, F.col(votes) == F.col("fitted_votes")).where(~base_failed(F.col(n), F.col(repeats)) & (F.col(quality) >= threshold))
+    table = posteriors(marked.select(F.col(votes).alias("votes"))).toDF(fitted, quality)
+    kept = marked.join(table, F.col(votes) == F.col(fitted)).where(~base_failed(F.col(n), F.col(repeats)) & (F.col(quality) >= threshold))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
