@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in one Arrow batch between the JVM and Python; a batch has at least one row, whatever its size.
-ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import functools
+import os
 import re
 import zlib
 from array import array
@@ -36,6 +37,17 @@ FILES_ARROW = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs",
 DOCS = "file string, doc_at long, row_id long, n_tokens long, at_token long, start long"
 
 
+@functools.cache
+def loaded(path: str) -> tuple:
+    """The tokenizer, and whether letters behind at most one space are one piece of it, so that no other look at them
+    is needed. Kept by the worker process: its size is the vocabulary's, whatever the texts."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, tokenizer.normalizer is None and isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+
+
 class Uneven(Exception):
     """A word begins or ends with white space: the text has to be cut with more care."""
 
@@ -88,15 +100,7 @@ class Encoder:
     """Whole texts to ids with the tokenizers library, each distinct word of a task encoded once."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        settings = json.loads(self.tokenizer.to_str())
-        # letters behind at most one space are one piece of a byte-level pre-tokenizer: no need to look for others
-        self.direct = settings["normalizer"] is None and (settings["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        self.tokenizer, self.direct = loaded(path)
         self.tokens = self.tokenizer.model.tokenize
         self.line_break = self.library("\n")
         self.marks = Marks(self)
