@@ -82,14 +82,16 @@ def test_sampling_follows_the_distribution(pieces):
 def test_lattices_together_equal_one_by_one(pieces):
     words = ["▁the", "cat", "▁▁▁", "\n", "x漢\ty", "▁Straße" * 30, "é", "▁international"]
     pieces = seg.Pieces(MODEL, 1.0)
-    pieces.add(words)
+    assert [pieces.index[w] for w in words] == list(range(8))
+    pieces.add()
     check_lattices(pieces, words)
     for w, n in zip(words, [3, 0, 2, 9, 1, 2, 1, 4]):
         pieces.uses[pieces.index[w]] = n
     pieces.forget()  # words used but once go
     assert {w: int(pieces.uses[k]) for w, k in pieces.index.items()} == {words[i]: n for i, n in ((0, 1), (2, 1), (3, 4), (5, 1), (7, 2))}
     check_lattices(pieces, list(pieces.index))
-    pieces.add(["cat", "é"])
+    assert [pieces.index[w] for w in ("cat", "é", "cat")] == [5, 6, 5]
+    pieces.add()
     check_lattices(pieces, list(pieces.index))
 
 

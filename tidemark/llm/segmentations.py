@@ -35,7 +35,7 @@ SPACE = "▁"
 EDGE = np.dtype([("to", "<u4"), ("id", "<u4"), ("p", "<f8"), ("cum", "<f8")])
 PACK = struct.Struct("<IIdd")
 #: Word lattices kept during a task, of about a kilobyte each; a batch adds at most as many as it has characters.
-KEPT = 60_000
+KEPT = 150_000
 #: Characters of texts sampled together.
 TOGETHER = 200_000
 #: Characters in the transition table of the trie, the most frequent in the vocabulary.
@@ -64,6 +64,19 @@ def stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+class Index(dict):
+    """Numbers of words; new ones get the next number when first asked for, and wait in ``new``."""
+
+    def __init__(self, words=()):
+        super().__init__(words)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+
 class Pieces:
     """The vocabulary: weights by Zipf's law over the order of the pieces, as a BPE model stores ranks and no
     probabilities; ``theta`` above 1 sharpens the distribution."""
@@ -87,6 +100,8 @@ class Pieces:
                 self.raw[i] = piece.replace(SPACE, " ").encode()
                 rank += 1
                 weights[i] = (1 + rank) ** -theta
+        self.blob = np.frombuffer(b"".join(self.raw), dtype=np.uint8)
+        self.blob_at = np.concatenate(([0], np.cumsum([len(x) for x in self.raw])))
         self.weights = weights.tolist()
         self.longest = max(map(len, self.ids))
         self.log_weights = np.log(np.maximum(weights, 1e-300))
@@ -115,7 +130,7 @@ class Pieces:
         self.first_edge, self.next, self.id = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
         self.cum, self.p = np.zeros(0), np.zeros(0)
         self.begin, self.end, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
-        self.index: dict[str, int] = {}
+        self.index = Index()
         self.nodes = self.edges = 0
 
     def split(self, text: str) -> list[str]:
@@ -141,7 +156,7 @@ class Pieces:
             own[: len(edge)] = own[edge]
         self.begin[:n], self.end[:n], self.uses[:n] = new, new + sizes - 1, uses[keep] // 2
         words = list(self.index)
-        self.index = {words[i]: at for at, i in enumerate(keep.tolist())}
+        self.index = Index((words[i], at) for at, i in enumerate(keep.tolist()))
         self.nodes, self.edges = len(node), len(edge)
 
     def _room(self, name: str, size: int) -> np.ndarray:
@@ -151,23 +166,22 @@ class Pieces:
             setattr(self, name, own)
         return own
 
-    def _store(self, words: list[str], edges: tuple, counts: np.ndarray, sizes: np.ndarray) -> None:
-        """``edges`` (to, id, p, cum) in order of nodes, ``counts`` of each node with the zero of each word's end,
-        ``sizes`` in nodes."""
+    def _store(self, numbers: np.ndarray, edges: tuple, counts: np.ndarray, sizes: np.ndarray) -> None:
+        """Words by their numbers: ``edges`` (to, id, p, cum) in order of nodes, ``counts`` of each node with the zero of
+        each word's end, ``sizes`` in nodes."""
         to, ids, p, cum = edges
         starts = np.concatenate(([0], np.cumsum(counts)))
         ends = np.cumsum(sizes)
-        base, a, k = self.nodes + ends - sizes, self.edges, len(self.index)
+        base, a, top = self.nodes + ends - sizes, self.edges, len(self.index)
         b = a + len(to)
         self._room("first_edge", self.nodes + len(counts) + 1)[self.nodes : self.nodes + len(counts) + 1] = a + starts
         self._room("next", b)[a:b] = np.repeat(base, starts[ends] - starts[ends - sizes]) + to
         self._room("id", b)[a:b] = ids
         self._room("cum", b)[a:b] = cum
         self._room("p", b)[a:b] = p
-        self._room("begin", k + len(words))[k : k + len(words)] = base
-        self._room("end", k + len(words))[k : k + len(words)] = base + sizes - 1
-        self._room("uses", k + len(words))[k : k + len(words)] = 0
-        self.index.update(zip(words, range(k, k + len(words))))
+        self._room("begin", top)[numbers] = base
+        self._room("end", top)[numbers] = base + sizes - 1
+        self._room("uses", top)[numbers] = 0
         self.nodes, self.edges = self.nodes + len(counts), b
 
     def lattice(self, word: str) -> tuple[bytes, bytes]:
@@ -216,20 +230,23 @@ class Pieces:
         counts.reverse()
         return b"".join(parts), np.array([*counts, 0], dtype="<u4").tobytes()
 
-    def add(self, words: list[str]) -> None:
-        """Store the lattices of new words: all go down the trie, and their weights add up from the end, together.
-        Words with a rare character are built one by one."""
+    def add(self) -> None:
+        """Store the lattices of the index's new words: all go down the trie, and their weights add up from the end,
+        together. Words with a rare character are built one by one."""
+        words, self.index.new = self.index.new, []
+        if not words:
+            return
+        numbers = np.arange(len(self.index) - len(words), len(self.index))
         text = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         letter = self.letter[text]
-        plain = np.logical_and.reduceat(letter > 0, np.cumsum(size) - size) if words else np.zeros(0, dtype=bool)
-        for w, ok in zip(words, plain.tolist()):
-            if not ok:
-                edges, counts = self.lattice(w)
-                counts = np.frombuffer(counts, dtype="<u4").astype(np.int64)
-                packed = np.frombuffer(edges, dtype=EDGE)
-                self._store([w], tuple(packed[c] for c in ("to", "id", "p", "cum")), counts, np.array([len(counts)]))
-        words = list(itertools.compress(words, plain.tolist()))
+        plain = np.logical_and.reduceat(letter > 0, np.cumsum(size) - size)
+        if not plain.all():
+            packed, counts = zip(*[self.lattice(w) for w, ok in zip(words, plain.tolist()) if not ok])
+            edges = np.frombuffer(b"".join(packed), dtype=EDGE)
+            sizes = np.array([len(c) // 4 for c in counts])
+            self._store(numbers[~plain], tuple(edges[c] for c in ("to", "id", "p", "cum")), np.frombuffer(b"".join(counts), dtype="<u4").astype(np.int64), sizes)
+            numbers = numbers[plain]
         letter, size = letter[np.repeat(plain, size)], size[plain]
         n = len(letter)
         if not n:
@@ -274,7 +291,19 @@ class Pieces:
         last = first + counts - 1
         cum[last] = 1.0
         p[last[counts == 1]] = 1.0
-        self._store(words, (to - (end - np.repeat(size, size))[node], piece, p, cum), np.insert(counts, np.cumsum(size), 0), size + 1)
+        self._store(numbers, (to - (end - np.repeat(size, size))[node], piece, p, cum), np.insert(counts, np.cumsum(size), 0), size + 1)
+
+    def round_trips(self, texts: list[str], samples: list[list[np.ndarray]]) -> list[bool]:
+        """Whether all samples of each text decode to it, by the bytes of all of them together."""
+        plain = [(" " + t if t else "").replace(SPACE, " ").encode() for t in texts]
+        ids = np.concatenate([np.zeros(0, dtype=np.int64), *[i for own in samples for i in own]]).astype(np.int64)
+        decoded = self.blob[stretches(self.blob_at[ids], self.blob_at[ids + 1] - self.blob_at[ids])]
+        if decoded.tobytes() == b"".join(x for x, own in zip(plain, samples) for _ in own):
+            cuts = np.cumsum([0, *(len(i) for own in samples for i in own)])
+            sizes = np.concatenate(([0], np.cumsum(self.blob_at[ids + 1] - self.blob_at[ids])))[cuts]
+            if np.diff(sizes).tolist() == [len(x) for x, own in zip(plain, samples) for _ in own]:
+                return [True] * len(texts)
+        return [all(self.decode(i.tolist()) == t.replace(SPACE, " ") for i in own) for t, own in zip(texts, samples)]
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids: bytes of the pieces, without the space put before the first word."""
@@ -285,16 +314,13 @@ class Batch:
     """The words of several texts, as places in the store of lattices."""
 
     def __init__(self, pieces: Pieces, words: list[list[str]], seeds: np.ndarray):
-        wanted = set(itertools.chain.from_iterable(words))
-        new = [w for w in wanted if w not in pieces.index]
-        if len(pieces.index) + len(new) > KEPT:
+        if len(pieces.index) > KEPT:
             pieces.forget()
-            new = [w for w in wanted if w not in pieces.index]
-        pieces.add(new)
         self.pieces = pieces
         sizes = np.array([len(x) for x in words], dtype=np.int64)
         self.doc_start = np.concatenate(([0], np.cumsum(sizes)))
         occurrences = np.fromiter(map(pieces.index.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+        pieces.add()
         pieces.uses[: len(pieces.index)] += np.bincount(occurrences, minlength=len(pieces.index))
         self.begin, self.end = pieces.begin[occurrences], pieces.end[occurrences]
         doc_of = np.repeat(np.arange(len(words)), sizes)
@@ -403,20 +429,22 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
         taken_p = pieces.p[edges]
         with np.errstate(divide="ignore"):  # the only edge of a node leaves nothing
             steps, rests = np.log(taken_p), np.log1p(-taken_p)
-        hidden = np.log(-np.log(noise)) - rests
-        for (d, _, _, value), head, left, a, b in zip(todo, heads, leftovers, ends, ends[1:]):
-            own, own_steps = edges[a:b], steps[a:b]
-            if head:
-                old, place, edge = head
-                begin = float(old.before[place]) + math.log(pieces.p[edge])
-            else:
-                begin = 0.0
-            before = begin + np.cumsum(own_steps) - own_steps
-            total = begin + float(own_steps.sum())
-            # the largest value of what each node of the walk did not take
-            values = -np.logaddexp(-value, hidden[a:b] - before)
+        # sums of each text for itself, so that they are the same in any batch
+        begins = [float(head[0].before[head[1]]) + math.log(pieces.p[head[2]]) if head else 0.0 for head in heads]
+        behind = np.empty(len(steps))
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            np.cumsum(steps[a:b], out=behind[a:b])
+        counts = np.diff(ends)
+        behind += np.repeat(begins, counts)
+        all_before = behind - steps
+        # the largest value of what each node of the walk did not take
+        all_values = -np.logaddexp(-np.repeat(np.array([float(x[3]) for x in todo]), counts), np.log(-np.log(noise)) - rests - all_before)
+        for (d, _, _, value), head, left, begin, a, b in zip(todo, heads, leftovers, begins, ends.tolist(), ends[1:].tolist()):
+            own, before, values = edges[a:b], all_before[a:b], all_values[a:b]
+            total = float(behind[b - 1]) if b > a else begin
             shift = 0
             if head:
+                old, place, edge = head
                 shift = place + 1
                 path = Found(np.concatenate((old.edges[:place], [edge], own)), np.concatenate((old.before[: place + 1], before)), np.concatenate((old.occurrence[: place + 1], owner[a:b])), total, value)
                 if left:
@@ -449,11 +477,9 @@ def _sampler(model: str, theta: float, k: int, seed: int):
                 while to < len(texts) and (to == at or held + len(texts[to]) <= TOGETHER):
                     held += len(texts[to])
                     to += 1
-                rows, fits = [], []
-                for text, got in zip(texts[at:to], sample(pieces, texts[at:to], keys[at:to], k, seed)):
-                    rows.append([{"ids": i.tobytes(), "log_prob": p, "value": v, "inclusion": q} for i, p, v, q in got])
-                    plain = text.replace(SPACE, " ")
-                    fits.append(all(pieces.decode(i.tolist()) == plain for i, *_ in got))
+                found = sample(pieces, texts[at:to], keys[at:to], k, seed)
+                rows = [[{"ids": i.tobytes(), "log_prob": p, "value": v, "inclusion": q} for i, p, v, q in got] for got in found]
+                fits = pieces.round_trips(texts[at:to], [[i for i, *_ in got] for got in found])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at:to], pa.int64()), pa.array(rows, OUT.types[1]), pa.array(fits, pa.bool_())], schema=OUT)
                 at = to
 
