@@ -101,7 +101,7 @@ def check_lattices(pieces, words):
         a, b = pieces.begin[pieces.index[w]], pieces.end[pieces.index[w]]
         first = pieces.first_edge[a : b + 1]
         own = slice(first[0], first[-1])
-        assert np.diff(first).tolist() == counts[:-1].tolist() and (pieces.next[own] - a == edges["to"]).all() and (pieces.id[own] == edges["id"]).all()
+        assert np.diff(first).tolist() == counts[:-1].tolist() and (pieces.step[own] + np.repeat(np.arange(b - a), np.diff(first)) == edges["to"]).all() and (pieces.id[own] == edges["id"]).all()
         assert np.allclose(pieces.cum[own], edges["cum"], rtol=1e-9) and np.allclose(pieces.p[own], edges["p"], rtol=1e-9)
 
 

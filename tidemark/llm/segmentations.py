@@ -34,10 +34,10 @@ from tidemark.llm import common
 SPACE = "▁"
 EDGE = np.dtype([("to", "<u4"), ("id", "<u4"), ("p", "<f8"), ("cum", "<f8")])
 PACK = struct.Struct("<IIdd")
-#: Word lattices kept during a task, of about a kilobyte each; a batch adds at most as many as it has characters.
-KEPT = 150_000
+#: Word lattices kept during a task, of about 800 bytes each; a batch adds at most as many as it has characters.
+KEPT = 80_000
 #: Characters of texts sampled together.
-TOGETHER = 200_000
+TOGETHER = 60_000
 #: Characters in the transition table of the trie, the most frequent in the vocabulary.
 FREQUENT = 254
 SAMPLES = "array<struct<ids:binary,log_prob:double,value:double,inclusion:double>>"
@@ -127,7 +127,9 @@ class Pieces:
         else:
             self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         # the store of word lattices: arrays over the edges and nodes of all words
-        self.first_edge, self.next, self.id = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint32)
+        self.first_edge = np.zeros(1, dtype=np.int64)
+        self.step = np.zeros(0, dtype=np.uint8 if self.longest < 256 else np.uint32)  # nodes passed
+        self.id = np.zeros(0, dtype=np.uint16 if size <= 1 << 16 else np.uint32)
         self.cum, self.p = np.zeros(0), np.zeros(0)
         self.begin, self.end, self.uses = (np.zeros(0, dtype=np.int64) for _ in range(3))
         self.index = Index()
@@ -150,8 +152,7 @@ class Pieces:
         node, edge = stretches(old, sizes), stretches(first, counts)
         self.first_edge[: len(node)] = self.first_edge[node] + np.repeat(new_first - first, sizes)
         self.first_edge[len(node)] = len(edge)
-        self.next[: len(edge)] = self.next[edge] + np.repeat(new - old, counts)
-        for name in ("id", "cum", "p"):
+        for name in ("step", "id", "cum", "p"):
             own = getattr(self, name)
             own[: len(edge)] = own[edge]
         self.begin[:n], self.end[:n], self.uses[:n] = new, new + sizes - 1, uses[keep] // 2
@@ -167,15 +168,15 @@ class Pieces:
         return own
 
     def _store(self, numbers: np.ndarray, edges: tuple, counts: np.ndarray, sizes: np.ndarray) -> None:
-        """Words by their numbers: ``edges`` (to, id, p, cum) in order of nodes, ``counts`` of each node with the zero of
-        each word's end, ``sizes`` in nodes."""
-        to, ids, p, cum = edges
+        """Words by their numbers: ``edges`` (step, id, p, cum) in order of nodes, ``counts`` of each node with the zero
+        of each word's end, ``sizes`` in nodes."""
+        step, ids, p, cum = edges
         starts = np.concatenate(([0], np.cumsum(counts)))
         ends = np.cumsum(sizes)
         base, a, top = self.nodes + ends - sizes, self.edges, len(self.index)
-        b = a + len(to)
+        b = a + len(step)
         self._room("first_edge", self.nodes + len(counts) + 1)[self.nodes : self.nodes + len(counts) + 1] = a + starts
-        self._room("next", b)[a:b] = np.repeat(base, starts[ends] - starts[ends - sizes]) + to
+        self._room("step", b)[a:b] = step
         self._room("id", b)[a:b] = ids
         self._room("cum", b)[a:b] = cum
         self._room("p", b)[a:b] = p
@@ -245,7 +246,9 @@ class Pieces:
             packed, counts = zip(*[self.lattice(w) for w, ok in zip(words, plain.tolist()) if not ok])
             edges = np.frombuffer(b"".join(packed), dtype=EDGE)
             sizes = np.array([len(c) // 4 for c in counts])
-            self._store(numbers[~plain], tuple(edges[c] for c in ("to", "id", "p", "cum")), np.frombuffer(b"".join(counts), dtype="<u4").astype(np.int64), sizes)
+            counts = np.frombuffer(b"".join(counts), dtype="<u4").astype(np.int64)
+            node = np.repeat(np.arange(len(counts)) - np.repeat(np.cumsum(sizes) - sizes, sizes), counts)
+            self._store(numbers[~plain], (edges["to"] - node, edges["id"], edges["p"], edges["cum"]), counts, sizes)
             numbers = numbers[plain]
         letter, size = letter[np.repeat(plain, size)], size[plain]
         n = len(letter)
@@ -291,7 +294,7 @@ class Pieces:
         last = first + counts - 1
         cum[last] = 1.0
         p[last[counts == 1]] = 1.0
-        self._store(numbers, (to - (end - np.repeat(size, size))[node], piece, p, cum), np.insert(counts, np.cumsum(size), 0), size + 1)
+        self._store(numbers, (length, piece, p, cum), np.insert(counts, np.cumsum(size), 0), size + 1)
 
     def round_trips(self, texts: list[str], samples: list[list[np.ndarray]]) -> list[bool]:
         """Whether all samples of each text decode to it, by the bytes of all of them together."""
@@ -329,7 +332,7 @@ class Batch:
     def walk(self, occurrences: np.ndarray, nodes: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Draw edges from ``nodes`` to the end of each occurrence: edges in order, edges of each occurrence, noise."""
         seed = mix(self.stream[occurrences] + GOLD * np.array([turn], dtype=np.uint64))
-        first_edge, cum, following = self.pieces.first_edge, self.pieces.cum, self.pieces.next
+        first_edge, cum, passed = self.pieces.first_edge, self.pieces.cum, self.pieces.step
         live, at, step = np.flatnonzero(nodes != self.end[occurrences]), nodes, 0
         at = at[live]
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -343,7 +346,7 @@ class Batch:
                 on = on[u[on] >= cum[edge[on]]]
             found.append((live, edge))
             length[live] += 1
-            at = following[edge]
+            at = at + passed[edge]
             on = at != self.end[occurrences[live]]
             live, at, step = live[on], at[on], step + 1
         offset = np.cumsum(length) - length
@@ -418,7 +421,7 @@ def sample(pieces: Pieces, texts: list[str], keys: list[int | None], k: int, see
             heads.append((path, place, edge))
             o = int(path.occurrence[place])
             occ_parts.append(everything[o:b])
-            node_parts.append(np.concatenate(([pieces.next[edge]], batch.begin[o + 1 : b])))
+            node_parts.append(np.concatenate(([node + int(pieces.step[edge])], batch.begin[o + 1 : b])))
         if not todo:
             break
         occurrences, nodes = np.concatenate(occ_parts), np.concatenate(node_parts)
