@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SHAPE = "video string, pos int, frame_idx long, ts double, height int, width int, pixels array<double>"
+SHAPE = "video string, pos int, frame_idx long, ts double, height int, width int, pixels array<double>, native_fps double, total_frames long"
 
 
 def npz_decoder(path: str):
@@ -71,7 +71,7 @@ class FrameReader(DataSourceReader):
             frame = read(index) if index < total else None
             if frame is None:  # a row form ends here, timestamps and pixels alike
                 return
-            yield video, pos, index, index / native, len(frame), len(frame[0]), [float(x) for row in frame for x in row]
+            yield video, pos, index, index / native, len(frame), len(frame[0]), [float(x) for row in frame for x in row], float(native), int(total)
 
 
 class FrameSource(DataSource):
