@@ -91,9 +91,14 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return released
 
 
-def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def staged(df: DataFrame, label: str, *, per_file: int = 1) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``per_file``: so many shuffle partitions go to one file, for tables that are small beside their input.
+    """
     path = fresh_path(df.sparkSession, label)
+    if per_file > 1:
+        df = df.coalesce(max(1, partitions(df.sparkSession) // per_file))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

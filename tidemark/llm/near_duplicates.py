@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.components import components
+from tidemark.llm.components import PER_FILE, components
 
 BANDS, ROWS = 45, 6
 #: MinHash values compared by the pruning, 16 bits each.
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes, sizes_at = common.staged(rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("h", "size_h"), "near-sizes")
     buckets, buckets_at = common.staged(rows.join(sizes.hint("merge"), F.col("h") == F.col("size_h")).select("h", "key", "m"), "near-buckets")
 
-    groups, groups_at = common.staged(components(_stars(buckets.where(F.col("m") > SMALL))).withColumnRenamed("root", "grp"), "near-groups")
+    groups, groups_at = common.staged(components(_stars(buckets.where(F.col("m") > SMALL))).withColumnRenamed("root", "grp"), "near-groups", per_file=PER_FILE)
 
     small = buckets.where(F.col("m") <= SMALL).join(groups.hint("merge"), F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("grp", F.lit(-1)).alias("grp"))
     lists = small.groupBy("h").agg(F.collect_list(F.struct("key", "grp")).alias("members")).select("members")
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # groups in blocks: a row goes to as many tasks as its group has blocks
     held = groups.join(classes.select(F.col("key").alias("key_n"), "n").hint("merge"), F.col("node") == F.col("key_n"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
-    counts, counts_at = common.staged(held.groupBy("grp").agg(blocks.cast("int").alias("blocks")).withColumnRenamed("grp", "count_grp"), "near-counts")
+    counts, counts_at = common.staged(held.groupBy("grp").agg(blocks.cast("int").alias("blocks")).withColumnRenamed("grp", "count_grp"), "near-counts", per_file=PER_FILE)
     dense = (
         groups.join(counts.hint("merge"), F.col("grp") == F.col("count_grp"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     each = links.select(F.explode(F.array("a", "b")).alias("key"), F.lit(1).cast("long").alias("links")).unionByName(inside.select("key", "links"))
     degree = each.groupBy("key").agg(F.sum("links").alias("links")).withColumnRenamed("key", "degree_key")
-    roots, roots_at = common.staged(components(links.unionByName(inside.select(F.col("key").alias("a"), F.col("root").alias("b")))), "near-roots")
+    roots, roots_at = common.staged(components(links.unionByName(inside.select(F.col("key").alias("a"), F.col("root").alias("b")))), "near-roots", per_file=PER_FILE)
     known = (
         classes.select(F.col("digest").alias("class_digest"), "rep", "key")
         .join(degree.hint("merge"), F.col("key") == F.col("degree_key"), "left")
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("class_digest", "rep", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "key").alias("root"))
     )
     named, named_at = common.staged(known, "near-named")
-    smallest, smallest_at = common.staged(named.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root"), "near-smallest")
+    smallest, smallest_at = common.staged(named.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root"), "near-smallest", per_file=PER_FILE)
     named = named.join(smallest.hint("merge"), F.col("root") == F.col("least_root"))
     shown = lambda c: F.when(F.col(c) != LOW, F.col(c))
     out = members.join(named.hint("merge"), F.col("digest") == F.col("class_digest")).select(shown("row_id").alias(id_col), "body", shown("least").alias("class_id"), shown("rep").alias("copy_id"), "n_links")
