@@ -184,4 +184,53 @@ def passing(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    return scored(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
+    return scored(common.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"), "votes")
+
+
+#: Letters of category Ll, Lt and Lu stand for cased ones. Words, lines, windows and votes by SQL functions, the estimate as a recursion over one row of lists.
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+pos AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM t),
+five AS (SELECT r, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM pos WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i FROM five WHERE e IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c, d, e) > 1),
+inside AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) AS s(k) GROUP BY r),
+base AS (
+  SELECT t.r, doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS symbols,
+    len(l) AS lines, len(l) - len(list_distinct(l)) AS dup, coalesce(inside.n, 0) AS again, len(list_distinct(w)) AS kinds,
+    len(list_filter(w, lambda x: regexp_matches(x, '^[^\p{Ll}\p{Lt}ªº]*\p{Lu}[^\p{Ll}\p{Lt}ªº]*$'))) AS upper, len(list_filter(w, lambda x: regexp_matches(x, '^\pL+[.,;:]?$'))) AS plain,
+    len(list_filter(l, lambda x: regexp_matches(x, '[.!?][\x20\x09-\x0D]*$'))) AS ends
+  FROM t LEFT JOIN inside ON t.r = inside.r),
+voted AS (
+  SELECT doc_id, n, chars, symbols, dup, again, CASE WHEN n = 0 THEN '-00000000' ELSE
+    CASE WHEN n < 10 THEN '-' WHEN n >= 50 THEN '+' ELSE '0' END
+    || CASE WHEN symbols / n > 0.08 THEN '-' WHEN symbols / n <= 0.02 THEN '+' ELSE '0' END
+    || CASE WHEN again / n > 0.20 THEN '-' WHEN again / n <= 0.05 THEN '+' ELSE '0' END
+    || CASE WHEN dup / lines > 0.60 THEN '-' WHEN dup / lines <= 0.10 THEN '+' ELSE '0' END
+    || CASE WHEN upper / n > 0.40 THEN '-' WHEN upper / n <= 0.10 THEN '+' ELSE '0' END
+    || CASE WHEN chars / n BETWEEN 3.5 AND 8 THEN '+' WHEN chars / n < 2.5 OR chars / n > 12 THEN '-' ELSE '0' END
+    || CASE WHEN 1 - plain / n > CASE WHEN n >= 50 THEN 0.25 ELSE 0.50 END THEN '-' WHEN 1 - plain / n <= 0.15 THEN '+' ELSE '0' END
+    || CASE WHEN lines < 3 THEN '0' WHEN 1 - ends / lines > 0.97 THEN '-' WHEN 1 - ends / lines <= 0.34 THEN '+' ELSE '0' END
+    || CASE WHEN n < 50 THEN '0' WHEN kinds / pow(n, 0.75) < 0.4 THEN '-' WHEN kinds / pow(n, 0.75) >= 1.0 THEN '+' ELSE '0' END END AS votes
+  FROM base),
+patterns AS (SELECT list(votes ORDER BY votes) AS v, list(c ORDER BY votes) AS c FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS c FROM voted GROUP BY votes)),
+em AS (
+  SELECT 0 AS step, CAST(0.8 AS DOUBLE) AS prior, list_transform(range(9), lambda j: CAST(0.95 AS DOUBLE)) AS g, list_transform(range(9), lambda j: CAST(0.3 AS DOUBLE)) AS b,
+    list_transform(v, lambda x: CAST(0 AS DOUBLE)) AS post, CAST(1 AS DOUBLE) AS moved FROM patterns
+  UNION ALL
+  SELECT step + 1, (list_sum(list_transform(range(1, len(v) + 1), lambda k: c[k] * new[k])) + 1) / (list_sum(c) + 2),
+    list_transform(range(1, 10), lambda j: (list_sum(list_transform(range(1, len(v) + 1), lambda k: CASE WHEN v[k][j] = '+' THEN c[k] * new[k] ELSE 0.0 END)) + 2)
+      / (list_sum(list_transform(range(1, len(v) + 1), lambda k: CASE WHEN v[k][j] <> '0' THEN c[k] * new[k] ELSE 0.0 END)) + 3)),
+    list_transform(range(1, 10), lambda j: (list_sum(list_transform(range(1, len(v) + 1), lambda k: CASE WHEN v[k][j] = '-' THEN c[k] * (1 - new[k]) ELSE 0.0 END)) + 2)
+      / (list_sum(list_transform(range(1, len(v) + 1), lambda k: CASE WHEN v[k][j] <> '0' THEN c[k] * (1 - new[k]) ELSE 0.0 END)) + 3)),
+    new, list_max(list_transform(range(1, len(v) + 1), lambda k: abs(new[k] - post[k])))
+  FROM (
+    SELECT *, list_transform(v, lambda x: 1 / (1 + exp(least(700, greatest(-700, ln(1 - prior) - ln(prior) + list_sum(list_transform(range(1, 10), lambda j:
+      CASE x[j] WHEN '+' THEN ln(1 - b[j]) - ln(g[j]) WHEN '-' THEN ln(b[j]) - ln(1 - g[j]) ELSE 0.0 END))))))) AS new
+    FROM em, patterns WHERE step < 200 AND moved >= 1e-9)),
+fitted AS (SELECT unnest(v) AS votes, unnest(post) AS quality FROM (SELECT post FROM em ORDER BY step DESC LIMIT 1), patterns)
+SELECT doc_id, n AS n_words, chars AS word_chars, symbols AS n_symbols, dup AS n_dup_lines, again AS n_repeat_words, n < 10 OR 100 * again > 20 * n AS base_failed,
+  NOT (n < 10 OR 100 * again > 20 * n) AND quality >= 0.5 AS kept, round(quality, 6) AS quality, votes
+FROM voted JOIN fitted USING (votes)
+"""

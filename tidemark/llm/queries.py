@@ -8,11 +8,11 @@ from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.licenses import OP1_SQL, op1_licences
 from tidemark.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tidemark.llm.near_duplicates import OP10_SQL, op10_near_duplicates
-from tidemark.llm.quality import op6_quality
+from tidemark.llm.quality import OP6_SQL, op6_quality
 from tidemark.llm.segmentations import op7_segmentations
 from tidemark.llm.sharding import op4_hilbert_shards
 from tidemark.llm.token_files import op2_token_files
-from tidemark.llm.warc import op3_warc
+from tidemark.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_licences": op1_licences,
@@ -30,7 +30,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_licences": OP1_SQL,
+    "op3_warc": OP3_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op6_quality": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_near_duplicates": OP10_SQL,
 }
