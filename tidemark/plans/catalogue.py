@@ -6,11 +6,15 @@ series (one a user), frames (type: clip voted for) and intervals (even ids detec
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, vectors
 from tidemark.operators import evaluate, knn, matching, series, topology, tracks
+from tidemark.plans import pipelines
 from tidemark.sources import tables
 
 QUERIES: dict = {}
@@ -31,6 +35,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes when the JVM ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -98,6 +117,36 @@ def q_curves(spark, d):
     return table(spark, d, "embeddings").select("vec_id", *[F.round(v, 4).alias(k) for k, v in c.items()])
 
 
+FRAME_FILES = "framed AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _frame_files(spark, d) -> DataFrame:
+    """Embeddings as frames, a video for each label, even ones of category tv; every tenth id has no features."""
+    e = series.positions(table(spark, d, "embeddings"), ["label"], ["vec_id"])
+    some = F.when(F.col("vec_id") % 10 > 0, F.col("embedding")).otherwise(F.array().cast("array<float>"))
+    return e.select(F.when(F.col("label") % 2 == 0, "tv").otherwise("commercials").alias("category"), F.concat(F.lit("v"), F.col("label").cast("string")).alias("video"), "pos", (F.col("pos") / 3).alias("ts"), some.alias("features"))
+
+
+@query(f"WITH {FRAME_FILES} SELECT 'v' || label AS video, pos, round(CAST(pos AS DOUBLE) / 3, 4) AS ts, CAST(CASE WHEN vec_id % 10 > 0 THEN len(v) ELSE 0 END AS INTEGER) AS width FROM framed WHERE label % 2 = 0")
+def q_frame_files(spark, d):
+    """Frames written a folder a video, read back for one category."""
+    path = _folder(spark, "frames")
+    tables.write_partitioned(_frame_files(spark, d), path)
+    back = tables.read_frames(spark, path, "category", "video", "pos", "ts", "features").where("category = 'tv'")
+    return back.select("video", "pos", F.round("ts", 4).alias("ts"), F.size("features").alias("width"))
+
+
+@query(f"""
+WITH {FRAME_FILES} SELECT CASE WHEN label % 2 = 0 THEN 'tv' ELSE 'commercials' END AS category, 'v' || label AS video, pos, round(v[7] + sqrt(list_sum(list_transform(v[13:], lambda x: x * x))), 4) AS gate
+FROM framed WHERE vec_id % 10 > 0
+""")
+def q_curve_files(spark, d):
+    """Curves of the frames that have features, written and one of them read back."""
+    path = _folder(spark, "curves")
+    tables.write_partitioned(pipelines.frame_curves(_frame_files(spark, d)), path)
+    return rounded(tables.curve_of(tables.read_frames(spark, path), "combined_activity").select("category", "video", "pos", "gate"), "gate")
+
+
 # ---- neighbours ----------------------------------------------------------------------------------------------------
 
 
@@ -201,16 +250,18 @@ def q_segments(spark, d):
     return rounded(series.active_segments(z, ["video"], "z", 0.3, 2), "peak").select("video", "seg_start", "seg_end", "peak_pos", "peak")
 
 
-@query(f"""
-WITH {_moments_sql(10)}, {SEGMENTS.format(t=1.0, n=1)},
-clips AS (SELECT video AS clip, pos, z AS y FROM scores),
+def _matched_sql(clips: str, peaks: str) -> str:
+    return f"""WITH {_moments_sql(10)}, {SEGMENTS.format(t=1.0, n=1)},
+clips AS (SELECT video AS clip, pos, z AS y FROM scores WHERE {clips}),
 sizes AS (SELECT clip, count(*) AS m FROM clips GROUP BY clip), totals AS (SELECT video, count(*) AS n FROM scores GROUP BY video),
-starts AS (SELECT s.video, s.seg_start, s.peak_pos, c.clip, greatest(0, least(s.peak_pos - c.m // 2, t.n - c.m)) AS first FROM segments s JOIN totals t USING (video) JOIN sizes c ON c.m <= t.n),
+starts AS (SELECT s.video, s.seg_start, s.peak_pos, c.clip, greatest(0, least(s.peak_pos - c.m // 2, t.n - c.m)) AS first FROM segments s JOIN totals t USING (video) JOIN sizes c ON c.m <= t.n WHERE {peaks}),
 points AS (SELECT a.video, a.seg_start, a.peak_pos, a.clip, z.z AS x, c.y FROM starts a JOIN clips c USING (clip) JOIN scores z ON z.video = a.video AND z.pos = a.first + c.pos),
 matched AS (SELECT video, seg_start, peak_pos, clip, CASE WHEN stddev_pop(x) * sqrt(count(*)) < 1e-6 OR stddev_pop(y) * sqrt(count(*)) < 1e-6 THEN 0.0
-  ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS score FROM points GROUP BY ALL)
-SELECT video, seg_start, peak_pos, clip, round(score, 4) AS score FROM matched QUALIFY row_number() OVER (PARTITION BY video, seg_start ORDER BY score DESC, clip) = 1
-""")
+  ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS score FROM points GROUP BY ALL),
+best AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY video, seg_start ORDER BY score DESC, clip) = 1)"""
+
+
+@query(f"{_matched_sql('true', 'true')} SELECT video, seg_start, peak_pos, clip, round(score, 4) AS score FROM best")
 def q_peak_match(spark, d):
     z = series.standard_scores(_series(spark, d), ["video"], "x", 10)
     segments = series.active_segments(z, ["video"], "z", 1.0, 1)
@@ -218,6 +269,18 @@ def q_peak_match(spark, d):
     return rounded(matching.match_peaks(segments, z.select("video", "pos", F.col("z").alias("x")), clips), "score")
 
 
+@query(f"""
+{_matched_sql('video % 2 = 1', 'video % 2 = 0')} SELECT video AS tv, round(CAST(seg_start AS DOUBLE) / 3, 3) AS start, round(CAST(m AS DOUBLE) / 3, 3) AS length, clip, round(score, 4) AS score
+FROM best JOIN sizes USING (clip) WHERE score >= 0.2
+""")
+def q_curve_detector(spark, d):
+    """The curve detector from curves to detections: series of odd users are clips, those of even ones are searched."""
+    s = _series(spark, d)
+    curves = s.select(F.when(F.col("video") % 2 == 0, "tv").otherwise("commercials").alias("category"), "video", "pos", (F.col("pos") / 3).alias("ts"), F.col("x").alias("combined_activity"))
+    clips = s.where("video % 2 = 1").groupBy(F.col("video").alias("clip")).agg((F.count("*") / 3).alias("duration")).withColumn("clip_order", F.col("clip"))
+    return pipelines.curve_detections(curves, clips, smooth_window=10, z_threshold=1.0, min_peak_sec=0.3, match_threshold=0.2)
+
+
 # ---- votes and tracks ----------------------------------------------------------------------------------------------
 
 WIDTH, GATE, SCORE, TOLERANCE = 2, 20.0, 0.02, 12.0
@@ -312,6 +375,38 @@ def q_detector(spark, d):
     return rounded(rounded(out, "start", "length", digits=3), "score", digits=6).select("video", "clip", "start", "length", "score")
 
 
+def _neighbour_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Even ids as frames of three videos, odd ones as frames of ten clips, two a second."""
+    e = table(spark, d, "embeddings").withColumn("features", F.col("embedding"))
+    tv = series.positions(e.where("vec_id % 2 = 0").withColumn("video", F.col("label") % 3), ["video"], ["label", "vec_id"])
+    bank = series.positions(e.where("vec_id % 2 = 1").withColumn("video", F.col("label")), ["video"], ["vec_id"])
+    return tuple(x.select("video", "pos", (F.col("pos") / 2).alias("ts"), "features") for x in (tv, bank))
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+asked AS (SELECT vec_id, label % 3 AS video, row_number() OVER (PARTITION BY label % 3 ORDER BY label, vec_id) - 1 AS pos, v FROM e WHERE vec_id % 2 = 0),
+bank AS (SELECT vec_id, label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, v FROM e WHERE vec_id % 2 = 1),
+near AS (SELECT a.video, a.pos, a.v, b.clip, b.pos AS clip_pos, list_inner_product(a.v, b.v) AS score FROM asked a, bank b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC) = 1),
+frames AS (SELECT video, pos, CAST(pos AS DOUBLE) / 2 AS ts, clip, CAST(clip_pos AS DOUBLE) / 2 AS clip_ts, score,
+  CASE WHEN video = 2 THEN 1000 ELSE 100 * (v[7] + sqrt(list_sum(list_transform(v[13:], lambda x: x * x)))) END AS gate FROM near),
+{VOTES}, passing AS (SELECT * FROM windows WHERE avg_score >= 0.3 AND gate >= 80), {TRACKS},
+sized AS (SELECT video, clip, t0, best, last_pos - first_pos + 1 AS frames, CAST(last_pos AS DOUBLE) / 2 - t0 AS observed, CASE WHEN clip = 0 THEN CAST(last_pos AS DOUBLE) / 2 - t0 ELSE 0.5 + CAST(clip AS DOUBLE) / 4 END AS expected FROM tracks),
+found AS (SELECT video, clip, t0 AS start, expected AS length, best AS score FROM sized WHERE frames >= 2 AND observed >= 0.3 * expected), {_gap_sql('found', 1.5)}
+SELECT video AS tv, round(start, 3) AS start, round(length, 3) AS length, clip, round(score, 4) AS score FROM kept
+""")
+def q_neighbour_detector(spark, d):
+    """The nearest-neighbour detector from vectors to detections. Video 2 has no curves and passes the gate; clip 0 has
+    no duration. Video 0 has a sampling rate, the others take the default, which is the same."""
+    tv, bank = _neighbour_sides(spark, d)
+    curves = tv.where("video < 2").select("video", "pos", (100 * vectors.curves(F.col("features"))["combined_activity"]).alias("combined_activity"))
+    clips = bank.select(F.col("video").alias("clip")).distinct().where("clip > 0").select("clip", (0.5 + F.col("clip") / 4).alias("duration"))
+    rates = spark.range(1).select(F.col("id").cast("int").alias("video"), F.lit(2.0).alias("sampled_fps"))
+    return pipelines.neighbour_detections(
+        pipelines.neighbours(tv, bank, 3), clips, curves, fps=2.0, rates=rates, window_sec=1.0, score_threshold=0.3, offset_tolerance=TOLERANCE, min_gap=1.5, curve_threshold=80.0, coverage=0.3, min_frames=2,
+    )
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 INTERVALS = f"""intervals AS (SELECT event_id AS id, user_id AS tv, event_type AS clip, {SECONDS} AS start, 3600 * (1 + value / 10) AS length, value AS score FROM events),
@@ -327,8 +422,8 @@ run AS (SELECT score, ok > 0 AS own, sum(ok) OVER w AS ok, sum(bad) OVER w AS ba
 metrics AS (SELECT score AS threshold, CAST(ok AS BIGINT) AS ok, CAST(bad AS BIGINT) AS bad, CAST(dup AS BIGINT) AS dup, t.total,
   CASE WHEN ok > 0 THEN CAST(ok AS DOUBLE) / total ELSE 0 END AS recall, CASE WHEN ok > 0 THEN CAST(ok AS DOUBLE) / (ok + bad) ELSE 0 END AS precision,
   CASE WHEN ok > 0 THEN iou / ok ELSE 0 END AS mean_iou, CASE WHEN ok > 0 THEN greatest(0, CAST(ok - bad AS DOUBLE) / total) ELSE 0 END AS task
-  FROM run, (SELECT count(*) AS total FROM relevant) t WHERE own OR score = 0)
-SELECT round(threshold, 4) AS threshold, ok, bad, dup, total, round(recall, 4) AS recall, round(precision, 4) AS precision,
+  FROM run, (SELECT count(*) AS total FROM relevant) t WHERE own OR score = 0)"""
+POINTS = """SELECT round(threshold, 4) AS threshold, ok, bad, dup, total, round(recall, 4) AS recall, round(precision, 4) AS precision,
   round(CASE WHEN ok > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 4) AS f1, round(mean_iou, 4) AS mean_iou, round(task, 4) AS task FROM metrics"""
 
 
@@ -372,16 +467,41 @@ def _metrics(spark, d) -> DataFrame:
 FIGURES = ("threshold", "recall", "precision", "f1", "mean_iou", "task")
 
 
-@query(f"WITH {INTERVALS}, {METRICS}")
+@query(f"WITH {INTERVALS}, {METRICS} {POINTS}")
 def q_threshold_sweep(spark, d):
     return rounded(_metrics(spark, d), *FIGURES)
 
 
-@query(f"WITH {INTERVALS}, {METRICS} ORDER BY metrics.task DESC, metrics.threshold DESC LIMIT 1")
+@query(f"WITH {INTERVALS}, {METRICS} {POINTS} ORDER BY metrics.task DESC, metrics.threshold DESC LIMIT 1")
 def q_best_threshold(spark, d):
     return rounded(evaluate.best_point(_metrics(spark, d)), *FIGURES)
 
 
+@query(f"""
+WITH {INTERVALS}, {METRICS} SELECT round(threshold, 4) AS threshold, round(100 * precision, 1) AS precision, round(100 * recall, 1) AS recall,
+  round(CASE WHEN ok > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 3) AS f1, round(mean_iou, 3) AS mean_iou, ok, bad, dup, total, round(100 * task, 1) AS task
+FROM metrics ORDER BY metrics.task DESC, metrics.threshold DESC LIMIT 1
+""")
+def q_summary(spark, d):
+    return evaluate.summary(evaluate.best_point(_metrics(spark, d)))
+
+
+@query(f"""
+WITH {INTERVALS}, lines AS (SELECT CAST(tv AS VARCHAR) AS tv, floor(start * 4096) / 4096 AS start, length, clip, round(score, 4) AS score FROM det),
+numbered AS (SELECT 1 + row_number() OVER (ORDER BY tv, start, clip) AS line_no, * FROM lines)
+SELECT line_no, CASE WHEN score > 0 THEN tv ELSE 'score not positive' END AS tv, CASE WHEN score > 0 THEN round(start, 3) END AS start, CASE WHEN score > 0 THEN round(length, 3) END AS length,
+  CASE WHEN score > 0 THEN clip END AS clip, CASE WHEN score > 0 THEN score END AS score FROM numbered
+""")
+def q_detection_files(spark, d):
+    """Detections written as tab-separated lines behind a header and read back, rejects with their reason; line
+    numbers are ids. Starts are parts of a power of two, so that no digit is in doubt."""
+    path = _folder(spark, "detections")
+    detections = _both(spark, d)[0].withColumn("tv", F.col("tv").cast("string")).withColumn("start", F.floor(F.col("start") * 4096) / 4096)
+    tables.write_intervals(detections, path)
+    good, bad = tables.read_intervals(spark, path, with_score=True)
+    return good.unionByName(bad.select("line_no", F.col("reason").alias("tv")), allowMissingColumns=True)
+
+
 @query(f"""WITH {INTERVALS} SELECT det_id, ' ' || CASE label WHEN 'ok' THEN 'OK' WHEN 'dup' THEN 'dp' ELSE '--' END || ') ' || concat_ws(' ', det.tv, det.start, det.length, det.clip, det.score)
   || CASE WHEN label = 'ok' THEN '  //IoU=' || CAST(round_even(100 * iou, 0) AS BIGINT) || '% (gt=' || gt.start || ' ' || gt.length || ')' ELSE '' END AS line
   FROM labels JOIN det ON det.id = labels.det_id LEFT JOIN gt ON gt.id = labels.gt_id""")
