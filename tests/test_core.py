@@ -227,6 +227,8 @@ def test_sweep_is_the_same_over_any_ranges(spark):
     for n in ("1", "2", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         got = evaluate.sweep(labels, total).collect()
+        for other in (spark.createDataFrame([(0.2,), (0.7,)], "score double"), labels.select("score").limit(0)):  # cuts from elsewhere
+            assert {tuple(r)[:5] for r in evaluate.sweep(labels, total, other).collect()} == {tuple(r)[:5] for r in got}
         assert {r["threshold"]: (r["ok"], r["bad"], r["dup"]) for r in got} == want
         assert all(math.isclose(r["mean_iou"], sum(i for s, x, i in data if x == "ok" and s >= r["threshold"]) / r["ok"]) for r in got if r["ok"])
     spark.conf.set("spark.sql.shuffle.partitions", "4")

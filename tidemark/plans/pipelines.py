@@ -89,5 +89,5 @@ def curve_detections(
 def evaluation(detections: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labels, metrics at all thresholds, the best point."""
     labels = evaluate.label(detections, truth)
-    metrics = evaluate.sweep(labels, evaluate.total_truth(truth, detections))
+    metrics = evaluate.sweep(labels, evaluate.total_truth(truth, detections), detections)
     return labels, metrics, evaluate.best_point(metrics)
