@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, quality
 from tidemark.llm.fm_index import FMIndex, suffix_array
@@ -140,6 +141,32 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_line_keys_are_cut_outside_the_jvm_and_staged_in_few_files(spark, monkeypatch):
+    texts = {1: "Ab" * 20 + "\n" + " \x0b" + "É" * 40 + "\t\r\n" + "É" * 39 + "\n" + "\u00a0" + "\U0001f30a" * 39, 2: "ab" * 20 + "\x00\n\n" + "K" * 40, 3: None, 4: "\n".join(f"{i:040}" for i in range(8200))}
+    docs = docs_of(spark, texts.items())
+    want = []
+    for d, t in texts.items():
+        for pos, x in enumerate((t or "").split("\n")):
+            key = "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
+            want += [(hashlib.md5(key.encode()).digest(), d, pos)] * (len(key) >= 40)
+    keys = line_dedup.line_keys(docs, "doc_id", "text", 40)
+    got = keys.withColumn("same", F.col("body").isNotNull()).collect()
+    assert sorted((bytes(r["line"]), r["doc"], r["pos"]) for r in got) == sorted(want) and all(r["same"] for r in got)
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # a string for each line makes the JVM's heap grow to its limit
+    files, staged = {}, line_dedup.common.staged
+
+    def counted(df, label, **how):
+        out, path = staged(df, label, **how)
+        files[label] = len(out.inputFiles())
+        return out, path
+
+    monkeypatch.setattr(line_dedup.common, "staged", counted)
+    monkeypatch.setattr(line_dedup.common, "partitions", lambda s: 12)
+    line_dedup.deduplicated(docs).count()
+    assert 0 < files["line-stream"] <= 4, files
+
+
 def test_bitmaps():
     for n in (1, 8, 70):
         gone = {0, n - 1}

@@ -8,6 +8,7 @@ afterwards, from two counts a partition. The result is a compressed bitmap of ke
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,28 +21,56 @@ from pyspark.sql import types as T
 
 from tidemark.llm import common
 
-BLANK = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK = b" \t\n\x0b\x0c\r"
+INNER = bytes(range(0x80, 0xC0))  # bytes of a code point in UTF-8 behind its first
+
+KEYS_SQL = "line binary, doc long, body long, pos int"
+KEY_ROWS = 8192  # in one batch
 
 STREAM = pa.schema([("kind", pa.int8()), ("line", pa.binary()), ("doc", pa.int64()), ("body", pa.int64()), ("pos", pa.int32()), ("docs", pa.int64()), ("part", pa.int32())])
 STREAM_SQL = "kind byte, line binary, doc long, body long, pos int, docs long, part int"
 DROP, WAIT, COUNT = 0, 1, 2
 
 
+def _keys(min_chars: int):
+    """Of (doc, body, text in UTF-8) the rows of ``KEYS_SQL``."""
+
+    def is_long(key: bytes) -> bool:
+        return len(key) >= min_chars and (len(key) >= 4 * min_chars or key.isascii() or len(key.translate(None, INNER)) >= min_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, rows, at = [], [], []
+
+            def made() -> pa.RecordBatch:
+                own = pa.array(rows, pa.int64())
+                out = pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), batch.column(0).take(own), batch.column(1).take(own), pa.array(at, pa.int32())], names=["line", "doc", "body", "pos"])
+                for x in (lines, rows, at):
+                    x.clear()
+                return out
+
+            for row, text in enumerate(batch.column(2)):
+                for pos, line in enumerate(text.as_py().split(b"\n")):
+                    if len(line) >= min_chars and is_long(key := line.strip(BLANK)):
+                        lines.append(hashlib.md5(key.lower(), usedforsecurity=False).digest())  # of bytes only A-Z change
+                        rows.append(row)
+                        at.append(pos)
+                        if len(lines) == KEY_ROWS:
+                            yield made()
+            if lines:
+                yield made()
+
+    return common.lean(run)
+
+
 def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(line, doc, body, pos) of every line whose key has at least ``min_chars`` code points.
 
-    line: 128-bit hash of the key. body: hash of the whole text, which tells apart rows that share an id.
+    line: 128-bit hash of the key. body: hash of the whole text, which tells apart rows that share an id. Lines are
+    cut in Python: as strings in the JVM they are garbage of many times the text, for which its heap grows to its limit.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.translate(F.btrim(F.col("col"), F.lit(BLANK)), UPPER, LOWER)
-    return (
-        docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "col"))
-        .where(F.char_length("col") >= min_chars)
-        .withColumn("key", key)
-        .where(F.char_length("key") >= min_chars)
-        .select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("line"), "doc", "body", "pos")
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("body"), text.cast("binary").alias("text")).mapInArrow(_keys(min_chars), KEYS_SQL)
 
 
 def _stream(min_docs: int):
@@ -111,7 +140,8 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     low = -(1 << 63)
     keys = line_keys(docs.withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(low))), id_col, text_col, min_chars)
     hashed, keys_at = common.staged(keys, "line-keys")
-    ordered = hashed.repartitionByRange(common.partitions(spark), F.col("line").asc(), F.col("doc").desc()).sortWithinPartitions(F.col("line").asc(), F.col("doc").desc(), F.col("pos").asc())
+    # a row is some 40 bytes: fewer ranges than for texts, as each writes files, and a process starts for each file
+    ordered = hashed.repartitionByRange(max(1, common.partitions(spark) // 3), F.col("line").asc(), F.col("doc").desc()).sortWithinPartitions(F.col("line").asc(), F.col("doc").desc(), F.col("pos").asc())
     streamed, stream_at = common.staged(ordered.mapInArrow(_stream(min_docs), STREAM_SQL), "line-stream")
     # at most two rows a partition; their verdicts go back by partition and line, so a line that fills very many
     # partitions is no single key among the rows that wait
