@@ -13,6 +13,7 @@ from tidemark.llm.segmentations import op7_segmentations
 from tidemark.llm.sharding import op4_hilbert_shards
 from tidemark.llm.spelling import OP13_SQL, op13_spelling_variants
 from tidemark.llm.token_files import op2_token_files
+from tidemark.llm.turn_repair import OP12_SQL, op12_conversation_repair
 from tidemark.llm.warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
@@ -37,5 +39,6 @@ ORACLES = {
     "op6_quality": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
     "op10_near_duplicates": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
