@@ -8,6 +8,7 @@ from tidemark.llm.html_text import op8_html_text
 from tidemark.llm.licenses import OP1_SQL, op1_licences
 from tidemark.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tidemark.llm.near_duplicates import OP10_SQL, op10_near_duplicates
+from tidemark.llm.packing import op11_packing
 from tidemark.llm.quality import OP6_SQL, op6_quality
 from tidemark.llm.segmentations import op7_segmentations
 from tidemark.llm.sharding import op4_hilbert_shards
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_packing": op11_packing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,

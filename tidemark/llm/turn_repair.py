@@ -149,7 +149,7 @@ def _solver(conv_type: pa.DataType):
 
         def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             con.register("turns", rows)
-            found = con.execute(RUN_SQL).to_arrow_table()
+            found = con.sql(RUN_SQL).to_arrow_table()
             con.unregister("turns")
             yield from found.cast(shape).to_batches(max_chunksize=2048)
 
