@@ -4,8 +4,9 @@ A repaired conversation is empty, or an optional system turn and then pairs of a
 are kept, given another role or deleted, and empty turns may be inserted. Turns lie in order in a staged table, where
 blocks of ``BLOCK`` positions cut conversations into runs; runs are hashed over the tasks, and there a recursive DuckDB
 query advances one turn of all runs of a batch at once, keeping for every state of the grammar the minimum cost and the
-least audit. As it does so from each state in which a run may begin, the runs of a long conversation need not wait for
-each other: they are chained afterwards by their costs, a few numbers a run.
+least audit. A run that begins with its block may be the rest of a conversation: it is walked from each state in which
+it may begin, so that the runs of a long conversation need not wait for each other, and they are chained afterwards by
+their costs, a few numbers a run.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ WITH RECURSIVE placed AS (
 ), steps AS (
   SELECT pos - i + 1 AS run, i, initial, fault FROM placed
 ), walk(run, entry, state, i, cost, audit) AS (
-  SELECT run, entry, entry, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM runs, range(4) e(entry)
+  SELECT run, entry, entry, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM runs, range(4) e(entry) WHERE entry = {EMPTY} OR run % {BLOCK} = 0
   UNION ALL
   SELECT run, entry, next, i, best.cost, best.audit FROM (
     SELECT w.run, w.entry, m.next, s.i, min({{'cost': w.cost + m.cost, 'audit': w.audit || m.letters}}) AS best
