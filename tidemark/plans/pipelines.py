@@ -14,10 +14,7 @@ def frame_curves(frames: DataFrame, smooth: int = 0) -> DataFrame:
     """The twelve curves of every frame, smoothed by a centred average when asked."""
     values = vectors.curves(F.col("features"))
     out = frames.where(F.size("features") > 0).select("category", "video", "pos", "ts", *[values[c].alias(c) for c in CURVES])
-    if smooth > 1:
-        for c in CURVES:
-            out = series.edge_moving_average(out, ["category", "video"], c, smooth, c)
-    return out
+    return series.edge_moving_averages(out, ["category", "video"], {c: c for c in CURVES}, smooth) if smooth > 1 else out
 
 
 def neighbours(tv: DataFrame, bank: DataFrame, k: int = 5, *, normalise: bool = False) -> DataFrame:
