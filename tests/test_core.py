@@ -204,7 +204,6 @@ def test_evaluation(spark):
     gt = spark.createDataFrame([(1, "t", 0.0, 10.0, "c"), (2, "t", 5.0, 10.0, "d"), (3, "t", 5.0, 10.0, "d"), (4, "other", 0.0, 1.0, "c")], schema.TRUTH)
     labels, metrics, best = pipelines.evaluation(det, gt)
     assert rows(labels.na.fill(-1, ["gt_id"]), "det_id", "label", "gt_id") == [(1, "ok", 1), (2, "dup", 1), (3, "bad", -1), (4, "ok", 2), (5, "bad", -1)]
-    assert rows(evaluate.label(det, gt, bucket=3.0).na.fill(-1, ["gt_id"]), "det_id", "label", "gt_id") == rows(labels.na.fill(-1, ["gt_id"]), "det_id", "label", "gt_id")
     m = {r["threshold"]: r for r in metrics.collect()}
     assert set(m) == {0.9, 0.7, 0.0} and (m[0.9]["ok"], m[0.9]["bad"], m[0.9]["dup"], m[0.9]["total"]) == (1, 1, 1, 3)
     assert m[0.7]["recall"] == 2 / 3 and m[0.7]["precision"] == 0.5 and m[0.9]["task"] == 0.0

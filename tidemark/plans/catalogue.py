@@ -412,12 +412,12 @@ def q_neighbour_detector(spark, d):
 INTERVALS = f"""intervals AS (SELECT event_id AS id, user_id AS tv, event_type AS clip, {SECONDS} AS start, 3600 * (1 + value / 10) AS length, value AS score FROM events),
 det AS (SELECT * FROM intervals WHERE id % 2 = 0), gt AS (SELECT * FROM intervals WHERE id % 2 = 1), relevant AS (SELECT * FROM gt WHERE tv IN (SELECT tv FROM det)),
 pairs AS (SELECT d.id AS det_id, g.id AS gt_id, (least(d.start + d.length, g.start + g.length) - greatest(d.start, g.start)) / (greatest(d.start + d.length, g.start + g.length) - least(d.start, g.start)) AS iou
-  FROM det d JOIN relevant g ON d.tv = g.tv AND d.clip = g.clip AND least(d.start + d.length, g.start + g.length) > greatest(d.start, g.start)),
+  FROM det d JOIN relevant g ON d.tv = g.tv AND d.clip = g.clip AND least(d.start + d.length, g.start + g.length) > greatest(d.start, g.start) AND isfinite(d.start + d.length) AND isfinite(g.start + g.length)),
 best AS (SELECT det_id, gt_id, iou FROM pairs QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY iou DESC, gt_id) = 1),
 labels AS (SELECT d.id AS det_id, d.score, b.gt_id, b.iou, CASE WHEN b.gt_id IS NULL THEN 'bad' WHEN row_number() OVER (PARTITION BY b.gt_id ORDER BY d.score DESC, d.id) = 1 THEN 'ok' ELSE 'dup' END AS label
   FROM det d LEFT JOIN best b ON b.det_id = d.id)"""
-METRICS = """per AS (SELECT score, sum(CASE WHEN label = 'ok' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN label = 'bad' THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN label = 'dup' THEN 1 ELSE 0 END) AS dup,
-  sum(CASE WHEN label = 'ok' THEN iou ELSE 0 END) AS iou FROM labels GROUP BY score UNION ALL SELECT 0.0, 0, 0, 0, 0.0),
+METRICS = """per AS (SELECT score, sum(ok) AS ok, sum(bad) AS bad, sum(dup) AS dup, sum(iou) AS iou FROM (SELECT score, sum(CASE WHEN label = 'ok' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN label = 'bad' THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN label = 'dup' THEN 1 ELSE 0 END) AS dup,
+  sum(CASE WHEN label = 'ok' THEN iou ELSE 0 END) AS iou FROM labels GROUP BY score UNION ALL SELECT 0.0, 0, 0, 0, 0.0) GROUP BY score),
 run AS (SELECT score, ok > 0 AS own, sum(ok) OVER w AS ok, sum(bad) OVER w AS bad, sum(dup) OVER w AS dup, sum(iou) OVER w AS iou FROM per WINDOW w AS (ORDER BY score DESC)),
 metrics AS (SELECT score AS threshold, CAST(ok AS BIGINT) AS ok, CAST(bad AS BIGINT) AS bad, CAST(dup AS BIGINT) AS dup, t.total,
   CASE WHEN ok > 0 THEN CAST(ok AS DOUBLE) / total ELSE 0 END AS recall, CASE WHEN ok > 0 THEN CAST(ok AS DOUBLE) / (ok + bad) ELSE 0 END AS precision,
@@ -440,7 +440,7 @@ def _both(spark, d) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {INTERVALS} SELECT det_id, gt_id, round(iou, 4) AS iou FROM pairs")
 def q_interval_join_iou(spark, d):
     detections, truth = _both(spark, d)
-    return rounded(evaluate.overlaps(detections, evaluate.relevant(truth, detections), bucket=86_400.0), "iou")
+    return rounded(evaluate.overlaps(detections, evaluate.relevant(truth, detections)), "iou")
 
 
 @query(f"WITH {INTERVALS} SELECT det_id, gt_id, round(iou, 4) AS iou FROM best")
@@ -461,7 +461,7 @@ def q_semi_relevant(spark, d):
 
 def _metrics(spark, d) -> DataFrame:
     detections, truth = _both(spark, d)
-    return evaluate.sweep(evaluate.label(detections, truth), evaluate.total_truth(truth, detections), detections, own_zero=True)
+    return evaluate.sweep(evaluate.label(detections, truth), evaluate.total_truth(truth, detections), detections)
 
 
 FIGURES = ("threshold", "recall", "precision", "f1", "mean_iou", "task")
