@@ -1,6 +1,11 @@
+import os
 import random
+import time
+from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import pytest
+
 from tidemark.llm import html_text
 
 
@@ -80,3 +85,80 @@ def test_equals_all_pages_in_plain_python(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         assert texts(spark, rows) == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+#: Wrappers whose names hold a telling word, and things inside an article that have one.
+WRAPPERS = ['<div class="layout has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="post share-enabled">', '<div class="main-content ad-free">', '<div class="content comments-open">', '<section aria-label="Search results and article">', '<form id="aspnetForm">', '<div class="sidebar-layout">']
+
+
+def test_an_article_survives_the_names_of_what_is_around_it():
+    article = '<article><h1>T</h1><h2 class="section-header">S</h2><div class="entry-header"><h1>E</h1></div><p>body</p><div class="share">tweet</div><form>f</form></article>'
+    for wrapper in WRAPPERS:
+        lines, is_open = html_text.page_lines(f"<nav>menu</nav><footer>imprint</footer>{wrapper}{article}</{wrapper[1:].split()[0]}><div class='ad'>buy</div>")
+        assert lines == ["T", "S", "E", "body"] and not any(is_open), wrapper
+    assert html_text.page_lines('<div class="related"><article>teaser</article></div><article>own</article>')[0] == ["own"]
+    assert html_text.page_lines('<aside><article>teaser</article></aside><nav><article>x</article></nav>')[0] == []
+    for dropped in ('class="sidebar"', 'class="main-nav"', 'id="ad_3"', 'role="banner"', 'aria-label="Main navigation"', 'class="no js comments"', "class=ads", "hidden"):
+        assert html_text.page_lines(f"<div {dropped}>x</div><p>y</p>")[0] == ["y"], dropped
+
+
+def test_malformed_pages_take_one_pass():
+    began = time.process_time()
+    for bad in ("<a x ", '<a "', "<a ='", '<a ="', "<div><", "</p>", "<!--", "<script>", "<a x='><b y=\"", "<nav><article><div></button>", "<", "<!-", "<a ="):
+        for tail in ("", ">", '">', "'>", "\" '>"):
+            html_text.page_lines(bad * (100_000 // len(bad)) + tail)
+    assert time.process_time() - began < 30
+    assert html_text.page_lines("<p title=it's>don't 1 < 2 <3</p><p>a<!-- > --> b<!-->c</p><a x") == (["don't 1 < 2 <3", "a bc", "<a x"], [True] * 3)
+    assert html_text.page_lines('<p a=">" b>x</p><p a="y>z</p>')[0] == ["x", "z"]
+
+
+class Plain(HTMLParser):
+    """The same markup by the standard library's parser: blocks of text outside what is dropped."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.words, self.stack = [], [], []
+
+    def hidden(self):
+        return any(x in ("nav", "footer", "header", "aside", "form", "script", "style", "title", "ad") for x in self.stack)
+
+    def end_block(self):
+        if text := " ".join("".join(self.words).split()):
+            self.blocks.append(text)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b", "i", "em", "span"):
+            self.end_block()
+        if tag not in ("br", "meta", "link", "img", "hr", "p", "li"):
+            self.stack.append("ad" if ("class", "ad") in attrs else tag)
+            if ("class", "ad") in attrs:
+                self.ads = tag
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b", "i", "em", "span"):
+            self.end_block()
+        name = next((x for x in reversed(self.stack) if x == tag or x == "ad" and self.ads == tag), None)
+        while name and self.stack.pop() != name:
+            pass
+
+    def handle_data(self, data):
+        if not self.hidden():
+            self.words.append(data)
+
+
+def plain_text(source):
+    parser = Plain()
+    parser.feed(source or "")
+    parser.close()
+    parser.end_block()
+    return " ".join(parser.blocks)
+
+
+def test_given_pages_by_the_standard_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.op8_html_text(spark, folder).collect()}
+    assert got == {k: plain_text(x) for k, x in pages.items()}

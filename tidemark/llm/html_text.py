@@ -1,7 +1,8 @@
 """Main text of web pages: markup first, then nearest-URL page differencing for what markup leaves open.
 
 Elements and class names that say what they are (nav, footer, adverts, forms, comments and so on) go, and lines
-inside a declared article stay. Every other line is open, on pages with a declared article too. For those, the page is
+inside a declared article stay; where no article lies outside such class names and forms, one inside them stays too,
+since a wrapper has a name as well. Every other line is open, on pages with a declared article too. For those, the page is
 paired with the page nearest by URL path on its host, both are aligned by the longest common subsequence of lines, and
 shared open lines are deleted: a template repeats from page to page, an article does not.
 """
@@ -9,17 +10,21 @@ shared open lines are deleted: a template repeats from page to page, an article
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: The end of a tag behind its name: quotes count as such only where a value begins, as in browsers.
+TAG_END = re.compile(r"(?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+>")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 #: Elements whose content is raw text, that are dropped whole, that break lines, that never close.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
@@ -29,96 +34,151 @@ BLOCK = {
     "header", "hr", "html", "legend", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "title",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words in class, id, role or label of an element that is not article text.
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|footers?|headers?|masthead|sidebars?|side|widgets?|cookies?|consent|gdpr|notices?|"
-    r"alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|comments?|comment-?list|replies|reply|disqus|respond|related|recommended|recommendations|share|sharing|social|toolbar|pagination|pager|search|skip|"
-    r"complementary|contentinfo|toc|tags|outbrain|taboola)(?=$|[\s_-]|\d)",
-    re.I,
+#: Words in a class name or id of an element that is not article text; those that are fit for parts of an
+#: article, and elements that are; words before and behind which they name what a page has or has not; roles.
+CHROME = set(
+    """ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs
+    footer footers header headers masthead sidebar sidebars side widget widgets cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay overlays newsletter newsletters subscribe
+    subscription signup login comment comments commentlist replies reply disqus respond related recommended recommendations share sharing social toolbar pagination pager search skip complementary contentinfo toc
+    tags outbrain taboola""".split()
 )
+OWN_WORDS, OWN_ELEMENTS = {"header", "headers"}, {"h1", "h2", "h3", "h4", "h5", "h6"}
+BEFORE = {"no", "has", "have", "with", "without", "non", "not", "hide", "is"}
+BEHIND = {"enabled", "disabled", "free", "open", "closed", "on", "off", "less"}
+ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+#: Words that a label of an element that is not article text may have beside one of ``CHROME``.
+LABEL_WORDS = {"main", "primary", "secondary", "site", "page", "post", "posts", "top", "bottom", "the", "this", "your", "area", "bar", "section", "links", "list", "form", "us", "media", "stories", "articles", "content", "article"}
+WORD = re.compile(r"[a-z]+")
 MAIN = {"article", "main"}
+RAW_END = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 
-LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("edge", pa.bool_()), ("marker", pa.bool_()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())), ("near_path", pa.string()), ("near_lines", pa.list_(pa.string())), ("near_after", pa.bool_())])
-LINES_SQL = "page_id long, url string, host string, path string, text string, edge boolean, marker boolean, lines array<string>, open array<boolean>, near_path string, near_lines array<string>, near_after boolean"
+#: Rows of the staged table: a page with its text, a page that waits for what lies across a cut, and for each partition
+#: its first and last group of copies (one row if there is only one), with the neighbour that is known.
+DONE, WAITS, GROUP = range(3)
+FIRST, LAST, BOTH = range(3)
+LINES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("side", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("last_path", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("open", pa.list_(pa.bool_())), ("near_path", pa.string()), ("near_lines", pa.list_(pa.string()))])
+LINES_SQL = "kind int, part int, side int, page_id long, url string, host string, path string, last_path string, text string, lines array<string>, open array<boolean>, near_path string, near_lines array<string>"
+SIDES = pa.schema([("at_part", pa.int32()), ("at_side", pa.int32()), ("before_path", pa.string()), ("before_lines", pa.list_(pa.string())), ("after_path", pa.string()), ("after_lines", pa.list_(pa.string()))])
+SIDES_SQL = "at_part int, at_side int, before_path string, before_lines array<string>, after_path string, after_lines array<string>"
 
 
-def is_chrome(attributes: str) -> bool:
+def is_chrome(attributes: str, own: bool = False) -> bool:
+    """Whether an element's attributes say that it is not article text. ``own``: inside an article."""
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role", "aria-label") and CHROME.search(value):
+        if name == "role" and value in ROLES:
             return True
+        if name == "aria-label" and (words := WORD.findall(value)) and not CHROME.isdisjoint(words) and CHROME.union(LABEL_WORDS).issuperset(words):
+            return True
+        if name in ("class", "id"):
+            for one in value.split():
+                words = WORD.findall(one)
+                found = CHROME.intersection(words)
+                if found and not (own and found <= OWN_WORDS) and words[0] not in BEFORE and words[-1] not in BEHIND:
+                    return True
     return False
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", ""), ("<", name, attributes) and (">", name, "") of a page, in one pass whatever it holds.
+
+    A tag that no > closes outside quotes ends at the next >; where none comes, < is text. A comment that does not
+    close is the rest of the page.
+    """
+    at, size, last = 0, len(source), source.rfind(">")
+    text = 0
+    while at <= last and (begin := source.find("<", at, last)) >= 0:
+        if source.startswith("<!--", begin):
+            ends = [x + n for x, n in ((source.find("-->", begin + 2), 3), (source.find("--!>", begin + 4), 4)) if x >= 0] if begin + 4 <= size else []
+            if begin > text:
+                yield source[text:begin], "", ""
+            at = text = min(ends, default=size)
+            continue
+        name = NAME.match(source, begin + 1)
+        if name is None and source[begin + 1] not in "!?/":
+            at = begin + 1
+            continue
+        if begin > text:
+            yield source[text:begin], "", ""
+        found = TAG_END.match(source, name.end()) if name else None
+        at = text = found.end() if found else source.find(">", begin) + 1
+        if name:
+            tag = name[2].lower()
+            yield (">", tag, "") if name[1] else ("<", tag, source[name.end() : at - 1])
+            if tag in RAW and not name[1]:
+                end = RAW_END[tag].search(source, at)
+                at = text = size if end is None else source.find(">", end.start()) + 1 or size
+    if text < size:
+        yield source[text:], "", ""
+
+
 def page_lines(source: str | None) -> tuple[list[str], list[bool]]:
     """The lines that markup leaves, and for each whether it is open (outside a declared article)."""
-    source = source or ""
-    lines: list[str] = []
-    inside: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is dropped, whether it is the main part
-    dropped = main = 0
+    lines: list[tuple[str, bool, int]] = []  # line, whether in an article, named elements and forms around that
+    stack: list[tuple[str, str]] = []  # element, what it is: hard or soft chrome, soft inside an article, main part
+    places: dict[str, list[int]] = {}  # where in the stack an element is open
+    depth = {"": 0, "hard": 0, "soft": 0, "inner": 0, "main": 0}
+    mains: list[int] = []
     held: list[str] = []
 
+    def gone() -> bool:
+        return bool(depth["hard"] or depth["inner"] or depth["soft"] and not depth["main"])
+
     def flush() -> None:
         if held:
             line = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if line:
-                lines.append(line)
-                inside.append(main > 0)
-
-    def close(depth: int) -> None:
-        nonlocal dropped, main
-        while len(stack) > depth:
-            _, d, m = stack.pop()
-            dropped -= d
-            main -= m
-
-    at, size = 0, len(source)
-    while at < size:
-        found = TOKEN.search(source, at)
-        begin = found.start() if found else size
-        if begin > at and not dropped:
-            held.append(source[at:begin])
-        if not found:
-            break
-        at = found.end()
-        name = found[2]
-        if name is None:
+                lines.append((line, depth["main"] > 0, depth["soft"]))
+
+    def close(level: int) -> None:
+        while len(stack) > level:
+            name, what = stack.pop()
+            places[name].pop()
+            depth[what] -= 1
+            if what == "main":
+                mains.pop()
+
+    for text, name, attributes in tokens(source or ""):
+        if not name:
+            if not gone():
+                held.append(text)
             continue
-        name = name.lower()
-        if found[1]:  # an end tag
-            if name in BLOCK and not dropped:
-                flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in MAIN and name not in BLOCK:
-                    break
-            continue
-        if name in BLOCK and not dropped:
+        if name in BLOCK and not gone():
             flush()
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
-            at = size if end is None else source.find(">", end.start()) + 1 or size
+        if text == ">":
+            # what is no block does not close an article from inside
+            if places.get(name) and (name in BLOCK or not mains or mains[-1] < places[name][-1]):
+                close(places[name][-1])
             continue
-        if name in VOID or found[3].endswith("/") and name not in BLOCK:
+        if name in RAW or name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        drop = not dropped and (name in DROPPED or name not in ("html", "body", *MAIN) and is_chrome(found[3])) if found[3] or name in DROPPED else False
-        is_main = not dropped and (name in MAIN or 'role="main"' in found[3])
-        if name == "p":  # a paragraph ends at the next block
-            if stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-        if name in BLOCK or drop or is_main:
-            stack.append((name, bool(drop), bool(is_main)))
-            dropped += bool(drop)
-            main += bool(is_main)
-    if not dropped:
+        inside = depth["main"] > 0
+        what = ""
+        if name in MAIN or 'role="main"' in attributes:
+            what = "main"
+        elif name in DROPPED and name != "form":
+            what = "hard"
+        elif name == "form" or name not in ("html", "body") and not (inside and name in OWN_ELEMENTS) and attributes and is_chrome(attributes, inside):
+            what = "inner" if inside else "soft"
+        if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends at the next block
+            close(len(stack) - 1)
+        if name in BLOCK or what:
+            if not gone():
+                flush()
+            if what == "main":
+                mains.append(len(stack))
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, what))
+            depth[what] += 1
+    if not gone():
         flush()
-    return lines, [not m for m in inside]
+    # an article inside a named element or a form is the page's own only if none lies further outside
+    around = min((n for _, inside, n in lines if inside), default=0)
+    kept = [(x, not inside) for x, inside, n in lines if n == (around if inside else 0)]
+    return [x for x, _ in kept], [x for _, x in kept]
 
 
 def common_subsequence(a: list[str], b: list[str]) -> list[int]:
@@ -192,85 +252,93 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extract(copy_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by host and path. Exact copies in a row form a group, compared with the pages around it.
-        The first and the last group of a partition wait for their other neighbour; empty pages stand in no way."""
+        """Rows come sorted by host and path. Exact copies in a row form a group, compared with the pages around it;
+        of a group the lines are held once. The first and the last group of a partition wait for their other
+        neighbour; empty pages stand in no way."""
         unpack = zstandard.ZstdDecompressor()
-        group: list[tuple] = []  # id, url, path, open
+        part = TaskContext.get().partitionId()
+        none = dict.fromkeys(LINES.names)
+        group: list[tuple] = []  # id, url, path, open (one list for all that are equal)
         host, lines, before, first = "", [], None, True
 
-        def settle(after: tuple | None, last: bool) -> list[dict]:
-            rows = []
-            for k, (key, url, path, is_open) in enumerate(group):
-                row = {"page_id": key, "url": url, "host": host, "path": path, "edge": False, "marker": False, "text": None, "lines": None, "open": None, "near_path": None, "near_lines": None, "near_after": not last}
+        def settle(after: tuple | None, last: bool) -> Iterator[dict]:
+            side = BOTH if first and last else FIRST if first else LAST
+            for key, url, path, is_open in group:
+                row = none | {"page_id": key, "url": url}
                 if not (first or last) or not any(is_open):
-                    rows.append(row | {"text": without_shared(lines, is_open, _near(path, before, after), copy_share)})
-                if first or last:
-                    # a page without open lines is done, but those at the ends of its group are neighbours of others
-                    marker = not any(is_open)
-                    if not marker or k in (0, len(group) - 1):
-                        inside = before if last else after
-                        rows.append(row | {"edge": True, "marker": marker, "lines": lines, "open": is_open, "near_path": inside and inside[0], "near_lines": inside and inside[1]})
-            return rows
+                    yield row | {"kind": DONE, "text": without_shared(lines, is_open, _near(path, before, after), copy_share)}
+                else:
+                    yield row | {"kind": WAITS, "part": part, "side": side, "path": path, "lines": lines, "open": is_open}
+            if first or last:
+                near = (None, None) if side == BOTH else ((before if last else after) or (None, None))
+                yield none | {"kind": GROUP, "part": part, "side": side, "host": host, "path": group[0][2], "last_path": group[-1][2], "lines": lines, "near_path": near[0], "near_lines": near[1]}
+
+        def batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+            while some := list(itertools.islice(rows, common.ARROW_ROWS)):
+                yield pa.RecordBatch.from_pylist(some, schema=LINES)
 
         for batch in batches:
-            out = []
             for key, url, page_host, path, packed in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "path", "packed"))):
-                page, is_open = page_lines(unpack.decompress(packed).decode())
+                page, page_open = page_lines(unpack.decompress(packed).decode())
                 if not page:
-                    out.append({"page_id": key, "url": url, "host": page_host, "path": path, "edge": False, "marker": False, "text": ""})
+                    yield from batched(iter([none | {"kind": DONE, "page_id": key, "url": url, "text": ""}]))
                     continue
                 if group and (page_host != host or page != lines):
-                    out += settle((path, page) if page_host == host else None, False)
+                    yield from batched(settle((path, page) if page_host == host else None, False))
                     before = (group[-1][2], lines) if page_host == host else None
                     group, first = [], False
                 host, lines = page_host, page
-                group.append((key, url, path, is_open))
-            yield pa.RecordBatch.from_pylist(out, schema=LINES)
+                group.append((key, url, path, group[-1][3] if group and group[-1][3] == page_open else page_open))
         if group:
-            yield pa.RecordBatch.from_pylist(settle(None, True), schema=LINES)
+            yield from batched(settle(None, True))
 
     return common.lean(run)
 
 
-def _edges(copy_share: float):
-    shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the groups at the edges of partitions, in order, the neighbours on both sides. Groups with the same lines on
+    either side of a cut are one; only those not yet settled are held, at most two a partition."""
+    chain: list[dict] = []
+    before: tuple | None = None  # host, path and lines of the last page before the chain
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first and last groups of the partitions, in order: each page meets its neighbours across the cut. What
-        is held are pages with the same lines, kept once, until the next page with other lines is known."""
-        held: list[tuple[dict, tuple | None]] = []
-        before, last, out = None, None, []
-
-        def settle(after: tuple | None) -> None:
-            for r, own in held:
-                near = (own, after)
-                if r["near_path"] is not None:
-                    inside = (r["near_path"], r["near_lines"])
-                    near = (own, inside) if r["near_after"] else (inside, after)
-                if not r["marker"]:
-                    out.append({"page_id": r["page_id"], "url": r["url"], "text": without_shared(r["lines"], r["open"], _near(r["path"], *near), copy_share)})
-            held.clear()
+    def settled(after: dict | None) -> Iterator[dict]:
+        head, tail = chain[0], chain[-1]
+        if head["side"] == LAST:
+            first = head["near_path"] is not None and (head["near_path"], head["near_lines"])
+        else:
+            first = before is not None and before[0] == head["host"] and before[1:]
+        if tail["side"] == FIRST:
+            last = tail["near_path"] is not None and (tail["near_path"], tail["near_lines"])
+        else:
+            last = after is not None and after["host"] == tail["host"] and (after["path"], after["lines"])
+        for r in chain:
+            yield dict(zip(SIDES.names, (r["part"], r["side"], *(first or (None, None)), *(last or (None, None)))))
 
+    for batch in batches:
+        out: list[dict] = []
+        for r in batch.to_pylist():
+            if chain:
+                same = r["side"] != LAST and (r["host"], r["lines"]) == (chain[0]["host"], chain[0]["lines"])
+                if not same:
+                    out += settled(r)
+                    before = (chain[-1]["host"], chain[-1]["last_path"], chain[-1]["lines"])
+                    chain = []
+                else:
+                    r["lines"] = chain[0]["lines"]
+            chain.append(r)
+        yield pa.RecordBatch.from_pylist(out, schema=SIDES)
+    if chain:
+        yield pa.RecordBatch.from_pylist(list(settled(None)), schema=SIDES)
+
+
+def _waiting(copy_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = []
             for r in batch.to_pylist():
-                if last is None or last["host"] != r["host"]:
-                    settle(None)
-                    before = None
-                elif last["lines"] != r["lines"]:
-                    settle((r["path"], r["lines"]))
-                    before = (last["path"], last["lines"])
-                else:
-                    r["lines"] = last["lines"]
-                    if last["near_path"] is not None and not last["near_after"]:
-                        before = (last["near_path"], last["near_lines"])
-                held.append((r, before))
-                if r["near_path"] is not None and r["near_after"]:
-                    settle((r["near_path"], r["near_lines"]))
-                last = r
-            yield pa.RecordBatch.from_pylist(out, schema=shape)
-            out.clear()
-        settle(None)
-        yield pa.RecordBatch.from_pylist(out, schema=shape)
+                near = [None if r[f"{x}_path"] is None else (r[f"{x}_path"], r[f"{x}_lines"]) for x in ("before", "after")]
+                texts.append(without_shared(r["lines"], r["open"], _near(r["path"], *near), copy_share))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return common.lean(run)
 
@@ -280,8 +348,9 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     with an empty path. Rows that share an id or a URL are each extracted; copies of a page do not delete each
     other's lines. Empty tables give no rows. Other columns are ignored, whatever their names.
 
-    A host that has a third of all pages spreads over partitions by path. Only the first and last group of copies of
-    each partition go through one task afterwards, streamed in order, to find their neighbours across the cut.
+    A host that has a third of all pages spreads over partitions by path, and a page with a third of all copies by id.
+    One row for the first and the last group of copies of each partition goes through one task afterwards, to find
+    their neighbours across the cut; their pages are settled where they are.
     """
     spark = common.tuned(pages.sparkSession)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
@@ -296,8 +365,11 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     packed = rows.mapInArrow(_packed, "page_id long, url string, host string, path string, packed binary")
     ordered = packed.repartitionByRange(common.partitions(spark), *keys).sortWithinPartitions(*keys)
     found, _ = common.staged(ordered.mapInArrow(_extract(copy_share), LINES_SQL), "page-lines")
-    late = found.where("edge").drop("text").coalesce(1).sortWithinPartitions(*keys).mapInArrow(_edges(copy_share), "page_id long, url string, text string")
-    return found.where(~F.col("edge")).select("page_id", "url", "text").unionByName(late).withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
+    groups = found.where(F.col("kind") == GROUP).select("part", "side", "host", "path", "last_path", "lines", "near_path", "near_lines")
+    sides = groups.repartition(1).sortWithinPartitions("part", "side").mapInArrow(common.lean(_sides), SIDES_SQL)
+    late = found.where(F.col("kind") == WAITS).select("part", "side", "page_id", "url", "path", "lines", "open").join(sides, (F.col("part") == F.col("at_part")) & (F.col("side") == F.col("at_side")))
+    late = late.mapInArrow(_waiting(copy_share), "page_id long, url string, text string")
+    return found.where(F.col("kind") == DONE).select("page_id", "url", "text").unionByName(late).withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:
