@@ -1,3 +1,4 @@
+import json
 import math
 import os
 import random
@@ -73,6 +74,30 @@ def test_nearest_equals_a_plain_sort(spark):
     assert knn.nearest(q, b.limit(0), 3).count() == 0 and knn.nearest(q.limit(0), b, 3).count() == 0
 
 
+def test_clusters_are_skipped_and_ties_go_by_key(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8)) * 5
+    vector = lambda: (centres[rng.integers(12)] + rng.normal(size=8) / 10).tolist()
+    bank = [((f"c{i % 7}", i), vector()) for i in range(1500)]
+    bank += [((f"a{i}", 0), bank[5][1]) for i in range(20)]  # copies under smaller keys
+    asked = [(i, bank[5 * i][1] if i % 2 else vector()) for i in range(120)] + [(500, [float("nan")] * 8), (501, [float("inf")] + [0.0] * 7)]
+    q = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    b = spark.createDataFrame(bank + [(("n", 1), [float("nan")] * 8)], "bank_id struct<clip:string,pos:int>, vector array<double>").repartition(3)
+    for block, batch in ((64 << 20, None), (4000, 9)):
+        report = []
+        got = {}
+        for r in knn.nearest(q, b, 4, block_bytes=block, batch=batch, report=report).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], tuple(r["bank_id"]), r["score"]))
+        assert set(got) == set(range(120)) and report[0][0] < 0.5 * report[0][1] == 0.5 * 120 * 1520
+        for i, x in asked[:120]:
+            scores = np.array([v for _, v in bank]) @ np.array(x)
+            want = sorted(zip((-scores).round(9).tolist(), (k for k, _ in bank)))[:4]
+            have = sorted(got[i])
+            assert np.allclose([s for _, _, s in have], [-s for s, _ in want]) and [k for _, k, _ in have] == [k for _, k in want], i
+    with pytest.raises(ValueError, match="lengths"):
+        knn.nearest(q, spark.createDataFrame([(1, [1.0])], "bank_id long, vector array<double>"), 1)
+
+
 # ---- votes, tracks, folds ------------------------------------------------------------------------------------------
 
 
@@ -300,12 +325,16 @@ def test_video_source_to_vectors(spark, tmp_path):
     np.savez(tmp_path / "clip.npz", fps=6.0, frames=np.random.default_rng(0).integers(0, 255, (9, 10, 14)))
     spark.dataSource.register(video.FrameSource)
     # a file that cannot be opened is skipped
-    frames = spark.read.format("frames").option("paths", f"{tmp_path / 'clip.npz'},{tmp_path / 'absent.npz'}").load()
+    frames = spark.read.format("frames").option("paths", json.dumps([str(tmp_path / "clip.npz"), str(tmp_path / "absent.npz")])).load()
     assert rows(frames, "video", "pos", "frame_idx", "ts") == [("clip", i, 2 * i, i / 3) for i in range(4)]
     v = topology.frame_vectors(topology.with_diagrams(frames, grid=12)).select("features", "h0").collect()
     assert all(len(r["features"]) == 268 and r["features"][0] == len(r["h0"]) for r in v)
     with pytest.raises(ValueError):
         topology.with_diagrams(frames.withColumn("cells", F.lit(1)))
+    # reduced by the reader: the same vectors
+    small = spark.read.format("frames").option("paths", json.dumps([str(tmp_path / "clip.npz")])).option("grid", 12).load()
+    assert {(r["height"], len(r["pixels"])) for r in small.collect()} == {(12, 144)}
+    assert [r["features"] for r in topology.frame_vectors(topology.with_diagrams(small, grid=12)).collect()] == [r["features"] for r in v]
 
 
 def test_video_files_by_a_library(monkeypatch):
@@ -327,8 +356,8 @@ def test_video_files_by_a_library(monkeypatch):
 
     fake = types.SimpleNamespace(VideoCapture=Video, CAP_PROP_POS_FRAMES="pos", CAP_PROP_FPS="fps", CAP_PROP_FRAME_COUNT="count", COLOR_BGR2GRAY=0, cvtColor=lambda frame, kind: frame)
     monkeypatch.setitem(sys.modules, "cv2", fake)
-    reader = video.FrameReader({"paths": "good.mp4", "fps": "3", "decoder": "tidemark.sources.video:opencv_decoder"})
-    assert [(r[1], r[2], r[6]) for r in reader.read(reader.partitions()[0])] == [(0, 0, [0.0]), (1, 2, [2.0]), (2, 4, [4.0]), (3, 6, [6.0])]
+    reader = video.FrameReader({"paths": '["good.mp4"]', "fps": "3", "decoder": "tidemark.sources.video:opencv_decoder"})
+    assert [(r["pos"], r["frame_idx"], r["pixels"]) for batch in reader.read(reader.partitions()[0]) for r in batch.to_pylist()] == [(0, 0, [0.0]), (1, 2, [2.0]), (2, 4, [4.0]), (3, 6, [6.0])]
     with pytest.warns(UserWarning, match="skipped"):
         assert list(reader.read(video.FramePartition("bad.mp4"))) == []
 

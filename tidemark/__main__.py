@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.functions import scalars
 from tidemark.operators import evaluate, topology
 from tidemark.plans import pipelines
 from tidemark.sources import tables, video
@@ -36,12 +38,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--input_dir", required=True)
     p.add_argument("--output_dir", required=True)
     p.add_argument("--smooth_window", type=int, default=0)
+    _switch(p, "overwrite")
 
     p = stages.add_parser("knn", help="frame vectors to nearest neighbours in the clips")
     p.add_argument("--input_dir", required=True)
     p.add_argument("--output_dir", required=True)
     p.add_argument("--k", type=int, default=5)
-    _switch(p, "normalize")
+    p.add_argument("--batch_size", type=int, help="query vectors that one task holds at once")
+    _switch(p, "normalize", "overwrite")
 
     p = stages.add_parser("detect_curves", help="curves to detections")
     p.add_argument("--curves_dir", required=True)
@@ -80,11 +84,11 @@ def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
     for category, folder in (("tv", a.tv_dir), ("commercials", a.commercials_dir)):
         found = tables.videos_in(spark, folder, category).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
         if not a.overwrite:
-            found = tables.missing(found, _written(spark, out, category), ["video"])
+            found = tables.missing(found, _written(spark, out, "category", "video"), ["category", "video"])
         paths = [r["path"] for r in found.orderBy("path").collect()]  # one row a video
         if not paths:
             continue
-        frames = spark.read.format("frames").option("paths", ",".join(paths)).option("fps", a.sample_fps).option("decoder", a.decoder).load().withColumn("category", F.lit(category))
+        frames = spark.read.format("frames").option("paths", json.dumps(paths)).option("fps", a.sample_fps).option("grid", a.grid_size).option("decoder", a.decoder).load().withColumn("category", F.lit(category))
         features = topology.frame_vectors(topology.with_diagrams(frames, grid=a.grid_size), least=a.min_persistence)
         tables.write_partitioned(features.drop("pixels", "cells", "height", "width"), out)
         rows = spark.read.parquet(out).where((F.col("category") == category) & F.col("video").isin([p.rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in paths]))
@@ -92,30 +96,56 @@ def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
         per = rows.groupBy("video").agg(F.count("*").alias("num_frames"), F.max("native_fps").alias("native_fps"), F.max("total_frames").alias("total"), F.max(F.size("features")).cast("long").alias("feature_dim"))
         per = per.join(source, F.col("video") == F.col("stem")).withColumns({
             "category": F.lit(category), "output_path": F.concat(F.lit(f"frames/category={category}/video="), "video"), "sampled_fps": F.lit(a.sample_fps),
-            "duration_sec": F.when(F.col("native_fps") > 0, F.col("total") / F.col("native_fps")).otherwise(F.lit(0.0)), "sample_stride_frames": F.col("native_fps") / F.lit(a.sample_fps),
+            "duration_sec": scalars.duration(F.col("total"), F.col("native_fps")), "sample_stride_frames": scalars.stride(F.col("native_fps"), F.lit(a.sample_fps)),
         })
         summary.append(per.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.VIDEOS]))
     if summary:
         whole = summary[0] if len(summary) == 1 else summary[0].unionByName(summary[1])
-        tables.write_manifest(whole.coalesce(1), f"{a.output_dir}/manifest")
+        tables.merge_manifest(whole, f"{a.output_dir}/manifest")
 
 
-def _written(spark: SparkSession, out: str, category: str) -> DataFrame:
-    """(video) of the frame tables that are there."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "video string")
-    return spark.read.parquet(out).where(F.col("category") == category).select("video").distinct()
+def _written(spark: SparkSession, out: str, *keys: str) -> DataFrame:
+    """The folders of a partitioned table that are there, one row each."""
+    if not tables.exists(spark, out):
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in keys))
+    return spark.read.parquet(out).select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct()
 
 
 def curves(spark: SparkSession, a: argparse.Namespace) -> None:
-    tables.write_partitioned(pipelines.frame_curves(tables.read_frames(spark, f"{a.input_dir}/frames"), a.smooth_window), a.output_dir)
+    frames = tables.read_frames(spark, f"{a.input_dir}/frames")
+    if not a.overwrite:
+        frames = tables.missing(frames, _written(spark, a.output_dir, "category", "video"), ["category", "video"])
+    made = pipelines.frame_curves(frames, a.smooth_window)
+    done = frames.where(F.size("features") > 0).groupBy("category", "video").agg(F.count("*").alias("frames"))
+    entries = done.select("category", F.concat(F.lit(f"{a.input_dir}/frames/"), "category", F.lit("/"), "video", F.lit(".parquet")).alias("source_path"), F.concat(F.lit("category="), "category", F.lit("/video="), "video").alias("output_path"), "frames").collect()  # a row a video
+    if entries:
+        tables.write_partitioned(made, a.output_dir)
+        _entered(spark, entries, schema.CURVE_FILES, a.output_dir, "source_path")
+    _unmatched(spark, a)
+
+
+def _entered(spark: SparkSession, entries: list, kind, folder: str, by: str) -> None:
+    tables.merge_manifest(spark.createDataFrame([tuple(r[n] for n in kind.names) for r in entries], kind), tables.manifest_of(folder), kind, by)
+
+
+def _unmatched(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A warning for each video with curves that the manifest of videos does not know."""
+    if tables.exists(spark, f"{a.input_dir}/manifest"):
+        known = tables.latest(tables.read_manifest(spark, f"{a.input_dir}/manifest"), "key").select("category", "video")
+        for r in tables.missing(_written(spark, a.output_dir, "category", "video"), known, ["category", "video"]).toLocalIterator():
+            print(f"no entry in the manifest: {r['category']} {r['video']}")
 
 
 def knn(spark: SparkSession, a: argparse.Namespace) -> None:
     frames = tables.read_frames(spark, f"{a.input_dir}/frames")
-    near = pipelines.neighbours(frames.where("category = 'tv'"), frames.where("category = 'commercials'"), a.k, normalise=a.normalize)
-    tables.write_partitioned(near, a.output_dir, ("video",))
+    tv = frames.where("category = 'tv'")
+    if not a.overwrite:
+        tv = tables.missing(tv, _written(spark, a.output_dir, "video"), ["video"])
+    entries = tv.where(F.size("features") > 0).select(F.col("video").alias("tv_video"), F.concat(F.lit("video="), "video").alias("output")).distinct().collect()  # a row a video
+    if entries:
+        near = pipelines.neighbours(tv, frames.where("category = 'commercials'"), a.k, normalise=a.normalize, batch=a.batch_size)
+        tables.write_partitioned(near, a.output_dir, ("video",))
+        _entered(spark, entries, schema.NEIGHBOUR_FILES, a.output_dir, "tv_video")
 
 
 def detect_curves(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,9 +156,17 @@ def detect_curves(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def detect_knn(spark: SparkSession, a: argparse.Namespace) -> None:
     manifest = tables.read_manifest(spark, a.manifest)
-    gate = spark.read.parquet(a.curve_dir).where("category = 'tv'") if a.curve_dir else None
+    near = spark.read.parquet(a.knn_dir)
+    gate = None
+    if a.curve_dir:  # curves that the curve manifest names; a video without an entry passes the gate
+        gate = spark.read.parquet(a.curve_dir).where("category = 'tv'").withColumn("video", F.col("video").cast("string"))
+        named = tables.manifest_of(a.curve_dir)
+        paths = tables.curve_paths(tables.read_manifest(spark, named, schema.CURVE_FILES)) if tables.exists(spark, named) else gate.select("video").distinct()
+        gate = gate.join(paths.select("video"), "video", "left_semi")
+        for r in tables.missing(near.select(F.col("video").cast("string").alias("video")).distinct(), paths, ["video"]).toLocalIterator():
+            print(f"no curve, so no gate: {r['video']}")
     found = pipelines.neighbour_detections(
-        spark.read.parquet(a.knn_dir), _clips(manifest), gate, rates=tables.sampling_rates(manifest.where("category = 'tv'")), window_sec=a.window_sec, score_threshold=a.score_threshold, offset_tolerance=a.offset_tolerance,
+        near, _clips(manifest), gate, rates=tables.sampling_rates(manifest.where("category = 'tv'")), window_sec=a.window_sec, score_threshold=a.score_threshold, offset_tolerance=a.offset_tolerance,
         min_gap=a.min_gap, curve_threshold=a.curve_threshold, coverage=a.coverage_ratio, coverage_short=a.coverage_ratio_short, coverage_long=a.coverage_ratio_long, min_frames=a.min_frames, min_frames_short=a.min_frames_short,
         min_frames_long=a.min_frames_long, duration_threshold=a.duration_threshold,
     )

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import schema
 from tidemark.functions import scalars, vectors
 from tidemark.operators import evaluate, knn, matching, series, topology, tracks
 from tidemark.plans import pipelines
@@ -593,6 +594,23 @@ def q_manifest_latest(spark, d):
     return tables.latest(tables.parse_manifest(files), "key").select("key", "num_frames", "sampled_fps")
 
 
+@query(f"""
+WITH {MANIFEST}, named AS (SELECT *, regexp_replace(regexp_replace(source_path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS video, event_id % 3 AS run FROM entries)
+SELECT category || '::' || video AS key, num_frames, sampled_fps FROM named QUALIFY row_number() OVER (PARTITION BY category, video ORDER BY run DESC, num_frames DESC) = 1
+""")
+def q_manifest_merge(spark, d):
+    """A manifest after three runs, each with some videos of the runs before and some of its own."""
+    e = table(spark, d, "events")
+    source = F.concat(F.lit("/v/"), F.col("event_type"), F.lit("."), (F.col("user_id") % 7).cast("string"), F.lit(".mp4"))
+    entries = e.select(F.when(F.col("event_id") % 2 == 0, "tv").otherwise("commercials").alias("category"), source.alias("source_path"), F.col("event_id").alias("num_frames"), (1 + F.col("event_id") % 5).cast("double").alias("sampled_fps"))
+    path = _folder(spark, "manifest") + "/manifest"
+    for run in range(3):
+        own = entries.where(F.col("num_frames") % 3 == run).groupBy("category", "source_path").agg(F.max("num_frames").alias("num_frames"), F.max_by("sampled_fps", "num_frames").alias("sampled_fps"))
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.VIDEOS if f.name not in own.columns]
+        tables.merge_manifest(own.select("*", *rest), path)
+    return tables.read_manifest(spark, path).select("key", "num_frames", "sampled_fps")
+
+
 @query(f"""
 WITH {SERIES}, {FRAMES}, wide AS (SELECT *, pos // CAST(greatest(1, round_even(1.5 * CASE WHEN video % 4 = 0 THEN 3 ELSE video % 4 END, 0)) AS BIGINT) AS win FROM frames)
 SELECT video, win, count(*) AS votes, clip, round(avg(score), 6) AS avg_score FROM wide GROUP BY video, win, clip QUALIFY row_number() OVER (PARTITION BY video, win ORDER BY count(*) DESC, clip) = 1

@@ -17,14 +17,15 @@ def frame_curves(frames: DataFrame, smooth: int = 0) -> DataFrame:
     return series.edge_moving_averages(out, ["category", "video"], {c: c for c in CURVES}, smooth) if smooth > 1 else out
 
 
-def neighbours(tv: DataFrame, bank: DataFrame, k: int = 5, *, normalise: bool = False) -> DataFrame:
-    """(video, pos, ts, rank, clip, clip_pos, clip_ts, score). tv: video, pos, ts, features; bank likewise."""
-    tv = tv.where(F.size("features") > 0).withColumn("query_id", F.xxhash64("video", "pos"))
-    bank = bank.where(F.size("features") > 0).withColumn("bank_id", F.xxhash64("video", "pos"))
-    near = knn.nearest(tv.withColumn("vector", F.col("features")), bank.withColumn("vector", F.col("features")), k, normalise=normalise)
-    left = tv.select("query_id", "video", "pos", "ts")
-    right = bank.select("bank_id", F.col("video").alias("clip"), F.col("pos").alias("clip_pos"), F.col("ts").alias("clip_ts"))
-    return near.join(left, "query_id").join(right, "bank_id").select("video", "pos", "ts", "rank", "clip", "clip_pos", "clip_ts", "score")
+def neighbours(tv: DataFrame, bank: DataFrame, k: int = 5, *, normalise: bool = False, batch: int | None = None) -> DataFrame:
+    """(video, pos, ts, rank, clip, clip_pos, clip_ts, score). tv: video, pos, ts, features; bank likewise.
+
+    Ties go to the earlier clip and frame: a frame's key is the pair itself. ``batch``: query vectors scored at once.
+    """
+    tv = tv.where(F.size("features") > 0).select(F.struct("video", "pos", "ts").alias("query_id"), F.col("features").alias("vector"))
+    bank = bank.where(F.size("features") > 0).select(F.struct("video", "pos", "ts").alias("bank_id"), F.col("features").alias("vector"))
+    near = knn.nearest(tv, bank, k, normalise=normalise, batch=batch)
+    return near.select("query_id.video", "query_id.pos", "query_id.ts", "rank", F.col("bank_id.video").alias("clip"), F.col("bank_id.pos").alias("clip_pos"), F.col("bank_id.ts").alias("clip_ts"), "score")
 
 
 def neighbour_detections(

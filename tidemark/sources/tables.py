@@ -19,8 +19,7 @@ def videos_in(spark: SparkSession, folder: str, category: str) -> DataFrame:
 
     The order of full paths decides ties later on, so it is kept as a column. A folder that is not there has none.
     """
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, folder):
         return spark.createDataFrame([], "category string, path string, video string, file_order int")
     files = spark.read.format("binaryFile").load(folder).select("path").where(F.col("path").rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$"))
     numbered = files.withColumn("file_order", F.row_number().over(W.orderBy("path")))  # one row a file
@@ -47,6 +46,21 @@ def curve_of(curves: DataFrame, name: str) -> DataFrame:
     return curves.select("category", "video", "pos", "ts", F.col(name).alias("gate"))
 
 
+def manifest_of(folder: str) -> str:
+    """Where the manifest of a folder of curves or neighbours lies: beside it, as the folder is a table."""
+    return folder.rstrip("/") + ".manifest"
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def write_manifest(df: DataFrame, path: str, *, even_empty: bool = True) -> bool:
     """One object a line. Without ``even_empty`` nothing is written, and an older manifest stays, when there are no rows."""
     if not even_empty and df.isEmpty():
@@ -55,6 +69,36 @@ def write_manifest(df: DataFrame, path: str, *, even_empty: bool = True) -> bool
     return True
 
 
+def merge_manifest(df: DataFrame, path: str, kind: T.StructType = schema.VIDEOS, by: str = "key") -> None:
+    """Entries of a run beside those that the manifest has already; of entries with the same ``by`` those of ``df`` stay.
+
+    ``by``: ``key`` (category and stem of the source), ``video`` (stem) or a field. The whole is written next to the
+    old manifest and then takes its place; a run that died in between is completed by the next one.
+    """
+    spark = df.sparkSession
+    following = path.rstrip("/") + ".next"
+    fs, old = _file_system(spark, path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(following)
+    if not fs.exists(old) and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{following}/_SUCCESS")):
+        fs.rename(new, old)
+    rows = df.select(*kind.names)
+    if fs.exists(old):
+        known = latest(read_manifest(spark, path, kind), by)
+        rows = missing(known, _named(rows, kind), [by]).select(*kind.names).unionByName(rows)
+    rows.coalesce(1).write.mode("overwrite").json(following)  # a row a video
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
+def _named(rows: DataFrame, kind: T.StructType) -> DataFrame:
+    """``video`` (stem of the source path) and ``key`` (category::video), where there is a source path."""
+    if "source_path" in kind.names:
+        rows = rows.withColumn("video", scalars.stem(F.col("source_path")))
+        if "category" in kind.names:
+            rows = rows.withColumn("key", scalars.manifest_key(F.col("category"), F.col("video")))
+    return rows
+
+
 def parse_manifest(files: DataFrame, kind: T.StructType = schema.VIDEOS) -> DataFrame:
     """The objects of manifests, each file a row (``path``, ``value``, its whole text): an array of flat objects, or
     one object a line.
@@ -64,15 +108,11 @@ def parse_manifest(files: DataFrame, kind: T.StructType = schema.VIDEOS) -> Data
     """
     objects = T.ArrayType(kind)
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != "")
-    is_array = F.startswith(F.regexp_replace(F.substring("value", 1, 4096), r"^[\s\x{feff}]+", ""), F.lit("["))
+    is_array = F.col("value").rlike(r"\A[\s\x{feff}]*\[")
     # lines become an array too, so one parser reads both
     whole = F.when(is_array, F.col("value")).otherwise(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")))
     rows = files.select("path", F.posexplode(F.from_json(whole, objects)).alias("entry", "o")).select("o.*", "path", F.col("entry").cast("long").alias("entry"))
-    if "source_path" in kind.names:
-        rows = rows.withColumn("video", scalars.stem(F.col("source_path")))
-        if "category" in kind.names:
-            rows = rows.withColumn("key", scalars.manifest_key(F.col("category"), F.col("video")))
-    return rows
+    return _named(rows, kind)
 
 
 def read_manifest(spark: SparkSession, path: str, kind: T.StructType = schema.VIDEOS) -> DataFrame:

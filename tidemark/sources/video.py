@@ -1,25 +1,31 @@
 """Frames of videos as a Spark data source, with the decoder left open.
 
 ``spark.read.format("frames")`` plans one partition a video and yields the frames of the sampling plan as arrays of
-grey pixels. A decoder is a function ``module:name`` of a path that returns (fps, frame count, read), where
+grey pixels, in Arrow batches of ``BATCH_BYTES``. Options: ``paths`` (a JSON array), ``fps``, ``decoder`` and ``grid``, to
+which frames are reduced where they are read, so that whole frames leave no task. A decoder is a function ``module:name`` of a path that returns (fps, frame count, read), where
 ``read(index)`` gives a frame, rows of pixels in 0..255, or None when it cannot be read.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.operators.topology import area_mean
+
+BATCH_BYTES = 8 << 20
 SHAPE = "video string, pos int, frame_idx long, ts double, height int, width int, pixels array<double>, native_fps double, total_frames long"
+ARROW = pa.schema([("video", pa.string()), ("pos", pa.int32()), ("frame_idx", pa.int64()), ("ts", pa.float64()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.list_(pa.float64())), ("native_fps", pa.float64()), ("total_frames", pa.int64())])
 
 
 def npz_decoder(path: str):
     """Frames kept as an array (frame, row, column) named ``frames`` with a number ``fps``."""
-    import numpy as np
-
     data = np.load(path)
     frames = data["frames"]
     return float(data["fps"]), len(frames), lambda i: frames[i] if i < len(frames) else None
@@ -48,14 +54,15 @@ class FramePartition(InputPartition):
 
 class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p for p in options.get("paths", "").split(",") if p]
+        self.paths = json.loads(options.get("paths", "[]"))
+        self.grid = int(options.get("grid", 0))
         self.fps = float(options.get("fps", 3.0))
         self.decoder = options.get("decoder", f"{__name__}:npz_decoder")
 
     def partitions(self) -> list[InputPartition]:
         return [FramePartition(p) for p in self.paths]
 
-    def read(self, partition: FramePartition) -> Iterator[tuple]:
+    def read(self, partition: FramePartition) -> Iterator[pa.RecordBatch]:
         module, _, name = self.decoder.partition(":")
         try:
             native, total, read = getattr(importlib.import_module(module), name)(partition.path)
@@ -66,12 +73,33 @@ class FrameReader(DataSourceReader):
             raise ValueError("frame rates must be positive")
         video = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         stride = native / self.fps
+        rows: list[tuple] = []
+        pixels: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            pos, index, ts, height, width = zip(*rows)
+            ends = np.cumsum([0, *(x.size for x in pixels)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pixels)))
+            n = len(rows)
+            columns = [[video] * n, pos, index, ts, height, width, lists, [float(native)] * n, [int(total)] * n]
+            rows.clear()
+            pixels.clear()
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, ARROW.types)], schema=ARROW)
+
         for pos in range(int(total // stride)):
             index = round(pos * stride)
             frame = read(index) if index < total else None
             if frame is None:  # a row form ends here, timestamps and pixels alike
-                return
-            yield video, pos, index, index / native, len(frame), len(frame[0]), [float(x) for row in frame for x in row], float(native), int(total)
+                break
+            frame = np.asarray(frame, dtype=np.float64)
+            if self.grid:
+                frame = area_mean(frame, self.grid)
+            rows.append((pos, index, index / native, *frame.shape))
+            pixels.append(frame.ravel())
+            if frame.nbytes * len(pixels) >= BATCH_BYTES:
+                yield batch()
+        if rows:
+            yield batch()
 
 
 class FrameSource(DataSource):
