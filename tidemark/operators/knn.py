@@ -131,7 +131,7 @@ def _scorer(k: int, centres: np.ndarray, radius: np.ndarray, batch: int | None,
             r, place = np.nonzero(best_rank < np.iinfo(np.int64).max)
             parts.append((rows[r], order[best_rank[r, place]], best_score[r, place]))
         row, col, found = (np.concatenate(c) for c in zip(*parts))
-        return pa.table([left.column(names[0]).take(pa.array(row)), right.column(names[1]).take(pa.array(col)), pa.array(found)], schema=shape)
+        return pa.table([left.column(names[0]).take(pa.array(row)).cast(types[0]), right.column(names[1]).take(pa.array(col)).cast(types[1]), pa.array(found)], schema=shape)
 
     return score
 
@@ -196,7 +196,7 @@ def nearest(
     at = F.element_at(F.lit(first).cast("array<int>"), F.col("cluster") + 1) + F.pmod(F.xxhash64("key"), F.element_at(F.lit(pieces).cast("array<int>"), F.col("cluster") + 1)).cast("int")
     left = routed.select("query", "q", "least", F.explode("blocks").alias("block_b"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("block_q"))
     right = own.select("key", "b", "cluster", at.alias("block_b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block_q"))
-    arrow = [spark.createDataFrame([], df.select(c).schema).toArrow().schema.field(0).type for df, c in ((queries, query), (bank, key))]
+    arrow = [spark.createDataFrame([], f"c {kind}").toArrow().schema.field(0).type for kind in kinds]
     near = left.groupBy("block_q", "block_b").cogroup(right.groupBy("block_q", "block_b")).applyInArrow(_scorer(k, centres, safe_radius, batch, ["query", "key"], arrow), f"query {kinds[0]}, key {kinds[1]}, score double")
     order = W.partitionBy("query").orderBy(F.col("score").desc(), F.col("key").asc())
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias(query), F.col("key").alias(key), "score", "rank")

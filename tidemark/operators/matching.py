@@ -1,4 +1,10 @@
-"""Peaks of one series matched against whole clips by correlation of a clamped slice."""
+"""Peaks of one series matched against whole clips by correlation of a clamped slice.
+
+Means and lengths of slices come from running sums, and so do their means over a few parts, which bound the correlation
+with a clip from above: what the parts share, plus the product of what is left of either. Most clips fall to the bound
+of the best one; the others are multiplied out, pair by pair, as matrices, or for long clips by Fourier transform of
+the series.
+"""
 
 from __future__ import annotations
 
@@ -9,80 +15,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of series or clips that a task holds, and of the slices it cuts at once.
+#: Bytes of series or clips that a task holds, and of the bounds and products it makes at once.
 BLOCK_BYTES = 64 << 20
-
-
-def _centred(rows: np.ndarray, least: float) -> np.ndarray:
-    """Mean-centred rows of unit length; zeros for constant ones."""
-    rows = rows - rows.mean(axis=1, keepdims=True)
-    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-    return rows / np.where(norm < least, np.inf, norm)[:, None]
-
-
-def _matcher(least: float):
-    shape = pa.schema([("row", pa.int64()), ("clip_row", pa.int64()), ("clip_rank", pa.int64()), ("score", pa.float64())])
-
-    def ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        whole = column.combine_chunks()
-        size = whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), np.cumsum(size) - size, size
+#: Samples of a series in one piece, beside the longest clip's on either side; parts of a slice for the bound.
+PIECE, PARTS = 1 << 16, 8
+#: Digits of scores that count for a tie; what rounding may do to a bound.
+DIGITS, SLACK = 10, 1e-9
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    whole = column.combine_chunks()
+    size = whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False), np.cumsum(size) - size, size
+
+
+class Slices:
+    """Slices of one length of pieces of series, known by their places: no slice is built but for a product."""
+
+    def __init__(self, x: np.ndarray, size: np.ndarray):
+        ends = np.cumsum(size)
+        totals = np.concatenate([[0.0], np.cumsum(x)])
+        self.x = x - np.repeat((totals[ends] - totals[ends - size]) / np.maximum(size, 1), size)  # each piece by itself
+        self.sums = np.concatenate([[0.0], np.cumsum(self.x)])
+        self.squares = np.concatenate([[0.0], np.cumsum(self.x * self.x)])
+
+    def moments(self, at: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and centred length of the slices that begin at ``at``."""
+        mean = (self.sums[at + m] - self.sums[at]) / m
+        spread = self.squares[at + m] - self.squares[at] - m * mean * mean
+        # where most of the sums cancels, from the slice itself
+        for k in np.flatnonzero(spread < 1e-7 * np.maximum(1.0, self.squares[-1])):
+            own = self.x[at[k] : at[k] + m]
+            mean[k] = own.mean()
+            spread[k] = ((own - mean[k]) ** 2).sum()
+        return mean, np.sqrt(np.maximum(spread, 0.0))
+
+    def parts(self, at: np.ndarray, m: int, mean: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Coefficients of centred unit slices on the means of ``PARTS`` parts, an orthonormal family."""
+        edges = np.unique(np.linspace(0, m, PARTS + 1).round().astype(int))
+        width = np.diff(edges)
+        sums = np.diff(self.sums[at[:, None] + edges], axis=1)
+        return (sums - mean[:, None] * width) / np.sqrt(width) / length[:, None]
+
+
+def _rest(coefficients: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(1.0 - (coefficients * coefficients).sum(axis=1), 0.0))
+
+
+def _products(s: Slices, at: np.ndarray, mean: np.ndarray, length: np.ndarray, clips: np.ndarray, piece: np.ndarray, bounds: dict, able: np.ndarray) -> np.ndarray:
+    """Correlations of the pairs that ``able`` marks; -inf for others. ``clips``: centred, of unit length."""
+    m = clips.shape[1]
+    out = np.full(able.shape, -np.inf)
+    rows, columns = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
+    step = max(1, BLOCK_BYTES // 8 // m)
+    if able.sum() * 4 < len(rows) * len(columns):  # few: pair by pair
+        row, column = np.nonzero(able)
+        for k in range(0, len(row), step):
+            r, c = row[k : k + step], column[k : k + step]
+            out[r, c] = np.einsum("ij,ij->i", s.x[at[r][:, None] + np.arange(m)] - mean[r][:, None], clips[c]) / length[r]
+        return out
+    for p in np.unique(piece[rows]):
+        own = rows[piece[rows] == p]
+        low, high = bounds[p]
+        n = 1 << (high - low + m).bit_length()
+        if len(own) * m > 8 * n * math.log2(n) / 4:  # all places of the piece at once
+            series = np.fft.rfft(s.x[low:high], n)
+            for c in columns:
+                found = np.fft.irfft(series * np.conj(np.fft.rfft(clips[c], n)), n)
+                out[own, c] = found[at[own] - low] / length[own]
+        else:
+            for k in range(0, len(own), step):
+                r = own[k : k + step]
+                out[np.ix_(r, columns)] = (s.x[at[r][:, None] + np.arange(m)] - mean[r][:, None]) @ clips[columns].T / length[r][:, None]
+    out[~able] = -np.inf
+    return out
+
+
+def _matcher(least: float, names: list[pa.DataType]):
+    shape = pa.schema([("video", names[0]), ("seg_start", pa.int64()), ("peak_pos", pa.int64()), ("clip", names[1]), ("clip_order", pa.int64()), ("score", pa.float64())])
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
-        x, x_at, x_size = ragged(left.column("x"))
+        x, x_at, x_size = _ragged(left.column("x"))
+        slices = Slices(x, x_size)
         peaks = left.column("peaks").combine_chunks()
         owner = np.repeat(np.arange(len(x_at)), peaks.value_lengths().to_numpy(zero_copy_only=False))
-        row, peak = (peaks.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        y, y_at, y_size = ragged(right.column("x"))
-        rank, clip_row = right.column("clip_order").to_numpy(), right.column("clip_row").to_numpy()
-        best, best_rank, best_row = np.full(len(row), -np.inf), np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64)
+        seg, peak = (peaks.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        low, total = left.column("low").to_numpy(), left.column("n").to_numpy()
+        y, y_at, y_size = _ragged(right.column("x"))
+        rank = right.column("clip_order").to_numpy()
+        best, best_rank, best_row = np.full(len(seg), -np.inf), np.zeros(len(seg), dtype=np.int64), np.zeros(len(seg), dtype=np.int64)
+        bounds = {k: (int(x_at[k]), int(x_at[k] + x_size[k])) for k in range(len(x_at))}
         for m in np.unique(y_size[y_size > 0]).tolist():
             own = np.flatnonzero(y_size == m)
             own = own[np.argsort(rank[own], kind="stable")]
-            clips = _centred(y[y_at[own][:, None] + np.arange(m)], least)
-            able = np.flatnonzero(x_size[owner] >= m)
-            step = max(1, BLOCK_BYTES // 8 // max(m, len(own)))
-            for at in range(0, len(able), step):
-                p = able[at : at + step]
-                first = np.maximum(0, np.minimum(peak[p] - m // 2, x_size[owner[p]] - m))
-                scores = _centred(x[(x_at[owner[p]] + first)[:, None] + np.arange(m)], least) @ clips.T
-                top = scores.argmax(axis=1)  # the first maximum: clips are in order
-                score, order = scores[np.arange(len(p)), top], rank[own[top]]
+            clips = y[y_at[own][:, None] + np.arange(m)]
+            clips = clips - clips.mean(axis=1, keepdims=True)
+            size = np.sqrt((clips * clips).sum(axis=1))
+            flat = size < least
+            clips = np.where(flat[:, None], 0.0, clips / np.where(flat, 1.0, size)[:, None])
+            edges = np.unique(np.linspace(0, m, PARTS + 1).round().astype(int))
+            of_clips = np.add.reduceat(clips, edges[:-1], axis=1) / np.sqrt(np.diff(edges))
+            rest = np.where(flat, 0.0, _rest(of_clips))
+            able = np.flatnonzero(total[owner] >= m)
+            step = max(1, BLOCK_BYTES // 8 // max(1, len(own)))
+            for k in range(0, len(able), step):
+                p = able[k : k + step]
+                at = x_at[owner[p]] + np.maximum(0, np.minimum(peak[p] - m // 2, total[owner[p]] - m)) - low[owner[p]]
+                mean, length = slices.moments(at, m)
+                even = length < least
+                length = np.where(even, np.inf, length)
+                parts = slices.parts(at, m, mean, length)
+                bound = parts @ of_clips.T + np.where(even, 0.0, _rest(parts))[:, None] * rest + SLACK
+                # the most promising clip first: what it reaches, or what another length did, rules others out
+                top = np.zeros(bound.shape, dtype=bool)
+                top[np.arange(len(p)), bound.argmax(axis=1)] = True
+                reached = np.maximum(_products(slices, at, mean, length, clips, owner[p], bounds, top).max(axis=1), best[p])
+                scores = _products(slices, at, mean, length, clips, owner[p], bounds, bound >= reached[:, None] - SLACK).round(DIGITS)
+                first = scores.argmax(axis=1)  # the first maximum: clips are in order
+                score, order = scores[np.arange(len(p)), first], rank[own[first]]
                 better = (score > best[p]) | (score == best[p]) & (order < best_rank[p])
-                best[p[better]], best_rank[p[better]], best_row[p[better]] = score[better], order[better], clip_row[own[top[better]]]
-        found = best > -np.inf
-        return pa.table([pa.array(c[found]) for c in (row, best_row, best_rank, best)], schema=shape)
+                best[p[better]], best_rank[p[better]], best_row[p[better]] = score[better], order[better], own[first[better]]
+        found = np.flatnonzero(best > -np.inf)
+        return pa.table([left.column("video").take(pa.array(owner[found])), pa.array(seg[found]), pa.array(peak[found]), right.column("clip").take(pa.array(best_row[found])), pa.array(best_rank[found]), pa.array(best[found])], schema=shape)
 
     return match
 
 
-def match_peaks(segments: DataFrame, series: DataFrame, clips: DataFrame, *, least: float = 1e-6) -> DataFrame:
+def match_peaks(segments: DataFrame, series: DataFrame, clips: DataFrame, *, least: float = 1e-6, piece: int = PIECE) -> DataFrame:
     """(video, seg_start, peak_pos, clip, score) of every peak's best clip, the first in ``clip_order`` on a tie.
 
-    segments: video, seg_start, peak_pos. series: video, pos, x. clips: clip, clip_order (whole numbers), pos, x. A
-    slice as long as the clip is centred on the peak and kept inside the series; the score is the correlation, 0 if
-    either side is constant. A clip longer than the series is no candidate; neither is an empty one.
+    segments: video, seg_start, peak_pos. series: video, pos (0, 1, 2, ...), x. clips: clip, clip_order (whole numbers), pos,
+    x. A slice as long as the clip is centred on the peak and kept inside the series; the score is the correlation, 0 if
+    either side is constant. A clip longer than the series is no candidate; neither is an empty one. Null videos and
+    clips, and series or clips with a null or NaN, match nothing there.
 
-    Each series and each clip becomes one array; blocks of series meet blocks of clips as matrices.
+    Series are cut into pieces, which overlap by the longest clip, so that a long one is no single row; blocks of pieces
+    meet blocks of clips.
     """
     spark = segments.sparkSession
     values = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x")))), lambda s: s["x"])
-    peaks = segments.select("video", "seg_start", "peak_pos", F.xxhash64("video", "seg_start").alias("row"))
-    wanted = peaks.groupBy("video").agg(F.collect_list(F.struct("row", F.col("peak_pos").cast("long").alias("at"))).alias("peaks"))
-    left = series.groupBy("video").agg(values.alias("x")).join(wanted, "video")
-    right = clips.groupBy("clip", F.col("clip_order").cast("long").alias("clip_order")).agg(values.alias("x")).withColumn("clip_row", F.xxhash64("clip"))
-    points = series.agg(F.count("*").alias("n")).crossJoin(clips.agg(F.count("*").alias("m"))).first()
+    right = clips.where("clip is not null").groupBy("clip", F.col("clip_order").cast("long").alias("clip_order")).agg(values.alias("x"), F.count("*").alias("m"))
+    right = right.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    points = series.agg(F.count("*").alias("n")).crossJoin(right.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.max("m"), F.lit(0)).alias("longest"))).first()
+    size = max(piece, points["longest"])
+    at = F.floor(F.col("pos") / size)
+    near = F.array(at, F.when(F.col("pos") % size >= size - points["longest"], at + 1), F.when(F.col("pos") % size < points["longest"], at - 1))
+    whole = series.where("video is not null").select("video", F.col("pos").cast("long").alias("pos"), "x")
+    pieces = whole.withColumn("piece", F.explode(F.filter(near, lambda k: k.isNotNull()))).groupBy("video", "piece").agg(values.alias("x"), F.min("pos").alias("low"))
+    lengths = whole.groupBy("video").agg(F.count("*").alias("n"))
+    peaks = segments.groupBy("video", F.floor(F.col("peak_pos") / size).alias("piece")).agg(F.collect_list(F.struct(F.col("seg_start").cast("long").alias("seg_start"), F.col("peak_pos").cast("long").alias("peak"))).alias("peaks"))
+    left = pieces.join(peaks, ["video", "piece"]).join(lengths, "video")
+    left = left.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
     clip_blocks = max(1, math.ceil(points["m"] * 8 / BLOCK_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     series_blocks = max(1, math.ceil(points["n"] * 8 / BLOCK_BYTES), tasks // clip_blocks)
 
-    def dealt(df: DataFrame, name: str, blocks: int, others: int, own: str, other: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    def dealt(df: DataFrame, by: list[str], blocks: int, others: int, own: str, other: str) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    a = dealt(left, "video", series_blocks, clip_blocks, "block_s", "block_c").select("block_s", "block_c", "x", "peaks").groupBy("block_s", "block_c")
-    b = dealt(right, "clip", clip_blocks, series_blocks, "block_c", "block_s").select("block_s", "block_c", "x", "clip_order", "clip_row").groupBy("block_s", "block_c")
-    scores = a.cogroup(b).applyInArrow(_matcher(least), "row long, clip_row long, clip_rank long, score double")
-    best = scores.groupBy("row").agg(F.max_by(F.struct("clip_row", "score"), F.struct(F.col("score"), -F.col("clip_rank"))).alias("b")).select("row", "b.clip_row", "b.score")
-    return peaks.join(best, "row").join(right.select("clip_row", "clip"), "clip_row").select("video", "seg_start", "peak_pos", "clip", "score")
+    a = dealt(left, ["video", "piece"], series_blocks, clip_blocks, "block_s", "block_c").select("block_s", "block_c", "video", "low", "n", "x", "peaks").groupBy("block_s", "block_c")
+    b = dealt(right, ["clip"], clip_blocks, series_blocks, "block_c", "block_s").select("block_s", "block_c", "x", "clip", "clip_order").groupBy("block_s", "block_c")
+    kinds = [series.schema["video"].dataType.simpleString(), clips.schema["clip"].dataType.simpleString()]
+    arrow = [spark.createDataFrame([], f"c {kind}").toArrow().schema.field(0).type for kind in kinds]
+    scores = a.cogroup(b).applyInArrow(_matcher(least, arrow), f"video {kinds[0]}, seg_start long, peak_pos long, clip {kinds[1]}, clip_order long, score double")
+    best = F.max_by(F.struct("peak_pos", "clip", "score"), F.struct(F.col("score"), -F.col("clip_order"))).alias("b")
+    return scores.groupBy("video", "seg_start").agg(best).select("video", "seg_start", "b.peak_pos", "b.clip", "b.score")

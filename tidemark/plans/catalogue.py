@@ -595,7 +595,7 @@ def q_manifest_latest(spark, d):
 
 
 @query(f"""
-WITH {MANIFEST}, named AS (SELECT *, regexp_replace(regexp_replace(source_path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS video, event_id % 3 AS run FROM entries)
+WITH {MANIFEST}, named AS (SELECT *, regexp_replace(regexp_replace(source_path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS video, num_frames % 3 AS run FROM entries)
 SELECT category || '::' || video AS key, num_frames, sampled_fps FROM named QUALIFY row_number() OVER (PARTITION BY category, video ORDER BY run DESC, num_frames DESC) = 1
 """)
 def q_manifest_merge(spark, d):
