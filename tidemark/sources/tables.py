@@ -142,14 +142,17 @@ def missing(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, counted from 1, blank and comment lines included.
+    """(line_no, value) of a text file, or of the parts of a folder in order, counted from 1, blank and comment lines
+    included.
 
-    Rows are numbered inside their partitions and shifted by the counts of those before: one row a partition.
+    Rows are numbered inside the ranges of the files that tasks read, wherever Spark puts those, and shifted by the
+    counts of the ranges before: one row a range.
     """
-    lines = spark.read.text(path).withColumn("mid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mid", 33))
-    counts = lines.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    return lines.join(F.broadcast(before), "part").select((F.col("before") + F.col("mid").bitwiseAND((1 << 33) - 1) + 1).alias("line_no"), F.regexp_replace("value", r"[\r\n]+$", "").alias("value"))
+    at = F.struct(F.length("_metadata.file_path").alias("n"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.read.text(path).select("value", at.alias("at"), F.monotonically_increasing_id().alias("mid"))
+    ranges = lines.groupBy("at").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
+    before = ranges.select("at", "first", (F.sum("n").over(W.orderBy("at")) - F.col("n")).alias("before"))
+    return lines.join(F.broadcast(before), "at").select((F.col("before") + F.col("mid") - F.col("first") + 1).alias("line_no"), F.regexp_replace("value", r"[\r\n]+$", "").alias("value"))
 
 
 def _fields(with_score: bool | None) -> tuple[Column, list[Column]]:
@@ -194,12 +197,18 @@ def interval_lines(detections: DataFrame, with_score: bool = True, *beside: str)
 
 
 def write_intervals(detections: DataFrame, path: str, with_score: bool = True) -> bool:
-    """A header row and the lines; nothing is written without detections. One file, as its readers expect."""
+    """A header row and the lines in order of video, start and clip; nothing is written without detections.
+
+    The lines are cut into ranges of that order, a part each, and the parts' names are in order too: put together they
+    are the file, whose first line is the header.
+    """
     if detections.isEmpty():
         return False
     names = ["tv", "start", "length", "clip", *(["score"] if with_score else [])]
     lines = interval_lines(detections.withColumn("o", F.lit(1)), with_score, "o", "tv", "start", "clip")
     head = detections.sparkSession.range(1).select(F.lit("# " + "\t".join(names)).alias("value"), F.lit(0).alias("o"))
-    whole = head.unionByName(lines, allowMissingColumns=True).coalesce(1).sortWithinPartitions("o", "tv", "start", "clip")
+    order = ["o", "tv", "start", "clip", "value"]
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = head.unionByName(lines, allowMissingColumns=True).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     whole.select("value").write.mode("overwrite").text(path)
     return True
