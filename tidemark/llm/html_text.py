@@ -110,8 +110,9 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
             if tag in RAW and not name[1]:
                 end = RAW_END[tag].search(source, at)
                 at = text = size if end is None else source.find(">", end.start()) + 1 or size
-    if text < size:
-        yield source[text:], "", ""
+    end = source.find("<!--", max(text, last))
+    if text < (size if end < 0 else end):
+        yield source[text : size if end < 0 else end], "", ""
 
 
 def page_lines(source: str | None) -> tuple[list[str], list[bool]]:
