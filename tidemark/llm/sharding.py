@@ -71,8 +71,8 @@ def _measures(docs: DataFrame, dimensions: list[str]) -> dict[str, Column]:
     }
 
 
-def with_curve_index(docs: DataFrame, dimensions: list[str], bits: int = 4, accuracy: int = 400) -> DataFrame:
-    """``curve``: the Hilbert index of each row's cell. Cuts are quantiles of all rows; nulls are in the first cell."""
+def with_curve_index(docs: DataFrame, dimensions: list[str], bits: int = 4, accuracy: int = 400, name: str = "curve") -> DataFrame:
+    """``name``: the Hilbert index of each row's cell. Cuts are quantiles of all rows; nulls are in the first cell."""
     measures = _measures(docs, dimensions)
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = docs.agg(*[F.percentile_approx(m, at, accuracy).alias(f"d{k}") for k, m in enumerate(measures.values())]).first()
@@ -85,7 +85,7 @@ def with_curve_index(docs: DataFrame, dimensions: list[str], bits: int = 4, accu
     def curve(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
-    return docs.withColumn("curve", curve(*cells))
+    return docs.withColumn(name, curve(*cells))
 
 
 def write_shards(docs: DataFrame, folder: str, dimensions: list[str], *, id_col: str = "doc_id", shards: int = 24, bits: int = 4) -> DataFrame:
@@ -93,31 +93,32 @@ def write_shards(docs: DataFrame, folder: str, dimensions: list[str], *, id_col:
 
     Returns the input's columns and ``shard``, ``slot`` (its place in the shard, gapless from 0). Ties of the curve
     go by id, then by a hash of the whole row; equal rows are interchangeable, each still gets a place of its own.
-    Nulls in a dimension count as lowest. An empty table gives no rows. Input columns named ``shard``, ``slot``,
-    ``curve`` or ``place`` are refused.
+    Nulls in a dimension count as lowest. An empty table gives no rows. Input columns named ``shard`` or ``slot`` are
+    refused, all other names come back.
     """
     spark = docs.sparkSession
-    if clash := {"shard", "slot", "curve", "place"} & {c.lower() for c in docs.columns}:
+    if clash := {"shard", "slot"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns with names of the result: {sorted(clash)}")
-    row = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")])
-    keys = [F.col("curve").asc(), F.col(id_col).asc_nulls_first(), row.asc()]
+    curve, place, part, before, total, rank = common.fresh_names(docs, "curve", "place", "part", "before", "total", "rank")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
+    keys = [F.col(curve).asc(), F.col(id_col).asc_nulls_first(), row.asc()]
     # rows of long texts lie together on the curve: runs are cut finer, so that theirs stay small in bytes too
-    runs = with_curve_index(docs, dimensions, bits).repartitionByRange(FINER * common.partitions(spark), *keys).sortWithinPartitions(*keys)
-    sorted_rows, sorted_at = common.staged(runs.withColumn("place", F.monotonically_increasing_id()), "curve-runs")
+    runs = with_curve_index(docs, dimensions, bits, name=curve).repartitionByRange(FINER * common.partitions(spark), *keys).sortWithinPartitions(*keys)
+    sorted_rows, sorted_at = common.staged(runs.withColumn(place, F.monotonically_increasing_id()), "curve-runs")
     # place is (partition, row in it); one row a partition gives the rows before it
-    counts = sorted_rows.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n"))
-    offsets = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
-    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    counts = sorted_rows.groupBy(F.shiftright(place, 33).alias(part)).agg(F.count("*").alias("n"))
+    offsets = counts.select(part, (F.sum("n").over(W.orderBy(part)) - F.col("n")).alias(before), F.sum("n").over(W.partitionBy()).alias(total))
     placed = (
-        sorted_rows.withColumn("part", F.shiftright("place", 33))
-        .join(F.broadcast(offsets), "part")
-        .withColumn("rank", rank)
+        sorted_rows.withColumn(part, F.shiftright(place, 33))
+        .join(F.broadcast(offsets), part)
+        .withColumn(rank, F.col(before) + F.col(place).bitwiseAND((1 << 33) - 1))
         # floor(rank * shards / total) in whole numbers, and the first rank of that shard
-        .withColumn("shard", F.expr(f"(rank * {shards}) div total"))
-        .withColumn("slot", F.col("rank") - F.expr(f"(shard * total + {shards} - 1) div {shards}"))
+        .withColumn("shard", F.expr(f"({rank} * {shards}) div {total}"))
+        .withColumn("slot", F.col(rank) - F.expr(f"(shard * {total} + {shards} - 1) div {shards}"))
         .withColumn("shard", F.col("shard").cast("int"))
     )
-    placed.select(*docs.columns, "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    placed.select(*own, "slot", "shard").write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     common.remove(spark, sorted_at)
     schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     return spark.read.schema(schema).parquet(folder)
