@@ -200,3 +200,43 @@ def test_page_differencing(spark):
         assert all(got[200 + k] == "same story same end" for k in range(5)) and got[301] == "shared passage 1" and got[103] == "Site menu"
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, raw):
+        self.raw, self.read = raw, 0
+
+    def size(self):
+        return len(self.raw)
+
+    def read_at(self, n, at):
+        self.read += n
+        return self.raw[at : at + n]
+
+
+def test_one_document_reads_a_fraction_of_its_file():
+    rng = np.random.default_rng(4)
+    ids = rng.choice([3, 200, 70_000, 5_000_000], 400_000).astype(np.uint32) + rng.integers(0, 50, 400_000).astype(np.uint32)
+    codes = dac.encode(ids)
+    sizes = np.full(4000, 100)
+    raw = codes + dac.directory(list(range(4000)), sizes, len(codes))
+    file = Counted(raw)
+    keys, ends = dac.documents(file)
+    assert keys == list(range(4000)) and ends[-1] == 400_000 and file.read < 20 * 4000
+    file.read = 0
+    reader = dac.Reader(file)
+    assert reader.read(300_000, 300_100).tolist() == ids[300_000:300_100].tolist() and file.read < 2000 < len(raw) / 100
+    places = [399_999, 0, 17, 200_000]
+    file.read = 0
+    assert reader.take(np.array(places)).tolist() == ids[places].tolist() and file.read < 2000
+    assert reader.read(5, 5).tolist() == [] and reader.take(np.array([], dtype=int)).tolist() == []
+
+
+def test_shards_keep_columns_with_any_names(spark):
+    names = ["part", "rank", "total", "before", "curve", "place", "Part_", "a.b"]
+    rows = [(i, f"t{i}", *[70 + 10 * i + k for k in range(len(names))]) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` {'int' if k % 2 == 0 else 'long'}" for k, n in enumerate(names))]))
+    out = sharding.write_shards(docs, common.fresh_path(spark, "test-shards"), ["doc_id", "rank"], shards=5)
+    assert out.columns == [*docs.columns, "slot", "shard"] and sorted(tuple(r)[: len(docs.columns)] for r in out.collect()) == rows

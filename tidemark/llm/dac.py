@@ -52,35 +52,79 @@ def directory(keys: list[int | None], sizes: np.ndarray, at: int) -> bytes:
     return b"".join([ids.tobytes(), np.cumsum(sizes).astype("<u8").tobytes(), null.tobytes(), TAIL.pack(len(keys), at, TAIL_MAGIC)])
 
 
-def documents(raw) -> tuple[list[int | None], np.ndarray]:
-    """Document ids, and where the ids of each end."""
-    n, at, magic = TAIL.unpack_from(raw, len(raw) - TAIL.size)
+class Whole:
+    """A file in memory, read like a file of ranges."""
+
+    def __init__(self, raw):
+        self.raw = memoryview(raw)
+
+    def size(self) -> int:
+        return len(self.raw)
+
+    def read_at(self, n: int, at: int):
+        return self.raw[at : at + n]
+
+
+def documents(file) -> tuple[list[int | None], np.ndarray]:
+    """Document ids, and where the ids of each end: two reads at the end of a file with ``size`` and ``read_at``."""
+    end = file.size()
+    n, at, magic = TAIL.unpack(file.read_at(TAIL.size, end - TAIL.size))
     if magic != TAIL_MAGIC:
         raise ValueError("no directory of documents")
-    ids, ends, null = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<u8", n, at + 8 * n), np.frombuffer(raw, np.uint8, n, at + 16 * n)
+    raw = file.read_at(17 * n, at)
+    ids, ends, null = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n)
     return [None if x else k for k, x in zip(ids.tolist(), null.tolist())], ends.astype(np.int64)
 
 
+class Stored:
+    """An array in a file: a slice is one read, and elements at any places are a read for each run of near ones."""
+
+    #: Elements between two that are read along rather than skipped.
+    NEAR = 512
+
+    def __init__(self, file, kind: str, n: int, at: int):
+        self.file, self.kind, self.n, self.at = file, np.dtype(kind), n, at
+
+    @property
+    def end(self) -> int:
+        return self.at + self.n * self.kind.itemsize
+
+    def __getitem__(self, which):
+        size = self.kind.itemsize
+        if isinstance(which, slice):
+            a, b, _ = which.indices(self.n)
+            return np.frombuffer(self.file.read_at(max(0, b - a) * size, self.at + a * size), self.kind)
+        places = np.atleast_1d(np.asarray(which, dtype=np.int64))
+        out = np.empty(len(places), dtype=self.kind)
+        order = np.argsort(places, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(places[order]) > self.NEAR) + 1):
+            if len(run):
+                a, b = places[run[0]], places[run[-1]] + 1
+                out[run] = self[int(a) : int(b)][places[run] - a]
+        return out if np.ndim(which) else out[0]
+
+
 class Reader:
-    """Random access to the ids of one file."""
+    """Random access to the ids of one file, bytes or with ``size`` and ``read_at``: nothing but the heads of the levels is read
+    before ids are asked for, and then what they need of each level."""
 
-    def __init__(self, raw):
-        magic, version, self.count, self.bits, levels = HEAD.unpack_from(raw, 0)
+    def __init__(self, file):
+        file = file if hasattr(file, "read_at") else Whole(file)
+        magic, version, self.count, self.bits, levels = HEAD.unpack(file.read_at(HEAD.size, 0))
         if magic != MAGIC or version != 1:
             raise ValueError("not a token file")
-        kind, at = np.dtype("<u1" if self.bits == 8 else "<u2"), HEAD.size
+        at = HEAD.size
         self.levels: list[tuple] = []
         for k in range(levels):
-            (n,) = struct.unpack_from("<Q", raw, at)
-            entries = np.frombuffer(raw, kind, n, at + 8)
-            at += 8 + entries.nbytes
+            (n,) = struct.unpack("<Q", file.read_at(8, at))
+            entries = Stored(file, "<u1" if self.bits == 8 else "<u2", n, at + 8)
+            at = entries.end
             if k == levels - 1:
                 self.levels.append((entries, None, None))
                 break
-            words = np.frombuffer(raw, "<u8", -(-n // 64), at)
-            at += words.nbytes
-            before = np.frombuffer(raw, "<u4", len(words), at)
-            at += before.nbytes
+            words = Stored(file, "<u8", -(-n // 64), at)
+            before = Stored(file, "<u4", words.n, words.end)
+            at = before.end
             self.levels.append((entries, words, before))
 
     def __len__(self) -> int:
@@ -93,6 +137,8 @@ class Reader:
             out[live] |= entries[at].astype(np.uint32) << np.uint32(level * self.bits)
             if words is None:
                 break
+            if not len(at):
+                break
             word, bit = words[at >> 6], (at & 63).astype(np.uint64)
             goes = (word >> bit) & np.uint64(1) != 0
             rank = before[at >> 6] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
@@ -106,14 +152,16 @@ class Reader:
             if words is None:
                 spans.append((start, stop, None))
                 break
+            if start == stop:
+                spans.append((0, 0, np.zeros(0, dtype=bool)))
+                start = stop = 0
+                continue
             first = start >> 6
-            bits = np.unpackbits(words[first : -(-stop // 64)].view(np.uint8), bitorder="little")[start - first * 64 : stop - first * 64].view(bool)
+            own = words[first : -(-stop // 64)]
+            bits = np.unpackbits(own.view(np.uint8), bitorder="little")[start - first * 64 : stop - first * 64].view(bool)
             spans.append((start, stop, bits))
-            if start < stop:
-                start = int(before[first]) + int(np.bitwise_count(words[first] & ((np.uint64(1) << np.uint64(start & 63)) - np.uint64(1))))
-                stop = start + int(np.count_nonzero(bits))
-            else:
-                start = stop = 0
+            start = int(before[first]) + int(np.bitwise_count(own[0] & ((np.uint64(1) << np.uint64(start & 63)) - np.uint64(1))))
+            stop = start + int(np.count_nonzero(bits))
         out = np.zeros(0, dtype=np.uint32)
         for (a, b, bits), (entries, _, _) in zip(reversed(spans), reversed(self.levels)):
             low = entries[a:b].astype(np.uint32)

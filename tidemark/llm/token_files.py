@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -213,7 +212,7 @@ def _directories(folder: str):
         for batch in batches:
             for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
                 with fs.open_input_file(f"{root}/{file}") as stream:
-                    keys, ends = dac.documents(stream.read())
+                    keys, ends = dac.documents(stream)
                 size = np.diff(ends, prepend=0)
                 columns = ([file] * len(keys), np.arange(len(keys)), keys, size, ends - size, before + ends - size)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names=["file", "doc_at", "row_id", "n_tokens", "at_token", "start"])
@@ -232,15 +231,19 @@ def documents(files: DataFrame, folder: str) -> DataFrame:
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        name, reader = None, None
+        name, reader, stream = None, None, None
         for batch in batches:
             out = []
             for file, at, n in zip(*(batch.column(k).to_pylist() for k in ("file", "at_token", "n_tokens"))):
                 if file != name:
-                    with fs.open_input_file(f"{root}/{file}") as stream:
-                        name, reader = file, dac.Reader(stream.read())
+                    if stream is not None:
+                        stream.close()
+                    stream = fs.open_input_file(f"{root}/{file}")
+                    name, reader = file, dac.Reader(stream)
                 out.append(reader.read(at, at + n).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.binary())], names=["row_id", "start", "n_tokens", "ids"])
+        if stream is not None:
+            stream.close()
 
     return common.lean(read)
 
@@ -249,8 +252,8 @@ IDS = "row_id long, start long, n_tokens long, ids binary"
 
 
 def read_tokens(index: DataFrame, folder: str) -> DataFrame:
-    """(row_id, start, n_tokens, ids) of chosen rows of ``documents``, each read alone from its file. ids:
-    little-endian u32. Repeated rows come back as often; no rows give none."""
+    """(row_id, start, n_tokens, ids) of chosen rows of ``documents``, each read alone from its file: of every level of
+    the codes no more than the document's own part, and the head of the file once. ids: little-endian u32. Repeated rows come back as often; no rows give none."""
     spark = common.tuned(index.sparkSession)
     by_file = index.select("row_id", "start", "n_tokens", "file", "at_token").repartition(common.partitions(spark), "file").sortWithinPartitions("file", "at_token")
     return by_file.mapInArrow(_reader(folder), IDS)
@@ -262,7 +265,7 @@ def _whole_files(folder: str):
         for batch in batches:
             for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
                 with fs.open_input_file(f"{root}/{file}") as stream:
-                    raw = stream.read()
+                    raw = dac.Whole(stream.read())
                 keys, ends = dac.documents(raw)
                 reader = dac.Reader(raw)
                 size = np.diff(ends, prepend=0)
@@ -290,7 +293,3 @@ def op2_token_files(spark, sf_dir: str) -> DataFrame:
     folder = common.fresh_path(spark, "tokens")
     files = write_tokens(common.table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return read_files(files, folder).select(F.col("row_id").alias("doc_id"), "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-
-
-def plain_crc32(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
