@@ -337,6 +337,26 @@ def test_video_source_to_vectors(spark, tmp_path):
     assert [r["features"] for r in topology.frame_vectors(topology.with_diagrams(small, grid=12)).collect()] == [r["features"] for r in v]
 
 
+def test_a_video_in_ranges_of_samples(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    for name, n in (("long, one", 200), ("short", 3), ("broken", 60)):
+        np.savez(tmp_path / f"{name}.npz", fps=6.0, frames=rng.integers(0, 255, (n, 6, 8)))
+    paths = spark.createDataFrame([(str(tmp_path / f"{n}.npz"),) for n in ("long, one", "short", "broken", "absent")], "path string")
+    whole = video.sampled_frames(paths, decoder="tests.test_core:stopping_decoder", samples=1000)
+    cut = video.sampled_frames(paths, decoder="tests.test_core:stopping_decoder", samples=7)
+    assert cut.groupBy(F.spark_partition_id()).count().count() > 1
+    got = [video.until_unreadable(df.withColumn("readable", F.col("pixels").isNotNull())) for df in (whole, cut)]
+    a, b = (rows(df, "video", "pos", "frame_idx", "ts", "pixels") for df in got)
+    assert a == b and [sum(x[0] == n for x in a) for n in ("long, one", "short", "broken")] == [100, 1, 11]
+    assert rows(cut.where("pixels is null"), "video", "pos") == [("broken", 11)]
+
+
+def stopping_decoder(path):
+    """A decoder of arrays that cannot read frame 22 of one of them."""
+    native, total, read = video.npz_decoder(path)
+    return native, total, lambda i: None if "broken" in path and i == 22 else read(i)
+
+
 def test_video_files_by_a_library(monkeypatch):
     class Video:
         def __init__(self, path):

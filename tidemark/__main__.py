@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,29 +79,24 @@ def _clips(manifest: DataFrame) -> DataFrame:
 
 
 def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
-    spark.dataSource.register(video.FrameSource)
-    out, summary = f"{a.output_dir}/frames", []
-    for category, folder in (("tv", a.tv_dir), ("commercials", a.commercials_dir)):
-        found = tables.videos_in(spark, folder, category).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-        if not a.overwrite:
-            found = tables.missing(found, _written(spark, out, "category", "video"), ["category", "video"])
-        paths = [r["path"] for r in found.orderBy("path").collect()]  # one row a video
-        if not paths:
-            continue
-        frames = spark.read.format("frames").option("paths", json.dumps(paths)).option("fps", a.sample_fps).option("grid", a.grid_size).option("decoder", a.decoder).load().withColumn("category", F.lit(category))
-        features = topology.frame_vectors(topology.with_diagrams(frames, grid=a.grid_size), least=a.min_persistence)
-        tables.write_partitioned(features.drop("pixels", "cells", "height", "width"), out)
-        rows = spark.read.parquet(out).where((F.col("category") == category) & F.col("video").isin([p.rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in paths]))
-        source = spark.createDataFrame([(p.rsplit("/", 1)[-1].rsplit(".", 1)[0], p) for p in paths], "stem string, source_path string")
-        per = rows.groupBy("video").agg(F.count("*").alias("num_frames"), F.max("native_fps").alias("native_fps"), F.max("total_frames").alias("total"), F.max(F.size("features")).cast("long").alias("feature_dim"))
-        per = per.join(source, F.col("video") == F.col("stem")).withColumns({
-            "category": F.lit(category), "output_path": F.concat(F.lit(f"frames/category={category}/video="), "video"), "sampled_fps": F.lit(a.sample_fps),
+    out, staged = f"{a.output_dir}/frames", f"{a.output_dir}/.frames-{uuid.uuid4().hex}"
+    found = [tables.videos_in(spark, folder, category).withColumn("path", F.regexp_replace("path", "^file:/*", "/")) for category, folder in (("tv", a.tv_dir), ("commercials", a.commercials_dir))]
+    videos = found[0].unionByName(found[1])
+    if not a.overwrite:
+        videos = tables.missing(videos, _written(spark, out, "category", "video"), ["category", "video"])
+    frames = video.sampled_frames(videos, decoder=a.decoder, fps=a.sample_fps, grid=a.grid_size)
+    features = topology.frame_vectors(topology.with_diagrams(frames, grid=a.grid_size), least=a.min_persistence)
+    features.withColumn("readable", F.col("pixels").isNotNull()).drop("pixels", "cells", "height", "width").write.parquet(staged)
+    rows = video.until_unreadable(spark.read.parquet(staged)).drop("video").join(videos.select("path", "category", "video"), "path")
+    if not rows.isEmpty():
+        tables.write_partitioned(rows.drop("path"), out)
+        per = rows.groupBy("category", "video", F.col("path").alias("source_path")).agg(F.count("*").alias("num_frames"), F.max("native_fps").alias("native_fps"), F.max("total_frames").alias("total"), F.max(F.size("features")).cast("long").alias("feature_dim"))
+        per = per.withColumns({
+            "output_path": F.concat(F.lit("frames/category="), "category", F.lit("/video="), "video"), "sampled_fps": F.lit(a.sample_fps),
             "duration_sec": scalars.duration(F.col("total"), F.col("native_fps")), "sample_stride_frames": scalars.stride(F.col("native_fps"), F.lit(a.sample_fps)),
         })
-        summary.append(per.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.VIDEOS]))
-    if summary:
-        whole = summary[0] if len(summary) == 1 else summary[0].unionByName(summary[1])
-        tables.merge_manifest(whole, f"{a.output_dir}/manifest")
+        tables.merge_manifest(per.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.VIDEOS]), f"{a.output_dir}/manifest")
+    tables.remove(spark, staged)
 
 
 def _written(spark: SparkSession, out: str, *keys: str) -> DataFrame:

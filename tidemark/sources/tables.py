@@ -61,6 +61,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
 def write_manifest(df: DataFrame, path: str, *, even_empty: bool = True) -> bool:
     """One object a line. Without ``even_empty`` nothing is written, and an older manifest stays, when there are no rows."""
     if not even_empty and df.isEmpty():
