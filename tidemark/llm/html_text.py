@@ -10,7 +10,6 @@ shared open lines are deleted: a template repeats from page to page, an article
 from __future__ import annotations
 
 import html
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -274,24 +273,33 @@ def _extract(copy_share: float):
                 near = (None, None) if side == BOTH else ((before if last else after) or (None, None))
                 yield none | {"kind": GROUP, "part": part, "side": side, "host": host, "path": group[0][2], "last_path": group[-1][2], "lines": lines, "near_path": near[0], "near_lines": near[1]}
 
-        def batched(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-            while some := list(itertools.islice(rows, common.ARROW_ROWS)):
-                yield pa.RecordBatch.from_pylist(some, schema=LINES)
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist(rows, schema=LINES)
+            rows.clear()
+            return made
 
+        out: list[dict] = []
         for batch in batches:
             for key, url, page_host, path, packed in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "host", "path", "packed"))):
                 page, page_open = page_lines(unpack.decompress(packed).decode())
                 if not page:
-                    yield from batched(iter([none | {"kind": DONE, "page_id": key, "url": url, "text": ""}]))
+                    out.append(none | {"kind": DONE, "page_id": key, "url": url, "text": ""})
                     continue
                 if group and (page_host != host or page != lines):
-                    yield from batched(settle((path, page) if page_host == host else None, False))
+                    for row in settle((path, page) if page_host == host else None, False):
+                        out.append(row)
+                        if len(out) >= common.ARROW_ROWS:
+                            yield batch_of(out)
                     before = (group[-1][2], lines) if page_host == host else None
                     group, first = [], False
                 host, lines = page_host, page
                 group.append((key, url, path, group[-1][3] if group and group[-1][3] == page_open else page_open))
-        if group:
-            yield from batched(settle(None, True))
+            yield batch_of(out)
+        for row in settle(None, True) if group else ():
+            out.append(row)
+            if len(out) >= common.ARROW_ROWS:
+                yield batch_of(out)
+        yield batch_of(out)
 
     return common.lean(run)
 
