@@ -145,8 +145,10 @@ def knn(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def detect_curves(spark: SparkSession, a: argparse.Namespace) -> None:
     clips = _clips(tables.read_manifest(spark, a.preproc_manifest))
-    found = pipelines.curve_detections(spark.read.parquet(a.curves_dir), clips, smooth_window=a.smooth_window, z_threshold=a.z_threshold, min_peak_sec=a.min_peak_sec, match_threshold=a.match_threshold)
+    scratch = f"{a.output.rstrip('/')}.scores-{uuid.uuid4().hex}"
+    found = pipelines.curve_detections(spark.read.parquet(a.curves_dir), clips, smooth_window=a.smooth_window, z_threshold=a.z_threshold, min_peak_sec=a.min_peak_sec, match_threshold=a.match_threshold, scratch=scratch)
     tables.write_intervals(found, a.output)
+    tables.remove(spark, scratch)
 
 
 def detect_knn(spark: SparkSession, a: argparse.Namespace) -> None:

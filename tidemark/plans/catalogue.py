@@ -264,7 +264,7 @@ best AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY video, se
 
 @query(f"{_matched_sql('true', 'true')} SELECT video, seg_start, peak_pos, clip, round(score, 4) AS score FROM best")
 def q_peak_match(spark, d):
-    z = series.standard_scores(_series(spark, d), ["video"], "x", 10)
+    z = pipelines.written(series.standard_scores(_series(spark, d), ["video"], "x", 10), _folder(spark, "scores") + "/z")
     segments = series.active_segments(z, ["video"], "z", 1.0, 1)
     clips = z.select(F.col("video").alias("clip"), F.col("video").alias("clip_order"), "pos", F.col("z").alias("x"))
     return rounded(matching.match_peaks(segments, z.select("video", "pos", F.col("z").alias("x")), clips), "score")
@@ -279,7 +279,7 @@ def q_curve_detector(spark, d):
     s = _series(spark, d)
     curves = s.select(F.when(F.col("video") % 2 == 0, "tv").otherwise("commercials").alias("category"), "video", "pos", (F.col("pos") / 3).alias("ts"), F.col("x").alias("combined_activity"))
     clips = s.where("video % 2 = 1").groupBy(F.col("video").alias("clip")).agg((F.count("*") / 3).alias("duration")).withColumn("clip_order", F.col("clip"))
-    return pipelines.curve_detections(curves, clips, smooth_window=10, z_threshold=1.0, min_peak_sec=0.3, match_threshold=0.2)
+    return pipelines.curve_detections(curves, clips, smooth_window=10, z_threshold=1.0, min_peak_sec=0.3, match_threshold=0.2, scratch=_folder(spark, "scores") + "/z")
 
 
 # ---- votes and tracks ----------------------------------------------------------------------------------------------

@@ -68,14 +68,22 @@ def neighbour_detections(
     return tracks.min_gap(found, min_gap, ["video", "clip"]).select(F.col("video").alias("tv"), F.round("start", 3).alias("start"), F.round("length", 3).alias("length"), "clip", F.round("score", 4).alias("score"))
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def curve_detections(
-    curves: DataFrame, clips: DataFrame, *, curve: str = "combined_activity", fps: float = 3.0, smooth_window: int = 30, z_threshold: float = 2.5, min_peak_sec: float = 4.0, match_threshold: float = 0.6
+    curves: DataFrame, clips: DataFrame, *, curve: str = "combined_activity", fps: float = 3.0, smooth_window: int = 30, z_threshold: float = 2.5, min_peak_sec: float = 4.0, match_threshold: float = 0.6, scratch: str | None = None
 ) -> DataFrame:
     """The curve detector: standard scores, runs above a threshold, correlation of their peaks with whole clips.
 
-    curves: category, video, pos, ts and the curve; clips: clip, duration, clip_order.
+    curves: category, video, pos, ts and the curve; clips: clip, duration, clip_order. ``scratch``: a new folder, shared by
+    driver and executors, to which the scores are written once; without it every plan that reads them makes them anew.
     """
     z = series.standard_scores(curves.select("category", "video", "pos", "ts", F.col(curve).alias("x")), ["category", "video"], "x", smooth_window)
+    if scratch is not None:
+        z = written(z, scratch)
     tv = z.where("category = 'tv'")
     segments = series.active_segments(tv, ["video"], "z", z_threshold, max(int(min_peak_sec * fps), 1))
     bank = z.where("category = 'commercials'").select(F.col("video").alias("clip"), "pos", F.col("z").alias("x")).join(clips.select("clip", "clip_order"), "clip")
