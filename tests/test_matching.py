@@ -1,6 +1,7 @@
 """Peaks against clips by the definition: pieces of series, short and long clips, ties, constants, nulls."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import matching
@@ -79,3 +80,58 @@ def test_bounds_are_above_all_correlations():
             parts = s.parts(at, m, mean, length)
             bound = parts @ parts.T + matching._rest(parts)[:, None] * matching._rest(parts)
             assert (bound + 1e-9 >= unit @ unit.T).all()
+
+
+def in_process(series, peaks, clips, own=None):
+    """The task itself on whole series, without Spark."""
+    places = [[{"seg_start": p, "peak": p} for v, p in peaks if v == name] for name in series]
+    left = pa.table({
+        "video": list(series), "low": pa.array([0] * len(series), pa.int64()), "n": pa.array([len(x) for x in series.values()], pa.int64()), "x": [x.tolist() for x in series.values()],
+        "own_order": pa.array([(own or {}).get(v) for v in series], pa.int64()), "peaks": pa.array(places, pa.list_(pa.struct([("seg_start", pa.int64()), ("peak", pa.int64())]))),
+    })
+    right = pa.table({"x": [y.tolist() for y in clips.values()], "clip": list(clips), "clip_order": pa.array(range(len(clips)), pa.int64())})
+    out = matching._matcher(1e-6, [pa.string(), pa.string()])(left, right).to_pylist()
+    return {(r["video"], r["peak_pos"]): (r["clip"], r["score"]) for r in out}
+
+
+@pytest.mark.parametrize("smooth", [False, True])
+def test_few_pairs_take_double_precision(monkeypatch, smooth):
+    rng = np.random.default_rng(11)
+    make = (lambda n: rng.normal(size=n).cumsum()) if smooth else (lambda n: rng.normal(size=n))
+    series = {f"s{i}": make(int(rng.integers(40, 70))) for i in range(30)}
+    clips = {f"k{i}": make((33, 45)[i % 2]) for i in range(1200)} | {"flat": np.ones(33), "late": series["s3"][:33] * 3 - 1, "later": series["s3"][:33] + 2}
+    peaks = [(v, int(p)) for v, x in series.items() for p in rng.choice(len(x), 6, replace=False)] + [("s3", 0)]
+    peaks = sorted(set(peaks))
+    pairs, settle = [], matching._settle
+    monkeypatch.setattr(matching, "TILE_CLIPS", 32)
+    monkeypatch.setattr(matching, "WAITING", 400)
+    monkeypatch.setattr(matching, "_settle", lambda *a: (pairs.append(len(a[4])), settle(*a)))
+    have = in_process(series, peaks, clips)
+    same(have, brute(series, peaks, clips))
+    assert have["s3", 0][0] == "late"
+    assert sum(pairs) < len(peaks) * len(clips) / 20
+
+
+def test_bounds_take_the_place_of_products(monkeypatch):
+    rng = np.random.default_rng(13)
+    series = {f"s{i}": np.sin(np.arange(64) / 9 + i) + rng.normal(size=64) / 50 for i in range(8)}
+    clips = {f"k{i}": np.sin(np.arange(40) / (3 + i % 40) + i) + rng.normal(size=40) / 50 for i in range(640)}
+    peaks = [(v, p) for v in series for p in (5, 20, 30, 44)]
+    want, tiles = brute(series, peaks, clips), []
+    monkeypatch.setattr(matching, "TILE_CLIPS", 16)
+    monkeypatch.setattr(matching, "LEFT", 0.5)
+    run = matching._tiles
+    monkeypatch.setattr(matching, "_tiles", lambda *a: run(*a[:5], lambda some, k: (tiles.append(k), a[5](some, k))[1], a[6]))
+    same(in_process(series, peaks, clips), want)
+    assert len(tiles) < 20  # of 40
+
+
+def test_copies_of_clips(spark):
+    rng = np.random.default_rng(17)
+    made = {f"a{i}": rng.normal(size=(20, 25, 25, 31)[i % 4]) for i in range(8)}
+    clips = {f"{v}c{k}": y for k in range(5) for v, y in made.items()}
+    series = {f"{v}s": np.concatenate([y, rng.normal(size=12)]) for v, y in made.items()} | {"a5 itself": made["a5"]}
+    peaks = [(v, p) for v, x in series.items() for p in range(0, len(x), 4)]
+    have = got(spark, series, peaks, clips)
+    same(have, brute(series, peaks, clips))
+    assert {clip[-2:] for clip, _ in have.values()} == {"c0"} and have["a5 itself", 8] == ("a5c0", 1.0)
