@@ -135,3 +135,19 @@ def test_copies_of_clips(spark):
     have = got(spark, series, peaks, clips)
     same(have, brute(series, peaks, clips))
     assert {clip[-2:] for clip, _ in have.values()} == {"c0"} and have["a5 itself", 8] == ("a5c0", 1.0)
+
+
+def test_a_series_that_is_a_clip_needs_no_products(monkeypatch):
+    rng = np.random.default_rng(19)
+    series = {f"s{i}": rng.normal(size=(30, 31, 36)[i % 3]) for i in range(60)}
+    clips = {"earlier": series["s7"] * 2 - 5, "part": series["s8"][3:34] + 1} | series | {"later": series["s9"] * 4}
+    peaks = [(v, p) for v in series for p in (0, 9, 18, 29)]
+    want, own = brute(series, peaks, clips), {v: k for k, v in enumerate(clips)}
+    same(in_process(series, peaks, clips), want)
+    same(in_process({"flat": np.ones(30)}, [("flat", 3)], clips | {"flat": np.ones(30)}, {"flat": len(clips)}), {("flat", 3): ("s0", 0.0)})
+    monkeypatch.setattr(matching, "_tiles", None)
+    same(in_process(series, peaks, clips, own), want)
+    assert want["s7", 9][0] == "earlier" and want["s8", 18][0] == "part" and want["s9", 9][0] == "s9"
+    # the clip itself in another task: nothing here is as good, but for the earlier ones
+    others = {v: y for v, y in clips.items() if v not in series}
+    assert {v for v, _ in in_process(series, peaks, others, {v: 3 for v in series})} == {"s7", "s8", "s9"}

@@ -126,9 +126,8 @@ def _settle(s: Slices, at: np.ndarray, bank: Bank, found: Found, row: np.ndarray
     found.offer(row[order], score[order], bank.rank[column[order]], bank.at[column[order]])
 
 
-def _alike(s: Slices, at: np.ndarray, bank: Bank, found: Found, rows: np.ndarray, unit: np.ndarray) -> None:
-    """Earlier clips for slices that have found a score of 1: those near them on a line."""
-    place = unit @ bank.line
+def _alike(s: Slices, at: np.ndarray, bank: Bank, found: Found, rows: np.ndarray, place: np.ndarray) -> None:
+    """Earlier clips for slices that have found a score of 1: those near their places on a line."""
     low, high = np.searchsorted(bank.on_line, place - ALIKE), np.searchsorted(bank.on_line, place + ALIKE, side="right")
     ends = np.cumsum(high - low)
     k = 0
@@ -185,7 +184,7 @@ def _tiles(s: Slices, at: np.ndarray, bank: Bank, found: Found, rows: np.ndarray
         settle()
 
 
-def _match_length(s: Slices, at: np.ndarray, piece: np.ndarray, bounds: dict, bank: Bank, found: Found, least: float) -> None:
+def _match_length(s: Slices, at: np.ndarray, piece: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], bank: Bank, found: Found, least: float) -> None:
     """Slices that begin at ``at``, in order, in the pieces ``piece``, against the clips of one length."""
     m = bank.m
 
@@ -195,8 +194,11 @@ def _match_length(s: Slices, at: np.ndarray, piece: np.ndarray, bounds: dict, ba
                 found.offer(some, np.zeros(len(some)), np.full(len(some), clip[0]), np.full(len(some), clip[1]))
 
     often = np.zeros(len(at), dtype=bool)
-    for p, n_rows in zip(*np.unique(piece, return_counts=True), strict=True):
-        low, high = bounds[p]
+    pieces, count = np.unique(piece, return_counts=True)
+    least_n = bounds[1][pieces] - bounds[0][pieces] + m
+    some = count * m > 2 * least_n * np.log2(least_n)
+    for p, n_rows in zip(pieces[some].tolist(), count[some].tolist(), strict=True):
+        low, high = (int(b[p]) for b in bounds)
         n = 1 << (high - low + m).bit_length()
         if n_rows * m <= 2 * n * math.log2(n):
             continue
@@ -224,14 +226,12 @@ def _match_length(s: Slices, at: np.ndarray, piece: np.ndarray, bounds: dict, ba
         rows = others[k : k + step]
         own, length = _centred(s, at[rows], m)
         even(rows, length)
-        some = np.flatnonzero(length >= least)
-        rows, own = rows[some], own[some] / length[some, None]
-        full = found.score[rows] >= 1.0
-        if full.any():
-            _alike(s, at, bank, found, rows[full], own[full])
-            rows, own = rows[~full], own[~full]
-        if not len(rows):
+        full = (found.score[rows] >= 1.0) & (length >= least)
+        _alike(s, at, bank, found, rows[full], (own @ bank.line)[full] / length[full])
+        some = ~full & (length >= least)
+        if not some.any():
             continue
+        rows, own = rows[some], own[some] / length[some, None]
         single = own.astype(np.float32)
         edges = np.unique(np.linspace(0, m, PARTS + 1).round().astype(int))
         parts = np.add.reduceat(own, edges[:-1], axis=1) / np.sqrt(np.diff(edges))
@@ -260,7 +260,7 @@ def _matcher(least: float, names: list[pa.DataType]):
         best_rank = np.zeros(len(x_at), dtype=np.int64)
         best_rank[known] = left.column("own_order").combine_chunks().filter(pa.array(known)).to_numpy() + 1
         best = Found(np.where(known, 1.0, -np.inf)[owner], best_rank[owner])
-        bounds = {k: (int(x_at[k]), int(x_at[k] + x_size[k])) for k in range(len(x_at))}
+        bounds = x_at, x_at + x_size
         for m in np.unique(y_size[y_size > 0]).tolist():
             of_m = np.flatnonzero(y_size == m)
             able = np.flatnonzero(total[owner] >= m)
@@ -313,15 +313,18 @@ def match_peaks(segments: DataFrame, series: DataFrame, clips: DataFrame, *, lea
     left = left.join(right.select("x", F.col("clip_order").alias("own_order"), F.lit(0).cast("long").alias("low"), F.size("x").cast("long").alias("n")), ["x", "low", "n"], "left")
     clip_blocks = max(1, math.ceil(points["m"] * 8 / BLOCK_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    series_blocks = max(1, math.ceil(points["n"] * 32 / BLOCK_BYTES), tasks // clip_blocks)
+    # every block of series has a copy of all clips: enough of them for all cores, not for all partitions
+    cores = min(tasks, 2 * spark.sparkContext.defaultParallelism)
+    series_blocks = max(1, math.ceil(points["n"] * 32 / BLOCK_BYTES), math.ceil(cores / clip_blocks))
 
     def dealt(df: DataFrame, by: list[str], blocks: int, others: int, own: str, other: str) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     a = dealt(left, ["video", "piece"], series_blocks, clip_blocks, "block_s", "block_c").select("block_s", "block_c", "video", "low", "n", "x", "own_order", "peaks").groupBy("block_s", "block_c")
     b = dealt(right, ["clip"], clip_blocks, series_blocks, "block_c", "block_s").select("block_s", "block_c", "x", "clip", "clip_order").groupBy("block_s", "block_c")
-    kinds = [series.schema["video"].dataType.simpleString(), clips.schema["clip"].dataType.simpleString()]
-    arrow = [spark.createDataFrame([], f"c {kind}").toArrow().schema.field(0).type for kind in kinds]
+    names = [series.select("video"), clips.select("clip")]
+    kinds = [n.schema[0].dataType.simpleString() for n in names]
+    arrow = [n.limit(0).toArrow().schema.field(0).type for n in names]
     scores = a.cogroup(b).applyInArrow(_matcher(least, arrow), f"video {kinds[0]}, seg_start long, peak_pos long, clip {kinds[1]}, clip_order long, score double")
     best = F.max_by(F.struct("peak_pos", "clip", "score"), F.struct(F.col("score"), -F.col("clip_order"))).alias("b")
     return scores.groupBy("video", "seg_start").agg(best).select("video", "seg_start", "b.peak_pos", "b.clip", "b.score")
